@@ -1,0 +1,191 @@
+"""Which keys of a document also occur in a document of smaller id, found by one exchange of packed keys.
+
+A key has two parts: ``ks``, by which keys meet, and ``kf``, which tells keys of equal ``ks`` apart. Tasks pack the
+keys of many documents into a few binary rows, one for each bucket of ``ks``, and send each distinct key once, with
+the least id of the task's batch; that other documents of the batch are covered is known at once. So a key that a
+third of all documents holds costs one entry a batch, not one a document. A bucket answers two things:
+
+* COVERED: a document of smaller id holds the same key (ks and kf);
+* MIXED: none does, but another document holds the same ks with another kf.
+
+Keys are sent as 4 bytes of ks and 7 bytes of kf; the bucket number adds to ks, so that chance meetings within a
+bucket stay as rare when the number of buckets grows with the data. Ids are whole numbers; null ids count as the
+largest. Documents of equal id never cover each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrier.llm.store import partitions
+
+COVERED, MIXED = 1, 2
+LAST = np.iinfo(np.int64).max
+SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("ks", pa.binary()), ("kf", pa.binary())])
+SENT_SQL = "bucket int, known boolean, ids binary, counts binary, ks binary, kf binary"
+ANSWER = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("kf", pa.binary())])
+ANSWER_SQL = "bucket int, ids binary, counts binary, kf binary"
+KF = np.uint64((1 << 56) - 1)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of an exchange: in proportion to the shuffle partitions that the session chose for its data."""
+    return max(32, 4 * partitions(spark))
+
+
+def home(id_col: str, buckets: int) -> Column:
+    """The bucket in which all that is known of a document meets its text."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def homes(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The same bucket in numpy: XXH64 of a long with seed 42, as the SQL function has it."""
+    m = (1 << 64) - 1
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.uint64(42 + p5 + 8 & m) ^ turn(ids.astype(np.int64).view(np.uint64) * np.uint64(p2), 31) * np.uint64(p1)
+    h = turn(h, 27) * np.uint64(p1) + np.uint64(p4)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(p2)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(p3)
+    return (h ^ h >> np.uint64(32)).view(np.int64) % buckets
+
+
+def pack7(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpack7(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return wide.view("<u8").reshape(-1)
+
+
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[at], np.diff(np.concatenate([at, [len(owner)]]))
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the indexes of its entries, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    names, sizes = _runs(bucket[order])
+    at = 0
+    for b, n in zip(names.tolist(), sizes.tolist(), strict=True):
+        yield b, order[at : at + n]
+        at += n
+
+
+def send(ids: np.ndarray, owner: np.ndarray, ks: np.ndarray, kf: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """ids: ascending ids of a batch's documents; owner: ascending index into ids of each key."""
+    if not len(owner):
+        return
+    _, dense = np.unique(ids, return_inverse=True)
+    kf = kf & KF
+    key = (ks * np.uint64(0x9E3779B97F4A7C15)) ^ kf * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    least = np.repeat(owner[order][first], np.diff(np.concatenate([np.flatnonzero(first), [len(order)]])))
+    known = order[~first & (dense[owner[order]] > dense[least])]
+    rows: list[list] = [[], [], [], [], [], []]
+
+    def add(b: int, is_known: bool, who: np.ndarray, ks_raw: bytes, kf_raw: bytes) -> None:
+        names, counts = _runs(who)
+        for column, value in zip(rows, (b, is_known, ids[names].tobytes(), counts.astype(np.uint32).tobytes(), ks_raw, kf_raw), strict=True):
+            column.append(value)
+
+    sent = np.sort(order[first])
+    for b, at in _parts(((ks[sent] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
+        e = sent[at]
+        add(b, False, owner[e], ks[e].astype(np.uint32).tobytes(), pack7(kf[e]))
+    if len(known):
+        known = np.sort(known)
+        where = homes(ids[owner[known]], buckets)
+        for b, at in _parts(where):
+            e = known[at]
+            add(b, True, owner[e], b"", pack7(kf[e]))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, SENT.types, strict=True)], schema=SENT)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, ks and kf of all entries of a table of packed rows."""
+    one = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("counts", np.uint32), ("ks", np.uint32))]
+    return np.repeat(one[0], one[1]), one[2], unpack7(b"".join(table.column("kf").to_pylist()))
+
+
+def _answers(ids: np.ndarray, kf: np.ndarray, flags: np.ndarray, buckets: int) -> pa.Table:
+    order = np.argsort(ids, kind="stable")
+    ids, kf = ids[order], kf[order] | flags[order].astype(np.uint64) << np.uint64(56)
+    rows: list[list] = [[], [], [], []]
+    for b, at in _parts(homes(ids, buckets)):
+        names, counts = _runs(ids[at])
+        for column, value in zip(rows, (b, names.tobytes(), counts.astype(np.uint32).tobytes(), kf[at].tobytes()), strict=True):
+            column.append(value)
+    return pa.table([pa.array(c, t) for c, t in zip(rows, ANSWER.types, strict=True)], schema=ANSWER)
+
+
+def settle(sent: DataFrame, buckets: int) -> DataFrame:
+    """Packed keys -> packed answers, by the home bucket of the documents they are for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        known = np.array(table.column("known").to_pylist(), bool)
+        ids, ks, kf = _entries(table.filter(pa.array(~known)))
+        order = np.lexsort((ids, kf, ks))
+        ids, ks, kf = ids[order], ks[order], kf[order]
+        flags = np.zeros(len(ids), np.uint8)
+        if len(ids):
+            new_ks = np.concatenate([[True], ks[1:] != ks[:-1]])
+            new_kf = new_ks | np.concatenate([[True], kf[1:] != kf[:-1]])
+            at_ks, at_kf = np.flatnonzero(new_ks), np.flatnonzero(new_kf)
+            size = np.diff(np.concatenate([at_ks, [len(ids)]]))
+            held = np.repeat(ids[at_kf], np.diff(np.concatenate([at_kf, [len(ids)]])))
+            shared = np.repeat(np.minimum.reduceat(ids, at_ks) != np.maximum.reduceat(ids, at_ks), size)
+            several = np.repeat(np.add.reduceat(new_kf.astype(np.int64), at_ks) > 1, size)
+            flags[shared & several] = MIXED
+            flags[ids > held] = COVERED
+        told = flags > 0
+        more = table.filter(pa.array(known))
+        if more.num_rows:
+            more_ids, _, more_kf = _entries(more)
+            return _answers(np.concatenate([ids[told], more_ids]), np.concatenate([kf[told], more_kf]), np.concatenate([flags[told], np.full(len(more_ids), COVERED, np.uint8)]), buckets)
+        return _answers(ids[told], kf[told], flags[told], buckets)
+
+    return sent.groupBy("bucket").applyInArrow(run, ANSWER_SQL)
+
+
+class Answers:
+    """The answers of one home bucket, to be asked by document and kf."""
+
+    def __init__(self, table: pa.Table):
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        kf = np.frombuffer(b"".join(table.column("kf").to_pylist()), np.uint64)
+        self.ids = np.unique(ids)
+        key = self._key(np.repeat(ids, counts), kf & KF)
+        flags = (kf >> np.uint64(56)).astype(np.uint8)
+        order = np.lexsort((flags, key))  # COVERED before MIXED
+        self.key, self.flags = key[order], flags[order]
+
+    @staticmethod
+    def _key(ids: np.ndarray, kf: np.ndarray) -> np.ndarray:
+        return kf ^ ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def flag(self, ids: np.ndarray, kf: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(ids), np.uint8)
+        key = self._key(ids, kf & KF)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.flags[at], 0).astype(np.uint8)
+
+
+def by_id(batch: pa.RecordBatch | pa.Table, id_at: int) -> tuple[pa.RecordBatch | pa.Table, np.ndarray]:
+    """The rows in ascending order of id, nulls last, and the ids as numbers."""
+    column = batch.column(id_at).cast(pa.int64())
+    ids = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    return batch.take(pa.array(order)), ids[order]
