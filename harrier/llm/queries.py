@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import decontaminate, quality, simhash, substrings, tokens, word_windows
+from harrier.llm import decontaminate, lines, quality, simhash, substrings, tokens, word_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, lines.build(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_windows.remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -40,5 +45,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_quality_rules, op4_token_counts, op7_suffix_array_dedup, op9_decontamination, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_rules, op4_token_counts, op7_suffix_array_dedup, op9_decontamination, op10_simhash)}
+#: DuckDB's trim takes a set of characters; translate lower-cases A-Z alone.
+_LINES = """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+held AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE h.first < k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (WHERE h.first IS NULL OR h.first >= k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN held h ON h.key = k.key AND length(k.key) >= 10
+GROUP BY k.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES}
