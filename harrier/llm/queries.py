@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import decontaminate, lines, quality, simhash, substrings, tokens, word_windows
+from harrier.llm import decontaminate, lines, mixing, quality, secrets, simhash, substrings, tokens, warc, word_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda m: m["kind"] < 3)
+    counts = [F.size(F.filter(F.transform("findings", lambda m: m["kind"]), lambda kind: kind == F.lit(k))).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    live = F.size(F.filter("findings", lambda m: m["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *counts, F.sha2(secrets.spans(base), 256).alias("base_sha256"), secrets.spans(F.col("findings")).alias("spans"), live)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
     return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -45,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_rules, op4_token_counts, op7_suffix_array_dedup, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_warc, op6_secret_scan, op7_suffix_array_dedup, op8_mixing, op9_decontamination, op10_simhash)}
 #: DuckDB's trim takes a set of characters; translate lower-cases A-Z alone.
 _LINES = """
 WITH line AS (
@@ -60,4 +76,46 @@ FROM keyed k LEFT JOIN held h ON h.key = k.key AND length(k.key) >= 10
 GROUP BY k.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _LINES}
+_WINDOWS = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+held AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN held USING (s) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM doc),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY word.doc_id)
+SELECT doc.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+_ARCHIVE = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+best AS (SELECT h, max(page_id) AS response FROM page WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < response THEN response END AS refers_to
+FROM page LEFT JOIN best USING (h)
+"""
+
+_MIX = r"""
+WITH doc AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(doc_id || ':17') AS key FROM documents),
+src AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM doc GROUP BY source),
+cap AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM src),
+steps AS (
+  SELECT 0::DOUBLE AS r, 0::DOUBLE AS fixed, 0::DOUBLE AS used
+  UNION ALL SELECT cap / w, sum(cap) OVER (ORDER BY cap / w), sum(w) OVER (ORDER BY cap / w) FROM cap),
+level AS (
+  SELECT max(lam) AS lam FROM (
+    SELECT (1.5 * (SELECT sum(source_size) FROM src)::DOUBLE - fixed) / ((SELECT sum(w) FROM cap) - used) AS lam, r FROM steps
+    WHERE used < (SELECT sum(w) FROM cap)) WHERE lam >= r),
+aim AS (SELECT *, least(w * lam, cap) AS target FROM cap, level),
+upto AS (
+  SELECT d.*, a.place, a.source_size, a.target, sum(size) OVER (PARTITION BY a.place ORDER BY key, doc_id) AS upto
+  FROM doc d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source),
+queue AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY (upto + turn * source_size)::DOUBLE / target, place, key, doc_id, turn) AS spent
+  FROM upto, (VALUES (0), (1)) t(turn) WHERE size > 0 AND target > 0),
+taken AS (SELECT doc_id, sum(size) AS taken FROM queue WHERE spent <= (SELECT sum(target) FROM aim) + 0.25 GROUP BY doc_id)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM upto LEFT JOIN taken USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_substring_dedup": _WINDOWS, "op5_warc": _ARCHIVE, "op8_mixing": _MIX}
