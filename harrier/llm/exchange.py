@@ -34,8 +34,11 @@ KF = np.uint64((1 << 56) - 1)
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Buckets of an exchange: in proportion to the shuffle partitions that the session chose for its data."""
-    return max(32, 4 * partitions(spark))
+    """Buckets of an exchange: as many as the shuffle partitions that the session chose for its data.
+
+    Every bucket may answer every home bucket, as in any shuffle, so more would only make more and smaller rows.
+    """
+    return max(32, partitions(spark))
 
 
 def home(id_col: str, buckets: int) -> Column:
