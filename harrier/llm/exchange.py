@@ -6,7 +6,8 @@ the least id of the task's batch; that other documents of the batch are covered
 third of all documents holds costs one entry a batch, not one a document. A bucket answers two things:
 
 * COVERED: a document of smaller id holds the same key (ks and kf);
-* MIXED: none does, but another document holds the same ks with another kf.
+* MIXED: none does, but another document holds the same ks with another kf. Answers of MIXED + n tell that the ks
+  has so many different kf that they are to be dealt over 2 ** n groups.
 
 Keys are sent as 4 bytes of ks and 7 bytes of kf; the bucket number adds to ks, so that chance meetings within a
 bucket stay as rare when the number of buckets grows with the data. Ids are whole numbers; null ids count as the
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from harrier.llm.store import partitions
+from harrier.llm.textops import blocks, strings
 
 COVERED, MIXED = 1, 2
 LAST = np.iinfo(np.int64).max
@@ -41,13 +42,8 @@ def bucket_count(spark: SparkSession) -> int:
     return max(32, partitions(spark))
 
 
-def home(id_col: str, buckets: int) -> Column:
-    """The bucket in which all that is known of a document meets its text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))), F.lit(buckets)).cast("int").alias("bucket")
-
-
 def homes(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The same bucket in numpy: XXH64 of a long with seed 42, as the SQL function has it."""
+    """The bucket in which all that is known of a document meets its text: XXH64 of the id with seed 42."""
     m = (1 << 64) - 1
     p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
     turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
@@ -132,7 +128,7 @@ def _answers(ids: np.ndarray, kf: np.ndarray, flags: np.ndarray, buckets: int) -
     return pa.table([pa.array(c, t) for c, t in zip(rows, ANSWER.types, strict=True)], schema=ANSWER)
 
 
-def settle(sent: DataFrame, buckets: int) -> DataFrame:
+def settle(sent: DataFrame, buckets: int, hot: int = 20_000) -> DataFrame:
     """Packed keys -> packed answers, by the home bucket of the documents they are for."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -148,8 +144,10 @@ def settle(sent: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(np.concatenate([at_ks, [len(ids)]]))
             held = np.repeat(ids[at_kf], np.diff(np.concatenate([at_kf, [len(ids)]])))
             shared = np.repeat(np.minimum.reduceat(ids, at_ks) != np.maximum.reduceat(ids, at_ks), size)
-            several = np.repeat(np.add.reduceat(new_kf.astype(np.int64), at_ks) > 1, size)
-            flags[shared & several] = MIXED
+            kinds = np.add.reduceat(new_kf.astype(np.int64), at_ks)
+            level = np.ceil(np.log2(np.maximum(kinds / hot, 1))).astype(np.uint8)
+            mixed = shared & np.repeat(kinds > 1, size)
+            flags[mixed] = MIXED + np.repeat(level, size)[mixed]
             flags[ids > held] = COVERED
         told = flags > 0
         more = table.filter(pa.array(known))
@@ -186,6 +184,46 @@ class Answers:
         return np.where(self.key[at] == key, self.flags[at], 0).astype(np.uint8)
 
 
+TEXTS_SQL = "bucket int, ids binary, nulls binary, lens binary, body binary"
+ZIP = pa.Codec("zstd", compression_level=3)
+
+
+def zipped(data: bytes) -> bytes:
+    return ZIP.compress(data, asbytes=True)
+
+
+def pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) -> a row for each home bucket with the compressed texts of its documents."""
+    for batch in batches:
+        column = batch.column(0).cast(pa.int64())
+        ids = column.fill_null(int(LAST)).to_numpy(zero_copy_only=False)
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        rows: list[list] = [[], [], [], [], []]
+        texts = strings(batch.column(1))
+        for b, at in _parts(homes(ids, buckets)):
+            block = next(blocks(texts.take(pa.array(at)), limit=1 << 40))
+            for column, value in zip(rows, (b, ids[at].tobytes(), null[at].tobytes(), np.diff(block.bounds).astype(np.uint32).tobytes(), zipped(block.data.tobytes())), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["bucket", "ids", "nulls", "lens", "body"])
+
+
+def unzipped(body: bytes, size: int) -> bytes:
+    return ZIP.decompress(body, decompressed_size=size, asbytes=True) if size else b""
+
+
+def unpack_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """ids in ascending order, whether each was null, and the texts."""
+    parts, ids, nulls = [pa.array([], pa.large_string())], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for row in table.select(["ids", "nulls", "lens", "body"]).to_pylist():
+        at = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.uint32), dtype=np.int64)])
+        parts.append(pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(unzipped(row["body"], int(at[-1])))))
+        ids.append(np.frombuffer(row["ids"], np.int64))
+        nulls.append(np.frombuffer(row["nulls"], bool))
+    own = np.concatenate(ids)
+    order = np.argsort(own, kind="stable")
+    return own[order], np.concatenate(nulls)[order], pa.concat_arrays(parts).take(pa.array(order))
+
+
 def by_id(batch: pa.RecordBatch | pa.Table, id_at: int) -> tuple[pa.RecordBatch | pa.Table, np.ndarray]:
     """The rows in ascending order of id, nulls last, and the ids as numbers."""
     column = batch.column(id_at).cast(pa.int64())

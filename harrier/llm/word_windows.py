@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
 from harrier.llm.anchors import Anchors, anchors
-from harrier.llm.exchange import COVERED, MIXED, SENT_SQL, Answers, bucket_count, by_id, home, send, settle
+from harrier.llm.exchange import COVERED, MIXED, SENT_SQL, TEXTS_SQL, Answers, bucket_count, by_id, pack_texts, send, settle, unpack_texts, unzipped, zipped
 from harrier.llm.store import new_folder
 
 LENGTH = 13
-#: Documents are settled (final), or wait (text, words removed so far, undecided windows) for the windows' exchange.
-PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.string()), ("text", pa.string()), ("gone", pa.binary()), ("asked", pa.binary())])
-PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string, text string, gone binary, asked binary"
+#: kind 0: settled documents. kind 1: those that wait, some to a row: texts, words gone so far and windows in doubt.
+PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.string()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("gone", pa.binary()), ("asked", pa.binary())])
+PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string, ids binary, nulls binary, lens binary, body binary, gone binary, asked binary"
+RESULT = ("id", "no_id", "n_words", "n_removed", "spans", "sha", "kept")
+RESULT_SQL = "id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string"
 
 
 def unit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -89,78 +91,65 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                 yield from send(ids, np.concatenate(owner), np.concatenate(ks), np.concatenate(kf), buckets)
 
     def level_two(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, ids = by_id(docs, docs.column_names.index("id"))
+        ids, nulls, texts = unpack_texts(docs)
+        bucket = docs.column("bucket")[0].as_py() if docs.num_rows else 0
         told, rows = Answers(answers), []
-        nulls = docs.column("id").is_null().to_pylist()
-        for block in T.blocks(docs.column("text")):
+        for block in T.blocks(texts):
             found, _, marks = _anchors(block, length)
-            own = ids[block.first : block.first + len(block)]
+            own, null = ids[block.first : block.first + len(block)], nulls[block.first : block.first + len(block)]
             flags = told.flag(own[marks.text], marks.kf)
-            sure, open_ = flags == COVERED, flags == MIXED
+            sure, open_ = flags == COVERED, flags >= MIXED
             gone = T.covered(marks.start[sure], marks.end[sure], len(found))
             # all windows that hold an undecided anchor: also those already covered, which larger ids may share
             ask = T.covered(marks.start[open_], marks.end[open_] - length + 1, len(found))
             waiting = T.per_text(ask, found.bounds) > 0
-            for i in range(len(block)):
-                k, a, b = block.first + i, found.bounds[i], found.bounds[i + 1]
-                if waiting[i]:
-                    rows.append((1, own[i], nulls[k], b - a, None, None, None, None, block.text(i).decode(), np.packbits(gone[a:b]).tobytes(), np.packbits(ask[a:b]).tobytes()))
-                else:
-                    rows.append((0, own[i], nulls[k], b - a, *_result(block, found, i, gone, with_text), None, None, None))
-        bucket = docs.column("bucket")[0].as_py() if docs.num_rows else 0
-        columns = [[bucket] * len(rows), *zip(*rows, strict=True)] if rows else [[] for _ in PARTS]
+            for i in np.flatnonzero(~waiting).tolist():
+                rows.append((bucket, 0, own[i], null[i], found.bounds[i + 1] - found.bounds[i], *_result(block, found, i, gone, with_text), *[None] * 6))
+            if waiting.any():
+                held = np.flatnonzero(waiting)
+                words = np.repeat(waiting, np.diff(found.bounds))
+                body = b"".join(block.text(i) for i in held)
+                lens = np.diff(block.bounds)[held].astype(np.uint32)
+                rows.append((bucket, 1, *[None] * 7, own[held].tobytes(), null[held].tobytes(), lens.tobytes(), zipped(body), np.packbits(gone[words]).tobytes(), np.packbits(ask[words]).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in PARTS]
         return pa.table([pa.array(c, t) for c, t in zip(columns, PARTS.types, strict=True)], schema=PARTS)
 
     sent = pairs.mapInArrow(level_one, SENT_SQL)
-    texts = pairs.select(home("id", buckets), "id", "text")
+    texts = pairs.mapInArrow(lambda batches: pack_texts(batches, buckets), TEXTS_SQL)
     parts = texts.groupBy("bucket").cogroup(settle(sent, buckets).groupBy("bucket")).applyInArrow(level_two, PARTS_SQL)
     path = new_folder(spark, "word-windows")
     parts.write.partitionBy("kind").parquet(path)
     done = spark.read.schema(PARTS_SQL).parquet(path)
-    final = done.filter("kind = 0").select("id", "no_id", "n_words", "n_removed", "spans", "sha", "kept")
-    waiting = done.filter("kind = 1")
+    final = done.filter("kind = 0").select(*RESULT)
+    waiting = done.filter("kind = 1").select("bucket", "ids", "nulls", "lens", "body", "gone", "asked")
 
-    def _asked(batch: pa.RecordBatch | pa.Table, block: T.Block) -> tuple[T.Words, np.ndarray, np.ndarray]:
+    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, T.Block, T.Words, np.ndarray, np.ndarray]:
+        """ids, nulls, block, words, gone and the starts of asked windows of a packed row."""
+        at = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.uint32), dtype=np.int64)])
+        block = T.Block(np.frombuffer(unzipped(row["body"], int(at[-1])), np.uint8), at, 0)
         found = T.words(block)
-        gone, asked = [], []
-        names = batch.schema.names
-        for k in range(block.first, block.first + len(block)):
-            n = int(found.bounds[k - block.first + 1] - found.bounds[k - block.first])
-            for out, column in ((gone, "gone"), (asked, "asked")):
-                out.append(np.unpackbits(np.frombuffer(batch.column(names.index(column))[k].as_py(), np.uint8), count=n).astype(bool))
-        return found, np.concatenate(gone), np.flatnonzero(np.concatenate(asked))
+        gone, asked = (np.unpackbits(np.frombuffer(row[c], np.uint8), count=len(found)).astype(bool) for c in ("gone", "asked"))
+        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), block, found, gone, np.flatnonzero(asked)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, ids = by_id(batch, 0)
-            owner, ks, kf = [], [], []
-            for block in T.blocks(batch.column(1)):
-                found, _, at = _asked(batch, block)
-                one, two = _windows(block, found, length, at)
-                owner.append(np.searchsorted(found.bounds, at, "right") - 1 + block.first)
-                ks.append(one)
-                kf.append(two)
-            if owner:
-                yield from send(ids, np.concatenate(owner), np.concatenate(ks), np.concatenate(kf), buckets)
+            for row in batch.to_pylist():
+                ids, _, block, found, _, at = unpacked(row)
+                yield from send(ids, np.searchsorted(found.bounds, at, "right") - 1, *_windows(block, found, length, at), buckets)
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, ids = by_id(docs, docs.column_names.index("id"))
         told, rows = Answers(answers), []
-        nulls = docs.column("no_id").to_pylist()
-        for block in T.blocks(docs.column("text")):
-            found, gone, at = _asked(docs, block)
+        for row in docs.to_pylist():
+            ids, nulls, block, found, gone, at = unpacked(row)
             owner = np.searchsorted(found.bounds, at, "right") - 1
-            _, two = _windows(block, found, length, at)
-            hit = at[told.flag(ids[block.first + owner], two) == COVERED]
+            hit = at[told.flag(ids[owner], _windows(block, found, length, at)[1]) == COVERED]
             gone |= T.covered(hit, hit + length, len(found))
-            for i in range(len(block)):
-                rows.append((ids[block.first + i], nulls[block.first + i], found.bounds[i + 1] - found.bounds[i], *_result(block, found, i, gone, with_text)))
-        types = [PARTS.field(n).type for n in ("id", "no_id", "n_words", "n_removed", "spans", "sha", "kept")]
-        columns = list(zip(*rows, strict=True)) or [[] for _ in types]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "no_id", "n_words", "n_removed", "spans", "sha", "kept"])
-
-    keys = waiting.select("id", "text", "gone", "asked").mapInArrow(send_windows, SENT_SQL)
-    last = waiting.select("bucket", "id", "no_id", "text", "gone", "asked").groupBy("bucket").cogroup(settle(keys, buckets).groupBy("bucket"))
-    late = last.applyInArrow(finish, "id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string")
+            rows += [(ids[i], nulls[i], found.bounds[i + 1] - found.bounds[i], *_result(block, found, i, gone, with_text)) for i in range(len(block))]
+        schema = pa.schema([PARTS.field(n) for n in RESULT])
+        columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    keys = waiting.mapInArrow(send_windows, SENT_SQL)
+    late = waiting.groupBy("bucket").cogroup(settle(keys, buckets).groupBy("bucket")).applyInArrow(finish, RESULT_SQL)
     out = final.unionByName(late)
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if with_text else []))
