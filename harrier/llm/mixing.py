@@ -74,17 +74,15 @@ def shuffle_key(id_col: Column, seed: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Key, source, size, source_size, target (of its source), taken (words the mix takes of it, repeats counted)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
-    rows = written(rows.withColumn("key", shuffle_key(F.col("id"), seed)), "sizes")
+    # rows that are alike in all of this are interchangeable; the number only tells them apart within this run
+    rows = written(rows.withColumn("key", shuffle_key(F.col("id"), seed)).withColumn("row", F.monotonically_increasing_id()), "sizes")
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats).select("source", "place", "source_size", "target")
     placed = rows.join(wanted.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    summed = running_sum(placed, "place", ["key", "id", "tie"], "size", "upto")
+    summed = running_sum(placed, "place", ["key", "id", "tie", "row"], "size", "upto")
     turns = summed.filter("size > 0 and target > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    queue = turns.select("id", "tie", "key", "turn", "place", "size", ((F.col("upto") + F.col("turn") * F.col("source_size")) / F.col("target")).alias("finish"), F.lit(0).alias("all"))
+    queue = turns.select("row", "id", "tie", "key", "turn", "place", "size", ((F.col("upto") + F.col("turn") * F.col("source_size")) / F.col("target")).alias("finish"), F.lit(0).alias("all"))
     budget = wanted.agg(F.sum("target").alias("budget"))
-    queued = running_sum(queue, "all", ["finish", "place", "key", "id", "tie", "turn"], "size", "spent")
-    taken = queued.join(F.broadcast(budget), F.col("spent") <= F.col("budget") + 0.25).groupBy("id", "tie").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    # repeated rows of a key and text share what their turns took, evenly: they are alike
-    alike = summed.groupBy("id", "tie").agg(F.count("*").alias("rows"))
-    each = alike.join(taken, [alike["id"].eqNullSafe(taken["id"]), alike["tie"] == taken["tie"]]).select(alike["id"].alias("__id"), alike["tie"].alias("__tie"), (F.col("words") / F.col("rows")).cast("long").alias("taken"))
-    out = summed.join(each, F.col("id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")), "left")
+    queued = running_sum(queue, "all", ["finish", "place", "key", "id", "tie", "row", "turn"], "size", "spent")
+    taken = queued.join(F.broadcast(budget), F.col("spent") <= F.col("budget") + 0.25).groupBy("row").agg(F.sum("size").alias("taken"))
+    out = summed.join(taken, "row", "left")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
