@@ -8,11 +8,17 @@ stretch is missed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from harrier.llm import textops as T
+from harrier.llm.exchange import send
+
+#: Bytes of text whose keys are combined before they are sent: about 60 MB of memory.
+SEND_BYTES = 8 << 20
 
 
 def slide(least: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
@@ -58,3 +64,12 @@ def anchors(sums: np.ndarray, bounds: np.ndarray, length: int, size: int) -> Anc
     end = np.minimum(bounds[text + 1], at + length)
     kf = T.mix(T.span_hash(sums, start, end) + (at - start).astype(np.uint64))
     return Anchors(at, text, ks[at], kf, start, end)
+
+
+def send_anchors(ids: np.ndarray, held: list[Anchors], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The keys of some anchors, whose ``text`` are ascending indexes into ids."""
+    if held:
+        owner, ks, kf = (np.concatenate([getattr(a, c) for a in held]) for c in ("text", "ks", "kf"))
+        low = int(owner[0]) if len(owner) else 0
+        high = int(owner[-1]) + 1 if len(owner) else 0
+        yield from send(ids[low:high], owner - low, ks, kf, buckets)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
-from harrier.llm.anchors import Anchors, anchors
+from harrier.llm.anchors import SEND_BYTES, Anchors, anchors, send_anchors
 from harrier.llm.exchange import COVERED, MIXED, SENT_SQL, TEXTS_SQL, Answers, bucket_count, by_id, pack_texts, send, settle, unpack_texts, unzipped, zipped
 from harrier.llm.store import new_folder
 
@@ -81,14 +81,17 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def level_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch, ids = by_id(batch, 0)
-            owner, ks, kf = [], [], []
+            held: list[Anchors] = []
+            size = 0
             for block in T.blocks(batch.column(1)):
                 found = _anchors(block, length)[2]
-                owner.append(found.text + block.first)
-                ks.append(found.ks)
-                kf.append(found.kf)
-            if owner:
-                yield from send(ids, np.concatenate(owner), np.concatenate(ks), np.concatenate(kf), buckets)
+                found.text = found.text + block.first
+                held.append(found)
+                size += len(block.data)
+                if size >= SEND_BYTES:
+                    yield from send_anchors(ids, held, buckets)
+                    held, size = [], 0
+            yield from send_anchors(ids, held, buckets)
 
     def level_two(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, nulls, texts = unpack_texts(docs)
