@@ -93,11 +93,12 @@ def tradeoff(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("score", F.round(gain - cost, 6))
 
 
-def tf_cosine(words: DataFrame, key: str) -> DataFrame:
-    """l, r, cosine of word counts for pairs with a word in common. words: key, words (array)."""
-    counts = words.select(key, F.explode("words").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    size = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("m"))
-    full = counts.join(size, key)
-    a, b = full.alias("a"), full.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return pairs.groupBy(F.col(f"a.{key}").alias("l"), F.col(f"b.{key}").alias("r")).agg(F.round(F.sum(F.col("a.n") * F.col("b.n")) / (F.first("a.m") * F.first("b.m")), 4).alias("cosine"))
+def tf_cosine(words: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """by, l, r, cosine of word counts for the pairs of a group that have a word in common. words: by, key, words."""
+    counts = words.select(*by, key, F.explode("words").alias("w")).groupBy(*by, key, "w").agg(F.count("*").alias("n"))
+    size = counts.groupBy(*by, key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("m"))
+    full = counts.join(size, [*by, key])
+    a = full.select(*by, "w", F.col(key).alias("l"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    b = full.select(*by, "w", F.col(key).alias("r"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    pairs = a.join(b, [*by, "w"]).filter("l < r")
+    return pairs.groupBy(*by, "l", "r").agg(F.round(F.sum(F.col("na") * F.col("nb")) / (F.first("ma") * F.first("mb")), 4).alias("cosine"))

@@ -67,7 +67,7 @@ def ft_all_terms(spark, sf_dir):
 
 
 Q.both("like_any", "SELECT p_partkey FROM part WHERE lower(coalesce(p_name, '')) LIKE '%red%' OR lower(coalesce(p_name, '')) LIKE '%steel%' OR lower(coalesce(p_type, '')) LIKE '%brass%' ORDER BY p_partkey LIMIT 80")
-Q.both("search_filters", "SELECT doc_id FROM documents WHERE lower(lang) IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND doc_id > 100")
+Q.both("search_filters", "SELECT doc_id FROM documents WHERE lower(lang) IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND n_chars > 500")
 Q.both("ilike_two_columns", "SELECT p_partkey FROM part WHERE p_name ILIKE '%AL%' OR p_type ILIKE '%tin%'")
 Q.both("note_filters", "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'trash' WHEN o_orderstatus = 'F' THEN 'archived' WHEN o_orderpriority = '1-URGENT' THEN 'pinned' WHEN o_orderdate >= TIMESTAMP '1998-07-01 00:00:00' - INTERVAL 30 DAY THEN 'recent' ELSE 'other' END AS shelf, count(*) AS n FROM orders GROUP BY 1")
 Q.both("scope_prefix", "SELECT doc_id FROM documents WHERE concat(source, '/', lang) = 'src1/en' OR concat(source, '/', lang, '/') LIKE 'src1/%' AND doc_id % 2 = 0")
@@ -85,13 +85,13 @@ Q.both("priority_order", "SELECT event_id FROM events ORDER BY CASE event_type W
 Q.both("expired_leases", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND (event_id % 5 = 0 OR ts + INTERVAL 5 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 10 DAY)")
 Q.both("retry_schedule", "SELECT event_id, CASE WHEN user_id % 5 + 1 >= 5 THEN 'failed' ELSE 'retry_wait' END AS state, CASE WHEN user_id % 5 + 1 < 5 THEN 30.0D * power(2.0D, user_id % 5) END AS delay FROM events WHERE event_type = 'error'", "SELECT event_id, CASE WHEN user_id % 5 + 1 >= 5 THEN 'failed' ELSE 'retry_wait' END AS state, CASE WHEN user_id % 5 + 1 < 5 THEN 30.0::DOUBLE * power(2.0, user_id % 5) END AS delay FROM events WHERE event_type = 'error'")
 Q.both("latest_per_key", "SELECT user_id, max_by(event_type, event_id) AS last_type, min(event_id) AS first_seen FROM events GROUP BY user_id", "SELECT user_id, max_by(event_type, event_id) AS last_type, min(event_id) AS first_seen FROM events GROUP BY user_id")
-Q.both("round_robin", "SELECT event_id, row_number() OVER (ORDER BY n, event_type) AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id < 300) t", "SELECT event_id, row_number() OVER (ORDER BY n, event_type)::INTEGER AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id < 300)")
+Q.both("round_robin", "SELECT event_id, row_number() OVER (ORDER BY n, event_type) AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) t", "SELECT event_id, row_number() OVER (ORDER BY n, event_type)::INTEGER AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
 Q.both("late_drop", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
 Q.both("run_summary", "SELECT user_id % 10 AS run, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS failed, round(avg(value), 6) AS mean_latency FROM events GROUP BY user_id % 10")
 Q.both("chart_aggregates", "SELECT event_type AS stage, round(sum(value), 4) AS seconds, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 Q.both("matrix_aggregate", "SELECT source, lang, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN n_chars END), 4) AS mean_chars, round(avg(CASE WHEN quality = 1 THEN 1.0D ELSE 0.0D END), 6) AS success FROM documents JOIN labels USING (doc_id) GROUP BY source, lang", "SELECT source, lang, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN n_chars END), 4) AS mean_chars, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS success FROM documents JOIN labels USING (doc_id) GROUP BY source, lang")
-Q.both("question_join", "SELECT item_id, count(d.doc_id) AS same_start FROM benchmark b LEFT JOIN documents d ON left(d.text, 20) = left(b.text, 20) GROUP BY item_id")
-Q.both("citation_match", "SELECT a.event_id, coalesce(b.event_id, c.event_id) AS matched FROM (SELECT * FROM events WHERE event_id < 200) a LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id LEFT JOIN (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type) c ON a.user_id = c.user_id AND a.event_type = c.event_type AND b.event_id IS NULL")
+Q.both("question_join", "SELECT item_id, count(d.doc_id) AS same_text FROM benchmark b LEFT JOIN documents d ON d.text = b.text GROUP BY item_id")
+Q.both("citation_match", "SELECT a.event_id, coalesce(b.event_id, c.event_id) AS matched FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id LEFT JOIN (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type) c ON a.user_id = c.user_id AND a.event_type = c.event_type AND b.event_id IS NULL")
 Q.both("pending_questions", "SELECT item_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id = item_id AND event_type IN ('view', 'click'))")
 Q.both("run_limit", "SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10")
 Q.both("resume_state", "SELECT item_id, max(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS done, count(event_id) AS attempts FROM benchmark LEFT JOIN events ON user_id = item_id GROUP BY item_id")
@@ -99,7 +99,7 @@ Q.both("compression_ratio", "SELECT source, round(sum(least(n_chars, 1000)) / CA
 Q.both("token_efficiency", "SELECT lang, CAST(sum(greatest(1, ceil(n_chars / 4.0D))) AS BIGINT) AS candidate, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0D)) ELSE 0 END) AS BIGINT) AS selected, round(greatest(0.0D, 100.0D * (1 - sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0D)) ELSE 0 END) / sum(greatest(1, ceil(n_chars / 4.0D))))), 2) AS reduction FROM documents GROUP BY lang", "SELECT lang, sum(greatest(1, ceil(n_chars / 4.0)))::BIGINT AS candidate, sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0)) ELSE 0 END)::BIGINT AS selected, round(greatest(0.0, 100.0 * (1 - sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0)) ELSE 0 END)::DOUBLE / sum(greatest(1, ceil(n_chars / 4.0)))))::DOUBLE, 2) AS reduction FROM documents GROUP BY lang")
 Q.both("citation_quality", "SELECT source, CAST(count_if(text IS NOT NULL AND text <> '') AS BIGINT) AS complete, CAST(count_if(doc_id % 4 = 0) AS BIGINT) AS without_page FROM documents GROUP BY source")
 Q.both("answer_dedup", "SELECT min(doc_id) AS doc_id, sha2(concat(lang, '|', text), 256) AS provenance FROM documents GROUP BY lang, text", "SELECT min(doc_id) AS doc_id, sha256(lang || '|' || text) AS provenance FROM documents GROUP BY lang, text")
-Q.both("checklist_dedup", "SELECT lower(left(text, 12)) AS item, min(turn) AS first_turn FROM conversations WHERE role = 'user' GROUP BY 1")
+Q.both("checklist_dedup", "SELECT lower(text) AS item, min(turn) AS first_turn FROM conversations WHERE role = 'user' GROUP BY 1")
 Q.both("passthrough_rerank", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars / 100.0D END, doc_id / 10.0D) AS reranker_score FROM documents", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars / 100.0::DOUBLE END, doc_id / 10.0::DOUBLE) AS reranker_score FROM documents")
 Q.both("header_alias", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), nullif(lang, ''), 'none') AS name FROM documents")
 Q.both("ocr_summary", "SELECT count(*) AS files, round(avg(CASE WHEN page_id % 4 <> 0 THEN 1.0D ELSE 0.0D END), 6) AS success_rate, round(avg(length(html)), 4) AS mean_chars FROM pages", "SELECT count(*) AS files, round(avg(CASE WHEN page_id % 4 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(length(html)), 4) AS mean_chars FROM pages")
@@ -306,17 +306,17 @@ def format_readiness(spark, sf_dir):
     return rows.groupBy("action").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("name")), 1, 5), ",").alias("samples"))
 
 
-@Q(r"SELECT conv_id, turn, b.k::INTEGER AS block, b.x AS head FROM (SELECT conv_id, turn, string_split(regexp_replace('# Title ' || turn || chr(10) || chr(10) || text, '\n\s*\n', chr(1), 'g'), chr(1)) AS s FROM conversations) t, LATERAL (SELECT unnest(range(0, len(s))) AS k, left(unnest(s), 20) AS x) b")
+@Q(r"SELECT conv_id, turn, b.k::INTEGER AS block, md5(b.x) AS block_md5 FROM (SELECT conv_id, turn, string_split(regexp_replace('# Title ' || turn || chr(10) || chr(10) || text, '\n\s*\n', chr(1), 'g'), chr(1)) AS s FROM conversations) t, LATERAL (SELECT unnest(range(0, len(s))) AS k, unnest(s) AS x) b")
 def html_block_split(spark, sf_dir):
     text = F.concat(F.lit("# Title "), F.col("turn").cast("string"), F.lit("\n\n"), "text")
     blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, r"\n\s*\n")).alias("block", "x"))
-    return blocks.select("conv_id", "turn", "block", F.left("x", F.lit(20)).alias("head"))
+    return blocks.select("conv_id", "turn", "block", F.md5("x").alias("block_md5"))
 
 
-@Q(r"SELECT conv_id, turn, left(trim(regexp_replace('Title bold ' || text || ' link', '\s+', ' ', 'g')), 60) AS plain FROM conversations")
+@Q(r"SELECT conv_id, turn, trim(regexp_replace('Title bold ' || text || ' link', '\s+', ' ', 'g')) AS plain FROM conversations")
 def markdown_plain(spark, sf_dir):
     text = F.concat(F.lit("## Title **bold** "), "text", F.lit(" [link](http://x.y/z)"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left(X.plain_markdown(text), F.lit(60)).alias("plain"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.plain_markdown(text).alias("plain"))
 
 
 @Q("SELECT doc_id, CASE WHEN length(c) <= 50 THEN c ELSE rtrim(left(c, 47)) || '...' END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)")
@@ -391,9 +391,9 @@ def rank_map_merge(spark, sf_dir):
     return maps.select("user_id", F.explode("m").alias("event_type", "x")).groupBy("user_id", "event_type").agg(F.min("x.event_id").alias("best_rank"), F.round(F.max("x.value"), 6).alias("best_score"))
 
 
-@Q(rf"SELECT doc_id, '1. ' || left(text, 500) AS excerpt FROM documents WHERE doc_id % 4 = 0")
+@Q(rf"SELECT doc_id, '1. ' || left(text, 500) AS excerpt FROM documents")
 def extractive_excerpt(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.array("text").alias("chunks"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("chunks"))
     numbered = F.transform(F.slice("chunks", 1, 3), lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), F.left(c, F.lit(500))))
     return rows.select("doc_id", F.array_join(numbered, "\n\n").alias("excerpt"))
 

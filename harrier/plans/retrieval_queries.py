@@ -36,24 +36,24 @@ def bm25(post: str = "post") -> str:
 
 
 ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
-#: Cosine of every point with the vectors of point 0 to 4.
+#: Cosine of every point with the vectors of the points whose id is divisible by 20, the stated query set.
 DENSE = """
 dense AS (
   SELECT q.vec_id AS query_id, p.vec_id AS chunk, p.label AS label,
     round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS score
-  FROM embeddings p, embeddings q WHERE q.vec_id < 5),
+  FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0),
 near AS (SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM dense)"""
-#: Queries whose ids are those of points 0 to 4.
-FIVE = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 5)"
+#: Questions that have a query point of the same id.
+PAIRED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0)"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def questions(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rows if most is None else rows.filter(F.col("query_id") < most)
+    return rows.filter("query_id % 20 = 0") if paired else rows
 
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
@@ -62,12 +62,12 @@ def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
 
 def dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     points = table(spark, sf_dir, "embeddings")
-    asked = points.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return vector.search(points, asked, k)
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"dense": dense(spark, sf_dir), "bm25": lexical.search(index(spark, sf_dir), questions(spark, sf_dir, 5), 10)}
+    return {"dense": dense(spark, sf_dir), "bm25": lexical.search(index(spark, sf_dir), questions(spark, sf_dir, paired=True), 10)}
 
 
 def six(column: str) -> F.Column:
@@ -80,17 +80,17 @@ fused AS (SELECT query_id, chunk, round(sum(w / (60 + rank)), 9) AS s, min(place
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seen, chunk) AS rank FROM fused)"""
 
 
-@Q(f"WITH {FIVE}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
 def hybrid_topk(spark, sf_dir):
     return fusion.fuse(rankings(spark, sf_dir)).select("query_id", "chunk", six("rrf_score"), "rank")
 
 
-@Q(f"WITH {FIVE}, {bm25()}, {DENSE}, {FUSED.format(wd='0.7::DOUBLE', wb='1.3::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='0.7::DOUBLE', wb='1.3::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
 def rrf_weighted(spark, sf_dir):
     return fusion.fuse(rankings(spark, sf_dir), {"dense": 0.7, "bm25": 1.3}).select("query_id", "chunk", six("rrf_score"), "rank")
 
 
-@Q(f"WITH {FIVE}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END) AS sources, dense_rank::INTEGER AS dense_rank, bm25_rank::INTEGER AS bm25_rank FROM top")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END) AS sources, dense_rank::INTEGER AS dense_rank, bm25_rank::INTEGER AS bm25_rank FROM top")
 def rrf_provenance(spark, sf_dir):
     found = fusion.fuse(rankings(spark, sf_dir), limit=None)
     return found.select("query_id", "chunk", F.array_join("retrieval_sources", ",").alias("sources"), F.try_element_at("retrieval_ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("retrieval_ranks", F.lit("bm25")).alias("bm25_rank"))
@@ -139,7 +139,7 @@ def dense_topk(spark, sf_dir):
 @Q(f"WITH {DENSE} SELECT query_id, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk)::INTEGER AS rank FROM dense WHERE label IN (1, 3) AND chunk % 2 = 0 QUALIFY rank <= 5")
 def dense_filtered(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings")
-    asked = points.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     where = vector.payload_filter(F.col("vec_id") % 2 == 0, F.col("label") == 1, F.col("label") == 3)
     return vector.search(points, asked, 5, where=where).select("query_id", "chunk", six("score"), "rank")
 
@@ -192,7 +192,7 @@ def dedup_best(spark, sf_dir):
     return fusion.dedup_best(rows, ["group"], ["conv_id"], tags="tags").select("conv_id", "body", "score", "turn")
 
 
-@Q(f"WITH {FIVE}, {bm25()}, {DENSE}, f AS (SELECT query_id, chunk, max(l) AS l, max(r) AS r FROM (SELECT query_id, chunk, 1 AS l, 0 AS r FROM near WHERE rank <= 10 UNION ALL SELECT query_id, chunk, 0, 1 FROM bm25 WHERE rank <= 10) GROUP BY ALL) SELECT query_id, sum(l * (1 - r))::BIGINT AS left_only, sum(r * (1 - l))::BIGINT AS right_only, sum(l * r)::BIGINT AS both, count(*) AS union_count, round(sum(l * r) / count(*), 6) AS overlap_ratio FROM f GROUP BY query_id")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, f AS (SELECT query_id, chunk, max(l) AS l, max(r) AS r FROM (SELECT query_id, chunk, 1 AS l, 0 AS r FROM near WHERE rank <= 10 UNION ALL SELECT query_id, chunk, 0, 1 FROM bm25 WHERE rank <= 10) GROUP BY ALL) SELECT query_id, sum(l * (1 - r))::BIGINT AS left_only, sum(r * (1 - l))::BIGINT AS right_only, sum(l * r)::BIGINT AS both, count(*) AS union_count, round(sum(l * r) / count(*), 6) AS overlap_ratio FROM f GROUP BY query_id")
 def retriever_overlap(spark, sf_dir):
     found = rankings(spark, sf_dir)
     return fusion.overlap(found["dense"], found["bm25"])
@@ -229,26 +229,26 @@ def low_score_chunks(spark, sf_dir):
     return hits.orderBy("score", "query_id", "chunk").limit(20).select("query_id", "chunk", six("score"))
 
 
-@Q("""WITH s AS (SELECT conv_id, turn, (length(text) % 10)::DOUBLE AS score FROM conversations WHERE (conv_id + turn) % 4 = 0),
+@Q("""WITH s AS (SELECT conv_id, turn, (length(text) % 10)::DOUBLE AS score FROM conversations WHERE length(text) > 800),
 e AS (SELECT conv_id, turn + o AS turn, score, o = 0 AS hit FROM s, (VALUES (-1), (0), (1)) v(o)),
 h AS (SELECT e.* FROM e SEMI JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.turn)
 SELECT conv_id, turn, score, NOT hit AS is_neighbor FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, hit DESC) = 1""")
 def neighbor_expand(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    seeds = turns.filter("(conv_id + turn) % 4 = 0").select("conv_id", "turn", (F.length("text") % 10).cast("double").alias("score"))
+    seeds = turns.filter("length(text) > 800").select("conv_id", "turn", (F.length("text") % 10).cast("double").alias("score"))
     return context.expand_neighbors(seeds, turns, [], "conv_id", "turn")
 
 
-@Q("""WITH t AS (SELECT conv_id, turn, role = 'system' AS odd, turn - lag(turn) OVER w AS gap, lag(role = 'system') OVER w AS was FROM conversations WHERE turn % 5 <> 3 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@Q("""WITH t AS (SELECT conv_id, turn, role = 'system' AS odd, turn - lag(turn) OVER w AS gap, lag(role = 'system') OVER w AS was FROM conversations WHERE length(text) > 250 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 g AS (SELECT *, sum(CASE WHEN gap = 1 AND odd = was THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS group_no FROM t)
 SELECT conv_id, group_no::BIGINT AS group_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS members FROM g GROUP BY conv_id, group_no""")
 def overlap_merge_groups(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("turn % 5 <> 3").withColumn("odd", F.col("role") == "system")
+    turns = table(spark, sf_dir, "conversations").filter("length(text) > 250").withColumn("odd", F.col("role") == "system")
     grouped = context.contiguous_groups(turns, ["conv_id"], "turn", ["odd"])
     return grouped.groupBy("conv_id", "group_no").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("members"))
 
 
-@Q("""WITH RECURSIVE t AS (SELECT conv_id, turn, text[1:40] || ' #' || turn AS x, lead(text[1:40]) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+@Q("""WITH RECURSIVE t AS (SELECT conv_id, turn, text || ' #' || turn || ' ' AS x, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
 p AS (SELECT conv_id, turn, x || coalesce(nxt[1:20], '') AS x FROM t),
 f AS (
   SELECT conv_id, turn, x FROM p WHERE turn = 0
@@ -259,8 +259,8 @@ f AS (
 SELECT conv_id, max(turn) + 1 AS members, md5(arg_max(x, turn)) AS merged_md5 FROM f GROUP BY conv_id""")
 def overlap_concat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    nxt = F.lead(F.substring("text", 1, 40)).over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = turns.select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(" #"), F.col("turn").cast("string"), F.coalesce(F.substring(nxt, 1, 20), F.lit(""))).alias("x"), F.lit(1.0).alias("score"))
+    nxt = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.select("conv_id", "turn", F.concat("text", F.lit(" #"), F.col("turn").cast("string"), F.lit(" "), F.coalesce(F.substring(nxt, 1, 20), F.lit(""))).alias("x"), F.lit(1.0).alias("score"))
     merged = context.merge_overlapping(rows, ["conv_id"], "turn", "x", "score")
     return merged.select("conv_id", "members", F.md5("x").alias("merged_md5"))
 

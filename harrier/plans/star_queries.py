@@ -41,7 +41,7 @@ Q.both("keep_last_10", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_o
 Q.both("keyset_page", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' OR (o_orderdate = TIMESTAMP '1997-01-01 00:00:00' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21")
 Q.both("offset_page", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")
 Q.both("name_sort", "SELECT p_partkey, lower(p_name) AS name FROM part ORDER BY lower(p_name), p_partkey LIMIT 50")
-Q.both("nulls_last", "SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events WHERE event_id < 200) t ORDER BY v DESC NULLS LAST, event_id LIMIT 150")
+Q.both("nulls_last", "SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events) t ORDER BY v DESC NULLS LAST, event_id LIMIT 150")
 Q.both("live_rows", "SELECT o_orderkey FROM orders WHERE (o_orderkey % 7 <> 0 OR o_orderstatus IS NULL) AND (nullif(o_orderstatus, 'P') IS NULL OR o_orderstatus <> 'F')")
 Q.both("unexpired_grants", "SELECT o_custkey, count(*) AS grants FROM orders WHERE CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END IS NULL OR o_orderdate > TIMESTAMP '1996-06-01 00:00:00' GROUP BY o_custkey")
 Q.both("pareto", """
@@ -53,7 +53,7 @@ Q.both("wide_pivot", "SELECT * FROM (SELECT c_nationkey, c_mktsegment, c_acctbal
 Q.both("min_max_score", "SELECT s_suppkey, CASE WHEN max(s_acctbal) OVER () = min(s_acctbal) OVER () THEN 1.0D ELSE round(1.0D - (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) END AS score FROM supplier", "SELECT s_suppkey, round(1.0::DOUBLE - (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS score FROM supplier")
 Q.both("max_score", "SELECT p_partkey, round(p_retailprice / max(p_retailprice) OVER (), 6) AS score FROM part")
 Q.both("overall_rank", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY round(s_acctbal, 0) DESC, s_nationkey, s_suppkey) AS INT) AS place FROM supplier")
-Q.both("hydrate_metadata", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE l_orderkey < 500")
+Q.both("hydrate_metadata", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0")
 Q.both("parent_links", "SELECT n.n_name AS child, r.r_name AS parent FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name <> 'ASIA'")
 Q.both("gap_audit", """
 SELECT l_orderkey, dup, array_join(array_sort(array_except(sequence(lo, hi), nums)), ',') AS missing
@@ -77,7 +77,7 @@ def permission_closure(spark, sf_dir):
 #: A principal of nation 3 who is customer 7; grants come from line items, suppliers and nations.
 VISIBLE = """
 SELECT o_orderkey FROM orders o JOIN customer c ON c_custkey = o_custkey
-WHERE o_orderkey % 11 <> 0 AND (
+WHERE o_orderstatus <> 'P' AND (
   (o_orderstatus = 'O' AND c_nationkey = 3) OR o_custkey = 7
   OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = 5)
   OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_orderkey % 100 AND s_nationkey = 4)
@@ -92,7 +92,7 @@ def _visible(spark, sf_dir, paths=None):
         (table(spark, sf_dir, "nation").filter("n_name LIKE '%A' AND n_regionkey = 1"), "c_nationkey", "n_nationkey"),
     ]
     scopes = [(F.col("o_orderstatus") == "O") & (F.col("c_nationkey") == 3), F.col("o_custkey") == 7]
-    return access.visible(rows, "o_orderkey", F.col("o_orderkey") % 11 != 0, scopes, access.granted(rows, grants, "o_orderkey"), paths, "o_orderpriority")
+    return access.visible(rows, "o_orderkey", F.col("o_orderstatus") != "P", scopes, access.granted(rows, grants, "o_orderkey"), paths, "o_orderpriority")
 
 
 @Q(VISIBLE)
@@ -100,7 +100,7 @@ def acl_visible(spark, sf_dir):
     return _visible(spark, sf_dir).select("o_orderkey")
 
 
-@Q(VISIBLE.replace("WHERE o_orderkey", "WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey", 1))
+@Q(VISIBLE.replace("WHERE o_orderstatus", "WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus", 1))
 def acl_paths(spark, sf_dir):
     paths = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "o_orderpriority string")
     return _visible(spark, sf_dir, paths).select("o_orderkey")
@@ -146,19 +146,20 @@ def first_source_flags(spark, sf_dir):
 WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-@Q(rf"WITH w AS (SELECT doc_id, list_distinct({WORDS}) AS s FROM documents WHERE doc_id < 40) SELECT a.doc_id AS l, b.doc_id AS r, round(CASE WHEN len(list_distinct(a.s || b.s)) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) END, 4) AS jaccard FROM w a JOIN w b ON a.doc_id < b.doc_id")
+@Q(rf"WITH w AS (SELECT conv_id, turn, list_distinct({WORDS}) AS s FROM conversations) SELECT a.conv_id, a.turn AS l, b.turn AS r, round(CASE WHEN len(list_distinct(a.s || b.s)) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) END, 4) AS jaccard FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn")
 def jaccard_pairs(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").filter("doc_id < 40").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("s"))
-    a, b = w.alias("a"), w.alias("b")
-    return a.join(b, F.col("a.doc_id") < F.col("b.doc_id")).select(F.col("a.doc_id").alias("l"), F.col("b.doc_id").alias("r"), F.round(X.jaccard(F.col("a.s"), F.col("b.s")), 4).alias("jaccard"))
+    """All pairs of answers within their group."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("s"))
+    a, b = w.select("conv_id", F.col("turn").alias("l"), F.col("s").alias("x")), w.select("conv_id", F.col("turn").alias("r"), F.col("s").alias("y"))
+    return a.join(b, "conv_id").filter("l < r").select("conv_id", "l", "r", F.round(X.jaccard(F.col("x"), F.col("y")), 4).alias("jaccard"))
 
 
-@Q(rf"WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS w FROM documents WHERE doc_id < 30) GROUP BY ALL), m AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM c GROUP BY doc_id) SELECT a.doc_id AS l, b.doc_id AS r, round(sum(a.n * b.n) / (any_value(ma.m) * any_value(mb.m)), 4) AS cosine FROM c a JOIN c b ON a.w = b.w AND a.doc_id < b.doc_id JOIN m ma ON ma.doc_id = a.doc_id JOIN m mb ON mb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id")
+@Q(rf"WITH c AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest({WORDS}) AS w FROM conversations) GROUP BY ALL), m AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS m FROM c GROUP BY ALL) SELECT a.conv_id, a.turn AS l, b.turn AS r, round(sum(a.n * b.n) / (any_value(ma.m) * any_value(mb.m)), 4) AS cosine FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn < b.turn JOIN m ma ON ma.conv_id = a.conv_id AND ma.turn = a.turn JOIN m mb ON mb.conv_id = b.conv_id AND mb.turn = b.turn GROUP BY a.conv_id, a.turn, b.turn")
 def tf_cosine(spark, sf_dir):
     from harrier.operators.evaluation import tf_cosine
 
-    words = table(spark, sf_dir, "documents").filter("doc_id < 30").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
-    return tf_cosine(words, "doc_id")
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    return tf_cosine(words, "turn", ["conv_id"])
 
 
 @Q(rf"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 4 THEN 0.0::DOUBLE ELSE round(1 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2), 4) END AS redundancy FROM w")
