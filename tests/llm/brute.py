@@ -143,3 +143,25 @@ def op6_base(text):
     found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in HEX.finditer(text) if len(m[0]) >= 32]
     spans = [x[2] for x in sorted(found)]
     return *(sum(x[1] == k for x in found) for k in range(3)), sha(",".join(spans)), spans
+
+
+def one_of_each(docs, k=5, similarity=0.8):
+    """Smallest ids of components by SimHash links and true Jaccard similarity."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(lower(t or ""))
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+    root = {d: c for d, (_, c) in op10(docs, k).items()}
+    ids = sorted(sets)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(d) for d in ids}
