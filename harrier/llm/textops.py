@@ -77,7 +77,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 18) -> Iterator[Block]:
     """Whole texts in blocks of about ``limit`` bytes; a longer text is a block of its own."""
     column = strings(column)
     if not len(column):
