@@ -68,10 +68,9 @@ def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str,
     return packer.compress(_header(fields, http + (payload if refers_to is None else b""))) + packer.flush()
 
 
-def write_archives(found: DataFrame, folder: str, archives: int | None = None) -> DataFrame:
-    """Writes one archive a task and returns the manifest, a table in the same folder: path, bytes, records."""
+def write_archives(found: DataFrame, folder: str) -> DataFrame:
+    """Writes one archive for each partition and returns the manifest, a table in the folder: path, bytes, records."""
     spark = found.sparkSession
-    dealt = found.repartition(archives or partitions(spark), "id").sortWithinPartitions("id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -91,7 +90,7 @@ def write_archives(found: DataFrame, folder: str, archives: int | None = None) -
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
     manifest = f"{folder}/_manifest"
-    dealt.select("id", "url", "payload", "digest", "refers_to").mapInArrow(write, "path string, bytes long, records long").write.parquet(manifest)
+    found.select("id", "url", "payload", "digest", "refers_to").mapInArrow(write, "path string, bytes long, records long").write.parquet(manifest)
     return spark.read.schema("path string, bytes long, records long").parquet(manifest)
 
 
