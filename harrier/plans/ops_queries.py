@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
@@ -416,7 +417,10 @@ def _streamed(spark, sf_dir, make, name, mode="complete"):
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith("events.parquet") else f"{sf_dir}/events.parque[t]")
     view = f"{name}_{abs(hash(sf_dir)) % 10**8}"
-    make(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    writer = make(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(view).outputMode(mode)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{view}-{uuid.uuid4().hex}")
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.table(view)
 
 
