@@ -2,13 +2,13 @@
 
 1. Anchors (see anchors) and one exchange (see exchange) settle stretches whose whole context a document of smaller
    id holds, and pass over what one document alone holds. Only undecided contexts, of at most 2 * length - size
-   bytes, go on: each distinct one once, from the least id that has it.
+   bytes, go on: each distinct one of a document once, while its further places wait with the text.
 2. These excerpts are dealt by anchor, so that equal strings meet, and cut into shards of bounded size. A shard gets
    a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai; runs of suffixes that share ``length``
    bytes are the repeated strings. The shards of a group are merged by binary search in each other's sorted strings.
 3. An anchor with more than ``HOT`` different contexts is dealt over several groups, and the distinct strings of
    those are merged by a grouping of string hashes, so no group is unbounded.
-4. The covered ranges return to the waiting texts.
+4. The covered strings return to the waiting texts, where they count at every place of their context.
 
 Removed is each byte covered by a ``length``-byte string that also starts in a document of smaller id; overlaps
 count, matches never cross documents, and strings are judged on the input.
@@ -42,10 +42,11 @@ SHARD_BYTES = 1 << 19
 #: Contexts of one anchor in a group.
 HOT = 20_000
 RESULT = ("id", "no_id", "n_bytes", "n_removed", "n_spans", "spans", "sha", "kept")
-#: kind 0: settled documents. kind 1: those that wait, some to a row: texts and bytes gone so far. kind 2: excerpts,
-#: many to a row, for one group and part of their anchors.
-PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("gone", pa.binary()), ("ks", pa.binary()), ("at", pa.binary()), ("part", pa.int32()), ("hot", pa.bool_())])
-PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary, ids binary, nulls binary, lens binary, body binary, gone binary, ks binary, at binary, part int, hot boolean"
+#: kind 0: settled documents. kind 1: those that wait, some to a row: texts, bytes gone so far and further places of
+#: contexts (text, place sent, further place, starts of strings). kind 2: excerpts, many to a row, for one group and
+#: part of their anchors.
+PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("gone", pa.binary()), ("ks", pa.binary()), ("at", pa.binary()), ("part", pa.int32()), ("hot", pa.bool_()), ("copies", pa.binary())])
+PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary, ids binary, nulls binary, lens binary, body binary, gone binary, ks binary, at binary, part int, hot boolean, copies binary"
 RESULT_SQL = "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary"
 RANGES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
 RANGES_SQL = "bucket int, ids binary, counts binary, starts binary, ends binary, w1 long, w2 long, id long, at long"
@@ -63,12 +64,12 @@ def _result(block: T.Block, i: int, gone: np.ndarray, with_text: bool) -> tuple:
 
 
 def _packed(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of RANGES for ranges of documents; ranges of a document that touch are joined."""
+    """Rows of RANGES for covered strings of one length; a range joins strings whose starts follow one another."""
     if not len(ids):
         return []
     order = np.lexsort((starts, ids))
     ids, starts, ends = ids[order], starts[order], ends[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (starts[1:] > ends[:-1])])  # ranges are of one length
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)])
     at = np.flatnonzero(new)
     ids, starts, ends = ids[at], starts[at], np.maximum.reduceat(ends, at)
     out = []
@@ -191,14 +192,19 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             gone = T.covered(marks.start[sure], marks.end[sure], len(block.data))
             waiting = np.bincount(marks.text[open_], minlength=len(block)) > 0
             for i in np.flatnonzero(~waiting).tolist():
-                rows.append((bucket, 0, own[i], null[i], *_result(block, i, gone, with_text), *[None] * 9))
+                rows.append((bucket, 0, own[i], null[i], *_result(block, i, gone, with_text), *[None] * 10))
             if not len(open_):
                 continue
-            held, units = np.flatnonzero(waiting), np.repeat(waiting, np.diff(block.bounds))
-            rows.append((bucket, 1, *[None] * 8, own[held].tobytes(), null[held].tobytes(), np.diff(block.bounds)[held].astype(np.uint32).tobytes(), zipped(block.data[units].tobytes()), zipped(np.packbits(gone[units]).tobytes()), None, None, None, None))
-            # each distinct context of a document once
+            # each distinct context of a document once; its further places wait for the answer to that one
             key = marks.kf[open_] ^ marks.text[open_].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            open_ = open_[np.unique(key, return_index=True)[1]]
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            again = np.flatnonzero(first[of] != np.arange(len(open_)))
+            more, sent = open_[again], open_[first[of[again]]]
+            held, units = np.flatnonzero(waiting), np.repeat(waiting, np.diff(block.bounds))
+            where = block.bounds[marks.text[more]]
+            copies = np.stack([np.searchsorted(held, marks.text[more]), marks.start[sent] - where, marks.start[more] - where, marks.end[more] - marks.start[more] - length + 1], 1)
+            rows.append((bucket, 1, *[None] * 8, own[held].tobytes(), null[held].tobytes(), np.diff(block.bounds)[held].astype(np.uint32).tobytes(), zipped(block.data[units].tobytes()), zipped(np.packbits(gone[units]).tobytes()), None, None, None, None, copies.astype(np.uint32).tobytes()))
+            open_ = open_[first]
             s, e = marks.start[open_], marks.end[open_]
             level = (flags[open_] - MIXED).astype(np.uint64)
             where = block.bounds[marks.text[open_]]
@@ -210,7 +216,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             for code, k in _parts((part << 33) | (group << 1) | hot):
                 whole = b"".join([bodies[x] for x in k.tolist()])
                 lens = np.array([len(bodies[x]) for x in k.tolist()], np.uint8)
-                rows.append((int(code >> 1 & (1 << 32) - 1), 2, *[None] * 8, own[k].tobytes(), None, lens.tobytes(), zipped(whole), None, ks[k].tobytes(), at[k].astype(np.uint32).tobytes(), int(code >> 33), bool(code & 1)))
+                rows.append((int(code >> 1 & (1 << 32) - 1), 2, *[None] * 8, own[k].tobytes(), None, lens.tobytes(), zipped(whole), None, ks[k].tobytes(), at[k].astype(np.uint32).tobytes(), int(code >> 33), bool(code & 1), None))
         return _table(rows, PARTS)
 
     sent = pairs.mapInArrow(find_anchors, SENT_SQL)
@@ -220,7 +226,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     parts.write.partitionBy("kind").parquet(path)
     done = spark.read.schema(PARTS_SQL).parquet(path)
     final = done.filter("kind = 0").select(*RESULT)
-    waiting = done.filter("kind = 1").select("bucket", "ids", "nulls", "lens", "body", "gone")
+    waiting = done.filter("kind = 1").select("bucket", "ids", "nulls", "lens", "body", "gone", "copies")
     excerpts = done.filter("kind = 2").select("bucket", "part", "hot", "ids", "lens", "body", "ks", "at")
     ranges_path = new_folder(spark, "substring-ranges")
     excerpts.groupBy("bucket", "part").applyInArrow(lambda t: merge_shards(t, length, buckets), RANGES_SQL).write.parquet(ranges_path)
@@ -249,9 +255,18 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             gone = np.unpackbits(np.frombuffer(unzipped(row["gone"], (int(at[-1]) + 7) // 8), np.uint8), count=int(at[-1])).astype(bool)
             own, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
             lo, hi = np.searchsorted(who, own, "left"), np.searchsorted(who, own, "right")
+            copies = np.frombuffer(row["copies"], np.uint32).reshape(-1, 4).astype(np.int64)
+            copies = copies[np.argsort(copies[:, 0], kind="stable")]
+            cut = np.searchsorted(copies[:, 0], np.arange(len(block) + 1))
             for i in range(len(block)):
                 if hi[i] > lo[i]:
-                    gone[at[i] : at[i + 1]] |= T.covered(starts[lo[i] : hi[i]], ends[lo[i] : hi[i]], int(at[i + 1] - at[i]))
+                    size = int(at[i + 1] - at[i])
+                    begins = T.covered(starts[lo[i] : hi[i]], ends[lo[i] : hi[i]] - length + 1, size)
+                    _, sent, more, n = copies[cut[i] : cut[i + 1]].T
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    begins[(np.repeat(more, n) + step)[begins[np.repeat(sent, n) + step]]] = True
+                    begins = np.flatnonzero(begins)
+                    gone[at[i] : at[i + 1]] |= T.covered(begins, begins + length, size)
                 rows.append((own[i], null[i], *_result(block, i, gone, with_text)))
         return _table(rows, pa.schema([PARTS.field(n) for n in RESULT]))
 

@@ -114,6 +114,18 @@ def test_suffix_array_dedup_merges_shards(spark, monkeypatch):
     assert {d: sorted(v) for d, v in found.items()} == {5: [(5, 80)], 9: [(0, 80)], 2: [(15, 80)]}
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_array_dedup_of_a_passage_that_stands_twice(spark, hot):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k in range(12):
+        passage, left, right = noise(rng.randint(50, 120)), noise(70), noise(70)
+        rows += [(10 * k, noise(90) + passage + noise(90)), (10 * k + 1, (left + passage + right) * 2), (10 * k + 2, noise(80) + (left[-9:] + passage + right[:9] + noise(60)) * 3), (10 * k + 3, passage * 3)]
+    got = result(substrings.remove_repeated(frame(spark, rows), hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.op7(rows)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for trial in range(200):
