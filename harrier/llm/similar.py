@@ -4,9 +4,11 @@ Texts that share four fifths of their five-word shingles differ in 5 to 14 of 64
 fingerprint can only find pairs within 4. So the links of the SimHash operator are kept, and beside them documents
 meet in 16 bands of 4 least shingle hashes; those whose 128 least hashes agree in ``similarity`` of the places link.
 
-Equal signatures are one node before any join. A bucket compares its nodes with leaders: the first node, then the
-first that no leader has reached, and so on, in an order of its own for each band; it returns links to leaders, never
-pairs. A bucket of more than ``PART`` nodes is dealt over several tasks that all hold its first node.
+Equal signatures are one node before any join. Links are found in two rounds. In the first, a bucket compares its
+nodes with a few leaders only, so large groups of near copies join at the price of one link a node. In the second,
+all pairs of a bucket that are not joined yet are compared. A bucket of more than ``PART`` nodes is cut into parts,
+and every two parts meet in a block of their own: no pair is left out, no task is unbounded, and the work of a bucket
+of many unlike nodes grows with their square.
 
 Edge cases: a text of fewer words than a shingle is one shingle; texts without words are alike; repeated rows share a
 node; null keys count as largest; an empty table gives an empty result.
@@ -29,6 +31,8 @@ from harrier.llm.store import written
 
 BANDS, ROWS, PLACES = 16, 4, 128
 PART = 4_096
+#: Leaders of a bucket part in the first round.
+LEADERS = 64
 _random = np.random.default_rng(99)
 _FACTOR = _random.integers(0, 2**31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _random.integers(0, 2**32, PLACES, np.uint32)
@@ -55,9 +59,22 @@ def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     return simhash.majority(hashes), signature(hashes)
 
 
+def node_of(fp: int, sig: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(sig.tobytes() + fp.to_bytes(8, "little"))
+
+
+def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.zeros((len(sigs), bands), np.uint64)
+    for b in range(bands):
+        for r in range(rows):
+            keys[:, b] = T.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + sigs[:, b * rows + r].astype(np.uint64) + np.uint64(b + 1))
+    return keys.view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Key, fp, sig (binary), node (a hash of both)."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, sig binary, node long"
+    """Key, fp, keys (of the bands), short (a byte of each least hash), node (a hash of fp and signature)."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, keys array<long>, short binary, node long"
+    bands, rows = BANDS, ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,85 +82,128 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             for block in T.blocks(batch.column(1)):
                 for i in range(len(block)):
                     fp, sig = sketch(block.text(i), shingle)
-                    raw = sig.tobytes()
                     fps.append(fp)
-                    sigs.append(raw)
-                    nodes.append(xxhash.xxh64_intdigest(raw + fp.to_bytes(8, "little")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=[id_col, "fp", "sig", "node"])
+                    sigs.append(sig)
+                    nodes.append(node_of(fp, sig))
+            drawn = np.array(sigs, np.uint32).reshape(-1, PLACES)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(drawn) + 1, dtype=np.int32) * bands), pa.array(band_keys(drawn, bands, rows).reshape(-1)))
+            short = [x.tobytes() for x in (drawn >> np.uint32(8)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), keys, pa.array(short, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=[id_col, "fp", "keys", "short", "node"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def leader_links(nodes: np.ndarray, sigs: np.ndarray, first: int, seed: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, leader) for nodes whose signatures agree with a leader's in at least so many places."""
-    order = np.argsort(T.mix(nodes.view(np.uint64) ^ np.uint64(seed & (2**64 - 1))), kind="stable")
+def agreement(columns: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Places in which each column equals one."""
+    return (columns == one[:, None]).view(np.uint8).sum(0, dtype=np.uint8)
+
+
+def leader_links(nodes: np.ndarray, shorts: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, leader) for nodes that agree with one of the first leaders in at least so many places."""
+    order = np.argsort(T.mix(nodes.view(np.uint64)), kind="stable")
     order = np.concatenate([np.flatnonzero(nodes == first), order[nodes[order] != first]])
-    reached = np.zeros(len(nodes), bool)
+    columns, reached, leads = np.ascontiguousarray(shorts.T), np.zeros(len(nodes), bool), 0
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lead in order.tolist():
         if reached[lead]:
             continue
-        hit = np.flatnonzero((sigs == sigs[lead]).sum(1) >= least)
+        hit = np.flatnonzero(agreement(columns, shorts[lead]) >= least)
         reached[hit] = True
         us.append(nodes[hit])
         vs.append(np.full(len(hit), nodes[lead]))
+        leads += 1
+        if leads == LEADERS:
+            break
     return np.concatenate(us), np.concatenate(vs)
 
 
-def band_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes (node, sig) -> links (u, v)."""
-    least = int(np.ceil(similarity * PLACES - 1e-9))
+def block_pairs(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, shorts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of unlike roots that agree in at least so many places; of two parts, the pairs across them."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    columns, across = np.ascontiguousarray(shorts.T), parts.min() != parts.max()
+    for i in np.flatnonzero(parts == parts.min()).tolist():
+        begin = 0 if across else i + 1
+        ok = (agreement(columns[:, begin:], shorts[i]) >= least) & (roots[begin:] != roots[i])
+        if across:
+            ok &= parts != parts[i]
+        hit = np.flatnonzero(ok) + begin
+        us.append(nodes[hit])
+        vs.append(np.full(len(hit), nodes[i]))
+    return np.concatenate(us), np.concatenate(vs)
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, PLACES)
-            keys = np.zeros((len(sigs), BANDS), np.uint64)
-            for b in range(BANDS):
-                for r in range(ROWS):
-                    keys[:, b] = T.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + sigs[:, b * ROWS + r].astype(np.uint64) + np.uint64(b + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.reshape(-1).view(np.int64))], names=["node", "k"])
-
-    keyed = nodes.select("node", "sig").mapInArrow(bands, "node long, k long")
-    keyed = written(keyed, "bands")
+
+def _lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Number columns of the members, their short signatures (last column) and the bounds of the lists."""
+    lists = batch.column(batch.num_columns - 1)
+    flat = lists.flatten()
+    shorts = np.frombuffer(b"".join(flat.field(flat.type.num_fields - 1).to_pylist()), np.uint8).reshape(-1, PLACES)
+    return [flat.field(i).to_numpy() for i in range(flat.type.num_fields - 1)], shorts, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+
+
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    u, v = np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs])
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+
+def leader_pairs(keyed: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs (u, v) of nodes and leaders of their buckets, at most ``LEADERS`` to a node and bucket."""
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
     sized = keyed.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     dealt = sized.select("k", "first", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     leads = sizes.select("k", "first", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"))
-    members = dealt.filter("node <> first").unionByName(leads).join(nodes.select("node", "sig"), "node")
-    grouped = members.groupBy("k", "part").agg(F.first("first").alias("first"), F.collect_list(F.struct("node", "sig")).alias("m"))
+    members = dealt.filter("node <> first").unionByName(leads).join(nodes.select("node", "short"), "node")
+    grouped = members.groupBy("k", "part").agg(F.first("first").alias("first"), F.collect_list(F.struct("node", "short")).alias("m"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, firsts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat = lists.flatten()
-            own = flat.field(0).to_numpy()
-            sigs = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint32).reshape(-1, PLACES)
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            firsts, ((own,), shorts, at) = batch.column(0).to_numpy(), _lists(batch)
             two = np.flatnonzero(np.diff(at) == 2)  # most buckets: all at once
-            near = (sigs[at[two]] == sigs[at[two] + 1]).sum(1) >= least
-            us.append(own[at[two]][near])
-            vs.append(own[at[two] + 1][near])
-            for i in np.flatnonzero(np.diff(at) > 2).tolist():
-                u, v = leader_links(own[at[i] : at[i + 1]], sigs[at[i] : at[i + 1]], int(firsts[i]), int(keys[i]), least)
-                us.append(u)
-                vs.append(v)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            near = (shorts[at[two]] == shorts[at[two] + 1]).sum(1) >= least
+            found = [(own[at[two]][near], own[at[two] + 1][near])]
+            found += [leader_links(own[at[i] : at[i + 1]], shorts[at[i] : at[i + 1]], int(firsts[i]), least) for i in np.flatnonzero(np.diff(at) > 2).tolist()]
+            yield _pairs([u for u, _ in found], [v for _, v in found])
+
+    return grouped.select("first", "m").mapInArrow(links, "u long, v long").filter("v < u").distinct()
 
-    return grouped.select("k", "first", "m").mapInArrow(links, "u long, v long").filter("v < u")
+
+def other_pairs(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """All pairs (u, v) of a bucket that roots (u, v) do not join yet. Every two parts of a bucket meet in a block."""
+    rooted = keyed.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    sized = rooted.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("k", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    members = dealt.join(nodes.select("node", "short"), "node")
+    grouped = members.groupBy("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", "part", "short")).alias("m"))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, ((own, root, part), shorts, at) = (batch.column(0).to_numpy() == batch.column(1).to_numpy()), _lists(batch)
+            size = np.diff(at)
+            two = np.flatnonzero((size == 2) & same)
+            near = ((shorts[at[two]] == shorts[at[two] + 1]).sum(1) >= least) & (root[at[two]] != root[at[two] + 1])
+            found = [(own[at[two]][near], own[at[two] + 1][near])]
+            for i in np.flatnonzero((size > 1) & ~((size == 2) & same)).tolist():
+                s = slice(at[i], at[i + 1])
+                if same[i] or part[s].min() != part[s].max():
+                    found.append(block_pairs(own[s], root[s], part[s], shorts[s], least))
+            yield _pairs([u for u, _ in found], [v for _, v in found])
+
+    return grouped.select("i", "j", "m").mapInArrow(links, "u long, v long").filter("v < u").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Key, component_id (the least key that links reach) and component_size of each row."""
     drawn = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    nodes = written(drawn.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
+    nodes = written(drawn.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("short").alias("short"), F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
     of_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
     same = nodes.join(of_fp.filter("n > 1"), "fp").filter("node > rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     ends = simhash.near_links(of_fp.select("fp"))
     ends = ends.join(of_fp.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of_fp.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
     ends = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    stars = components(band_links(nodes, similarity).unionByName(same).unionByName(ends))
+    keyed = written(nodes.select("node", F.explode("keys").alias("k")), "bands")
+    least = int(np.ceil(similarity * PLACES - 1e-9))
+    stars = components(leader_pairs(keyed, nodes, least).unionByName(same).unionByName(ends))
+    stars = components(stars.unionByName(other_pairs(keyed, nodes, stars, least)))
     rooted = nodes.select("node", "least", "n").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     of = rooted.select("node", "root").join(groups, "root").select("node", "component_id", "component_size")

@@ -350,6 +350,23 @@ def test_near_duplicates_of_stated_similarity(spark, monkeypatch, part):
     assert similar.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    for name, value in (("PART", 4), ("BANDS", 1), ("ROWS", 1)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, rows, want = fresh(240), [], {}
+    for k in range(30):
+        own = fresh(140)
+        one, two = (" ".join(template + own + fresh(20)) for _ in range(2))
+        rows += [(2 * k, one), (2 * k + 1, two)]
+        meet = similar.sketch(one.encode(), 5)[1][0] == similar.sketch(two.encode(), 5)[1][0]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (not meet)}
+    assert sum(d != c for d, c in want.items()) > 20
+    got = result(similar.near_duplicates(frame(spark, rows)), "component_id")
+    assert {d: v[0] for d, v in got.items()} == want
+
+
 def test_components_of_a_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 999)], "u long, v long")
