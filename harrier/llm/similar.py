@@ -2,7 +2,9 @@
 
 Texts that share four fifths of their five-word shingles differ in 5 to 14 of 64 bits (measured), while blocks of a
 fingerprint can only find pairs within 4. So the links of the SimHash operator are kept, and beside them documents
-meet in 16 bands of 4 least shingle hashes; those whose 128 least hashes agree in ``similarity`` of the places link.
+meet in 16 bands of 4 least shingle hashes. Pairs whose 128 least hashes agree in ``SLACK`` places fewer than the
+similarity asks for are candidates, and those link whose sets of shingle hashes have that similarity. A pair right at
+0.8 meets in no band with probability 0.0002, and misses the candidates with about 0.0001.
 
 Equal signatures are one node before any join. Links are found in two rounds. In the first, a bucket compares its
 nodes with a few leaders only, so large groups of near copies join at the price of one link a node. In the second,
@@ -31,6 +33,8 @@ from harrier.llm.store import written
 
 BANDS, ROWS, PLACES = 16, 4, 128
 PART = 4_096
+#: Places by which candidates may fall short: about four standard deviations at 0.8.
+SLACK = 19
 #: Leaders of a bucket part in the first round.
 LEADERS = 64
 _random = np.random.default_rng(99)
@@ -191,6 +195,32 @@ def other_pairs(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, least: int
     return grouped.select("i", "j", "m").mapInArrow(links, "u long, v long").filter("v < u").distinct()
 
 
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) whose sets of shingle hashes have the similarity."""
+    pairs = written(pairs, "candidates")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("__id")).distinct()
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select("__text")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in T.blocks(batch.column(0)):
+                found, sets = [], []
+                for i in range(len(block)):
+                    words = block.text(i).lower().split()
+                    hashes = simhash.shingle_hashes(words, shingle) if words else np.zeros(0, np.uint64)
+                    fp, sig = (simhash.majority(hashes), signature(hashes)) if words else sketch(b"", shingle)
+                    found.append(node_of(fp, sig))  # rows of equal id may have other texts
+                    sets.append(np.unique(hashes).view(np.int64))
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["node", "grams"])
+
+    sets = written(texts.mapInArrow(grams, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return written(both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("union")).filter(F.col("shared") >= similarity * F.col("union") - 1e-9).select("u", "v"), "links")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Key, component_id (the least key that links reach) and component_size of each row."""
     drawn = written(sketches(docs, shingle, id_col, text_col), "sketches")
@@ -201,9 +231,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     ends = ends.join(of_fp.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of_fp.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
     ends = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     keyed = written(nodes.select("node", F.explode("keys").alias("k")), "bands")
-    least = int(np.ceil(similarity * PLACES - 1e-9))
-    stars = components(leader_pairs(keyed, nodes, least).unionByName(same).unionByName(ends))
-    stars = components(stars.unionByName(other_pairs(keyed, nodes, stars, least)))
+    least = max(1, int(np.ceil(similarity * PLACES - 1e-9)) - SLACK)
+    linked = lambda pairs: verified(pairs, docs, nodes, shingle, similarity, id_col, text_col)
+    stars = components(linked(leader_pairs(keyed, nodes, least)).unionByName(same).unionByName(ends))
+    stars = components(stars.unionByName(linked(other_pairs(keyed, nodes, stars, least))))
     rooted = nodes.select("node", "least", "n").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     of = rooted.select("node", "root").join(groups, "root").select("node", "component_id", "component_size")

@@ -367,6 +367,17 @@ def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
     assert {d: v[0] for d, v in got.items()} == want
 
 
+def test_near_duplicates_right_at_the_threshold(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(60):  # 400 shared shingles; similarity 0.8 to 0.82, or 0.76 to 0.797
+        own, more = fresh(404), 45 + k % 6 if k % 2 else 51 + k % 10
+        rows += [(2 * k, " ".join(own + fresh(more))), (2 * k + 1, " ".join(own + fresh(more)))]
+    kept = {r.doc_id for r in similar.one_of_each(frame(spark, rows)).collect()}
+    assert kept == brute.one_of_each(rows) and 60 < len(kept) < 120
+
+
 def test_components_of_a_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 999)], "u long, v long")
