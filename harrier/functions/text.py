@@ -54,7 +54,7 @@ def rewrite(query: Column) -> Column:
     """Without conversational openings and closing marks, first letter raised; the cleaned query if nothing is left."""
     body = F.regexp_replace(F.trim(F.regexp_replace(clean(query), POLITE, "")), TELL_ME, "")
     body = F.rtrim(F.regexp_replace(body, r"[ ?.!]+$", ""))
-    return F.when(body == "", clean(query)).otherwise(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1_000_000)))
+    return F.when(body == "", clean(query)).otherwise(F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, F.lit(2), F.length(body))))
 
 
 def expand(query: Column, glossary: Mapping[str, tuple[str, ...]] = GLOSSARY) -> Column:

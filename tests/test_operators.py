@@ -25,6 +25,10 @@ def test_tokens_keep_joined_words_and_repeats(spark):
     assert one(spark, X.tokens(F.lit(None).cast("string"))) == []
 
 
+def test_rewrite_keeps_a_very_long_question(spark):
+    assert one(spark, F.length(X.rewrite(F.repeat(F.lit("runway "), 200_000)))) == 200_000 * 7 - 1
+
+
 def test_query_transformations(spark):
     assert one(spark, X.rewrite(F.lit("  Could you please  tell me about runway rules ?! "))) == "Runway rules"
     assert one(spark, X.rewrite(F.lit("explain"))) == "Explain"
