@@ -2,18 +2,21 @@
 
 Texts that share four fifths of their five-word shingles differ in 5 to 14 of 64 bits (measured), while blocks of a
 fingerprint can only find pairs within 4. So the links of the SimHash operator are kept, and beside them documents
-meet in 16 bands of 4 least shingle hashes. Pairs whose 128 least hashes agree in ``SLACK`` places fewer than the
-similarity asks for are candidates, and those link whose sets of shingle hashes have that similarity. A pair right at
-0.8 meets in no band with probability 0.0002, and misses the candidates with about 0.0001.
-
-Equal signatures are one node before any join. Links are found in two rounds. In the first, a bucket compares its
-nodes with a few leaders only, so large groups of near copies join at the price of one link a node. In the second,
-all pairs of a bucket that are not joined yet are compared. A bucket of more than ``PART`` nodes is cut into parts,
-and every two parts meet in a block of their own: no pair is left out, no task is unbounded, and the work of a bucket
-of many unlike nodes grows with their square.
-
-Edge cases: a text of fewer words than a shingle is one shingle; texts without words are alike; repeated rows share a
-node; null keys count as largest; an empty table gives an empty result.
+meet in 16 bands of 4 least shingle hashes. Of those that meet, the ones link whose sets of shingle hashes have the
+similarity: every link is verified. A pair right at 0.8 meets in no band with probability 0.0002; no other is lost.
+
+Texts with equal shingle sets and fingerprints are one node before any join. Links are found in two rounds:
+
+1. Each node of a bucket is compared with the least node there. That is one pair a node, and joins most groups.
+2. In buckets of three nodes or more that still hold several components, all pairs of unlike components are compared.
+   The nodes of a bucket's largest component are dealt over parts, and so are the others; the others' parts meet each
+   other and each part of the largest component, in blocks of bounded nodes and bytes. A block returns a spanning
+   forest of its links. So a large group with few strays costs in proportion to its size, no task is unbounded, and
+   only a bucket of many unlike nodes costs with the square of those.
+
+Edge cases: a text of fewer words than a shingle is one shingle; texts without words (null, empty, blank) are alike;
+repeated rows share a node; null keys count as largest; an empty table gives an empty result; a row's other columns
+are kept by ``one_of_each`` whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -29,21 +32,21 @@ from pyspark.sql import functions as F
 from harrier.llm import simhash
 from harrier.llm import textops as T
 from harrier.llm.components import components
-from harrier.llm.store import written
-
-BANDS, ROWS, PLACES = 16, 4, 128
-PART = 4_096
-#: Places by which candidates may fall short: about four standard deviations at 0.8.
-SLACK = 19
-#: Leaders of a bucket part in the first round.
-LEADERS = 64
+from harrier.llm.store import col, fresh, written
+
+BANDS, ROWS = 16, 4
+PLACES = BANDS * ROWS
+#: Nodes and shingles of a part in the second round; two parts make a block.
+PART, PART_GRAMS = 2_048, 1_000_000
+#: Pairs of the first round that one copy of a shingle set serves.
+SHARE = 256
 _random = np.random.default_rng(99)
 _FACTOR = _random.integers(0, 2**31, PLACES, np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _random.integers(0, 2**32, PLACES, np.uint32)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least of each of 128 reorderings of the shingle hashes."""
+    """The least of each of 64 reorderings of the shingle hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     out = np.full(PLACES, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 2048):
@@ -54,17 +57,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
-    """SimHash fingerprint and signature of a text."""
+def shingle_set(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
+    """SimHash fingerprint and sorted distinct shingle hashes of a text."""
     words = text.lower().split()
     if not words:
-        return 0, np.full(PLACES, 2**32 - 1, np.uint32)
+        return 0, np.zeros(0, np.uint64)
     hashes = simhash.shingle_hashes(words, shingle)
-    return simhash.majority(hashes), signature(hashes)
+    return simhash.majority(hashes), np.unique(hashes)
 
 
-def node_of(fp: int, sig: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(sig.tobytes() + fp.to_bytes(8, "little"))
+def node_of(fp: int, grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes() + fp.to_bytes(8, "little"))
 
 
 def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -75,173 +78,151 @@ def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Key, fp, keys (of the bands), short (a byte of each least hash), node (a hash of fp and signature)."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, keys array<long>, short binary, node long"
+    """id, fp, keys (of the bands), grams (their number), node (a hash of fp and the shingle set)."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, fp long, keys array<long>, grams int, node long"
     bands, rows = BANDS, ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sigs, nodes = [], [], []
+            fps, sigs, sizes, nodes = [], [], [], []
             for block in T.blocks(batch.column(1)):
                 for i in range(len(block)):
-                    fp, sig = sketch(block.text(i), shingle)
+                    fp, grams = shingle_set(block.text(i), shingle)
                     fps.append(fp)
-                    sigs.append(sig)
-                    nodes.append(node_of(fp, sig))
-            drawn = np.array(sigs, np.uint32).reshape(-1, PLACES)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(drawn) + 1, dtype=np.int32) * bands), pa.array(band_keys(drawn, bands, rows).reshape(-1)))
-            short = [x.tobytes() for x in (drawn >> np.uint32(8)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), keys, pa.array(short, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=[id_col, "fp", "keys", "short", "node"])
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+                    sigs.append(signature(grams))
+                    sizes.append(len(grams))
+                    nodes.append(node_of(fp, grams))
+            keys = list(band_keys(np.array(sigs, np.uint32).reshape(-1, PLACES), bands, rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), _lists(keys), pa.array(sizes, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["id", "fp", "keys", "grams", "node"])
 
+    return docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
-def agreement(columns: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Places in which each column equals one."""
-    return (columns == one[:, None]).view(np.uint8).sum(0, dtype=np.uint8)
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """node, set (of its shingle hashes) for the wanted nodes (node, least): the text of one row of each is read again."""
+    ids = wanted.select(F.col("least").alias("want")).distinct()
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    texts = texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text")
 
-def leader_links(nodes: np.ndarray, shorts: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, leader) for nodes that agree with one of the first leaders in at least so many places."""
-    order = np.argsort(T.mix(nodes.view(np.uint64)), kind="stable")
-    order = np.concatenate([np.flatnonzero(nodes == first), order[nodes[order] != first]])
-    columns, reached, leads = np.ascontiguousarray(shorts.T), np.zeros(len(nodes), bool), 0
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lead in order.tolist():
-        if reached[lead]:
-            continue
-        hit = np.flatnonzero(agreement(columns, shorts[lead]) >= least)
-        reached[hit] = True
-        us.append(nodes[hit])
-        vs.append(np.full(len(hit), nodes[lead]))
-        leads += 1
-        if leads == LEADERS:
-            break
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def block_pairs(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, shorts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of unlike roots that agree in at least so many places; of two parts, the pairs across them."""
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    columns, across = np.ascontiguousarray(shorts.T), parts.min() != parts.max()
-    for i in np.flatnonzero(parts == parts.min()).tolist():
-        begin = 0 if across else i + 1
-        ok = (agreement(columns[:, begin:], shorts[i]) >= least) & (roots[begin:] != roots[i])
-        if across:
-            ok &= parts != parts[i]
-        hit = np.flatnonzero(ok) + begin
-        us.append(nodes[hit])
-        vs.append(np.full(len(hit), nodes[i]))
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Number columns of the members, their short signatures (last column) and the bounds of the lists."""
-    lists = batch.column(batch.num_columns - 1)
-    flat = lists.flatten()
-    shorts = np.frombuffer(b"".join(flat.field(flat.type.num_fields - 1).to_pylist()), np.uint8).reshape(-1, PLACES)
-    return [flat.field(i).to_numpy() for i in range(flat.type.num_fields - 1)], shorts, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in T.blocks(batch.column(0)):
+                found = [shingle_set(block.text(i), shingle) for i in range(len(block))]
+                nodes = np.array([node_of(*x) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists([x[1].view(np.int64) for x in found])], names=["node", "set"])
 
+    sets = texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return sets.join(wanted.select("node"), "node", "left_semi")  # rows of equal id may have other texts
 
-def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-    u, v = np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs])
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
+def least_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs (u, v): each node of a bucket with the least node v there."""
+    least = keyed.groupBy("k").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("k", "v")
+    return keyed.join(least, "k").filter("v < node").select(F.col("node").alias("u"), "v").distinct()
 
-def leader_pairs(keyed: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (u, v) of nodes and leaders of their buckets, at most ``LEADERS`` to a node and bucket."""
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    sized = keyed.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    dealt = sized.select("k", "first", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    leads = sizes.select("k", "first", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"))
-    members = dealt.filter("node <> first").unionByName(leads).join(nodes.select("node", "short"), "node")
-    grouped = members.groupBy("k", "part").agg(F.first("first").alias("first"), F.collect_list(F.struct("node", "short")).alias("m"))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            firsts, ((own,), shorts, at) = batch.column(0).to_numpy(), _lists(batch)
-            two = np.flatnonzero(np.diff(at) == 2)  # most buckets: all at once
-            near = (shorts[at[two]] == shorts[at[two] + 1]).sum(1) >= least
-            found = [(own[at[two]][near], own[at[two] + 1][near])]
-            found += [leader_links(own[at[i] : at[i + 1]], shorts[at[i] : at[i + 1]], int(firsts[i]), least) for i in np.flatnonzero(np.diff(at) > 2).tolist()]
-            yield _pairs([u for u, _ in found], [v for _, v in found])
-
-    return grouped.select("first", "m").mapInArrow(links, "u long, v long").filter("v < u").distinct()
-
-
-def other_pairs(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """All pairs (u, v) of a bucket that roots (u, v) do not join yet. Every two parts of a bucket meet in a block."""
-    rooted = keyed.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    sized = rooted.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("k", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = dealt.join(nodes.select("node", "short"), "node")
-    grouped = members.groupBy("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", "part", "short")).alias("m"))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same, ((own, root, part), shorts, at) = (batch.column(0).to_numpy() == batch.column(1).to_numpy()), _lists(batch)
-            size = np.diff(at)
-            two = np.flatnonzero((size == 2) & same)
-            near = ((shorts[at[two]] == shorts[at[two] + 1]).sum(1) >= least) & (root[at[two]] != root[at[two] + 1])
-            found = [(own[at[two]][near], own[at[two] + 1][near])]
-            for i in np.flatnonzero((size > 1) & ~((size == 2) & same)).tolist():
-                s = slice(at[i], at[i + 1])
-                if same[i] or part[s].min() != part[s].max():
-                    found.append(block_pairs(own[s], root[s], part[s], shorts[s], least))
-            yield _pairs([u for u, _ in found], [v for _, v in found])
-
-    return grouped.select("i", "j", "m").mapInArrow(links, "u long, v long").filter("v < u").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose sets of shingle hashes have the similarity."""
-    pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("__id")).distinct()
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select("__text")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in T.blocks(batch.column(0)):
-                found, sets = [], []
-                for i in range(len(block)):
-                    words = block.text(i).lower().split()
-                    hashes = simhash.shingle_hashes(words, shingle) if words else np.zeros(0, np.uint64)
-                    fp, sig = (simhash.majority(hashes), signature(hashes)) if words else sketch(b"", shingle)
-                    found.append(node_of(fp, sig))  # rows of equal id may have other texts
-                    sets.append(np.unique(hashes).view(np.int64))
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["node", "grams"])
-
-    sets = written(texts.mapInArrow(grams, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have the similarity. A node with many pairs is copied for some of them each."""
+    pairs = written(pairs, "pairs")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    salted = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), "shares").cast("int").alias("salt"))
+    left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("set").alias("b")).join(shares, "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     shared = F.size(F.array_intersect("a", "b"))
-    return written(both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("union")).filter(F.col("shared") >= similarity * F.col("union") - 1e-9).select("u", "v"), "links")
+    both = salted.join(left, "u").join(right, ["v", "salt"]).select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("union"))
+    return written(both.filter(F.col("shared") >= similarity * F.col("union") - 1e-9).select("u", "v"), "links")
+
+
+def block_links(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sizes: np.ndarray, grams: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between unlike roots; of two parts, of those across them. grams: sets end to end."""
+    order = np.argsort(sizes, kind="stable")
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    _, named = np.unique(grams, return_inverse=True)
+    named = np.concatenate([named[at[i] : at[i + 1]] for i in order.tolist()])
+    nodes, parts, sizes = nodes[order], parts[order], sizes[order]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    _, label = np.unique(roots[order], return_inverse=True)
+    label, across = label.copy(), parts.min() != parts.max()
+    mark, us, vs = np.zeros(len(grams) + 1, bool), [], []
+    for i in range(len(nodes) - 1):
+        hi = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-9, "right"))  # a larger set cannot be as similar
+        if hi <= i + 1:
+            continue
+        unlike = label[i + 1 : hi] != label[i]
+        if across:
+            unlike &= parts[i + 1 : hi] != parts[i]
+        todo = np.flatnonzero(unlike) + i + 1
+        if not len(todo):
+            continue
+        mark[named[at[i] : at[i + 1]]] = True
+        low, high = int(todo[0]), int(todo[-1]) + 1
+        shared = np.add.reduceat(np.concatenate([mark[named[at[low] : at[high]]], [False]]), at[low : high + 1] - at[low], dtype=np.int64)[:-1][todo - low]
+        mark[named[at[i] : at[i + 1]]] = False
+        for j in todo[shared >= similarity * (sizes[i] + sizes[todo] - shared) - 1e-9].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                us.append(nodes[j])
+                vs.append(nodes[i])
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def other_links(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between the components (u, root v) that buckets of three nodes or more still hold."""
+    sized = nodes.select("node", "grams").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = keyed.join(sized, "node")
+    by_root = rooted.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
+    sizes = by_root.groupBy("k").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("home"), F.count("*").alias("kinds"))
+    needed = lambda n, g: F.ceil(F.greatest(n / PART, g / PART_GRAMS)).cast("int")
+    sizes = sizes.filter("n > 2 and kinds > 1").select("k", F.col("home.root").alias("home"), needed(F.col("home.n"), F.col("home.g")).alias("homes"), needed(F.col("n") - F.col("home.n"), F.col("g") - F.col("home.g")).alias("others"))
+    hashed = F.xxhash64("node", "k")
+    dealt = rooted.join(sizes, "k").withColumn("at_home", F.col("root") == F.col("home"))
+    dealt = dealt.withColumn("part", F.when(F.col("at_home"), F.pmod(hashed, "homes")).otherwise(F.col("homes") + F.pmod(hashed, "others")).cast("int"))
+    first = F.when(F.col("at_home"), F.col("homes")).otherwise(F.lit(0))
+    dealt = dealt.select("k", "node", "root", "part", F.explode(F.sequence(first, F.col("homes") + F.col("others") - 1)).alias("other"))
+    members = dealt.select("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "root", "part").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        own, root, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        us, vs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(own) > 1 and (table.column("i")[0] == table.column("j")[0] or part.min() != part.max()):
+            lists = table.column("set").combine_chunks()
+            us, vs = block_links(own, root, part, lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), similarity)
+        return pa.table({"u": pa.array(np.maximum(us, vs)), "v": pa.array(np.minimum(us, vs))})
+
+    return written(members.groupBy("k", "i", "j").applyInArrow(run, "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Key, component_id (the least key that links reach) and component_size of each row."""
     drawn = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    nodes = written(drawn.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("short").alias("short"), F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
+    nodes = written(drawn.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("grams").alias("grams"), F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     of_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
     same = nodes.join(of_fp.filter("n > 1"), "fp").filter("node > rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     ends = simhash.near_links(of_fp.select("fp"))
     ends = ends.join(of_fp.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of_fp.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
     ends = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    keyed = written(nodes.select("node", F.explode("keys").alias("k")), "bands")
-    least = max(1, int(np.ceil(similarity * PLACES - 1e-9)) - SLACK)
-    linked = lambda pairs: verified(pairs, docs, nodes, shingle, similarity, id_col, text_col)
-    stars = components(linked(leader_pairs(keyed, nodes, least)).unionByName(same).unionByName(ends))
-    stars = components(stars.unionByName(linked(other_pairs(keyed, nodes, stars, least))))
+    keyed = nodes.select("node", F.explode("keys").alias("k"))
+    met = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    keyed = written(keyed.join(met, "k"), "bands")
+    wanted = nodes.join(keyed.select("node").distinct(), "node").select("node", "least")
+    sets = written(shingle_sets(docs, wanted, shingle, id_col, text_col), "shingle-sets")
+    stars = components(verified(least_pairs(keyed), sets, similarity).unionByName(same).unionByName(ends))
+    stars = components(stars.unionByName(other_links(keyed, nodes, stars, sets, similarity)))
     rooted = nodes.select("node", "least", "n").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     of = rooted.select("node", "root").join(groups, "root").select("node", "component_id", "component_size")
-    return drawn.select(id_col, "node").join(of, "node").select(id_col, "component_id", "component_size")
+    return drawn.select(F.col("id").alias(id_col), "node").join(of, "node").select(col(id_col), "component_id", "component_size")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose key is the least of their component; all columns stay. Repeated rows of that key all stay."""
-    keep = near_duplicates(docs, shingle, similarity, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    (name,) = fresh(docs, "keep")
+    found = near_duplicates(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), shingle, similarity, "id", "text")
+    keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(name)).distinct()
+    return docs.join(keep, col(id_col).eqNullSafe(col(name)), "left_semi")

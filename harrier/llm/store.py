@@ -1,18 +1,26 @@
-"""Where intermediate tables go: the shared folder that the session names in spark.checkpoint.dir."""
+"""Where intermediate tables go, and names that do not clash with the caller's columns."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The setting spark.checkpoint.dir; where it is unset, as in tests, a temporary folder that is then set."""
+    """The setting spark.checkpoint.dir: a folder that the driver and all executors share.
+
+    Where it is unset, a session that runs in one process gets a temporary folder; any other one raises an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -30,3 +38,27 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until the frame has no such column."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def long_ids(frame: DataFrame, id_col: str) -> Column:
+    """The ids as whole numbers; ids of another type raise one clear error before anything runs."""
+    kind = frame.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must be a column of whole numbers, not {kind.simpleString()}")
+    return col(id_col).cast("long")
