@@ -7,7 +7,6 @@ the last returns what the mix takes of each document.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harrier.llm import decontaminate, lines, mixing, quality, similar
 from harrier.llm.queries import table
@@ -21,10 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document of smaller id holds go; n_chars follows the text."""
-    kept = lines.dedup(docs, lines.build(docs.select("doc_id", "text")))
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    changed = F.col("n_dropped") > 0
-    return kept.select(*[F.when(changed, text).otherwise(F.col("text")).alias(c) if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return lines.clean(docs, lines.build(docs), length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
