@@ -1,24 +1,17 @@
-"""Content-chosen positions: equal stretches of ``length`` units choose equal positions in any text.
+"""Content-chosen positions, by which equal stretches of text are dealt to the same place.
 
-Units are bytes or words. Among the starts of the ``size``-unit grams of every stretch of ``length`` units, that of
-the least hash is an anchor. So every stretch holds an anchor, chosen by nothing but its own content, and two
-documents that share a stretch share that anchor. Far fewer positions than units need to be exchanged, and no
-stretch is missed.
+Among the starts of the ``size``-byte grams of every stretch of ``length`` bytes, the first one of the least hash is
+its anchor: chosen by nothing but the stretch's own content. Stretches that start one after another and have the same
+anchor are a run; an excerpt of the text holds all stretches of a run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 
 from harrier.llm import textops as T
-from harrier.llm.exchange import send
-
-#: Bytes of text whose keys are combined before they are sent: about 60 MB of memory.
-SEND_BYTES = 8 << 20
 
 
 def slide(least: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
@@ -31,45 +24,32 @@ def slide(least: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
 
 
 @dataclass
-class Anchors:
-    """Positions, the hash of the gram there (ks) and of all that stretches around it can hold (kf)."""
+class Runs:
+    """Runs of stretches: those that start at start:end, the text they lie in, and the hash of their anchor's gram."""
 
-    at: np.ndarray
-    text: np.ndarray
-    ks: np.ndarray
-    kf: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    text: np.ndarray
+    key: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.start)
 
-def anchors(sums: np.ndarray, bounds: np.ndarray, length: int, size: int) -> Anchors:
-    """sums: running sums of the units (see textops.prefix); bounds: of the texts, in units.
 
-    start:end is the context of an anchor: all stretches that hold its gram lie in it, and cover it.
-    """
-    total, window = len(sums) - 1, length - size + 1
-    none = np.zeros(0, np.int64)
+def anchored(sums: np.ndarray, bounds: np.ndarray, length: int, size: int) -> Runs:
+    """All stretches of ``length`` bytes within a text, as runs. sums: see textops.prefix; bounds: of the texts."""
+    total, none = len(sums) - 1, np.zeros(0, np.int64)
     if total < length:
-        return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
+        return Runs(none, none, none, none.astype(np.uint64))
     grams = np.arange(total - size + 1)
-    ks = T.span_hash(sums, grams, grams + size)
-    rank = np.maximum((ks >> np.uint64(32)).astype(np.uint32), 1)
-    least = slide(np.minimum, rank, window)  # of the stretch at each position
-    least[~T.window_fits(bounds, length)] = 0
-    wide = np.zeros(len(least) + 2 * (window - 1), np.uint32)
-    wide[window - 1 : window - 1 + len(least)] = least
-    at = np.flatnonzero(slide(np.maximum, wide, window) == rank)
-    text = np.searchsorted(bounds, at, "right") - 1
-    start = np.maximum(bounds[text], at - (length - size))
-    end = np.minimum(bounds[text + 1], at + length)
-    kf = T.mix(T.span_hash(sums, start, end) + (at - start).astype(np.uint64))
-    return Anchors(at, text, ks[at], kf, start, end)
-
-
-def send_anchors(ids: np.ndarray, held: list[Anchors], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The keys of some anchors, whose ``text`` are ascending indexes into ids."""
-    if held:
-        owner, ks, kf = (np.concatenate([getattr(a, c) for a in held]) for c in ("text", "ks", "kf"))
-        low = int(owner[0]) if len(owner) else 0
-        high = int(owner[-1]) + 1 if len(owner) else 0
-        yield from send(ids[low:high], owner - low, ks, kf, buckets)
+    keys = T.span_hash(sums, grams, grams + size)
+    # positions below 2 ** 32 break ties among equal high bits: the first one wins
+    ranked = (keys & ~np.uint64(2**32 - 1)) | grams.astype(np.uint64)
+    anchor = (slide(np.minimum, ranked, length - size + 1) & np.uint64(2**32 - 1)).astype(np.int64)
+    fits = np.flatnonzero(T.window_fits(bounds, length))
+    if not len(fits):
+        return Runs(none, none, none, none.astype(np.uint64))
+    anchor = anchor[fits]
+    at = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1] + 1)]))
+    start, end = fits[at], fits[np.concatenate([at[1:], [len(fits)]]) - 1] + 1
+    return Runs(start, end, np.searchsorted(bounds, start, "right") - 1, keys[anchor[at]])

@@ -1,22 +1,27 @@
 """Suffix-array dedup of byte strings.
 
-1. Anchors (see anchors) and one exchange (see exchange) settle stretches whose whole context a document of smaller
-   id holds, and pass over what one document alone holds. Only undecided contexts, of at most 2 * length - size
-   bytes, go on: each distinct one of a document once, while its further places wait with the text.
-2. These excerpts are dealt by anchor, so that equal strings meet, and cut into shards of bounded size. A shard gets
-   a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai; runs of suffixes that share ``length``
-   bytes are the repeated strings. The shards of a group are merged by binary search in each other's sorted strings.
-3. An anchor with more than ``HOT`` different contexts is dealt over several groups, and the distinct strings of
-   those are merged by a grouping of string hashes, so no group is unbounded.
-4. The covered strings return to the waiting texts, where they count at every place of their context.
+1. Texts are cut into excerpts at content-chosen anchors (see anchors). Every string of ``length`` bytes lies in one
+   excerpt, and equal strings lie in excerpts of equal anchors, so anchors deal equal strings to the same shard. An
+   exchange (see chunks) tells which anchors one document alone holds; their excerpts go no further.
+2. All other excerpts are dealt to groups by anchor. A chunk sends equal excerpts once, with their least id. A group
+   sorts its distinct excerpts by anchor and cuts them into shards of bounded size. Each shard gets a suffix array by
+   Larsson-Sadakane refinement and common prefixes by Kasai; suffixes that share ``length`` bytes are equal strings.
+   Where an anchor fills more than a shard, the shards that hold it are merged by binary search: each shard's distinct
+   strings, in suffix order, are looked up in those of the shards before, and the least id of each string is kept.
+3. An anchor with more than ``HOT`` different excerpts is dealt over several groups by the excerpts' hashes, and the
+   distinct strings of those are merged by a grouping of string hashes, so no group is unbounded.
+4. A bit for each string returns to the chunk that sent it: whether a document of smaller id holds the string.
+
+So every decision on a string that two documents hold comes from a suffix array. Anchors decide only where strings
+meet and which of them have no partner.
 
 Removed is each byte covered by a ``length``-byte string that also starts in a document of smaller id; overlaps
 count, matches never cross documents, and strings are judged on the input.
 
 Edge cases: a null or empty text has 0 bytes and an empty result; texts shorter than a string lose nothing;
-documents of equal id never remove bytes of each other; null ids count as the largest; kept bytes may cut a
-character in two, so they are bytes; an empty table gives an empty result. Only the id (a whole number) and text
-columns are read.
+documents of equal id never remove bytes of each other; null ids count as the largest; ids must be whole numbers,
+others raise a TypeError; kept bytes may cut a character in two, so they are bytes; a text longer than a chunk is a
+chunk of its own; an empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,31 +34,190 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrier.llm import chunks as C
+from harrier.llm import suffix_arrays as S
 from harrier.llm import textops as T
-from harrier.llm.anchors import SEND_BYTES, Anchors, anchors, send_anchors
-from harrier.llm.exchange import COVERED, MIXED, SENT_SQL, TEXTS_SQL, Answers, _parts, _runs, bucket_count, by_id, homes, pack_texts, settle, unpack_texts, unzipped, zipped
-from harrier.llm.store import new_folder
-from harrier.llm.suffix_arrays import repeated
+from harrier.llm.anchors import Runs, anchored
+from harrier.llm.store import written
 
 LENGTH = 50
 #: Bytes of an anchor's gram: long enough that equal grams in unlike contexts are rare.
 GRAM = 20
 SHARD_BYTES = 1 << 19
-#: Contexts of one anchor in a group.
+#: Different excerpts of one anchor in a group.
 HOT = 20_000
-RESULT = ("id", "no_id", "n_bytes", "n_removed", "n_spans", "spans", "sha", "kept")
-#: kind 0: settled documents. kind 1: those that wait, some to a row: texts, bytes gone so far and further places of
-#: contexts (text, place sent, further place, starts of strings). kind 2: excerpts, many to a row, for one group and
-#: part of their anchors.
-PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("gone", pa.binary()), ("ks", pa.binary()), ("at", pa.binary()), ("part", pa.int32()), ("hot", pa.bool_()), ("copies", pa.binary())])
-PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary, ids binary, nulls binary, lens binary, body binary, gone binary, ks binary, at binary, part int, hot boolean, copies binary"
+RESULT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary())])
 RESULT_SQL = "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary"
-RANGES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
-RANGES_SQL = "bucket int, ids binary, counts binary, starts binary, ends binary, w1 long, w2 long, id long, at long"
+#: Excerpts of a chunk for one group. at: where their strings start in the chunk, for those of hot anchors.
+SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("lens", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("body", pa.binary())])
+SENT_SQL = "bucket int, part int, chunk long, ids binary, counts binary, lens binary, keys binary, at binary, body binary"
+#: Bits of a sent row's strings; or, of a hot anchor's strings, two hashes, the least id in the group and where it is.
+BITS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("bits", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
+BITS_SQL = "chunk long, bucket int, part int, n long, bits binary, w1 long, w2 long, id long, at long"
+
+
+class Excerpts:
+    """The runs of strings of a chunk. Equal excerpts of a chunk stand behind their first one, which has the least id."""
+
+    def __init__(self, chunk: C.Chunk, length: int, gram: int):
+        self.chunk, self.length = chunk, length
+        sums = [T.prefix(chunk.block.data, which) for which in (0, 1)]
+        self.runs: Runs = anchored(sums[0], chunk.block.bounds, length, gram)
+        self.ids = chunk.ids[self.runs.text]
+        start, end = self.runs.start, self.runs.end + length - 1
+        self.hash = T.span_hash(sums[0], start, end)
+        same = C.distinct(self.hash ^ T.span_hash(sums[1], start, end, 1) * np.uint64(0x9E3779B97F4A7C15))
+        self.leader = same.first[same.of]  # of each run, the first with an equal excerpt
+        self.keys = C.distinct(self.runs.key)
+
+    def ask(self, buckets: int) -> pa.Table:
+        first, last = self.ids[self.keys.first], self.ids[self.keys.last]
+        leads = self.leader == np.arange(len(self.runs))
+        kinds = np.bincount(self.keys.of[leads], minlength=len(self.keys.keys))
+        weights = np.where((first != last) | (kinds > 1), 1 + np.ceil(np.log2(np.maximum(kinds, 1))), 0)
+        return C.ask_shared(self.chunk.number, self.keys.keys, weights, buckets)
+
+    def dealt(self, codes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Bucket, part (0: not of a hot anchor) and the runs of each group, first ones of equal excerpts only."""
+        code = codes[self.keys.of]
+        send = np.flatnonzero((code > 0) & (self.leader == np.arange(len(self.runs))))
+        bucket = C.bucket_of(self.runs.key[send], buckets)
+        level = code[send].astype(np.uint64) - np.uint64(1)
+        part = np.where(level > 0, 1 + (self.hash[send] & ((np.uint64(1) << level) - np.uint64(1))).astype(np.int64), 0)
+        order = np.lexsort((part, bucket))
+        bucket, part, send = bucket[order], part[order], send[order]
+        for i, j in C.stretches((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), len(send)):
+            yield int(bucket[i]), int(part[i]), send[i:j]
+
+    def send(self, codes: np.ndarray, buckets: int) -> pa.Table:
+        rows, raw = [], self.chunk.block.data.tobytes()
+        for bucket, part, at in self.dealt(codes, buckets):
+            start, end = self.runs.start[at], self.runs.end[at] + self.length - 1
+            names, counts = C.runs(self.ids[at])
+            body = b"".join([raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+            rows.append((bucket, part, self.chunk.number, names.tobytes(), counts.astype(np.uint32).tobytes(), (end - start).astype(np.uint8).tobytes(), self.runs.key[at].astype(np.uint32).tobytes(), start.tobytes() if part else None, C.zipped(body)))
+        return C.table(rows, SENT)
+
+    def gone(self, codes: np.ndarray, buckets: int, bits: dict[tuple[int, int], np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Bytes covered by a string that a document of smaller id holds. starts: such strings of hot anchors."""
+        begins = np.zeros(len(self.chunk.block.data) + 1, bool)
+        size = self.runs.end - self.runs.start
+        for bucket, part, at in self.dealt(codes, buckets):
+            told = bits.get((bucket, part))
+            if told is not None:
+                begins[_spread(self.runs.start[at], size[at])] = told
+        begins[starts] = True
+        # an equal excerpt of a larger id is covered whole; one of the same id as its leader is
+        later = np.flatnonzero(self.ids > self.ids[self.leader])
+        begins[_spread(self.runs.start[later], size[later])] = True
+        like = np.flatnonzero((self.ids == self.ids[self.leader]) & (self.leader != np.arange(len(self.runs))))
+        begins[_spread(self.runs.start[like], size[like])] |= begins[_spread(self.runs.start[self.leader[like]], size[like])]
+        hit = np.flatnonzero(begins)
+        return T.covered(hit, hit + self.length, len(self.chunk.block.data))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts, starts + 1, ... of each, so many."""
+    return np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _shards(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int, bool]]:
+    """Begin and end of shards of excerpts in order of their keys, and whether it goes on with the last one's key.
 
+    A shard ends where a key ends, if that keeps it within the limit; a key that fills more is cut.
+    """
+    begin, n = 0, len(keys)
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1 if n else keys
+    upto = np.concatenate([[0], np.cumsum(sizes + 1)])
+    goes_on = False
+    while begin < n:
+        most = max(begin + 1, int(np.searchsorted(upto, upto[begin] + limit, "right")) - 1)
+        k = int(np.searchsorted(ends, most, "right")) - 1
+        end = int(ends[k]) if k >= 0 and ends[k] > begin else most
+        if goes_on:  # the rest of a cut key stays alone, so only its own shards are merged
+            end = min(end, int(ends[np.searchsorted(ends, begin, "right")]))
+        yield begin, end, goes_on
+        goes_on = end < n and keys[end] == keys[end - 1]
+        begin = end
 
-def _anchors(block: T.Block, length: int, gram: int) -> Anchors:
-    return anchors(T.prefix(block.data), block.bounds, length, gram)
+
+def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.Table:
+    """The excerpts of a group -> for each row, bits of its strings; and of hot anchors the group's distinct strings."""
+    rows = table.to_pylist()
+    place: dict[tuple[int, bytes], int] = {}  # distinct excerpts: each gets a suffix array once
+    of, ids, bodies, keys, counts, places = [], [], [], [], [], []
+    for number, row in enumerate(rows):
+        lens, key = np.frombuffer(row["lens"], np.uint8), np.frombuffer(row["keys"], np.uint32).tolist()
+        whole, begin = C.unzipped(row["body"], int(lens.sum())), 0
+        for k, end in zip(key, np.cumsum(lens, dtype=np.int64).tolist(), strict=True):
+            body = whole[begin:end]
+            at = place.setdefault((k, body), len(bodies))
+            if at == len(bodies):
+                bodies.append(body)
+                keys.append(k)
+            of.append(at)
+            begin = end
+        ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+        counts.append(len(key))
+        places.append(np.frombuffer(row["at"], np.int64) if row["at"] is not None else np.full(len(key), -1))
+    of_, id_ = np.array(of, np.int64), np.concatenate([np.zeros(0, np.int64), *ids])
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies)) - length + 1
+    first = np.full(len(bodies), C.LAST)
+    np.minimum.at(first, of_, id_)
+    order = np.argsort(np.array(keys, np.uint32), kind="stable")
+    at_string = np.concatenate([[0], np.cumsum(size[order])])  # strings, in order of their excerpts
+    least = np.full(int(at_string[-1]), C.LAST)
+    chain: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of shards that hold one key: where, strings, numbers
+
+    def settle() -> None:
+        """Shards that hold one key, merged in pairs; then each looks its strings up."""
+        lists = [(rows_, least[where][np.unique(group, return_index=True)[1]]) for where, rows_, group in chain]
+        while len(lists) > 1:
+            lists = [S.merged(*lists[k : k + 2]) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
+        for where, rows_, group in chain:
+            least[where] = lists[0][1][S.find(lists[0][0], rows_)[0]][group]
+        chain.clear()
+
+    sorted_keys = np.array(keys, np.uint32)[order]
+    found = list(_shards(sorted_keys, (size + length - 1)[order], limit))
+    for number, (begin, end, goes_on) in enumerate(found):
+        if not goes_on and chain:
+            settle()
+        part = order[begin:end]
+        data = np.frombuffer(b"\0".join([bodies[k] for k in part.tolist()]) + b"\0", np.uint8)
+        lens = size[part] + length
+        which = np.repeat(np.arange(len(part)), lens)
+        inside = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
+        valid = inside < size[part][which]
+        starts, group, heads = S.repeated(data, valid, length)
+        owner = first[part][which[starts]]
+        low = np.full(int(group[-1]) + 1 if len(group) else 0, C.LAST)
+        np.minimum.at(low, group, owner)
+        where = at_string[begin + which[starts]] + inside[starts]
+        least[where] = low[group]
+        if goes_on or (number + 1 < len(found) and found[number + 1][2]):
+            head = np.unique(group, return_index=True)[1]
+            chain.append((where, S.spelled(heads, starts[head], length), group))
+    if chain:
+        settle()
+    back = np.empty(len(bodies), np.int64)
+    back[order] = np.arange(len(bodies))
+    out, cut = [], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tolist()
+    for row, i, j, at in zip(rows, cut[:-1], cut[1:], places, strict=True):
+        mine, own = back[of_[i:j]], id_[i:j]
+        sizes = size[of_[i:j]]
+        strings = _spread(at_string[mine], sizes)
+        bits = np.repeat(own, sizes) > least[strings]
+        out.append((row["chunk"], row["bucket"], row["part"], len(bits), C.zipped(np.packbits(bits).tobytes()), None, None, None, None))
+        if row["part"]:
+            data = np.frombuffer(b"".join(bodies[k] for k in of[i:j]), np.uint8)
+            begins = np.cumsum(sizes + length - 1) - (sizes + length - 1)
+            open_ = np.flatnonzero(~bits)
+            here = _spread(begins, sizes)[open_]
+            w1, w2 = (T.span_hash(T.prefix(data, k), here, here + length, k).view(np.int64) for k in (0, 1))
+            who, where = np.repeat(own, sizes)[open_], _spread(at, sizes)[open_]
+            out += [(row["chunk"], None, None, None, None, *x) for x in zip(w1.tolist(), w2.tolist(), who.tolist(), where.tolist(), strict=True)]
+    return C.table(out, BITS)
 
 
 def _result(block: T.Block, i: int, gone: np.ndarray, with_text: bool) -> tuple:
@@ -63,213 +227,35 @@ def _result(block: T.Block, i: int, gone: np.ndarray, with_text: bool) -> tuple:
     return len(own), int(own.sum()), len(runs) // 2, runs.tolist(), hashlib.sha256(kept).hexdigest(), kept if with_text else None
 
 
-def _packed(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of RANGES for covered strings of one length; a range joins strings whose starts follow one another."""
-    if not len(ids):
-        return []
-    order = np.lexsort((starts, ids))
-    ids, starts, ends = ids[order], starts[order], ends[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)])
-    at = np.flatnonzero(new)
-    ids, starts, ends = ids[at], starts[at], np.maximum.reduceat(ends, at)
-    out = []
-    for b, e in _parts(homes(ids, buckets)):
-        names, counts = _runs(ids[e])
-        out.append((b, names.tobytes(), counts.astype(np.uint32).tobytes(), starts[e].tobytes(), ends[e].tobytes(), None, None, None, None))
-    return out
-
-
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-def _shards(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, b in enumerate(bodies):
-        if size and size + len(b) > SHARD_BYTES:
-            yield begin, i
-            begin, size = i, 0
-        size += len(b) + 1
-    if bodies:
-        yield begin, len(bodies)
-
-
-def _excerpts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    ks, ids, at, hot, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], []
-    for row in table.to_pylist():
-        ks.append(np.frombuffer(row["ks"], np.uint64))
-        ids.append(np.frombuffer(row["ids"], np.int64))
-        at.append(np.frombuffer(row["at"], np.uint32).astype(np.int64))
-        hot.append(np.full(len(ids[-1]), row["hot"]))
-        ends = np.cumsum(np.frombuffer(row["lens"], np.uint8), dtype=np.int64).tolist()
-        whole, begin = unzipped(row["body"], ends[-1]), 0
-        for end in ends:
-            bodies.append(whole[begin:end])
-            begin = end
-    return np.concatenate(ks), np.concatenate(ids), np.concatenate(at), np.concatenate(hot), bodies
-
-
-def merge_shards(table: pa.Table, length: int, buckets: int) -> pa.Table:
-    """A group of excerpts -> ranges covered by documents of smaller id, and for hot anchors its distinct strings."""
-    ks, ids, at, hot, bodies = _excerpts(table)
-    order = np.argsort(ks, kind="stable")
-    ids, at, hot, bodies = ids[order], at[order], hot[order], [bodies[k] for k in order.tolist()]
-    found: list[tuple] = []  # of each shard: sorted string hashes, second hashes, least ids, and one member of each
-    got_id, got_start = [], []
-    for begin, end in _shards(bodies):
-        data = np.frombuffer(b"\0".join(bodies[begin:end]) + b"\0", np.uint8)
-        sizes = np.array([len(b) for b in bodies[begin:end]])
-        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        which = np.repeat(np.arange(len(sizes)), sizes + 1)
-        place = np.arange(len(data)) - first[which]
-        valid = place + length <= sizes[which]
-        owner, start = ids[begin:end][which], at[begin:end][which] + place
-        starts, group = repeated(data, valid, length)
-        least = owner.copy()
-        if len(starts):
-            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            low = np.repeat(np.minimum.reduceat(owner[starts], cuts), np.diff(np.concatenate([cuts, [len(starts)]])))
-            least[starts] = low
-        covered = np.flatnonzero(valid & (owner > least))
-        got_id.append(owner[covered])
-        got_start.append(start[covered])
-        mine = np.flatnonzero(valid & (owner == least))
-        w1, w2 = (T.span_hash(T.prefix(data, k), mine, mine + length, k) for k in (0, 1))
-        by = np.argsort(w1, kind="stable")
-        found.append((w1[by], w2[by], owner[mine][by], start[mine][by], hot[begin:end][which][mine][by]))
-    for i, (w1, w2, owner, start, _) in enumerate(found):  # the least id of each string in any other shard
-        for j, (o1, o2, other, _, _) in enumerate(found):
-            if i == j or not len(o1):
-                continue
-            lo, hi = np.searchsorted(o1, w1, "left"), np.searchsorted(o1, w1, "right")
-            while (lo < hi).any():
-                here = np.flatnonzero(lo < hi)
-                hit = here[(o2[lo[here]] == w2[here]) & (other[lo[here]] < owner[here])]
-                got_id.append(owner[hit])
-                got_start.append(start[hit])
-                lo[here] += 1
-    none = np.zeros(0, np.int64)
-    out_id, out_start = np.concatenate([none, *got_id]), np.concatenate([none, *got_start])
-    rows = _packed(out_id, out_start, out_start + length, buckets)
-    for w1, w2, owner, start, is_hot in found:
-        for k in np.flatnonzero(is_hot).tolist():
-            rows.append((None, None, None, None, None, int(w1[k].view(np.int64)), int(w2[k].view(np.int64)), int(owner[k]), int(start[k])))
-    return _table(rows, RANGES)
-
-
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, spans (start, end, ... in bytes), kept_sha256 and, if asked, kept_bytes."""
     if not 0 < gram <= length or 2 * length - gram > 255:
         raise ValueError("gram must be between 1 and length, and 2 * length - gram at most 255")
-    spark, buckets = docs.sparkSession, bucket_count(docs.sparkSession)
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chunks = C.chunked(docs, id_col, text_col)
+    buckets, limit = C.bucket_count(chunks), SHARD_BYTES
 
-    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, ids = by_id(batch, 0)
-            held: list[Anchors] = []
-            size = 0
-            for block in T.blocks(batch.column(1)):
-                found = _anchors(block, length, gram)
-                found.text = found.text + block.first
-                held.append(found)
-                size += len(block.data)
-                if size >= SEND_BYTES:
-                    yield from send_anchors(ids, held, buckets)
-                    held, size = [], 0
-            yield from send_anchors(ids, held, buckets)
-
-    def decide(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, nulls, texts = unpack_texts(docs)
-        bucket = docs.column("bucket")[0].as_py() if docs.num_rows else 0
-        told, rows, open_marks = Answers(answers), [], []
-        for block in T.blocks(texts):
-            own, null = ids[block.first : block.first + len(block)], nulls[block.first : block.first + len(block)]
-            marks = _anchors(block, length, gram)
-            flags = told.flag(own[marks.text], marks.kf)
-            sure, open_ = flags == COVERED, np.flatnonzero(flags >= MIXED)
-            gone = T.covered(marks.start[sure], marks.end[sure], len(block.data))
-            waiting = np.bincount(marks.text[open_], minlength=len(block)) > 0
-            for i in np.flatnonzero(~waiting).tolist():
-                rows.append((bucket, 0, own[i], null[i], *_result(block, i, gone, with_text), *[None] * 10))
-            if not len(open_):
-                continue
-            # each distinct context of a document once; its further places wait for the answer to that one
-            key = marks.kf[open_] ^ marks.text[open_].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            _, first, of = np.unique(key, return_index=True, return_inverse=True)
-            again = np.flatnonzero(first[of] != np.arange(len(open_)))
-            more, sent = open_[again], open_[first[of[again]]]
-            held, units = np.flatnonzero(waiting), np.repeat(waiting, np.diff(block.bounds))
-            where = block.bounds[marks.text[more]]
-            copies = np.stack([np.searchsorted(held, marks.text[more]), marks.start[sent] - where, marks.start[more] - where, marks.end[more] - marks.start[more] - length + 1], 1)
-            rows.append((bucket, 1, *[None] * 8, own[held].tobytes(), null[held].tobytes(), np.diff(block.bounds)[held].astype(np.uint32).tobytes(), zipped(block.data[units].tobytes()), zipped(np.packbits(gone[units]).tobytes()), None, None, None, None, copies.astype(np.uint32).tobytes()))
-            open_ = open_[first]
-            s, e = marks.start[open_], marks.end[open_]
-            level = (flags[open_] - MIXED).astype(np.uint64)
-            where = block.bounds[marks.text[open_]]
-            open_marks.append((marks.ks[open_], own[marks.text[open_]], s - where, level > 0, (marks.kf[open_] & ((np.uint64(1) << level) - np.uint64(1))).astype(np.int64), [block.data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]))
-        if open_marks:
-            ks, own, at, hot, part = (np.concatenate([m[k] for m in open_marks]) for k in range(5))
-            bodies = [x for m in open_marks for x in m[5]]
-            group = ((ks >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            for code, k in _parts((part << 33) | (group << 1) | hot):
-                whole = b"".join([bodies[x] for x in k.tolist()])
-                lens = np.array([len(bodies[x]) for x in k.tolist()], np.uint8)
-                rows.append((int(code >> 1 & (1 << 32) - 1), 2, *[None] * 8, own[k].tobytes(), None, lens.tobytes(), zipped(whole), None, ks[k].tobytes(), at[k].astype(np.uint32).tobytes(), int(code >> 33), bool(code & 1), None))
-        return _table(rows, PARTS)
-
-    sent = pairs.mapInArrow(find_anchors, SENT_SQL)
-    texts = pairs.mapInArrow(lambda batches: pack_texts(batches, buckets), TEXTS_SQL)
-    parts = texts.groupBy("bucket").cogroup(settle(sent, buckets, hot).groupBy("bucket")).applyInArrow(decide, PARTS_SQL)
-    path = new_folder(spark, "substrings")
-    parts.write.partitionBy("kind").parquet(path)
-    done = spark.read.schema(PARTS_SQL).parquet(path)
-    final = done.filter("kind = 0").select(*RESULT)
-    waiting = done.filter("kind = 1").select("bucket", "ids", "nulls", "lens", "body", "gone", "copies")
-    excerpts = done.filter("kind = 2").select("bucket", "part", "hot", "ids", "lens", "body", "ks", "at")
-    ranges_path = new_folder(spark, "substring-ranges")
-    excerpts.groupBy("bucket", "part").applyInArrow(lambda t: merge_shards(t, length, buckets), RANGES_SQL).write.parquet(ranges_path)
-    ranges = spark.read.schema(RANGES_SQL).parquet(ranges_path)
-    packed = ranges.filter("bucket is not null").select("bucket", "ids", "counts", "starts", "ends")
-    strings = ranges.filter("w1 is not null").select("w1", "w2", "id", "at")
-    least = strings.groupBy("w1", "w2").agg(F.min("id").alias("least"))
-    spread = strings.join(least, ["w1", "w2"]).filter("id > least").select("id", "at")
+            for i in range(batch.num_rows):
+                yield from Excerpts(C.opened(batch.slice(i, 1).to_pylist()[0]), length, gram).ask(buckets).to_batches()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at = (batch.column(k).to_numpy() for k in (0, 1))
-            yield from _table(_packed(ids, at, at + length, buckets), RANGES).select(["bucket", "ids", "counts", "starts", "ends"]).to_batches()
-
-    packed = packed.unionByName(spread.mapInArrow(pack, "bucket int, ids binary, counts binary, starts binary, ends binary"))
-
-    def finish(docs: pa.Table, ranges: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(b"".join(ranges.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("counts", np.uint32), ("starts", np.int64), ("ends", np.int64))]
-        who = np.repeat(raw[0], raw[1])
-        order = np.argsort(who, kind="stable")
-        who, starts, ends = who[order], raw[2][order], raw[3][order]
-        rows = []
-        for row in docs.to_pylist():
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.uint32), dtype=np.int64)])
-            block = T.Block(np.frombuffer(unzipped(row["body"], int(at[-1])), np.uint8), at, 0)
-            gone = np.unpackbits(np.frombuffer(unzipped(row["gone"], (int(at[-1]) + 7) // 8), np.uint8), count=int(at[-1])).astype(bool)
-            own, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
-            lo, hi = np.searchsorted(who, own, "left"), np.searchsorted(who, own, "right")
-            copies = np.frombuffer(row["copies"], np.uint32).reshape(-1, 4).astype(np.int64)
-            copies = copies[np.argsort(copies[:, 0], kind="stable")]
-            cut = np.searchsorted(copies[:, 0], np.arange(len(block) + 1))
-            for i in range(len(block)):
-                if hi[i] > lo[i]:
-                    size = int(at[i + 1] - at[i])
-                    begins = T.covered(starts[lo[i] : hi[i]], ends[lo[i] : hi[i]] - length + 1, size)
-                    _, sent, more, n = copies[cut[i] : cut[i + 1]].T
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    begins[(np.repeat(more, n) + step)[begins[np.repeat(sent, n) + step]]] = True
-                    begins = np.flatnonzero(begins)
-                    gone[at[i] : at[i + 1]] |= T.covered(begins, begins + length, size)
-                rows.append((own[i], null[i], *_result(block, i, gone, with_text)))
-        return _table(rows, pa.schema([PARTS.field(n) for n in RESULT]))
-
-    late = waiting.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(finish, RESULT_SQL)
-    out = final.unionByName(late)
+    def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        return Excerpts(C.opened(rows.to_pylist()[0]), length, gram).send(C.codes(answers.to_pylist()), buckets)
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        excerpts, told = Excerpts(C.opened(rows.to_pylist()[0]), length, gram), answers.to_pylist()
+        codes = C.codes([a for a in told if a["codes"] is not None])
+        bits = {(a["bucket"], a["part"]): np.unpackbits(np.frombuffer(C.unzipped(a["bits"], (a["n"] + 7) // 8), np.uint8), count=a["n"]).astype(bool) for a in told if a["bits"] is not None}
+        starts = np.array([a["at"] for a in told if a["at"] is not None], np.int64)
+        gone, chunk = excerpts.gone(codes, buckets, bits, starts), excerpts.chunk
+        return C.table([(chunk.ids[i], chunk.nulls[i], *_result(chunk.block, i, gone, with_text)) for i in range(len(chunk.block))], RESULT)
+
+    codes = written(C.shared(chunks.mapInArrow(ask, C.SENT_SQL), hot), "anchor-answers")
+    sent = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send, SENT_SQL)
+    told = written(sent.groupBy("bucket", "part").applyInArrow(lambda t: merge_shards(t, length, limit), BITS_SQL), "string-answers")
+    strings = told.filter("w1 is not null").select("chunk", "w1", "w2", "id", "at")
+    least = strings.groupBy("w1", "w2").agg(F.min("id").alias("least"))
+    spread = strings.join(least, ["w1", "w2"]).filter("id > least").select("chunk", "at")
+    answers = codes.unionByName(told.filter("bits is not null").select("chunk", "bucket", "part", "n", "bits"), allowMissingColumns=True).unionByName(spread, allowMissingColumns=True)
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT_SQL)
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_bytes")] if with_text else []))

@@ -98,11 +98,54 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, heads: np.ndarray) -> n
     return np.maximum(np.maximum.accumulate(shared + here) - here, 0)[order]
 
 
-def repeated(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal ``length``-byte strings among the valid starts: (starts sorted by group, group numbers), groups of two or more."""
+def repeated(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``length``-byte strings at the valid starts: (starts in suffix order, number of each one's string, heads)."""
     order, heads = suffix_order(data)
-    group = np.cumsum(common_prefixes(data, order, heads) < length)
+    new = common_prefixes(data, order, heads) < length
     good = valid[order]
-    starts, group = order[good], group[good]
-    many = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-    return starts[many], group[many]
+    group = np.cumsum(new)[good]
+    if len(group):
+        _, group = np.unique(group, return_inverse=True)
+    return order[good], group, heads
+
+
+def spelled(heads: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The strings as rows of big-endian numbers, eight bytes each, so that rows compare as the strings do."""
+    at = [*range(0, length - 7, 8)]
+    columns = [heads[starts + k] for k in at]
+    if 8 * len(at) < length:
+        rest = length - 8 * len(at)
+        columns.append(heads[np.minimum(starts + 8 * len(at), len(heads) - 1)] >> np.uint64(8 * (8 - rest)))
+    return np.stack(columns, 1) if len(starts) else np.zeros((0, len(columns)), np.uint64)
+
+
+def before(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row of a comes before that of b, and whether both are equal."""
+    less, same = np.zeros(len(a), bool), np.ones(len(a), bool)
+    for k in range(a.shape[1]):
+        less |= same & (a[:, k] < b[:, k])
+        same &= a[:, k] == b[:, k]
+    return less, same
+
+
+def find(rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search: the place of each wanted row among the ascending rows, and whether it is there."""
+    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(rows), np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_]) // 2
+        less, _ = before(rows[middle], wanted[open_])
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
+    there = np.zeros(len(wanted), bool)
+    inside = np.flatnonzero(low < len(rows))
+    there[inside] = before(rows[low[inside]], wanted[inside])[1]
+    return low, there
+
+
+def merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two shards' distinct strings, in suffix order with the least id of each, as those of one."""
+    (rows, ids), (more, other) = one, two
+    at, there = find(rows, more)
+    ids = ids.copy()
+    ids[at[there]] = np.minimum(ids[at[there]], other[there])
+    return np.insert(rows, at[~there], more[~there], axis=0), np.insert(ids, at[~there], other[~there])

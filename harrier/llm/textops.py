@@ -169,9 +169,9 @@ def window_fits(bounds: np.ndarray, n: int) -> np.ndarray:
 
 def covered(starts: np.ndarray, ends: np.ndarray, total: int) -> np.ndarray:
     """Positions below total that lie in any of the ranges."""
-    steps = np.zeros(total + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, ends, -1)
+    if not len(starts):
+        return np.zeros(total, bool)
+    steps = np.bincount(starts, minlength=total + 1) - np.bincount(ends, minlength=total + 1)
     return np.cumsum(steps[:-1]) > 0
 
 

@@ -1,17 +1,19 @@
 """Substring dedup on words by level-wise doubling.
 
-Level by level, only what repeats across documents is extended to twice its length. The first level takes grams of
-``length // 2 + 1`` words at anchor positions (see anchors); those held by one document alone are dropped there.
-An anchor whose whole context is held by a document of smaller id settles all its windows at once. Around the
-other repeated anchors, and nowhere else, the windows of full ``length`` (the doubled grams, capped) are formed and
-exchanged. Doubling ends there: at full length no candidate is left undecided.
+Level by level, only windows that repeat across documents are extended to twice their length: first all runs of 4
+words are exchanged (see chunks), then of 8, doubling up to ``length``. A window of full length stays a candidate as
+long as all runs of the level's length within it repeat; a level exchanges the runs of candidates only, so one that a
+single document holds is dropped there. The last level, at full length, decides every candidate that is left. A level
+replays those before it from their answers, which are bits; so nothing but chunks and bits is kept between levels.
 
 Removed is each word covered by a window whose word sequence also starts in a document of smaller id; windows are
-judged on the input. Words are compared by 64-bit hashes, windows by 88 bits or more.
+judged on the input. Windows are compared by 80 bits of their hashes at the level that decides (see chunks for the
+chance of an error), words by 64 bits.
 
 Edge cases: a null, empty or blank text has no words and an empty result; texts of fewer words than a window lose
-nothing; documents of equal id never remove words of each other; null ids count as the largest; an empty table
-gives an empty result. Only the id (a whole number) and text columns are read.
+nothing; documents of equal id never remove words of each other; null ids count as the largest; ids must be whole
+numbers, others raise a TypeError; a text longer than a chunk is a chunk of its own; an empty table gives an empty
+result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,38 +26,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrier.llm import chunks as C
 from harrier.llm import textops as T
-from harrier.llm.anchors import SEND_BYTES, Anchors, anchors, send_anchors
-from harrier.llm.exchange import COVERED, MIXED, SENT_SQL, TEXTS_SQL, Answers, bucket_count, by_id, pack_texts, send, settle, unpack_texts, unzipped, zipped
-from harrier.llm.store import new_folder
+from harrier.llm.store import written
 
 LENGTH = 13
-#: kind 0: settled documents. kind 1: those that wait, some to a row: texts, words gone so far and windows in doubt.
-PARTS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("no_id", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.string()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("gone", pa.binary()), ("asked", pa.binary())])
-PARTS_SQL = "bucket int, kind int, id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string, ids binary, nulls binary, lens binary, body binary, gone binary, asked binary"
-RESULT = ("id", "no_id", "n_words", "n_removed", "spans", "sha", "kept")
+FIRST = 4
+RESULT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.string())])
 RESULT_SQL = "id long, no_id boolean, n_words long, n_removed long, spans array<long>, sha string, kept string"
 
 
-def unit_sums(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * T.powers(len(hashes), 0), out=out[1:])
+def lengths(length: int, first: int = FIRST) -> list[int]:
+    """The lengths of the levels: doubled from first, the last one capped."""
+    out = [min(first, length)]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
     return out
 
 
-def _anchors(block: T.Block, length: int) -> tuple[T.Words, np.ndarray, Anchors]:
-    found = T.words(block)
-    sums = unit_sums(T.word_hashes(block, found))
-    return found, sums, anchors(sums, found.bounds, length, length // 2 + 1)
-
-
-def _windows(block: T.Block, found: T.Words, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows at these positions."""
-    out = []
-    for which in (0, 1):
-        sums = unit_sums(T.word_hashes(block, found, which))
-        out.append(T.span_hash(sums, at, at + length))
-    return out[0], out[1]
+class Windows:
+    """Candidate windows of a chunk: level by level, those go of which a run does not repeat."""
+
+    def __init__(self, chunk: C.Chunk, length: int):
+        self.chunk, self.length = chunk, length
+        self.found = T.words(chunk.block)
+        self.sums: list[np.ndarray] = []
+        for which in (0, 1):
+            hashes = T.word_hashes(chunk.block, self.found, which)
+            sums = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(hashes * T.powers(len(hashes), which), out=sums[1:])
+            self.sums.append(sums)
+        self.alive = T.window_fits(self.found.bounds, length)
+        self.owner = self.found.texts()
+
+    def hashes(self, at: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+        return T.span_hash(self.sums[which], at, at + size, which)
+
+    def level(self, size: int) -> tuple[np.ndarray, C.Distinct]:
+        """Starts of the runs of so many words within candidates, and their distinct keys."""
+        alive = np.flatnonzero(self.alive)
+        at = np.flatnonzero(T.covered(alive, alive + self.length - size + 1, len(self.found)))
+        return at, C.distinct(self.hashes(at, size))
+
+    def drop(self, size: int, codes: np.ndarray) -> None:
+        """Candidates stay if all their runs repeat."""
+        at, keys = self.level(size)
+        repeats = np.zeros(len(self.found) + 1, np.int64)
+        repeats[at + 1] = codes[keys.of] > 0
+        repeats = np.cumsum(repeats)
+        runs = self.length - size + 1
+        self.alive &= repeats[runs : runs + len(self.alive)] - repeats[: len(self.alive)] == runs
+
+    def ask(self, size: int, buckets: int) -> pa.Table:
+        at, keys = self.level(size)
+        ids = self.chunk.ids[self.owner[at]]
+        if size < self.length:
+            return C.ask_shared(self.chunk.number, keys.keys, ids[keys.first] != ids[keys.last], buckets)
+        return C.ask_earlier(self.chunk.number, keys.keys, self.hashes(at[keys.first], size, 1), ids[keys.first], buckets)
+
+    def gone(self, codes: np.ndarray, buckets: int) -> np.ndarray:
+        """Words covered by a window that a document of smaller id holds, in another chunk or in this one."""
+        at, keys = self.level(self.length)
+        ids = self.chunk.ids[self.owner[at]]
+        least = ids[keys.first]
+        told = np.zeros(len(keys.keys), bool)
+        told[C.earlier_order(keys.keys, least, buckets)] = codes > 0
+        hit = at[told[keys.of] | (ids > least[keys.of])]
+        return T.covered(hit, hit + self.length, len(self.found))
 
 
 def _result(block: T.Block, found: T.Words, i: int, gone: np.ndarray, with_text: bool) -> tuple[int, list[int], str, str | None]:
@@ -71,88 +108,41 @@ def _result(block: T.Block, found: T.Words, i: int, gone: np.ndarray, with_text:
     return int(own.sum()), runs.tolist(), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, first: int = FIRST) -> DataFrame:
     """id, n_words, n_removed, spans (start, end, ... of removed runs, in words), kept_sha256 and, if asked, kept_text."""
-    if length < 2:
-        raise ValueError("a window needs at least two words")
-    spark, buckets = docs.sparkSession, bucket_count(docs.sparkSession)
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def level_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch, ids = by_id(batch, 0)
-            held: list[Anchors] = []
-            size = 0
-            for block in T.blocks(batch.column(1)):
-                found = _anchors(block, length)[2]
-                found.text = found.text + block.first
-                held.append(found)
-                size += len(block.data)
-                if size >= SEND_BYTES:
-                    yield from send_anchors(ids, held, buckets)
-                    held, size = [], 0
-            yield from send_anchors(ids, held, buckets)
-
-    def level_two(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, nulls, texts = unpack_texts(docs)
-        bucket = docs.column("bucket")[0].as_py() if docs.num_rows else 0
-        told, rows = Answers(answers), []
-        for block in T.blocks(texts):
-            found, _, marks = _anchors(block, length)
-            own, null = ids[block.first : block.first + len(block)], nulls[block.first : block.first + len(block)]
-            flags = told.flag(own[marks.text], marks.kf)
-            sure, open_ = flags == COVERED, flags >= MIXED
-            gone = T.covered(marks.start[sure], marks.end[sure], len(found))
-            # all windows that hold an undecided anchor: also those already covered, which larger ids may share
-            ask = T.covered(marks.start[open_], marks.end[open_] - length + 1, len(found))
-            waiting = T.per_text(ask, found.bounds) > 0
-            for i in np.flatnonzero(~waiting).tolist():
-                rows.append((bucket, 0, own[i], null[i], found.bounds[i + 1] - found.bounds[i], *_result(block, found, i, gone, with_text), *[None] * 6))
-            if waiting.any():
-                held = np.flatnonzero(waiting)
-                words = np.repeat(waiting, np.diff(found.bounds))
-                body = b"".join(block.text(i) for i in held)
-                lens = np.diff(block.bounds)[held].astype(np.uint32)
-                rows.append((bucket, 1, *[None] * 7, own[held].tobytes(), null[held].tobytes(), lens.tobytes(), zipped(body), np.packbits(gone[words]).tobytes(), np.packbits(ask[words]).tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[] for _ in PARTS]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, PARTS.types, strict=True)], schema=PARTS)
-
-    sent = pairs.mapInArrow(level_one, SENT_SQL)
-    texts = pairs.mapInArrow(lambda batches: pack_texts(batches, buckets), TEXTS_SQL)
-    parts = texts.groupBy("bucket").cogroup(settle(sent, buckets).groupBy("bucket")).applyInArrow(level_two, PARTS_SQL)
-    path = new_folder(spark, "word-windows")
-    parts.write.partitionBy("kind").parquet(path)
-    done = spark.read.schema(PARTS_SQL).parquet(path)
-    final = done.filter("kind = 0").select(*RESULT)
-    waiting = done.filter("kind = 1").select("bucket", "ids", "nulls", "lens", "body", "gone", "asked")
-
-    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, T.Block, T.Words, np.ndarray, np.ndarray]:
-        """ids, nulls, block, words, gone and the starts of asked windows of a packed row."""
-        at = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.uint32), dtype=np.int64)])
-        block = T.Block(np.frombuffer(unzipped(row["body"], int(at[-1])), np.uint8), at, 0)
-        found = T.words(block)
-        gone, asked = (np.unpackbits(np.frombuffer(row[c], np.uint8), count=len(found)).astype(bool) for c in ("gone", "asked"))
-        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), block, found, gone, np.flatnonzero(asked)
-
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if length < 1 or first < 1:
+        raise ValueError("a window needs at least one word")
+    chunks = C.chunked(docs, id_col, text_col)
+    buckets, levels = C.bucket_count(chunks), lengths(length, first)
+
+    def replayed(row: dict, answers: list[dict], upto: int) -> Windows:
+        windows = Windows(C.opened(row), length)
+        for k in range(upto):
+            windows.drop(levels[k], C.codes([a for a in answers if a["level"] == k]))
+        return windows
+
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, _, block, found, _, at = unpacked(row)
-                yield from send(ids, np.searchsorted(found.bounds, at, "right") - 1, *_windows(block, found, length, at), buckets)
-
-    def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        told, rows = Answers(answers), []
-        for row in docs.to_pylist():
-            ids, nulls, block, found, gone, at = unpacked(row)
-            owner = np.searchsorted(found.bounds, at, "right") - 1
-            hit = at[told.flag(ids[owner], _windows(block, found, length, at)[1]) == COVERED]
-            gone |= T.covered(hit, hit + length, len(found))
-            rows += [(ids[i], nulls[i], found.bounds[i + 1] - found.bounds[i], *_result(block, found, i, gone, with_text)) for i in range(len(block))]
-        schema = pa.schema([PARTS.field(n) for n in RESULT])
-        columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-    keys = waiting.mapInArrow(send_windows, SENT_SQL)
-    late = waiting.groupBy("bucket").cogroup(settle(keys, buckets).groupBy("bucket")).applyInArrow(finish, RESULT_SQL)
-    out = final.unionByName(late)
+            for i in range(batch.num_rows):
+                yield from replayed(batch.slice(i, 1).to_pylist()[0], [], 0).ask(levels[0], buckets).to_batches()
+
+    def ask_next(level: int):
+        return lambda rows, answers: replayed(rows.to_pylist()[0], answers.to_pylist(), level).ask(levels[level], buckets)
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        told, last = answers.to_pylist(), len(levels) - 1
+        windows = replayed(rows.to_pylist()[0], told, last)
+        gone = windows.gone(C.codes([a for a in told if a["level"] == last]), buckets)
+        chunk, found, out = windows.chunk, windows.found, []
+        for i in range(len(chunk.block)):
+            out.append((chunk.ids[i], chunk.nulls[i], found.bounds[i + 1] - found.bounds[i], *_result(chunk.block, found, i, gone, with_text)))
+        return C.table(out, RESULT)
+
+    answers = None
+    for level, size in enumerate(levels):
+        asked = chunks.mapInArrow(ask_first, C.SENT_SQL) if answers is None else chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_next(level), C.SENT_SQL)
+        told = C.earlier(asked) if size == length else C.shared(asked)
+        told = written(told.withColumn("level", F.lit(level)), "window-answers")
+        answers = told if answers is None else answers.unionByName(told)
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT_SQL)
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if with_text else []))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import harrier.llm.substrings as substrings
-from harrier.llm import cuckoo, decontaminate, exchange, lines, mixing, quality, secrets, simhash, similar, suffix_arrays, tokens, warc, word_windows
+from harrier.llm import chunks, cuckoo, decontaminate, lines, mixing, quality, secrets, simhash, similar, suffix_arrays, tokens, warc, word_windows
 from harrier.llm import textops as T
 from harrier.llm.components import components
 from harrier.llm.queries import ORACLES, QUERIES
@@ -102,16 +102,34 @@ def test_suffix_array_dedup(spark, hot):
     assert got.filter("doc_id = 4").first().spans == [0, len(LONG)]
 
 
-def test_suffix_array_dedup_merges_shards(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD_BYTES", 300)
-    table = pa.table({"ks": [np.array([1, 1, 1, 2], np.uint64).tobytes()], "ids": [np.array([5, 2, 9, 1]).tobytes()], "at": [np.zeros(4, np.uint32).tobytes()], "lens": [np.array([80] * 4, np.uint8).tobytes()], "hot": [False], "body": [exchange.zipped(b"".join(LONG.encode()[k : k + 80] for k in (0, 5, 9, 20)))]})
-    found = {}
-    for row in substrings.merge_shards(table, 50, 8).to_pylist():
-        ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.uint32)
-        starts, ends = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)
-        for d, s, e in zip(np.repeat(ids, counts).tolist(), starts.tolist(), ends.tolist(), strict=True):
-            found.setdefault(d, []).append((s, e))
-    assert {d: sorted(v) for d, v in found.items()} == {5: [(5, 80)], 9: [(0, 80)], 2: [(15, 80)]}
+def test_suffix_array_dedup_merges_shards():
+    """Four excerpts, two of one anchor, in shards that hold one excerpt each."""
+    bodies = [LONG.encode()[k : k + 80] for k in (0, 5, 9, 20)]
+    for keys, limit in (([1, 1, 1, 1], 100), ([1, 1, 1, 2], 100), ([1, 1, 1, 1], 10_000)):
+        row = {"bucket": 3, "part": 0, "chunk": 7, "ids": np.array([5, 2, 9, 1]).tobytes(), "counts": np.ones(4, np.uint32).tobytes(), "lens": np.array([80] * 4, np.uint8).tobytes(), "keys": np.array(keys, np.uint32).tobytes(), "at": None, "body": chunks.zipped(b"".join(bodies))}
+        (got,) = substrings.merge_shards(pa.Table.from_pylist([row], substrings.SENT), 50, limit).to_pylist()
+        bits = np.unpackbits(np.frombuffer(chunks.unzipped(got["bits"], 16), np.uint8), count=got["n"]).astype(bool)
+        held = [(k, i, b[i : i + 50]) for k, i, b in ((k, i, b) for k, b in enumerate(bodies) for i in range(31))]
+        ids = [5, 2, 9, 1]
+        want = [any(ids[m] < ids[k] and keys[m] == keys[k] and s == t for m, _, t in held) for k, _, s in held]
+        assert bits.tolist() == want
+
+
+def test_binary_search_in_suffix_order():
+    rng = np.random.default_rng(3)
+    for length in (3, 8, 13, 50):
+        raw = rng.integers(97, 99, 400).astype(np.uint8)
+        valid = np.arange(400) + length <= 400
+        starts, group, heads = suffix_arrays.repeated(raw, valid, length)
+        words = [raw[s : s + length].tobytes() for s in starts.tolist()]
+        assert words == sorted(words) and all((a == b) == (x == y) for a, b, x, y in zip(words, words[1:], group, group[1:], strict=False))
+        head = np.unique(group, return_index=True)[1]
+        rows = suffix_arrays.spelled(heads, starts[head], length)
+        half = rows[::2]
+        at, there = suffix_arrays.find(half, rows)
+        assert there.tolist() == [k % 2 == 0 for k in range(len(rows))] and (at[::2] == np.arange(len(half))).all()
+        both, ids = suffix_arrays.merged((half, np.full(len(half), 5)), (rows[1::2], np.full(len(rows[1::2]), 4)))
+        assert (both == rows).all() and ids.tolist() == [5 - k % 2 for k in range(len(rows))]
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
@@ -153,9 +171,18 @@ def test_equal_and_null_ids(spark):
     assert got == [(1, 0), (1, 0), (99, 1), (99, 1)]
 
 
-def test_home_bucket_is_one_for_each_id():
-    ids = np.array([0, 1, -5, 2**62], np.int64)
-    assert (exchange.homes(ids, 7) == exchange.homes(ids, 7)).all() and ((0 <= exchange.homes(ids, 7)) & (exchange.homes(ids, 7) < 7)).all()
+@pytest.mark.parametrize("size", [40, 700])
+def test_repeats_across_chunks(spark, monkeypatch, size):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", size)
+    monkeypatch.setattr(chunks, "CHUNK_DOCS", 3)
+    docs = chunks.chunked(frame(spark, corpus(), 3), "doc_id", "text")
+    assert sum(len(chunks.opened(r.asDict()).ids) for r in docs.collect()) == len(corpus())
+    assert result(word_windows.remove_repeated(frame(spark, corpus(), 3)), "n_words", "n_removed", "kept_sha256") == brute.op2(corpus())
+    assert result(substrings.remove_repeated(frame(spark, corpus(), 3)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(corpus())
+
+
+def test_levels_double():
+    assert word_windows.lengths(13) == [4, 8, 13] and word_windows.lengths(3) == [3] and word_windows.lengths(50) == [4, 8, 16, 32, 50]
 
 
 def test_quality_base_and_verdict(spark):
