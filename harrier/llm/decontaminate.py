@@ -5,16 +5,21 @@ words of a test item is a window; an item of fewer words, but at least one, is o
 Tasks hash all word windows of the training texts, look them up in the set, compare the words of each hit with
 those of the test window, and mark the words that lie in any occurrence.
 
+The set is broadcast in parts of at most ``max_windows`` windows, one after another: the driver and each task hold one
+part at a time. One part is the usual case and takes one pass over the texts. With more, each part's pass writes the
+hits it finds by hash of the text, the next part follows, and a last pass joins the hits to the texts.
+
 Edge cases: a null or empty text has no words and is never contaminated; a null, empty or wordless test item has
 no windows; equal items all count as found; repeated rows are judged one by one; an empty table of items marks
-nothing; columns of the caller may have any names, since only the key and text columns are read.
+nothing, an empty table of texts gives an empty result; other columns are kept by ``clean_documents`` whatever their
+names, and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
+from harrier.llm.store import col, fresh, written
 
 N = 10
-#: Test windows that may be broadcast: about 120 bytes each, so 60 MB. More are taken in as many rounds as needed.
+#: Test windows of a part: about 120 bytes each, so 60 MB.
 MAX_WINDOWS = 500_000
 
 
 @dataclass
 class TestSet:
-    """Windows of test items. keys[n] are sorted hashes of those of n words, with their words and items."""
+    """Windows of test items. keys[n] are sorted hashes of those of n words, spelled[n] their words joined by spaces,
+    and items[n] the items that hold each."""
 
     keys: dict[int, np.ndarray]
-    spelled: dict[int, list[tuple[bytes, ...]]]
+    spelled: dict[int, list[bytes]]
     items: dict[int, list[tuple]]
+    seen: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def maybe(self, size: int, windows: np.ndarray) -> np.ndarray:
+        """Places of windows that may be in the set, by a bitmap of 22 bits of the hashes."""
+        if size not in self.seen:
+            self.seen[size] = np.zeros(1 << 22, bool)
+            self.seen[size][(self.keys[size] >> np.uint64(42)).astype(np.int64)] = True
+        return np.flatnonzero(self.seen[size][(windows >> np.uint64(42)).astype(np.int64)])
 
 
 def item_windows(text: str | None, n: int) -> list[tuple[bytes, ...]]:
@@ -46,17 +61,13 @@ def item_windows(text: str | None, n: int) -> list[tuple[bytes, ...]]:
     return [tuple(all_words[k : k + size]) for k in range(len(all_words) - size + 1)] if size else []
 
 
-def test_set(rows: list[tuple], n: int) -> TestSet:
-    """rows: (item id, text)."""
-    owners: dict[tuple[bytes, ...], set] = {}
-    for item, text in rows:
-        for window in item_windows(text, n):
-            owners.setdefault(window, set()).add(item)
+def test_set(windows: dict[tuple[int, bytes], set]) -> TestSet:
+    """windows: (number of words, words joined by spaces) -> items."""
     by: dict[int, list] = {}
-    for window, items in owners.items():
-        block = next(T.blocks(pa.array([b" ".join(window)], pa.binary())))
-        h = T.window_hashes(T.word_hashes(block, T.words(block)), len(window))
-        by.setdefault(len(window), []).append((int(h[0]), window, tuple(sorted(items, key=str))))
+    for (size, spelled), items in windows.items():
+        block = next(T.blocks(pa.array([spelled], pa.binary())))
+        h = T.window_hashes(T.word_hashes(block, T.words(block)), size)
+        by.setdefault(size, []).append((int(h[0]), spelled, tuple(sorted(items, key=str))))
     out = TestSet({}, {}, {})
     for size, found in by.items():
         found.sort(key=lambda x: x[0])
@@ -66,6 +77,19 @@ def test_set(rows: list[tuple], n: int) -> TestSet:
     return out
 
 
+def parts(tests: DataFrame, item_col: str, text_col: str, n: int, max_windows: int) -> Iterator[TestSet]:
+    """The test set in parts of at most max_windows windows, read as a stream so the driver holds one part."""
+    held: dict[tuple[int, bytes], set] = {}
+    for row in tests.select(col(item_col).alias("i"), col(text_col).cast("string").alias("t")).toLocalIterator():
+        for window in item_windows(row.t, n):
+            key = (len(window), b" ".join(window))
+            if key not in held and len(held) >= max_windows:
+                yield test_set(held)
+                held = {}
+            held.setdefault(key, set()).add(row.i)
+    yield test_set(held)
+
+
 def block_hits(block: T.Block, tests: TestSet) -> tuple[T.Words, np.ndarray, list[set]]:
     """Words of a block, which of them are hit, and the items found in each text."""
     data = T.LOWER[block.data]
@@ -77,15 +101,12 @@ def block_hits(block: T.Block, tests: TestSet) -> tuple[T.Words, np.ndarray, lis
         windows = T.window_hashes(hashes, size)
         if not len(windows):
             continue
-        table = np.zeros(1 << 22, bool)
-        table[(keys >> np.uint64(42)).astype(np.int64)] = True
-        maybe = np.flatnonzero(table[(windows >> np.uint64(42)).astype(np.int64)])
+        maybe = tests.maybe(size, windows)
         maybe = maybe[texts[maybe] == texts[maybe + size - 1]]
         lo, hi = np.searchsorted(keys, windows[maybe], "left"), np.searchsorted(keys, windows[maybe], "right")
-        for k, a, b in zip(maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            if a == b:
-                continue
-            spelled = tuple(data[s:e].tobytes() for s, e in zip(found.starts[k : k + size], found.ends[k : k + size], strict=True))
+        known = np.flatnonzero(lo < hi)
+        for k, a, b in zip(maybe[known].tolist(), lo[known].tolist(), hi[known].tolist(), strict=True):
+            spelled = b" ".join([data[s:e].tobytes() for s, e in zip(found.starts[k : k + size].tolist(), found.ends[k : k + size].tolist(), strict=True)])
             for which in range(a, b):
                 if tests.spelled[size][which] == spelled:
                     hit[k : k + size] = True
@@ -113,60 +134,85 @@ def _cut(found: T.Words, hit: np.ndarray, block: T.Block, i: int) -> bytes:
 SCHEMA = "n_words long, n_hit long, item_ids array<string>, clean_text string"
 
 
-def _rounds(tests: DataFrame, item_col: str, text_col: str, n: int, max_windows: int) -> Iterator[TestSet]:
-    """The test set in parts of at most max_windows windows, read as a stream so the driver holds one part."""
-    rows, count = [], 0
-    for row in tests.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        windows = max(1, len(row.t or "") // 2)
-        if rows and count + windows > max_windows * 6:
-            yield test_set(rows, n)
-            rows, count = [], 0
-        rows.append((row.i, row.t))
-        count += windows
-    yield test_set(rows, n)
+#: Finds the words of a block of a batch's texts, which of them are hit, and the items found in each text.
+Finder = Callable[[pa.RecordBatch, T.Block], tuple[T.Words, np.ndarray, list[set]]]
+
+
+def _with_last(things: Iterator[TestSet]) -> Iterator[tuple[bool, TestSet]]:
+    """Each thing, and whether it is the last one."""
+    before = next(things)
+    for thing in things:
+        yield False, before
+        before = thing
+    yield True, before
+
+
+def searched(docs: DataFrame, tests: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, max_windows: int) -> tuple[DataFrame, Finder]:
+    """docs, with further columns at the end if the tests make several parts, and how to find the hits of its texts."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    sc, found = docs.sparkSession.sparkContext, None
+    text = col(text_col).cast("string")
+    keys = (F.xxhash64(text), F.xxhash64(F.lit("2"), text))  # equal texts have equal hits
+    texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), text.alias("text"))
+
+    def hits(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in T.blocks(batch.column(2)):
+                    words, hit, items = block_hits(block, held.value)
+                    at = np.flatnonzero(T.per_text(hit, words.bounds)).tolist()
+                    own = batch.slice(block.first, len(block)).take(pa.array(at, pa.int64()))
+                    places = [np.flatnonzero(hit[words.bounds[i] : words.bounds[i + 1]]).tolist() for i in at]
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(places, pa.list_(pa.int32())), pa.array([sorted(map(str, items[i])) for i in at], pa.list_(pa.string()))], names=["k1", "k2", "hit", "items"])
+
+        return run
+
+    for last, part in _with_last(parts(tests, item_col, item_text_col, n, max_windows)):
+        held = sc.broadcast(part)
+        if last and found is None:
+            return docs, lambda batch, block, held=held: block_hits(block, held.value)
+        now = written(texts.mapInArrow(hits(held), "k1 long, k2 long, hit array<int>, items array<string>").dropDuplicates(["k1", "k2"]), "hits")
+        held.destroy()
+        found = now if found is None else found.unionByName(now)
+    own1, own2, k1, k2, hit, items = fresh(docs, "own1", "own2", "k1", "k2", "hit", "items")
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    merged = found.groupBy("k1", "k2").agg(union("hit").alias(hit), union("items").alias(items)).withColumnsRenamed({"k1": k1, "k2": k2})
+    joined = docs.withColumns({own1: keys[0], own2: keys[1]}).join(merged, (F.col(own1) == F.col(k1)) & (F.col(own2) == F.col(k2)), "left").drop(own1, own2, k1, k2)
+
+    def known(batch: pa.RecordBatch, block: T.Block) -> tuple[T.Words, np.ndarray, list[set]]:
+        words = T.words(T.Block(T.LOWER[block.data], block.bounds, 0), T.NOT_ALNUM)
+        mask, own = np.zeros(len(words), bool), []
+        places, names = (batch.column(batch.num_columns - k).slice(block.first, len(block)).to_pylist() for k in (2, 1))
+        for i in range(len(block)):
+            mask[words.bounds[i] + np.array(places[i] or [], np.int64)] = True
+            own.append({*(names[i] or [])})
+        return words, mask, own
+
+    return joined, known
 
 
 def find_hits(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, max_windows: int = MAX_WINDOWS, with_text: bool = True) -> DataFrame:
     """One row per document: key, n_words, n_hit, item_ids (sorted as strings) and the text without its hit spans.
 
-    clean_text is the text itself where nothing is hit; n_hit counts words in any occurrence of a window. The test
-    windows are broadcast in parts of bounded size; all parts are looked up in one pass over the documents.
+    clean_text is the text itself where nothing is hit; n_hit counts words in any occurrence of a window.
     """
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(p) for p in _rounds(tests, item_col, item_text_col, n, max_windows)]
-    kind = docs.schema[id_col].dataType
-    schema = f"`{id_col}` {kind.simpleString()}, {SCHEMA}"
+    rows, find = searched(docs.select(col(id_col).alias(id_col), col(text_col).cast("string").alias("own_text")), tests, "own_text", item_col, item_text_col, n, max_windows)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, clean_text string"
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            for block in T.blocks(column):
-                items: list[set] = [set() for _ in range(len(block))]
-                hit = None
-                for part in parts:
-                    found, now, own = block_hits(block, part.value)
-                    hit = now if hit is None else hit | now
-                    for i, x in enumerate(own):
-                        items[i] |= x
-                counts = T.per_text(hit, found.bounds)
-                clean = []
-                for i in range(len(block)):
-                    text = block.text(i) if with_text else b""
-                    clean.append(_cut(found, hit, block, i) if with_text and counts[i] else text)
+            for block in T.blocks(batch.column(1)):
+                words, hit, items = find(batch, block)
+                counts, clean = T.per_text(hit, words.bounds), None
+                if with_text:
+                    clean = [(_cut(words, hit, block, i) if counts[i] else block.text(i)).decode() for i in range(len(block))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(block.first, len(block)),
-                        pa.array(np.diff(found.bounds), pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())),
-                        pa.array([x.decode() for x in clean] if with_text else [None] * len(block), pa.string()),
-                    ],
+                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(words.bounds), pa.int64()), pa.array(counts, pa.int64()), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())), pa.array(clean or [None] * len(block), pa.string())],
                     names=[id_col, "n_words", "n_hit", "item_ids", "clean_text"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(hits, schema)
+    return rows.mapInArrow(hits, schema)
 
 
 def items_digest(items: list[str]) -> str:
@@ -180,26 +226,23 @@ def clean_documents(docs: DataFrame, tests: DataFrame, remove: str = "documents"
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(p) for p in _rounds(tests, item_col, item_text_col, n, max_windows)]
-    at = docs.columns.index(text_col)
+    rows, find = searched(docs, tests, text_col, item_col, item_text_col, n, max_windows)
+    at, width = docs.columns.index(text_col), len(docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts, nulls = np.ones(batch.num_rows, bool), [], batch.column(at).is_null().to_pylist()
             for block in T.blocks(batch.column(at)):
-                hit = np.zeros(0, bool)
-                for k, part in enumerate(parts):
-                    found, now, _ = block_hits(block, part.value)
-                    hit = now if not k else hit | now
-                counts = T.per_text(hit, found.bounds)
+                words, hit, _ = find(batch, block)
+                counts = T.per_text(hit, words.bounds)
                 keep[block.first : block.first + len(block)] = counts == 0
                 if remove == "spans":
-                    texts += [_cut(found, hit, block, i) if counts[i] else block.text(i) for i in range(len(block))]
+                    texts += [_cut(words, hit, block, i) if counts[i] else block.text(i) for i in range(len(block))]
+            own = batch.select(list(range(width)))
             if remove == "documents":
-                yield batch.filter(pa.array(keep))
+                yield own.filter(pa.array(keep))
             else:
                 new = pa.array([None if x else t.decode() for x, t in zip(nulls, texts, strict=True)], pa.string())
-                yield batch.set_column(at, batch.schema.field(at), new.cast(batch.schema.field(at).type))
+                yield own.set_column(at, own.schema.field(at), new.cast(own.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, docs.schema)

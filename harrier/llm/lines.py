@@ -8,9 +8,8 @@ documents adds their references and the keys that become droppable; deleting doc
 a line whose first document goes comes back in the next one.
 
 Keys are 128-bit hashes. There are as many shards as the number of references asks for, and the references of a shard
-are dealt by document over as many groups as their counted number needs, both to meet the filter and to meet the
-exact keys: a line that a third of all documents holds is spread over as many groups as it fills. Keys reach the
-filters once each.
+are dealt by document over as many groups as their counted number needs to meet the filter; those of one key are dealt
+likewise to meet the exact keys. So a line that a third of all documents holds is spread. Keys reach the filters once.
 
 Edge cases: a null or empty text is one empty line, which is too short to drop; several equal lines of one document
 count as one document and stay or go together; rows of equal id are told apart by their text and never drop lines
@@ -28,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm import cuckoo
-from harrier.llm.store import col, fresh, long_ids, partitions, written
+from harrier.llm.store import col, fresh, hot_join, long_ids, partitions, salted, written
 
 MIN_CHARS = 10
-#: References of a shard, about, and of a group of a shard, at most but for chance.
-SHARD_ROWS, GROUP_ROWS = 400_000, 20_000
+#: References of a shard, about, and those of a shard that is dealt over groups, at least.
+SHARD_ROWS, GROUP_ROWS = 100_000, 4_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = 2**63 - 1
@@ -40,7 +39,8 @@ LAST = 2**63 - 1
 
 @dataclass
 class LineIndex:
-    """references: k1, k2, id, version (of the text), places; keys: droppable k1, k2 with first (the least id);
+    """references: k1, k2, id, version (of the text), places; keys: droppable k1, k2 with first (the least id)
+    and held (references);
     filters: shard, buckets, slots."""
 
     references: DataFrame
@@ -76,7 +76,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def droppable(refs: DataFrame) -> DataFrame:
     """Keys held by two documents or more, with the least id: one row for each, combined before any shuffle."""
-    return refs.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("k1", "k2", "first")
+    return refs.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("held")).filter("first < last").select("k1", "k2", "first", "held")
 
 
 FILTERS = "shard int, buckets int, slots binary"
@@ -148,21 +148,18 @@ def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineInde
 def drops(index: LineIndex) -> DataFrame:
     """id, version and places of the lines that go: a document of smaller id holds their key."""
     sharded = index.references.withColumn("shard", shard_of(index.shards))
-    groups = sharded.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
-    groups = F.broadcast(written(groups, "line-groups"))  # a row for each shard, of which there are at most refs / SHARD_ROWS
-    dealt = sharded.join(groups, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), "groups").cast("int")).drop("groups")
-    spread = lambda frame: frame.join(groups, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    sizes = sharded.groupBy("shard").agg(F.count("*").alias("n"))
+    dealt, filters, salt = salted(sharded, index.filters.join(sizes, "shard"), ["shard"], "id", "n", "line-shards", GROUP_ROWS)
 
     def probe(refs: pa.Table, filters: pa.Table) -> pa.Table:
-        refs = refs.select(["k1", "k2", "id", "version", "places", "salt"])
+        refs = refs.select(["k1", "k2", "id", "version", "places"])
         if not filters.num_rows or not refs.num_rows:
             return refs.slice(0, 0)
         table = _load(filters.column("buckets")[0].as_py(), filters.column("slots")[0].as_py())
         return refs.filter(pa.array(cuckoo.contains(table, refs.column("k1").to_numpy().view(np.uint64))))
 
-    maybe = dealt.groupBy("shard", "salt").cogroup(spread(index.filters).groupBy("shard", "salt")).applyInArrow(probe, "k1 long, k2 long, id long, version long, places array<int>, salt int")
-    first = spread(index.keys.withColumn("shard", shard_of(index.shards))).select("k1", "k2", "salt", "first")
-    sure = maybe.join(first, ["k1", "k2", "salt"]).filter("id > first")
+    maybe = dealt.groupBy("shard", salt).cogroup(filters.groupBy("shard", salt)).applyInArrow(probe, "k1 long, k2 long, id long, version long, places array<int>")
+    sure = hot_join(maybe, index.keys, ["k1", "k2"], "id", "held", "line-keys").filter("id > first")
     return sure.groupBy("id", "version").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 

@@ -2,12 +2,15 @@
 
 Three base kinds of match are found in every whole text, leftmost and without overlap for each kind, with their
 places in code points. Candidates are their values, and long mixed tokens besides. The hash of each candidate is
-counted over the corpus by distinct repositories and distinct owners: a value that several owners hold is a widely
-copied example, one that a single owner holds looks live. Base matches stay whatever their count; a mixed token is
-added (kind ``owned``) if a single owner holds it and no base match touches it.
+counted over the corpus by distinct repositories and distinct owners. A value that several owners hold, or more than
+``FEW`` repositories of one owner, is a widely copied example; one that few repositories of a single owner hold looks
+live. Base matches stay whatever their counts; a mixed token is added (kind ``owned``) if it looks live and no base
+match touches it. Where rows name no repository (``repo_col`` is None), each distinct text stands for one, so a value
+that thousands of texts of one owner hold is not taken for live, while exact copies of a text count once.
 
-Counts are combined before any shuffle, first by value, repository and owner, then by value, so a value held by a
-third of all documents is no heavy group; texts are not shuffled.
+Counts are combined before any shuffle, first by value, repository and owner, then by value; matches meet their
+counts dealt by how many there are, so a value held by a third of all documents is no heavy group; texts are not
+shuffled.
 
 Edge cases: a null or empty text has no matches; equal values in one document count once for its owner; a null
 repository or owner is one of its own; rows of equal key are told apart by their text, equal rows get equal results;
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.store import written
+from harrier.llm.store import col, hot_join, written
 
 #: The patterns of the base kinds (assign, access, hex), and the least length of their values.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,6 +32,8 @@ HEX = r"[0-9a-f]{32,}"
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}"
 #: What a text must contain before a pattern is tried at all.
 NEEDLES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Repositories of one owner that may hold a value that looks live.
+FEW = 3
 KINDS = ("assign", "access", "hex", "owned")
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -50,10 +55,12 @@ def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
     return F.aggregate(parts, start, step, lambda state: state["out"])
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
     """id, version (of the text), repo, owner, base and mixed matches of each row."""
     nothing = F.array().cast(SPAN)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    repo = F.xxhash64(text) if repo_col is None else F.xxhash64(col(repo_col).cast("string"))
+    rows = docs.select(col(id_col).alias("id"), text.alias("t"), repo.alias("repo"), F.xxhash64(col(owner_col).cast("string")).alias("owner"))
     low = F.lower("t")
     named = low.contains(NEEDLES[0])
     for needle in NEEDLES[1:]:
@@ -67,27 +74,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value hash -> repos and owners that hold it."""
-    held = found.select("repo", "owner", F.explode(F.concat("base", "mixed")).alias("m")).select(F.sha2("m.value", 256).alias("hash"), F.xxhash64("repo").alias("repo"), F.xxhash64("owner").alias("owner"))
+    """value hash -> repositories and owners that hold it, and matches."""
+    held = found.select("repo", "owner", F.explode(F.concat("base", "mixed")).alias("m")).select(F.sha2("m.value", 256).alias("hash"), "repo", "owner")
     held = held.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
     return held.groupBy("hash").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("matches"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """Key and findings: array of (start, end, kind, hash, repos, owners, live) by start, then kind. live: one owner.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", few: int = FEW) -> DataFrame:
+    """Key and findings: array of (start, end, kind, hash, repos, owners, live) by start, then kind.
 
-    The hash of a value stands for it: values themselves are not returned.
+    live: one owner and at most ``few`` repositories. The hash of a value stands for it: values are not returned.
     """
     found = written(candidates(docs, id_col, text_col, repo_col, owner_col), "secret-candidates")
-    counts = ownership(found)
-    single = found.select("id", "version", F.explode(F.concat("base", "mixed")).alias("m"), "base").distinct()
+    counts = ownership(found).withColumn("live", (F.col("owners") == 1) & (F.col("repos") <= few))
+    single = found.select("id", "version", F.explode(F.concat("base", "mixed")).alias("m"), "base")
     touched = F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
     single = single.withColumn("touched", touched).select("id", "version", "m", "touched", F.sha2("m.value", 256).alias("hash"))
-    judged = single.join(counts, "hash").filter("m.kind < 3 or (owners = 1 and not touched)")
-    one = F.struct(F.col("m.start").alias("start"), F.col("m.kind").alias("kind"), F.col("m.end").alias("end"), "hash", "repos", "owners", (F.col("owners") == 1).alias("live"))
-    by = judged.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(one)).alias("findings"))
+    judged = hot_join(single, counts, ["hash"], "version", "matches", "secret-counts").filter("m.kind < 3 or (live and not touched)")
+    one = F.struct(F.col("m.start").alias("start"), F.col("m.kind").alias("kind"), F.col("m.end").alias("end"), "hash", "repos", "owners", "live")
+    by = judged.groupBy(F.col("id").alias("found_id"), F.col("version").alias("found_version")).agg(F.array_sort(F.collect_set(one)).alias("findings"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string,repos:bigint,owners:bigint,live:boolean>>")
-    out = found.select("id", "version").join(by, F.col("id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version")), "left")
+    out = found.select("id", "version").join(by, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("version") == F.col("found_version")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("findings", none).alias("findings"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from harrier.llm import simhash
 from harrier.llm import textops as T
 from harrier.llm.components import components
-from harrier.llm.store import col, fresh, written
+from harrier.llm.store import col, fresh, hot_join, written
 
 BANDS, ROWS = 16, 4
 PLACES = BANDS * ROWS
@@ -123,8 +123,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str,
 
 def least_pairs(keyed: DataFrame) -> DataFrame:
     """Pairs (u, v): each node of a bucket with the least node v there."""
-    least = keyed.groupBy("k").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("k", "v")
-    return keyed.join(least, "k").filter("v < node").select(F.col("node").alias("u"), "v").distinct()
+    least = keyed.groupBy("k").agg(F.min("node").alias("v"), F.count("*").alias("n"))
+    return hot_join(keyed, least, ["k"], "node", "n", "band-sizes").filter("v < node").select(F.col("node").alias("u"), "v").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -179,9 +179,9 @@ def other_links(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, sets: Data
     by_root = rooted.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
     sizes = by_root.groupBy("k").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("home"), F.count("*").alias("kinds"))
     needed = lambda n, g: F.ceil(F.greatest(n / PART, g / PART_GRAMS)).cast("int")
-    sizes = sizes.filter("n > 2 and kinds > 1").select("k", F.col("home.root").alias("home"), needed(F.col("home.n"), F.col("home.g")).alias("homes"), needed(F.col("n") - F.col("home.n"), F.col("g") - F.col("home.g")).alias("others"))
+    sizes = sizes.filter("n > 2 and kinds > 1").select("k", "n", F.col("home.root").alias("home"), needed(F.col("home.n"), F.col("home.g")).alias("homes"), needed(F.col("n") - F.col("home.n"), F.col("g") - F.col("home.g")).alias("others"))
     hashed = F.xxhash64("node", "k")
-    dealt = rooted.join(sizes, "k").withColumn("at_home", F.col("root") == F.col("home"))
+    dealt = hot_join(rooted, sizes, ["k"], "node", "n", "band-sizes").withColumn("at_home", F.col("root") == F.col("home"))
     dealt = dealt.withColumn("part", F.when(F.col("at_home"), F.pmod(hashed, "homes")).otherwise(F.col("homes") + F.pmod(hashed, "others")).cast("int"))
     first = F.when(F.col("at_home"), F.col("homes")).otherwise(F.lit(0))
     dealt = dealt.select("k", "node", "root", "part", F.explode(F.sequence(first, F.col("homes") + F.col("others") - 1)).alias("other"))

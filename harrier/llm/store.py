@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Most keys of a join that are dealt over several groups, and the fewest rows of such a group.
+HOT_KEYS, HOT_ROWS = 10_000, 2_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The setting spark.checkpoint.dir: a folder that the driver and all executors share.
 
@@ -62,3 +66,25 @@ def long_ids(frame: DataFrame, id_col: str) -> Column:
     if not isinstance(kind, (T.IntegralType, T.NullType)):
         raise TypeError(f"{id_col} must be a column of whole numbers, not {kind.simpleString()}")
     return col(id_col).cast("long")
+
+
+def salted(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str, count: str, name: str, least: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, str]:
+    """rows, keyed and the name of a column by which the rows of a key are dealt over groups, in both.
+
+    keyed has one row for each key and how many of the rows hold it in the column ``count``. Keys of more than ``least``
+    rows and one in ``HOT_KEYS`` of all rows are dealt over groups of so many, by the hash of the column ``spread``.
+    These keys alone are broadcast: there are at most ``HOT_KEYS`` of them, however large the table is.
+    """
+    keyed = written(keyed, name)
+    limit = max(least, (keyed.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
+    groups, salt = fresh(rows, "groups", "salt")
+    filled = F.ceil(F.col(count) / limit).cast("int")
+    hot = keyed.filter(F.col(count) > limit).select(*keys, filled.alias(groups))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), groups), F.lit(0)).cast("int")).drop(groups)
+    return dealt, keyed.withColumn(salt, F.explode(F.sequence(F.lit(0), filled - 1))), salt
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str, count: str, name: str) -> DataFrame:
+    """rows joined to keyed (see ``salted``), a key of very many rows in many groups."""
+    rows, keyed, salt = salted(rows, keyed, keys, spread, count, name)
+    return rows.join(keyed, [*keys, salt]).drop(salt)

@@ -5,7 +5,8 @@ in every round each sequence merges all occurrences of its own lowest-ranked pai
 known pair drop out; the surviving symbols are counted. Counts of pre-tokens met before are kept in a bounded
 table per task.
 
-The vocabulary is a ``tokenizers`` JSON file of a ByteLevel BPE without normaliser; its path is a parameter.
+The vocabulary is a ``tokenizers`` JSON file of a ByteLevel BPE without normaliser, and any other file is refused; its
+path is a parameter.
 Special strings inside texts count as one token each, as the library does by default. A null or empty text has 0
 bytes and 0 tokens; texts are never cut; every row is counted on its own, so ties and repeated rows are no
 trouble; an empty table gives an empty result.
@@ -22,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
+from harrier.llm.store import col
 
 #: Fixed value: the pre-token pattern of the public byte-level BPE; \s there is Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct pre-tokens whose counts a task remembers before it starts afresh: about 40 MB.
-REMEMBERED = 250_000
+#: Distinct pre-tokens whose counts a task remembers before it starts afresh, and the letters of the longest of them:
+#: at most about 60 MB. Longer ones are counted each time.
+REMEMBERED, LETTERS = 250_000, 32
+#: Pre-tokens and bytes that are merged at once; a longer pre-token is merged alone.
+PIECES, BYTES = 20_000, 4 << 20
 NEVER = np.iinfo(np.int64).max
 
 
@@ -56,8 +60,15 @@ class Merges:
 def load_merges(path: str) -> Merges:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    vocab = spec["model"]["vocab"]
-    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    model = spec["model"]
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    odd += [t["content"] for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    cut = spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or odd:
+        raise ValueError(f"{path} is not a plain byte-level BPE: {', '.join(odd) or 'another model or pre-tokenizer'}")
+    vocab = model["vocab"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
     made = np.array([vocab[a + b] for a, b in pairs], np.int64)
     order = np.argsort(keys, kind="stable")
@@ -94,16 +105,33 @@ def count_symbols(pieces: list[bytes], rules: Merges) -> np.ndarray:
     return counts
 
 
+def _batches(pieces: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Pieces with their bytes, some at a time."""
+    names, coded, size = [], [], 0
+    for piece in pieces:
+        data = piece.encode()
+        if names and (len(names) == PIECES or size + len(data) > BYTES):
+            yield names, coded
+            names, coded, size = [], [], 0
+        names.append(piece)
+        coded.append(data)
+        size += len(data)
+    if names:
+        yield names, coded
+
+
 def piece_counts(pieces: list[str], rules: Merges) -> np.ndarray:
     """Tokens of each pre-token, by the rules and what the task remembers."""
-    new = sorted({*pieces} - rules.known.keys())
-    if len(rules.known) + len(new) > REMEMBERED:
+    asked = {*pieces}
+    short = {p for p in asked if len(p) <= LETTERS}
+    if len(rules.known) + len(short) > REMEMBERED:
         rules.known.clear()
-        new = sorted({*pieces})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        rules.known.update(zip(part, count_symbols([p.encode() for p in part], rules).tolist(), strict=True))
-    return np.fromiter(map(rules.known.__getitem__, pieces), np.int64, len(pieces))
+    counts = {p: rules.known[p] for p in short & rules.known.keys()}
+    for names, coded in _batches(sorted(asked - counts.keys())):
+        counts.update(zip(names, count_symbols(coded, rules).tolist(), strict=True))
+    if len(short) <= REMEMBERED:
+        rules.known.update((p, counts[p]) for p in short)
+    return np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces))
 
 
 def text_counts(texts: list[str], rules: Merges) -> list[int]:
@@ -140,4 +168,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
                     names=[id_col, "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(count, schema)
+    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(count, schema)

@@ -1,9 +1,10 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
 Writing: payloads of equal SHA-1 and at least ``MIN_BYTES`` are grouped (digests only, combined before any shuffle);
-the largest key of a group is its response, the others become revisit records without payload. Each task writes one
-archive, a gzip member for each record, under a temporary name that it renames when complete, so a task that is run
-again leaves one whole file.
+the largest key of a group is its response, the others become revisit records without payload; a digest that very many
+records share is dealt over as many groups as it fills. Each attempt of a task writes one archive of its own name, a
+gzip member for each record. The manifest is a table of archives, of which Spark commits the rows of one attempt for
+each task: what it does not name, as of an attempt that was lost, is no part of the collection and is never read.
 
 Reading: archives are cut into byte ranges. A task scans its range for the gzip magic, takes a candidate for a
 member only if its head decodes to a WARC header, and owns the records that start inside its range, reading on past
@@ -12,7 +13,7 @@ its end for the last one. After a member the next one is taken where it ended.
 Archives are reached through pyarrow's file systems, in the shared folder of the session.
 
 Edge cases: null payloads are empty; repeated keys keep a record each; a null key is written as empty and read as
-null; line breaks in a URL are escaped; an empty table writes nothing and reads as an empty table; other columns are
+null; keys must be whole numbers, others raise a TypeError; line breaks in a URL are escaped; an empty table writes nothing and reads as an empty table; other columns are
 not read. A record whose payload does not match its digest, or an archive cut short, raises an error.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm.store import new_folder, partitions
+from harrier.llm.store import col, hot_join, long_ids, new_folder, partitions
 
 MIN_BYTES = 1_000
 SPLIT = 4 << 20
@@ -42,10 +43,10 @@ DATE = "2024-01-01T00:00:00Z"
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """id, url, payload (binary), digest, refers_to (null for responses)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(long_ids(pages, id_col).alias("id"), col(url_col).cast("string").alias("url"), F.encode(F.coalesce(col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     digests = rows.filter(F.octet_length("payload") >= min_bytes).select("id", F.sha1("payload").alias("digest"))
-    groups = digests.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "response")
-    revisits = digests.join(groups, "digest").filter("id < response").select("id", "digest", "response").distinct()
+    groups = digests.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    revisits = hot_join(digests, groups, ["digest"], "id", "n", "digests").filter("id < response").select("id", "digest", "response").distinct()
     # a key may have several rows: its digest tells which of them revisits
     rows = rows.withColumn("digest", F.sha1("payload"))
     joined = rows.join(revisits, ["id", "digest"], "left")
@@ -75,18 +76,16 @@ def write_archives(found: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        path, hidden = f"{root}/part-{part:06d}.warc.gz", f"{root}/_part-{part:06d}-{uuid.uuid4().hex}"
+        path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         n, out = 0, None
         for batch in batches:
             for key, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                out = out or system.open_output_stream(hidden, compression=None)
+                out = out or system.open_output_stream(path, compression=None)
                 out.write(record_bytes(key, url, payload, digest, refers_to))
                 n += 1
         if out is not None:
             out.close()
-            size = system.get_file_info(hidden).size
-            system.move(hidden, path)
+            size = system.get_file_info(path).size
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
     manifest = f"{folder}/_manifest"
