@@ -11,6 +11,9 @@ WORD = r"[\p{L}\p{M}\p{N}_]+"
 #: Runs of word characters joined by - or '.
 TOKEN = rf"{WORD}(?:[-']{WORD})*"
 
+#: Runs without white space, of any script.
+NON_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
 #: Conversational openings and related terms of the query transformations.
 POLITE = r"(?i)^(?:please\s+|could you\s+|can you\s+|would you\s+|i want to know\s+)+"
 TELL_ME = r"(?i)^(?:tell me|explain)\s+(?:about\s+)?"

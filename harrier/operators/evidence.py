@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrier.functions import text as X
 from harrier.plans.config import DEFAULTS
 
 #: What marks a question about live data, and words that do not count as support.
-LIVE = r"(?i)\b(?:now|latest|current(?:ly)?|today(?:'s)?|tomorrow(?:'s)?|live|real[- ]?time)\b"
-LIVE_DOMAINS = r"(?i)\b(?:weather|forecast)\b|\b(?:share|stock)\s+price\b|\bipl\b.*\b(?:score|match|fixture|result)\b|\b(?:score|match|fixture|result)\b.*\bipl\b|\bcafeteria\b.*\bmenu\b|\bmenu\b.*\bcafeteria\b|\bnetwork\s+topology\b"
+LIVE = (r"\b(?:now|latest|current(?:ly)?|today(?:'s)?|tomorrow(?:'s)?|live|real[- ]?time)\b",)
+LIVE_DOMAINS = (
+    r"\b(?:weather|forecast)\b",
+    r"\b(?:share|stock)\s+price\b",
+    r"\bipl\b.*\b(?:score|match|fixture|result)\b",
+    r"\b(?:score|match|fixture|result)\b.*\bipl\b",
+    r"\bcafeteria\b.*\bmenu\b",
+    r"\bmenu\b.*\bcafeteria\b",
+    r"\bnetwork\s+topology\b",
+)
 STOP_WORDS = ("a", "an", "and", "are", "at", "be", "do", "does", "for", "from", "how", "in", "is", "it", "me", "of", "on", "please", "show", "tell", "the", "to", "what", "when", "which", "who", "will", "with", "now", "latest", "current", "currently", "today", "tomorrow", "live")
 
 
@@ -42,91 +49,93 @@ class Selection:
     fallback_n: int = DEFAULTS.min_selected
 
 
-def _words(text: str) -> frozenset:
-    return frozenset(re.findall(r"[\w-]+", text.lower()))
-
-
-def select_group(pdf: pd.DataFrame, how: Selection) -> pd.DataFrame:
-    """The greedy selection over the ranked candidates of one query (a few dozen rows)."""
-    rows = []
-    for r in pdf.sort_values("rerank_rank").itertuples(index=False):
-        text = (r.text or "").strip()
-        score = float(r.reranker_score) if pd.notna(r.reranker_score) else 0.0
-        rows.append({"chunk": r.chunk, "text": text, "words": _words(text), "source": r.source, "score": score, "tokens": len(text.split()), "order": r.rerank_rank, "pass": None, "place": None})
-    usable = [r for r in rows if r["text"]]
-    passing = [r for r in usable if r["score"] >= how.threshold]
-    floor = min(how.min_selected, len(usable), how.max_selected)
-    if not passing and how.fallback:
-        floor = min(max(floor, how.fallback_n), len(usable), how.max_selected)
-    chosen: list[dict] = []
-
-    def total() -> int:
-        return sum(r["tokens"] for r in chosen)
-
-    def redundant(r: dict) -> bool:
-        if any(c["chunk"] == r["chunk"] for c in chosen):
-            return True
-        if how.redundancy is None:
-            return False
-        return any((len(c["words"] & r["words"]) / len(c["words"] | r["words"]) if c["words"] | r["words"] else 1.0) >= how.redundancy for c in chosen)
-
-    def crowded(r: dict) -> bool:
-        return sum(c["source"] == r["source"] for c in chosen) >= how.per_source
-
-    def take(r: dict, reason: str) -> None:
-        r["pass"], r["place"] = reason, len(chosen) + 1
-        chosen.append(r)
-
-    for r in usable:
-        if len(chosen) >= how.max_selected:
-            break
-        if r["score"] < how.threshold or redundant(r) or crowded(r) or total() + r["tokens"] > how.budget:
-            continue
-        if how.target_min and len(chosen) >= floor and total() >= how.target_min:
-            break
-        if len(chosen) >= floor and total() + r["tokens"] > how.target_max:
-            continue
-        take(r, "threshold_pass")
-    for strict in (True, False):
-        if not how.fallback or (not strict and len(chosen) >= floor):
-            continue
-        for r in usable:
-            if len(chosen) >= how.max_selected or (len(chosen) >= floor and total() >= how.target_min):
-                break
-            if r["pass"] or (strict and (redundant(r) or crowded(r))):
-                continue
-            if len(chosen) >= floor and (total() + r["tokens"] > how.budget or total() + r["tokens"] > how.target_max):
-                continue
-            take(r, "adaptive_fallback")
-    out = []
-    for r in rows:
-        reason = None
-        if not r["pass"]:
-            if not r["text"]:
-                reason = "empty_text"
-            elif r["score"] < how.threshold:
-                reason = "threshold_failed"
-            elif redundant(r):
-                reason = "redundancy"
-            elif crowded(r):
-                reason = "source_diversity_limit"
-            elif total() + r["tokens"] > how.budget or total() + r["tokens"] > how.target_max:
-                reason = "token_budget"
-            else:
-                reason = "lower_rank_fallback"
-        out.append((pdf["query_id"].iloc[0], r["chunk"], r["order"], bool(r["pass"]), r["place"], r["pass"], reason, r["tokens"], r["score"] < how.threshold))
-    return pd.DataFrame(out, columns=["query_id", "chunk", "rerank_rank", "selected", "selected_order", "selection_reason", "discard_reason", "tokens", "weak_evidence"]).astype({"selected_order": "Int32"})
+#: What a fold over the pool of a query knows: the rows chosen so far, in order, and their tokens.
+CHOSEN = "struct<rows:array<struct<rank:int,chunk:{chunk},source:{source},words:array<string>,why:string>>,tokens:bigint>"
+
+
+class _Fold:
+    """Conditions on a row of the pool, given what is chosen; each rule of the selection is one of these."""
+
+    def __init__(self, how: Selection, floor: Column, state: Column, row: Column):
+        self.how, self.state, self.row = how, state, row
+        self.short = F.size(state["rows"]) < floor
+        self.room = F.size(state["rows"]) < how.max_selected
+
+    def known(self) -> Column:
+        """The same chunk, or a chosen one of nearly the same words, is chosen already."""
+        same = F.exists(self.state["rows"], lambda c: c["chunk"].eqNullSafe(self.row["chunk"]))
+        if self.how.redundancy is None:
+            return same
+        return same | F.exists(self.state["rows"], lambda c: X.jaccard(c["words"], self.row["words"]) >= self.how.redundancy)
+
+    def crowded(self) -> Column:
+        return F.size(F.filter(self.state["rows"], lambda c: c["source"].eqNullSafe(self.row["source"]))) >= self.how.per_source
+
+    def within(self, limit: int) -> Column:
+        return self.state["tokens"] + self.row["tokens"] <= limit
+
+    def enough(self) -> Column:
+        return ~self.short & (self.state["tokens"] >= self.how.target_min)
+
+    def passes(self) -> Column:
+        """A row of the first pass: above the threshold, new, of a source with room, within the budget."""
+        done = self.enough() if self.how.target_min else F.lit(False)
+        return self.room & (self.row["score"] >= self.how.threshold) & ~self.known() & ~self.crowded() & self.within(self.how.budget) & ~done & (self.short | self.within(self.how.target_max))
+
+    def fills(self, strict: bool) -> Column:
+        """A row that fills up to the floor and the least tokens; strict: new, and of a source with room."""
+        free = ~F.exists(self.state["rows"], lambda c: c["rank"] == self.row["rank"])
+        fits = self.short | self.within(min(self.how.budget, self.how.target_max))
+        return self.room & ~self.enough() & free & fits & (~self.known() & ~self.crowded() if strict else F.lit(True))
+
+    def with_row(self, why: str) -> Column:
+        row = F.struct(self.row["rank"].alias("rank"), self.row["chunk"].alias("chunk"), self.row["source"].alias("source"), self.row["words"].alias("words"), F.lit(why).alias("why"))
+        return F.struct(F.array_append(self.state["rows"], row).alias("rows"), (self.state["tokens"] + self.row["tokens"]).alias("tokens"))
 
 
 def select_evidence(candidates: DataFrame, how: Selection = Selection()) -> DataFrame:
     """candidates (query_id, chunk, text, source, reranker_score, rerank_rank) -> a decision for each row.
 
-    The pool of a query is bounded by the rerank pool before it gets here, so a group is small.
+    The pool of a query is bounded by the rerank pool before it gets here; it is folded in reranked order, once for
+    rows that pass, once to fill up to the floor, and once more without the limits on repeats if that did not do.
     """
     kinds = dict(candidates.dtypes)
-    schema = f"query_id {kinds['query_id']}, chunk {kinds['chunk']}, rerank_rank int, selected boolean, selected_order int, selection_reason string, discard_reason string, tokens int, weak_evidence boolean"
-    pool = candidates.select("query_id", "chunk", "text", "source", F.col("reranker_score").cast("double").alias("reranker_score"), F.col("rerank_rank").cast("int").alias("rerank_rank"))
-    return pool.groupBy("query_id").applyInPandas(lambda pdf: select_group(pdf, how), schema)
+    tokens = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.NON_SPACE), F.lit(0)))
+    score = F.coalesce(F.nanvl(F.col("reranker_score").cast("double"), F.lit(0.0)), F.lit(0.0))
+    row = F.struct(F.col("rerank_rank").cast("int").alias("rank"), "chunk", "source", score.alias("score"), tokens.alias("tokens"), X.word_set(F.col("text")).alias("words"))
+    pools = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("pool"))
+    usable = F.filter("pool", lambda r: r["tokens"] > 0)
+    floor = F.least(F.lit(how.min_selected), F.size("usable"), F.lit(how.max_selected))
+    if how.fallback:
+        none = ~F.exists("usable", lambda r: r["score"] >= how.threshold)
+        floor = F.when(none, F.least(F.greatest(floor, F.lit(how.fallback_n)), F.size("usable"), F.lit(how.max_selected))).otherwise(floor)
+    pools = pools.withColumn("usable", usable).withColumn("floor", floor)
+
+    def folded(start: Column, test: str, why: str, **options: bool) -> Column:
+        def step(state: Column, row: Column) -> Column:
+            at = _Fold(how, F.col("floor"), state, row)
+            return F.when(getattr(at, test)(**options), at.with_row(why)).otherwise(state)
+
+        return F.aggregate("usable", start, step)
+
+    nothing = F.struct(F.array().alias("rows"), F.lit(0).cast("bigint").alias("tokens")).cast(CHOSEN.format(**kinds))
+    pools = pools.withColumn("chosen", folded(nothing, "passes", "threshold_pass"))
+    if how.fallback:
+        pools = pools.withColumn("chosen", folded(F.col("chosen"), "fills", "adaptive_fallback", strict=True))
+        pools = pools.withColumn("chosen", F.when(F.size("chosen.rows") < F.col("floor"), folded(F.col("chosen"), "fills", "adaptive_fallback", strict=False)).otherwise(F.col("chosen")))
+    rows = pools.select("query_id", "floor", "chosen", F.explode("pool").alias("r"))
+    at, place = _Fold(how, F.col("floor"), F.col("chosen"), F.col("r")), F.array_position(F.transform("chosen.rows", lambda c: c["rank"]), F.col("r.rank"))
+    rejected = (
+        F.when(F.col("r.tokens") == 0, "empty_text")
+        .when(F.col("r.score") < how.threshold, "threshold_failed")
+        .when(at.known(), "redundancy")
+        .when(at.crowded(), "source_diversity_limit")
+        .when(~at.within(min(how.budget, how.target_max)), "token_budget")
+        .otherwise("lower_rank_fallback")
+    )
+    selected = place > 0
+    why = F.when(selected, F.get(F.col("chosen.rows"), place - 1)["why"])
+    return rows.select("query_id", F.col("r.chunk").alias("chunk"), F.col("r.rank").alias("rerank_rank"), selected.alias("selected"), F.when(selected, place.cast("int")).alias("selected_order"), why.alias("selection_reason"), F.when(~selected, rejected).alias("discard_reason"), F.col("r.tokens").alias("tokens"), (F.col("r.score") < how.threshold).alias("weak_evidence"))
 
 
 def strength(score: Column, strong: float = DEFAULTS.strong, medium: float = DEFAULTS.medium) -> Column:
@@ -153,7 +162,7 @@ def sufficient(best: Column, mean: Column, confidence: Column, all_fallback: Col
 
 
 def is_live(question: Column) -> Column:
-    return question.rlike(LIVE) | question.rlike(LIVE_DOMAINS)
+    return question.rlike("(?i)" + "|".join((*LIVE, *LIVE_DOMAINS)))
 
 
 def supported(question_terms: Column, evidence_terms: Column) -> Column:

@@ -6,6 +6,7 @@ mean_idf). Restricting a search to some chunks never changes these statistics.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from harrier.functions import text as X
 from harrier.plans.config import DEFAULTS
+from harrier.sources.files import Generations
 
 
 @dataclass
@@ -22,20 +24,51 @@ class LexicalIndex:
     postings: DataFrame  # term, chunk, tf, dl
     terms: DataFrame  # term, df, idf
     corpus: DataFrame  # n, avgdl
-    stats: DataFrame  # chunk, dl
 
 
-def build_index(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
-    """Chunks without tokens count in n and avgdl with length 0."""
+def postings(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens) -> DataFrame:
     tokenized = chunks.select(F.col(id_col).alias("chunk"), tokenizer(F.col(text_col)).alias("t"))
-    stats = tokenized.select("chunk", F.size("t").cast("long").alias("dl"))
     counts = tokenized.select("chunk", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk", "dl").agg(F.count("*").alias("tf"))
-    corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return counts.select("term", "chunk", "tf", "dl")
+
+
+def statistics(held: DataFrame, chunks: DataFrame, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
+    """The index of these postings of these chunks. Chunks without tokens count in n and avgdl with length 0."""
+    total = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
+    corpus = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("all") / F.nullif("n", F.lit(0))).alias("avgdl"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(corpus.select("n")), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(counts.select("term", "chunk", "tf", "dl"), terms, corpus, stats)
+    return LexicalIndex(held, terms, corpus)
+
+
+def build_index(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
+    """An index that is computed when it is searched; ``publish`` keeps one."""
+    return statistics(postings(chunks, id_col, text_col, tokenizer), chunks, floor)
+
+
+def publish(store: Generations, chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
+    """Tokenizes the chunks once and keeps the index as a new generation; searches then read postings and terms alone.
+
+    Postings are ranges of terms, so a search for few terms skips most row groups.
+    """
+    name = f"gen-{uuid.uuid4().hex}"
+    made = postings(chunks, id_col, text_col, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "chunk")
+    made.write.parquet(f"{store.root}/{name}/postings")
+    index = statistics(store.read(name, "postings"), chunks, floor)
+    index.terms.write.parquet(f"{store.root}/{name}/terms")
+    index.corpus.write.parquet(f"{store.root}/{name}/corpus")
+    store.point(name)
+    return opened(store, name)
+
+
+def opened(store: Generations, generation: str | None = None) -> LexicalIndex:
+    """The index in use, or an older generation of it."""
+    name = generation or store.current()
+    if name is None:
+        raise ValueError("no index has been published here")
+    return LexicalIndex(*(store.read(name, part) for part in ("postings", "terms", "corpus")))
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int | None = DEFAULTS.bm25_depth, query_id: str = "query_id", query_text: str = "query", tokenizer: Callable[[Column], Column] = X.tokens, allowed: DataFrame | None = None, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +27,59 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+#: Vectors of a packed block of points, and of queries.
+BLOCK = 1_024
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """id, vector -> blocks of the unit vectors of a task: ids, data (binary), dim. Vectors without length are left out."""
+    kind = rows.schema["id"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                lists = part.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                for dim in np.unique(sizes[sizes > 0]).tolist():
+                    at = np.flatnonzero(sizes == dim)
+                    own = part.take(pa.array(at))
+                    data = own.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                    length = np.sqrt((data * data).sum(1))
+                    fine = np.flatnonzero(length > 0)  # nulls among the numbers make the length no number
+                    ids = own.column(0).take(pa.array(fine))
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(fine)], pa.int32()), ids)
+                    unit = data[fine] / length[fine, None]
+                    yield pa.RecordBatch.from_arrays([listed, pa.array([unit.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=[f"{name}_ids", f"{name}_data", f"{name}_dim"])
+
+    return rows.mapInArrow(pack, f"{name}_ids array<{kind.simpleString()}>, {name}_data binary, {name}_dim int")
+
+
 def search(points: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_depth, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", where: Column | None = None) -> DataFrame:
     """query_id, chunk, score, rank: each query against every point that passes ``where``.
 
-    Norms are taken once for each side. The stated queries meet all points; the best k of each task are kept before
-    the shuffle. Ties go by point id.
+    Points and queries are packed in blocks of unit vectors; blocks meet, and a matrix product gives all their scores,
+    of which each query's best k go on. Ties go by point id.
     """
     kept = points if where is None else points.filter(where)
-    kept = kept.select(F.col(id_col).alias("chunk"), F.col(vector_col).alias("v")).withColumn("n", norm(F.col("v")))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q")).withColumn("m", norm(F.col("q")))
-    scored = kept.join(asked, how="cross").select("query_id", "chunk", F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("n") * F.col("m"), F.lit(0.0)), 9).alias("score"))
-    return top_k(scored.filter("score is not null"), ["query_id"], [F.col("score").desc(), F.col("chunk")], k)
+    held = _packed(kept.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "p")
+    asked = _packed(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v")), "q")
+    kinds = points.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                dim = row["p_dim"].as_py()
+                p, q = (np.frombuffer(row[c].as_py(), np.float64).reshape(-1, dim) for c in ("p_data", "q_data"))
+                scores = np.round(q @ p.T, 9)
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else scores.min(1, initial=np.inf)
+                which, at = np.nonzero(scores >= least[:, None])  # ties with the last one stay
+                yield pa.RecordBatch.from_arrays([row["q_ids"].values.take(pa.array(which)), row["p_ids"].values.take(pa.array(at)), pa.array(scores[which, at])], names=["query_id", "chunk", "score"])
+
+    met = held.join(asked, F.col("p_dim") == F.col("q_dim"))
+    scored = met.mapInArrow(best, f"query_id {kinds[1]}, chunk {kinds[0]}, score double")
+    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk")], k)
 
 
 def payload_filter(repository: Column | None = None, versions: Column | None = None, notes: Column | None = None, paths: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from harrier.functions import text as X
 from harrier.operators import context, evidence, fusion, lexical, vector
 from harrier.plans.registry import Registry
+from harrier.sources.files import Generations
+from harrier.sources.shared import shared_folder
 from harrier.sources.tables import table
 
 Q = Registry()
@@ -57,7 +61,10 @@ def questions(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFra
 
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(documents(spark, sf_dir), "doc_id", "text")
+    """The published index of the documents, which the first query of a session over this folder makes."""
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:16]
+    store = Generations(spark, f"{shared_folder(spark)}/lexical-{name}")
+    return lexical.opened(store) if store.current() else lexical.publish(store, documents(spark, sf_dir), "doc_id", "text")
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -113,7 +120,11 @@ def bm25_overlap_fallback(spark, sf_dir):
     return lexical.search(index(spark, sf_dir), asked, 20).select("query_id", "chunk", F.round("score", 9).alias("score"))
 
 
-@Q(f"WITH asked AS (SELECT 1 AS query_id, '' AS query), {bm25()} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@Q(rf"""WITH tok AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
+held AS (SELECT unnest(list_distinct(t)) AS term FROM tok),
+raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM held GROUP BY term),
+mean AS (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, mean""")
 def term_stats(spark, sf_dir):
     return index(spark, sf_dir).terms.select("term", "df", six("idf"))
 
@@ -310,14 +321,46 @@ def rank_shift(spark, sf_dir):
     return pool(spark, sf_dir).select("query_id", "chunk", "rank_shift")
 
 
-@Q()
+def folded(threshold: float) -> str:
+    """CTEs ending in judged: the selection as a recursion over the pool of each question, three times over."""
+    known = "(list_contains(list_transform(picks, lambda p: p.chunk), u.chunk) OR len(list_filter(picks, lambda p: len(list_intersect(p.words, u.words)) >= 0.85 * len(list_distinct(p.words || u.words)))) > 0)"
+    crowded = "len(list_filter(picks, lambda p: p.source = u.source)) >= 2"
+    short, fits = "len(picks) < q.floor", "spent + u.tokens <= least(2400, 1500)"
+    enough = f"(NOT ({short}) AND spent >= 800)"
+    free = "NOT list_contains(list_transform(picks, lambda p: p.i), u.i)"
+    fills = f"NOT {enough} AND {free} AND ({short} OR {fits})"
+    return rf"""cand AS (
+  SELECT query_id, chunk, rerank_rank AS i, source, rs AS score, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_-]+')) AS words,
+    len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]+')) AS tokens FROM re JOIN documents ON doc_id = chunk),
+usable AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS k FROM cand WHERE tokens > 0),
+q AS (SELECT query_id, count(*) AS n, least(3, count(*), 8) AS floor FROM usable GROUP BY query_id),
+fold AS (
+  SELECT query_id, 0::BIGINT AS step, []::STRUCT(i BIGINT, chunk BIGINT, source VARCHAR, words VARCHAR[], why VARCHAR)[] AS picks, 0::BIGINT AS spent, false AS third FROM q
+  UNION ALL
+  SELECT query_id, step + 1, CASE WHEN ok THEN list_append(picks, {{'i': i, 'chunk': chunk, 'source': source, 'words': words, 'why': why}}) ELSE picks END, CASE WHEN ok THEN spent + tokens ELSE spent END, now_third
+  FROM (SELECT f.query_id, f.step, f.picks, f.spent, u.i, u.chunk, u.source, u.words, u.tokens, CASE WHEN f.step < q.n THEN 'threshold_pass' ELSE 'adaptive_fallback' END AS why,
+      CASE WHEN f.step = 2 * q.n THEN {short} ELSE f.third END AS now_third,
+      len(picks) < 8 AND CASE
+        WHEN f.step < q.n THEN u.score >= {threshold} AND NOT {known} AND NOT {crowded} AND spent + u.tokens <= 2400 AND NOT {enough} AND ({short} OR spent + u.tokens <= 1500)
+        WHEN f.step < 2 * q.n THEN {fills} AND NOT {known} AND NOT {crowded}
+        ELSE CASE WHEN f.step = 2 * q.n THEN {short} ELSE f.third END AND {fills} END AS ok
+    FROM fold f JOIN q USING (query_id) JOIN usable u ON u.query_id = f.query_id AND u.k = f.step % q.n WHERE f.step < 3 * q.n)),
+final AS (SELECT query_id, picks, spent FROM fold JOIN q USING (query_id) WHERE step = 3 * n),
+judged AS (
+  SELECT u.query_id, u.chunk, u.i::INTEGER AS rerank_rank, list_position(list_transform(picks, lambda p: p.i), u.i) AS place,
+    CASE WHEN u.tokens = 0 THEN 'empty_text' WHEN u.score < {threshold} THEN 'threshold_failed' WHEN {known} THEN 'redundancy' WHEN {crowded} THEN 'source_diversity_limit' WHEN NOT {fits} THEN 'token_budget' ELSE 'lower_rank_fallback' END AS lost, picks, u.tokens, u.score
+  FROM cand u JOIN final USING (query_id))"""
+
+
+@Q(f"WITH RECURSIVE {POOL}, {folded(-4.0)} SELECT query_id, chunk, rerank_rank, coalesce(place, 0) > 0 AS selected, nullif(place, 0)::INTEGER AS selected_order, picks[nullif(place, 0)].why AS selection_reason, CASE WHEN coalesce(place, 0) = 0 THEN lost END AS discard_reason, tokens::INTEGER AS tokens, score < -4.0 AS weak_evidence FROM judged")
 def evidence_select(spark, sf_dir):
     return evidence.select_evidence(pool(spark, sf_dir))
 
 
-@Q()
+@Q(f"WITH RECURSIVE {POOL}, {folded(0.35)} SELECT query_id, selection_reason, discard_reason, count(*) AS n FROM (SELECT query_id, picks[nullif(place, 0)].why AS selection_reason, CASE WHEN coalesce(place, 0) = 0 THEN lost END AS discard_reason FROM judged) GROUP BY ALL")
 def discard_reasons(spark, sf_dir):
-    return evidence.select_evidence(pool(spark, sf_dir)).groupBy("query_id", "selection_reason", "discard_reason").agg(F.count("*").alias("n"))
+    found = evidence.select_evidence(pool(spark, sf_dir), evidence.Selection(threshold=0.35))
+    return found.groupBy("query_id", "selection_reason", "discard_reason").agg(F.count("*").alias("n"))
 
 
 QUALITY = f"{POOL}, q AS (SELECT re.query_id, rs, source, CASE WHEN rs >= 0.65 THEN 'strong' WHEN rs >= 0.35 THEN 'medium' ELSE 'weak' END AS s, CASE WHEN chunk % 3 = 0 THEN 'dense' WHEN chunk % 3 = 1 THEN 'bm25' ELSE 'both' END AS p FROM re JOIN documents ON doc_id = chunk WHERE rerank_rank <= 8)"

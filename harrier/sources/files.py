@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-
+from collections.abc import Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,14 +131,21 @@ class Generations:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def publish(self, rows: DataFrame) -> str:
-        """Writes a new generation and then points to it; readers of older ones are not disturbed."""
+    def publish(self, rows: DataFrame | Mapping[str, DataFrame]) -> str:
+        """Writes a new generation, a table or several by name, and then points to it; readers of older ones go on.
+
+        Of two writers at once, the pointer of the larger number and name counts, for every reader alike.
+        """
         name = f"gen-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}")
-        n = self.history().count() + 1
-        self.spark.createDataFrame([(n, name)], "n long, generation string").write.mode("append").parquet(f"{self.root}/pointer")
+        for part, table in rows.items() if isinstance(rows, Mapping) else [("", rows)]:
+            table.write.parquet(f"{self.root}/{name}/{part}".rstrip("/"))
+        self.point(name)
         return name
 
+    def point(self, name: str) -> None:
+        n = (self.history().agg(F.max("n")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(n, name)], "n long, generation string").write.mode("append").parquet(f"{self.root}/pointer")
+
     def history(self) -> DataFrame:
         try:
             return self.spark.read.schema("n long, generation string").parquet(f"{self.root}/pointer")
@@ -148,11 +155,11 @@ class Generations:
             return self.spark.createDataFrame([], "n long, generation string")
 
     def current(self) -> str | None:
-        row = self.history().agg(F.max_by("generation", "n").alias("g")).first()
+        row = self.history().agg(F.max_by("generation", F.struct("n", "generation")).alias("g")).first()
         return row.g if row else None
 
-    def read(self, generation: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{generation or self.current()}")
+    def read(self, generation: str | None = None, part: str = "") -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{generation or self.current()}/{part}".rstrip("/"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
