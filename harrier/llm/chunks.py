@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
-from harrier.llm.store import col, long_ids, written
+from harrier.llm.store import col, long_ids, partitions, written
 
 LAST = np.iinfo(np.int64).max
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 1 << 16
@@ -94,6 +94,11 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.concat_arrays([x[2] for x in held])
 
 
+def dealt(frame: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """frame dealt by its keys over at least as many tasks as there are buckets."""
+    return frame.repartition(buckets, *keys) if buckets > partitions(frame.sparkSession) else frame
+
+
 def bucket_count(chunks: DataFrame) -> int:
     """Buckets for the text of these chunks."""
     size = chunks.agg(F.sum("size")).first()[0] or 0
@@ -190,7 +195,7 @@ def _answers(table_: pa.Table, codes: np.ndarray, counts: np.ndarray) -> pa.Tabl
     return table(rows, ANSWER)
 
 
-def shared(sent: DataFrame, hot: int = 1 << 62) -> DataFrame:
+def shared(sent: DataFrame, buckets: int, hot: int = 1 << 62) -> DataFrame:
     """Codes of keys: 0 if one document alone holds it, else 1 + n: 2 ** n groups of at most about ``hot`` hold it."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -201,10 +206,10 @@ def shared(sent: DataFrame, hot: int = 1 << 62) -> DataFrame:
         codes = np.where(n > 1, 1 + np.ceil(np.log2(np.maximum(n / hot, 1))), 0).astype(np.uint8)
         return _answers(rows, codes[found.of], np.array([len(k) // 4 for k in rows.column("keys").to_pylist()], np.int64))
 
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER_SQL)
+    return dealt(sent, ["bucket"], buckets).groupBy("bucket").applyInArrow(run, ANSWER_SQL)
 
 
-def earlier(sent: DataFrame) -> DataFrame:
+def earlier(sent: DataFrame, buckets: int) -> DataFrame:
     """Codes of keys: 1 if another chunk holds it in a document of smaller id than the asking chunk does, else 0."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -219,9 +224,14 @@ def earlier(sent: DataFrame) -> DataFrame:
             least[order] = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.concatenate([at, [len(keys)]])))
         return _answers(rows, (least < ids).astype(np.uint8), np.array([len(k) // 8 for k in rows.column("keys").to_pylist()], np.int64))
 
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER_SQL)
+    return dealt(sent, ["bucket"], buckets).groupBy("bucket").applyInArrow(run, ANSWER_SQL)
 
 
 def codes(answers: list[dict]) -> np.ndarray:
     """The codes of one chunk's keys, in the order of the buckets."""
     return np.frombuffer(b"".join(unzipped(a["codes"], a["n"]) for a in sorted(answers, key=lambda a: a["bucket"])), np.uint8)
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, buckets: int):
+    """Each chunk's row together with the answers for it, for applyInArrow."""
+    return dealt(chunks, ["chunk"], buckets).groupBy("chunk").cogroup(dealt(answers, ["chunk"], buckets).groupBy("chunk"))

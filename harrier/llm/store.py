@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrier.sources.shared import shared_folder, written
 
-#: Most keys of a join that are dealt over several groups, and the fewest rows of such a group.
-HOT_KEYS, HOT_ROWS = 10_000, 2_000
+__all__ = ["col", "fresh", "hot_join", "long_ids", "new_folder", "partitions", "salted", "shared_folder", "written"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The setting spark.checkpoint.dir: a folder that the driver and all executors share.
-
-    Where it is unset, a session that runs in one process gets a temporary folder; any other one raises an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Most keys of a join that are dealt over several groups, and the fewest rows of such a group.
+HOT_KEYS, HOT_ROWS = 10_000, 2_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder: lost executors cost nothing before this point."""
-    spark, path = frame.sparkSession, new_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -250,12 +250,12 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
         gone, chunk = excerpts.gone(codes, buckets, bits, starts), excerpts.chunk
         return C.table([(chunk.ids[i], chunk.nulls[i], *_result(chunk.block, i, gone, with_text)) for i in range(len(chunk.block))], RESULT)
 
-    codes = written(C.shared(chunks.mapInArrow(ask, C.SENT_SQL), hot), "anchor-answers")
-    sent = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send, SENT_SQL)
-    told = written(sent.groupBy("bucket", "part").applyInArrow(lambda t: merge_shards(t, length, limit), BITS_SQL), "string-answers")
+    codes = written(C.shared(chunks.mapInArrow(ask, C.SENT_SQL), buckets, hot), "anchor-answers")
+    sent = C.with_answers(chunks, codes, buckets).applyInArrow(send, SENT_SQL)
+    told = written(C.dealt(sent, ["bucket", "part"], buckets).groupBy("bucket", "part").applyInArrow(lambda t: merge_shards(t, length, limit), BITS_SQL), "string-answers")
     strings = told.filter("w1 is not null").select("chunk", "w1", "w2", "id", "at")
     least = strings.groupBy("w1", "w2").agg(F.min("id").alias("least"))
     spread = strings.join(least, ["w1", "w2"]).filter("id > least").select("chunk", "at")
     answers = codes.unionByName(told.filter("bits is not null").select("chunk", "bucket", "part", "n", "bits"), allowMissingColumns=True).unionByName(spread, allowMissingColumns=True)
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT_SQL)
+    out = C.with_answers(chunks, answers, buckets).applyInArrow(finish, RESULT_SQL)
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_bytes")] if with_text else []))

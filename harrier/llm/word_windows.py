@@ -140,9 +140,9 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     answers = None
     for level, size in enumerate(levels):
-        asked = chunks.mapInArrow(ask_first, C.SENT_SQL) if answers is None else chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_next(level), C.SENT_SQL)
-        told = C.earlier(asked) if size == length else C.shared(asked)
+        asked = chunks.mapInArrow(ask_first, C.SENT_SQL) if answers is None else C.with_answers(chunks, answers, buckets).applyInArrow(ask_next(level), C.SENT_SQL)
+        told = C.earlier(asked, buckets) if size == length else C.shared(asked, buckets)
         told = written(told.withColumn("level", F.lit(level)), "window-answers")
         answers = told if answers is None else answers.unionByName(told)
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT_SQL)
+    out = C.with_answers(chunks, answers, buckets).applyInArrow(finish, RESULT_SQL)
     return out.select(F.when(~F.col("no_id"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if with_text else []))
