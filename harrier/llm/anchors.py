@@ -41,10 +41,9 @@ def anchored(sums: np.ndarray, bounds: np.ndarray, length: int, size: int) -> Ru
     total, none = len(sums) - 1, np.zeros(0, np.int64)
     if total < length:
         return Runs(none, none, none, none.astype(np.uint64))
-    grams = np.arange(total - size + 1)
-    keys = T.span_hash(sums, grams, grams + size)
+    keys = T.gram_hashes(sums, size)
     # positions below 2 ** 32 break ties among equal high bits: the first one wins
-    ranked = (keys & ~np.uint64(2**32 - 1)) | grams.astype(np.uint64)
+    ranked = (keys & ~np.uint64(2**32 - 1)) | np.arange(len(keys), dtype=np.uint64)
     anchor = (slide(np.minimum, ranked, length - size + 1) & np.uint64(2**32 - 1)).astype(np.int64)
     fits = np.flatnonzero(T.window_fits(bounds, length))
     if not len(fits):

@@ -99,10 +99,10 @@ def dealt(frame: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return frame.repartition(buckets, *keys) if buckets > partitions(frame.sparkSession) else frame
 
 
-def bucket_count(chunks: DataFrame) -> int:
-    """Buckets for the text of these chunks."""
+def bucket_count(chunks: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets for the text of these chunks, of so many bytes each."""
     size = chunks.agg(F.sum("size")).first()[0] or 0
-    return max(32, -(-size // BUCKET_BYTES))
+    return max(32, -(-size // each))
 
 
 @dataclass
@@ -137,12 +137,14 @@ class Distinct:
     last: np.ndarray
 
 
-def distinct(keys: np.ndarray) -> Distinct:
-    """keys: in the order of their documents."""
+def distinct(keys: np.ndarray, *more: np.ndarray) -> Distinct:
+    """keys: in the order of their documents; entries of equal keys that differ in ``more`` are not joined."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    for other in more:
+        new[1:] |= other[order][1:] != other[order][:-1]
     at = np.flatnonzero(new)
     of = np.empty(len(keys), np.int64)
     of[order] = np.cumsum(new) - 1

@@ -27,6 +27,7 @@ chunk of its own; an empty table gives an empty result. Only the id and text col
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ LENGTH = 50
 #: Bytes of an anchor's gram: long enough that equal grams in unlike contexts are rare.
 GRAM = 20
 SHARD_BYTES = 1 << 19
-#: Different excerpts of one anchor in a group.
+#: Bytes of text for each group of excerpts; and different excerpts of one anchor in a group.
+GROUP_BYTES = 8 << 20
 HOT = 20_000
 RESULT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary())])
 RESULT_SQL = "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary"
@@ -61,12 +63,19 @@ class Excerpts:
 
     def __init__(self, chunk: C.Chunk, length: int, gram: int):
         self.chunk, self.length = chunk, length
-        sums = [T.prefix(chunk.block.data, which) for which in (0, 1)]
-        self.runs: Runs = anchored(sums[0], chunk.block.bounds, length, gram)
-        self.ids = chunk.ids[self.runs.text]
-        start, end = self.runs.start, self.runs.end + length - 1
-        self.hash = T.span_hash(sums[0], start, end)
-        same = C.distinct(self.hash ^ T.span_hash(sums[1], start, end, 1) * np.uint64(0x9E3779B97F4A7C15))
+        found, hashes = [], []
+        for part in T.parts(chunk.block):
+            sums, at = T.prefix(part.data), chunk.block.bounds[part.first]
+            own = anchored(sums, part.bounds, length, gram)
+            hashes.append(T.span_hash(sums, own.start, own.end + length - 1))
+            found.append((own.start + at, own.end + at, own.text + part.first, own.key))
+        none = np.zeros(0, np.int64)
+        start, end, text = (np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
+        self.runs = Runs(start, end, text, np.concatenate([none.astype(np.uint64), *(f[3] for f in found)]))
+        self.ids = chunk.ids[text]
+        self.hash = np.concatenate([none.astype(np.uint64), *hashes])
+        # equal excerpts have equal anchors: two hashes and the length tell others apart
+        same = C.distinct(self.hash, self.runs.key, end - start)
         self.leader = same.first[same.of]  # of each run, the first with an equal excerpt
         self.keys = C.distinct(self.runs.key)
 
@@ -144,14 +153,14 @@ def _shards(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[tuple[i
 def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.Table:
     """The excerpts of a group -> for each row, bits of its strings; and of hot anchors the group's distinct strings."""
     rows = table.to_pylist()
-    place: dict[tuple[int, bytes], int] = {}  # distinct excerpts: each gets a suffix array once
-    of, ids, bodies, keys, counts, places = [], [], [], [], [], []
+    place: dict[bytes, int] = {}  # distinct excerpts, which have equal anchors: each is in one suffix array
+    of, ids, bodies, keys, counts, places = array("q"), [], [], array("I"), [], []
     for number, row in enumerate(rows):
         lens, key = np.frombuffer(row["lens"], np.uint8), np.frombuffer(row["keys"], np.uint32).tolist()
         whole, begin = C.unzipped(row["body"], int(lens.sum())), 0
         for k, end in zip(key, np.cumsum(lens, dtype=np.int64).tolist(), strict=True):
             body = whole[begin:end]
-            at = place.setdefault((k, body), len(bodies))
+            at = place.setdefault(body, len(bodies))
             if at == len(bodies):
                 bodies.append(body)
                 keys.append(k)
@@ -160,11 +169,12 @@ def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.T
         ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.uint32)))
         counts.append(len(key))
         places.append(np.frombuffer(row["at"], np.int64) if row["at"] is not None else np.full(len(key), -1))
-    of_, id_ = np.array(of, np.int64), np.concatenate([np.zeros(0, np.int64), *ids])
+    place.clear()
+    of_, id_ = np.frombuffer(of, np.int64), np.concatenate([np.zeros(0, np.int64), *ids])
     size = np.fromiter(map(len, bodies), np.int64, len(bodies)) - length + 1
     first = np.full(len(bodies), C.LAST)
     np.minimum.at(first, of_, id_)
-    order = np.argsort(np.array(keys, np.uint32), kind="stable")
+    order = np.argsort(np.frombuffer(keys, np.uint32), kind="stable")
     at_string = np.concatenate([[0], np.cumsum(size[order])])  # strings, in order of their excerpts
     least = np.full(int(at_string[-1]), C.LAST)
     chain: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of shards that hold one key: where, strings, numbers
@@ -178,7 +188,7 @@ def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.T
             least[where] = lists[0][1][S.find(lists[0][0], rows_)[0]][group]
         chain.clear()
 
-    sorted_keys = np.array(keys, np.uint32)[order]
+    sorted_keys = np.frombuffer(keys, np.uint32)[order]
     found = list(_shards(sorted_keys, (size + length - 1)[order], limit))
     for number, (begin, end, goes_on) in enumerate(found):
         if not goes_on and chain:
@@ -232,7 +242,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     if not 0 < gram <= length or 2 * length - gram > 255:
         raise ValueError("gram must be between 1 and length, and 2 * length - gram at most 255")
     chunks = C.chunked(docs, id_col, text_col)
-    buckets, limit = C.bucket_count(chunks), SHARD_BYTES
+    buckets, limit = C.bucket_count(chunks, GROUP_BYTES), SHARD_BYTES
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -77,6 +77,15 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
+def parts(block: Block, limit: int = 1 << 18) -> Iterator[Block]:
+    """The texts of a block in smaller ones, which share its bytes."""
+    i = 0
+    while i < len(block):
+        j = max(i + 1, min(len(block), int(np.searchsorted(block.bounds, block.bounds[i] + limit, "right")) - 1))
+        yield Block(block.data[block.bounds[i] : block.bounds[j]], block.bounds[i : j + 1] - block.bounds[i], i)
+        i = j
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 18) -> Iterator[Block]:
     """Whole texts in blocks of about ``limit`` bytes; a longer text is a block of its own."""
     column = strings(column)
@@ -143,6 +152,14 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
+def gram_hashes(sums: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """span_hash of all ranges of ``size`` bytes, in order of their starts."""
+    n = max(0, len(sums) - size)
+    out = (sums[size:] - sums[:n]) * powers(len(sums), which, inverse=True)[:n]
+    out += np.uint64(size * 0x9FB21C651E98DF25 & 2**64 - 1)
+    return mix(out)
+
+
 def word_hashes(block: Block, found: Words, which: int = 0) -> np.ndarray:
     return span_hash(prefix(block.data, which), found.starts, found.ends, which)
 
