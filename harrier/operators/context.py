@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrier.functions import text as X
+from harrier.operators.lexical import top_k
+from harrier.operators.ranking import running
 from harrier.plans.config import DEFAULTS
+from harrier.sources.shared import written
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -49,10 +55,13 @@ def fit_chars(rows: DataFrame, by: list[str], order: list[str], text: str, sourc
     """by, reference_id, source, text, truncated: numbered blocks within ``limit`` characters.
 
     Each block is ``[n] source`` on a line and its text; two characters part blocks. A text that does not fit is cut
-    and right-trimmed, and what that frees may still hold one more block. A fold over the ordered rows of a group.
+    and right-trimmed, and what that frees may still hold one more block. A fold over the first rows of a group: every
+    block takes at least its header and what parts it from the next, so only so many rows and characters can count.
     """
+    least = len("[1] \n") + 2
+    first = top_k(rows.select(*by, *order, source, F.left(F.col(text), F.lit(limit + 1)).alias(text)), by, [F.col(c) for c in order], limit // least + 1, "__n").drop("__n")
     item = F.struct(*[F.col(c) for c in order], F.col(source).alias("__s"), F.col(text).alias("__t"))
-    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = first.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = "array<struct<n:int,source:string,text:string,truncated:boolean>>"
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("stop"), F.array().cast(kind).alias("out"))
 
@@ -71,35 +80,89 @@ def fit_chars(rows: DataFrame, by: list[str], order: list[str], text: str, sourc
 
 
 def fit_tokens(rows: DataFrame, by: str, order: str, text: str, limit: int = DEFAULTS.context_tokens, encode: Callable[[str], list] = str.split, decode: Callable[[list], str] = " ".join) -> DataFrame:
-    """by, reference_id, text, tokens, truncated within a token budget, with an injectable tokenizer (words by default)."""
-    kind = dict(rows.dtypes)[by]
+    """by, reference_id, text, tokens, truncated within a token budget, with an injectable tokenizer (words by default).
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, left = [], limit
-        for t in pdf.sort_values(order)[text].fillna(""):
-            if left <= 0:
-                break
-            units = encode(t)
-            kept = units[:left]
-            out.append((pdf[by].iloc[0], len(out) + 1, t if len(kept) == len(units) else decode(kept), len(kept), len(kept) < len(units)))
-            left -= len(kept)
-        return pd.DataFrame(out, columns=[by, "reference_id", text, "tokens", "truncated"])
+    Rows are counted where they are, and their tokens summed along the order by ranges (see ranking.running): a row
+    stays if those before it leave room. Only the one that passes the limit is cut. ``order`` tells rows apart.
+    """
+    kinds = dict(rows.dtypes)
 
-    return rows.select(by, order, text).groupBy(by).applyInPandas(fold, f"`{by}` {kind}, reference_id int, `{text}` string, tokens int, truncated boolean")
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: len(encode(t)))
 
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([decode(encode(t)[:n]) for t, n in zip(texts.fillna(""), most, strict=True)], dtype=object)
 
-def pack(rows: DataFrame, by: list[str], order: list[str], size: str, limit: int) -> DataFrame:
-    """rows' order keys with bin: in order, a new bin starts where the next size would pass the limit."""
-    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("__size")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out"))
+    sized = rows.select(by, order, text).withColumn("tokens", counted(text))
+    placed = running(sized, [by], [order], {"__upto": F.col("tokens").cast("long"), "reference_id": F.lit(1).cast("long")})
+    room = limit - (F.col("__upto") - F.col("tokens"))
+    kept = placed.filter(room > 0).withColumn("__room", room.cast("int"))
+    over = F.col("tokens") > F.col("__room")
+    body = F.when(over, cut(text, F.least("__room", "tokens"))).otherwise(F.coalesce(text, F.lit("")))
+    return kept.select(F.col(by).cast(kinds[by]).alias(by), F.col("reference_id").cast("int").alias("reference_id"), body.alias(text), F.least("tokens", "__room").cast("int").alias("tokens"), over.alias("truncated"))
 
-    def step(s: Column, x: Column) -> Column:
-        over = (s["used"] > 0) & (s["used"] + x["__size"] > limit)
-        b = (s["bin"] + over.cast("int")).cast("int")
-        return F.struct((F.when(over, x["__size"]).otherwise(s["used"] + x["__size"])).cast("long").alias("used"), b.alias("bin"), F.array_append(s["out"], b).alias("out"))
 
-    packed = grouped.select(*by, F.explode(F.arrays_zip("items", F.aggregate("items", start, step)["out"].alias("bin"))).alias("z"))
-    return packed.select(*by, *[F.col(f"z.items.{c}").alias(c) for c in order], F.col("z.items.__size").alias(size), F.col("z.bin").alias("bin"))
+def pack(rows: DataFrame, by: list[str], order: list[str], size: str, limit: int) -> DataFrame:
+    """by, order, size, bin: in order, a new bin starts where the next size would pass the limit.
+
+    Where a bin starts depends on all bins before it, so a group is one pass over its rows in order; they stream
+    through the task, which holds one batch and a sum. Groups are packed beside each other.
+    """
+    keyed = rows.select(*by, *order, F.col(size).cast("long").alias(size))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("bin", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, bin_ = None, 0, 0
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            bins = []
+            for name, n in zip(names, batch.column(len(by) + len(order)).to_pylist(), strict=True):
+                n = n or 0
+                if name != group:
+                    group, used, bin_ = name, n, 0
+                elif used > 0 and used + n > limit:
+                    used, bin_ = n, bin_ + 1
+                else:
+                    used += n
+                bins.append(bin_)
+            yield batch.append_column("bin", pa.array(bins, pa.int32()))
+
+    dealt = keyed.repartition(*[F.col(c) for c in by]) if by else keyed.coalesce(1)
+    return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class ContextPlan:
+    """Which stages run between retrieval and the prompt, and their limits."""
+
+    expand: bool = True
+    merge: bool = True
+    compress: bool = True
+    window: int = DEFAULTS.neighbor_window
+    chars: int = DEFAULTS.context_chars
+
+
+def build_context(hits: DataFrame, corpus: DataFrame, plan: ContextPlan = ContextPlan(), by: str = "query_id", source: str = "source", index: str = "chunk_index", text: str = "text", score: str = "score") -> dict[str, DataFrame]:
+    """hits (by, source, index, score) and the chunks (source, index, text) -> the rows after each stage.
+
+    deduplicated: the best score of each chunk; expanded: with neighbours; merged: runs of chunks joined without their
+    overlap; compressed: numbered blocks within the limit. A stage that is switched off passes its rows on.
+    """
+    best = hits.groupBy(by, source, index).agg(F.max(score).alias(score))
+    found = expand_neighbors(best, corpus, [by], source, index, plan.window, score) if plan.expand else best.withColumn("is_neighbor", F.lit(False))
+    full = found.join(corpus.select(source, index, text), [source, index])
+    if plan.merge:
+        merged = merge_overlapping(full, [by, source], index, text, score)
+    else:
+        merged = full.select(by, source, F.lit(0).alias("group_no"), text, score, F.col(index).alias("first_index"), F.col(index).alias("last_index"), F.lit(1).cast("long").alias("members"), F.col(index).cast("string").alias("label"))
+    ranked = merged.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc_nulls_last(), source, "first_index")))
+    if plan.compress:
+        fitted = fit_chars(ranked, [by], ["place"], text, source, plan.chars)
+    else:
+        fitted = ranked.select(by, F.col("place").alias("reference_id"), source, text, F.lit(False).alias("truncated"))
+    return {"deduplicated": best, "expanded": full, "merged": ranked, "compressed": fitted}
 
 
 def split_text(text: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, str]]:
@@ -154,8 +217,9 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
             yield pd.DataFrame(rows, columns=[id_col, source_col, "part", "start_index", "chunk_char_count", "text"])
 
     parts = docs.select(id_col, source_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, `{source_col}` string, part int, start_index int, chunk_char_count int, text string")
+    parts = written(parts, "chunk-parts")  # the splitter runs once
     # the index runs over a source: counts of documents before, then the part within the document
     sizes = parts.groupBy(source_col, id_col).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(source_col).orderBy(id_col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = parts.join(sizes.select(source_col, id_col, before.alias("before")), [source_col, id_col])
+    before = running(sizes, [source_col], [id_col], {"upto": F.col("n")}).select(source_col, id_col, (F.col("upto") - F.col("n")).alias("before"))
+    numbered = parts.join(before, [source_col, id_col])
     return numbered.select(id_col, source_col, (F.col("before") + F.col("part")).cast("int").alias("chunk_index"), "start_index", "chunk_char_count", "text").withColumn("chunk_id", F.concat_ws(":", F.col(source_col), F.lit("pna"), F.concat(F.lit("c"), F.col("chunk_index").cast("string"))))

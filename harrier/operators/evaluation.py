@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a safe failure says.
 SAFE_FAILURE = ("insufficient evidence", "do not contain sufficient", "could not find enough evidence", "no reliable answer", "cannot answer from", "not available in the")
@@ -86,11 +90,48 @@ def best(ranked: DataFrame, by: str = "experiment_id") -> DataFrame:
 
 def tradeoff(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """rows (coverage, safe, density, forbidden, latency, tokens) with score: gains minus costs relative to the largest."""
-    every = W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    most = lambda c: F.coalesce(F.nullif(F.max(c).over(every), F.lit(0.0)), F.lit(1.0))
-    gain = weights["coverage"] * F.col("coverage") + weights["safe"] * F.col("safe").cast("double") + weights["density"] * F.least(F.lit(1.0), F.col("density") / most("density"))
-    cost = weights["forbidden"] * F.least(F.lit(1.0), F.col("forbidden").cast("double")) + weights["latency"] * F.col("latency") / most("latency") + weights["tokens"] * F.col("tokens") / most("tokens")
-    return rows.withColumn("score", F.round(gain - cost, 6))
+    relative = ("density", "latency", "tokens")
+    held = rows.join(F.broadcast(rows.agg(*[F.max(c).alias(f"__{c}") for c in relative])), how="cross")
+    share = {c: F.col(c) / F.coalesce(F.nullif(F.col(f"__{c}"), F.lit(0.0)), F.lit(1.0)) for c in relative}
+    gain = weights["coverage"] * F.col("coverage") + weights["safe"] * F.col("safe").cast("double") + weights["density"] * F.least(F.lit(1.0), share["density"])
+    cost = weights["forbidden"] * F.least(F.lit(1.0), F.col("forbidden").cast("double")) + weights["latency"] * share["latency"] + weights["tokens"] * share["tokens"]
+    return held.withColumn("score", F.round(gain - cost, 6)).drop(*[f"__{c}" for c in relative])
+
+
+def answered(questions: DataFrame, answer: Callable[[dict], str | None], text: str = "answer") -> DataFrame:
+    """questions with the answer of each and error: what one question raises is kept with it and stops no other."""
+    schema = T.StructType([*questions.schema.fields, T.StructField(text, T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made, errors = [], []
+            for row in pdf.to_dict("records"):
+                try:
+                    made.append(answer(row))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    made.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(**{text: pd.Series(made, index=pdf.index, dtype=object), "error": pd.Series(errors, index=pdf.index, dtype=object)})
+
+    return questions.mapInPandas(run, schema)
+
+
+def sweep(grid: DataFrame, questions: DataFrame, factory: Callable[[dict], Callable[[DataFrame], DataFrame]], hooks: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """The rows of every experiment of a grid (see relations.grid), with its experiment_id and fingerprint.
+
+    ``factory`` makes the pipeline of a setting, a function of the questions; settings are few and each is one branch of
+    the plan. Every hook then adds its columns to all rows.
+    """
+    rows = None
+    for setting in [r.asDict() for r in grid.collect()]:
+        own = factory(dict(setting))(questions).withColumn("experiment_id", F.lit(setting["experiment_id"])).withColumn("fingerprint", F.lit(setting["fingerprint"]))
+        rows = own if rows is None else rows.unionByName(own)
+    if rows is None:
+        raise ValueError("the grid has no settings")
+    for hook in hooks:
+        rows = hook(rows)
+    return rows
 
 
 def tf_cosine(words: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,33 +12,33 @@ from harrier.functions import text as X
 
 #: Extensions by category, label and support.
 FORMATS = (
-    ("Core Enterprise Documents", "PDF", "pdf", "supported_now", False),
-    ("Core Enterprise Documents", "Word", "docx doc", "supported_now", False),
-    ("Core Enterprise Documents", "Excel", "xlsx xls", "supported_now", False),
-    ("Core Enterprise Documents", "CSV", "csv", "supported_now", False),
-    ("Core Enterprise Documents", "PowerPoint", "pptx ppt", "supported_now", False),
-    ("Core Enterprise Documents", "Text", "txt", "supported_now", False),
-    ("Technical Documentation", "Markdown", "md markdown", "supported_now", False),
-    ("Technical Documentation", "HTML", "html htm", "supported_now", False),
-    ("Technical Documentation", "JSON", "json", "supported_now", False),
-    ("Technical Documentation", "XML", "xml", "supported_now", False),
-    ("Technical Documentation", "YAML", "yaml yml", "supported_now", False),
-    ("Images with OCR", "PNG", "png", "ocr_supported", True),
-    ("Images with OCR", "JPG/JPEG", "jpg jpeg", "ocr_supported", True),
-    ("Images with OCR", "TIFF", "tiff tif", "ocr_supported", True),
-    ("Email / Communication", "Email", "eml msg pst mbox", "recognized_future_support", False),
-    ("Archives", "Archives", "zip rar 7z tar gz", "recognized_future_support", False),
-    ("Source Code", "Source Code", "py js ts tsx jsx java cpp c cs go rs php swift kt rb sql", "recognized_future_support", False),
-    ("Configuration / DevOps", "Configuration Files", "toml ini env dockerfile", "recognized_future_support", False),
-    ("Multimedia", "Audio", "mp3 wav aac", "recognized_future_support", False),
-    ("Multimedia", "Video", "mp4 mov avi mkv", "recognized_future_support", False),
-    ("Engineering / CAD", "CAD / Engineering", "dwg dxf step stp iges sldprt sldasm", "recognized_future_support", False),
+    ("Core Enterprise Documents", "PDF", ("pdf",), "supported_now", False),
+    ("Core Enterprise Documents", "Word", ("docx", "doc"), "supported_now", False),
+    ("Core Enterprise Documents", "Excel", ("xlsx", "xls"), "supported_now", False),
+    ("Core Enterprise Documents", "CSV", ("csv",), "supported_now", False),
+    ("Core Enterprise Documents", "PowerPoint", ("pptx", "ppt"), "supported_now", False),
+    ("Core Enterprise Documents", "Text", ("txt",), "supported_now", False),
+    ("Technical Documentation", "Markdown", ("md", "markdown"), "supported_now", False),
+    ("Technical Documentation", "HTML", ("html", "htm"), "supported_now", False),
+    ("Technical Documentation", "JSON", ("json",), "supported_now", False),
+    ("Technical Documentation", "XML", ("xml",), "supported_now", False),
+    ("Technical Documentation", "YAML", ("yaml", "yml"), "supported_now", False),
+    ("Images with OCR", "PNG", ("png",), "ocr_supported", True),
+    ("Images with OCR", "JPG/JPEG", ("jpg", "jpeg"), "ocr_supported", True),
+    ("Images with OCR", "TIFF", ("tiff", "tif"), "ocr_supported", True),
+    ("Email / Communication", "Email", ("eml", "msg", "pst", "mbox"), "recognized_future_support", False),
+    ("Archives", "Archives", ("zip", "rar", "7z", "tar", "gz"), "recognized_future_support", False),
+    ("Source Code", "Source Code", ("py", "js", "ts", "tsx", "jsx", "java", "cpp", "c", "cs", "go", "rs", "php", "swift", "kt", "rb", "sql"), "recognized_future_support", False),
+    ("Configuration / DevOps", "Configuration Files", ("toml", "ini", "env", "dockerfile"), "recognized_future_support", False),
+    ("Multimedia", "Audio", ("mp3", "wav", "aac"), "recognized_future_support", False),
+    ("Multimedia", "Video", ("mp4", "mov", "avi", "mkv"), "recognized_future_support", False),
+    ("Engineering / CAD", "CAD / Engineering", ("dwg", "dxf", "step", "stp", "iges", "sldprt", "sldasm"), "recognized_future_support", False),
 )
 
 
 def registry(spark: SparkSession) -> DataFrame:
     """ext, category, label, support, needs_ocr: a fixed lookup table of some 60 rows."""
-    return spark.createDataFrame([(e, c, n, s, o) for c, n, exts, s, o in FORMATS for e in exts.split()], "ext string, category string, label string, support string, needs_ocr boolean")
+    return spark.createDataFrame([(e, c, n, s, o) for c, n, exts, s, o in FORMATS for e in exts], "ext string, category string, label string, support string, needs_ocr boolean")
 
 
 def with_format(files: DataFrame, name: str) -> DataFrame:
@@ -86,8 +88,12 @@ def moves(now: DataFrame, before: DataFrame, key: str, same: list[str]) -> DataF
 
 
 def folder_moves(now: DataFrame, before: DataFrame, folder: str, digest: str) -> DataFrame:
-    """old, new folders with the same sorted list of hashes, paired in order; longest missing paths first."""
-    sign = lambda rows: rows.groupBy(folder).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("signature"))
+    """old, new folders with the same hashes, paired in order; longest missing paths first.
+
+    A folder's signature is the number of its hashes and two sums over them, so no folder is collected into one row.
+    """
+    total = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)")).cast("string")
+    sign = lambda rows: rows.groupBy(folder).agg(F.concat_ws(":", F.count("*").cast("string"), total(digest), total(F.lit("2"), digest)).alias("signature"))
     a, b = sign(now), sign(before)
     w = W.partitionBy("signature").orderBy(F.length(folder).desc(), folder)
     fresh = a.join(b.select(folder), folder, "left_anti").select("signature", F.col(folder).alias("new"), F.row_number().over(w).alias("n"))
@@ -95,6 +101,36 @@ def folder_moves(now: DataFrame, before: DataFrame, folder: str, digest: str) ->
     return gone.join(fresh, ["signature", "n"]).select("old", "new")
 
 
+def first_filled(rows: DataFrame, names: Sequence[str], default: str | None = None) -> Column:
+    """The first of these columns, as far as the rows have them, that is neither null nor blank; else the default."""
+    have = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in names if n in rows.columns]
+    return F.coalesce(*have, F.lit(default))
+
+
+def readiness(files: DataFrame, by: str, name: str, samples: int = 5) -> DataFrame:
+    """by, n, samples: how many files there are of each kind, and the first names of them."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(name))
+    first = files.withColumn("__n", place).filter(F.col("__n") <= samples).groupBy(by).agg(F.array_sort(F.collect_list(name)).alias("samples"))
+    return files.groupBy(by).agg(F.count("*").alias("n")).join(first, by)
+
+
+def anchor(sheet: Column, slide: Column, page: Column, chunk: Column) -> Column:
+    """Where a chunk stands: its sheet, slide or page, whichever is known first, else its own id."""
+    return F.coalesce(F.concat(F.lit("sheet:"), sheet), F.concat(F.lit("slide:"), slide.cast("string")), F.concat(F.lit("page:"), page.cast("string")), F.concat(F.lit("chunk:"), chunk))
+
+
+def payload(chunks: DataFrame, versions: DataFrame, version: str = "document_version_id") -> DataFrame:
+    """The payload of chunks (version, chunk_index, text columns) from their documents and versions.
+
+    A document without repository gets one from its scope: that of its owner if personal, else of its department, else
+    of its organization.
+    """
+    own = F.when(F.col("storage_scope") == "personal", F.concat(F.lit("personal:"), "owner_user_id"))
+    repository = F.coalesce("repository_id", own, F.concat(F.lit("department:"), "department_id"), F.concat(F.lit("organization:"), "organization_id"))
+    rows = chunks.join(versions, version).withColumn("repository_id", repository)
+    return rows.withColumn("chunk_id", F.concat_ws(":", F.col(version), F.col("chunk_index").cast("string")))
+
+
 #: What a chunk's payload must hold, and what of it may not be null.
 REQUIRED = ("document_id", "document_version_id", "repository_id", "storage_scope", "visibility", "organization_id", "owner_user_id", "department_id", "relative_path", "file_name", "chunk_id", "chunk_index")
 NULLABLE = ("owner_user_id", "department_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
+from harrier.operators.ingest import first_filled
 
 
 def ranked(kinds: list[DataFrame], query: str) -> DataFrame:
@@ -27,3 +29,15 @@ def page(hits: DataFrame, size: int, offset: int = 0) -> DataFrame:
 
 def counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def normalized(rows: DataFrame, sources: Sequence[str], page: str = "page", index: str = "page_index") -> DataFrame:
+    """rows with source, the first of the columns that is neither null nor blank, and page as text.
+
+    A page is a positive number or a name; else it is the index and 1, null without one.
+    """
+    number, named = F.col(page).try_cast("int"), F.trim(F.col(page))
+    kept = (number > 0) | (number.isNull() & (named != ""))
+    by_index = (F.col(index).try_cast("long") + 1).cast("string")
+    made = rows.withColumn("__source", first_filled(rows, sources)).withColumn("__page", F.when(F.coalesce(kept, F.lit(False)), F.col(page)).otherwise(by_index))
+    return made.drop("source", page).withColumnsRenamed({"__source": "source", "__page": page})

@@ -41,7 +41,15 @@ def question_trace(stages: DataFrame, by: str = "query_id", version: str = "trac
     return listed.groupBy(by).agg(F.lit(version).alias("schema_version"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "rows")))).alias("stages"))
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """The value at index round((n - 1) * p), half to even, of a group's sorted values."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, (F.bround((F.count(x) - 1) * F.lit(p)) + 1).cast("int"))
+def retrieval_diagnostics() -> Column:
+    """(signal, state) of a row of retrieval metrics: utilization (percent), final_only_bm25 and final_bm25 (chunks),
+    overlap_ratio (null: nothing retrieved), generation, retrieval (seconds), sources, final (chunks)."""
+    c = F.col
+    signals = {
+        "token_budget": F.when(c("utilization") > 95, "tight").otherwise("fine"),
+        "bm25_value": F.when(c("final_only_bm25") > 0, "unique").when(c("final_bm25") > 0, "agreed").otherwise("none"),
+        "retriever_agreement": F.when(F.coalesce("overlap_ratio", F.lit(1.0)) < 0.25, "low").otherwise("fine"),
+        "latency": F.when(c("generation") > F.greatest(F.lit(0.001), 2 * c("retrieval")), "generation").otherwise("fine"),
+        "source_diversity": F.when((c("sources") <= 1) & (c("final") > 0), "concentrated").otherwise("fine"),
+    }
+    return F.array(*[F.struct(F.lit(name).alias("signal"), state.alias("state")) for name, state in signals.items()])

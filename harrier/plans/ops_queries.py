@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
-from harrier.operators import evaluation, ingest, search, trace
+from harrier.operators import citations, evaluation, ingest, ranking, relations, reports, search
 from harrier.plans.registry import Registry
 from harrier.sources import files
+from harrier.sources.shared import shared_folder
 from harrier.sources.tables import table
 from harrier.streaming import events as E
 
@@ -61,50 +62,6 @@ def excerpts(spark, sf_dir):
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+(?:[-''][\p{{L}}\p{{M}}\p{{N}}_]+)*')"
 
 
-@Q(f"SELECT doc_id FROM documents WHERE list_has_all({TOK.format('text')}, ['the', 'on', 'hable'])")
-def ft_all_terms(spark, sf_dir):
-    wanted = X.tokens(F.lit("The on HABLE"))
-    return table(spark, sf_dir, "documents").filter(F.size(F.array_except(wanted, X.tokens(F.col("text")))) == 0).select("doc_id")
-
-
-Q.both("like_any", "SELECT p_partkey FROM part WHERE lower(coalesce(p_name, '')) LIKE '%red%' OR lower(coalesce(p_name, '')) LIKE '%steel%' OR lower(coalesce(p_type, '')) LIKE '%brass%' ORDER BY p_partkey LIMIT 80")
-Q.both("search_filters", "SELECT doc_id FROM documents WHERE lower(lang) IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND n_chars > 500")
-Q.both("ilike_two_columns", "SELECT p_partkey FROM part WHERE p_name ILIKE '%AL%' OR p_type ILIKE '%tin%'")
-Q.both("note_filters", "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'trash' WHEN o_orderstatus = 'F' THEN 'archived' WHEN o_orderpriority = '1-URGENT' THEN 'pinned' WHEN o_orderdate >= TIMESTAMP '1998-07-01 00:00:00' - INTERVAL 30 DAY THEN 'recent' ELSE 'other' END AS shelf, count(*) AS n FROM orders GROUP BY 1")
-Q.both("scope_prefix", "SELECT doc_id FROM documents WHERE concat(source, '/', lang) = 'src1/en' OR concat(source, '/', lang, '/') LIKE 'src1/%' AND doc_id % 2 = 0")
-Q.both("publication_scope", "SELECT doc_id FROM documents d WHERE (EXISTS (SELECT 1 FROM orders WHERE o_orderkey = doc_id AND o_orderstatus = 'O') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 0)) AND source IN ('src1', 'src4')")
-Q.both("dup_hash", "SELECT sha2(text, 256) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY sha2(text, 256) HAVING count(*) > 1", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) > 1")
-Q.both("sha_keys", "SELECT doc_id, sha2(concat_ws('|', sha2(text, 256), 'gen-7', source, lang), 256) AS cache_key FROM documents", "SELECT doc_id, sha256(concat_ws('|', sha256(text), 'gen-7', source, lang)) AS cache_key FROM documents")
-Q.both("duplicate_stats", "SELECT source, count(*) - count(DISTINCT text) AS repeated_texts, count(*) AS n FROM documents GROUP BY source")
-Q.both("root_union_check", "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang HAVING count(*) > 1")
-Q.both("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(percentile(value, 0.5), 6) AS median, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY event_type", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY event_type")
-Q.both("status_distribution", "SELECT coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, 'unknown') AS status, count(*) AS n FROM events GROUP BY 1")
-Q.both("progress", "SELECT count(*) AS total, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS completed, round(100.0D * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / count(*), 2) AS percent, round(avg(value) * (count(*) - sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)), 4) AS eta FROM events", "SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed, round(100.0 * count(*) FILTER (event_type = 'purchase') / count(*), 2) AS percent, round(avg(value) * (count(*) - count(*) FILTER (event_type = 'purchase')), 4) AS eta FROM events")
-Q.both("slowest_n", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
-Q.both("job_queue_status", "SELECT event_type AS status, count(*) AS n, max(event_id) AS newest, count(DISTINCT user_id) AS workers FROM events WHERE event_type <> 'signup' GROUP BY event_type")
-Q.both("priority_order", "SELECT event_id FROM events ORDER BY CASE event_type WHEN 'error' THEN 120 WHEN 'purchase' THEN 80 WHEN 'click' THEN 60 ELSE 55 END DESC, ts, event_id LIMIT 25")
-Q.both("expired_leases", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND (event_id % 5 = 0 OR ts + INTERVAL 5 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 10 DAY)")
-Q.both("retry_schedule", "SELECT event_id, CASE WHEN user_id % 5 + 1 >= 5 THEN 'failed' ELSE 'retry_wait' END AS state, CASE WHEN user_id % 5 + 1 < 5 THEN 30.0D * power(2.0D, user_id % 5) END AS delay FROM events WHERE event_type = 'error'", "SELECT event_id, CASE WHEN user_id % 5 + 1 >= 5 THEN 'failed' ELSE 'retry_wait' END AS state, CASE WHEN user_id % 5 + 1 < 5 THEN 30.0::DOUBLE * power(2.0, user_id % 5) END AS delay FROM events WHERE event_type = 'error'")
-Q.both("latest_per_key", "SELECT user_id, max_by(event_type, event_id) AS last_type, min(event_id) AS first_seen FROM events GROUP BY user_id", "SELECT user_id, max_by(event_type, event_id) AS last_type, min(event_id) AS first_seen FROM events GROUP BY user_id")
-Q.both("round_robin", "SELECT event_id, row_number() OVER (ORDER BY n, event_type) AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) t", "SELECT event_id, row_number() OVER (ORDER BY n, event_type)::INTEGER AS place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)")
-Q.both("late_drop", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
-Q.both("run_summary", "SELECT user_id % 10 AS run, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS failed, round(avg(value), 6) AS mean_latency FROM events GROUP BY user_id % 10")
-Q.both("chart_aggregates", "SELECT event_type AS stage, round(sum(value), 4) AS seconds, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-Q.both("matrix_aggregate", "SELECT source, lang, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN n_chars END), 4) AS mean_chars, round(avg(CASE WHEN quality = 1 THEN 1.0D ELSE 0.0D END), 6) AS success FROM documents JOIN labels USING (doc_id) GROUP BY source, lang", "SELECT source, lang, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN n_chars END), 4) AS mean_chars, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS success FROM documents JOIN labels USING (doc_id) GROUP BY source, lang")
-Q.both("question_join", "SELECT item_id, count(d.doc_id) AS same_text FROM benchmark b LEFT JOIN documents d ON d.text = b.text GROUP BY item_id")
-Q.both("citation_match", "SELECT a.event_id, coalesce(b.event_id, c.event_id) AS matched FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id LEFT JOIN (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type) c ON a.user_id = c.user_id AND a.event_type = c.event_type AND b.event_id IS NULL")
-Q.both("pending_questions", "SELECT item_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id = item_id AND event_type IN ('view', 'click'))")
-Q.both("run_limit", "SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10")
-Q.both("resume_state", "SELECT item_id, max(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS done, count(event_id) AS attempts FROM benchmark LEFT JOIN events ON user_id = item_id GROUP BY item_id")
-Q.both("compression_ratio", "SELECT source, round(sum(least(n_chars, 1000)) / CAST(sum(n_chars) AS DOUBLE), 6) AS ratio FROM documents GROUP BY source")
-Q.both("token_efficiency", "SELECT lang, CAST(sum(greatest(1, ceil(n_chars / 4.0D))) AS BIGINT) AS candidate, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0D)) ELSE 0 END) AS BIGINT) AS selected, round(greatest(0.0D, 100.0D * (1 - sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0D)) ELSE 0 END) / sum(greatest(1, ceil(n_chars / 4.0D))))), 2) AS reduction FROM documents GROUP BY lang", "SELECT lang, sum(greatest(1, ceil(n_chars / 4.0)))::BIGINT AS candidate, sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0)) ELSE 0 END)::BIGINT AS selected, round(greatest(0.0, 100.0 * (1 - sum(CASE WHEN doc_id % 3 = 0 THEN greatest(1, ceil(n_chars / 4.0)) ELSE 0 END)::DOUBLE / sum(greatest(1, ceil(n_chars / 4.0)))))::DOUBLE, 2) AS reduction FROM documents GROUP BY lang")
-Q.both("citation_quality", "SELECT source, CAST(count_if(text IS NOT NULL AND text <> '') AS BIGINT) AS complete, CAST(count_if(doc_id % 4 = 0) AS BIGINT) AS without_page FROM documents GROUP BY source")
-Q.both("answer_dedup", "SELECT min(doc_id) AS doc_id, sha2(concat(lang, '|', text), 256) AS provenance FROM documents GROUP BY lang, text", "SELECT min(doc_id) AS doc_id, sha256(lang || '|' || text) AS provenance FROM documents GROUP BY lang, text")
-Q.both("checklist_dedup", "SELECT lower(text) AS item, min(turn) AS first_turn FROM conversations WHERE role = 'user' GROUP BY 1")
-Q.both("passthrough_rerank", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars / 100.0D END, doc_id / 10.0D) AS reranker_score FROM documents", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars / 100.0::DOUBLE END, doc_id / 10.0::DOUBLE) AS reranker_score FROM documents")
-Q.both("header_alias", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), nullif(lang, ''), 'none') AS name FROM documents")
-Q.both("ocr_summary", "SELECT count(*) AS files, round(avg(CASE WHEN page_id % 4 <> 0 THEN 1.0D ELSE 0.0D END), 6) AS success_rate, round(avg(length(html)), 4) AS mean_chars FROM pages", "SELECT count(*) AS files, round(avg(CASE WHEN page_id % 4 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(length(html)), 4) AS mean_chars FROM pages")
-Q.both("doc_loader_summary", "SELECT lang AS loader, count(*) AS documents, sum(n_chars) AS chars, array_join(array_sort(collect_set(source)), ',') AS sources FROM documents GROUP BY lang", "SELECT lang AS loader, count(*) AS documents, sum(n_chars)::BIGINT AS chars, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
 Q.both("user_sessions_lag", "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) t WHERE before IS NULL OR ts > before + INTERVAL 12 HOUR")
 
 
@@ -199,7 +156,8 @@ def tradeoff_score(spark, sf_dir):
 
 @Q("SELECT event_type, round(list_extract(list_sort(list(value)), (round_even((count(*) - 1) * 0.5, 0) + 1)::BIGINT), 6) AS p50, round(list_extract(list_sort(list(value)), (round_even((count(*) - 1) * 0.95, 0) + 1)::BIGINT), 6) AS p95 FROM events GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(trace.nearest_rank("value", 0.5), 6).alias("p50"), F.round(trace.nearest_rank("value", 0.95), 6).alias("p95"))
+    found = ranking.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 CHANGES = "c AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)"
@@ -241,9 +199,8 @@ def props_json(spark, sf_dir):
 
 @Q("SELECT user_id, event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY ALL")
 def metrics_map(spark, sf_dir):
-    """Maps of counters merged by sum."""
-    maps = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", F.get_json_object("props", "$.k").cast("long")).alias("m"))
-    return maps.select("user_id", F.explode("m").alias("event_type", "v")).groupBy("user_id", "event_type").agg(F.sum("v").alias("total"))
+    counters = F.create_map("event_type", F.get_json_object("props", "$.k").cast("long"))
+    return reports.summed_maps(table(spark, sf_dir, "events"), "user_id", counters).withColumnRenamed("key", "event_type")
 
 
 @Q("SELECT event_type, round(avg(value), 6) AS mean, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) FILTER (value > 50) AS slow FROM events GROUP BY event_type")
@@ -304,7 +261,7 @@ def skip_reason(spark, sf_dir):
 @Q(f"SELECT action, count(*) AS n, array_to_string(list_sort(list(name))[1:5], ',') AS samples FROM {NAMES} GROUP BY action")
 def format_readiness(spark, sf_dir):
     rows = _files(spark).withColumn("action", ingest.action(F.col("support")))
-    return rows.groupBy("action").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("name")), 1, 5), ",").alias("samples"))
+    return ingest.readiness(rows, "action", "name").withColumn("samples", F.array_join("samples", ","))
 
 
 @Q(r"SELECT conv_id, turn, b.k::INTEGER AS block, md5(b.x) AS block_md5 FROM (SELECT conv_id, turn, string_split(regexp_replace('# Title ' || turn || chr(10) || chr(10) || text, '\n\s*\n', chr(1), 'g'), chr(1)) AS s FROM conversations) t, LATERAL (SELECT unnest(range(0, len(s))) AS k, unnest(s) AS x) b")
@@ -336,13 +293,12 @@ def chunk_payload_contract(spark, sf_dir):
     return ingest.payload_contract(rows).select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("invalid", ",").alias("invalid"))
 
 
-@Q("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, lang) AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 10 WHEN doc_id % 3 = 1 THEN doc_id % 7 + 1 END::INTEGER AS page FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 10 > 0")
+@Q("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS meta_source, lang AS source, CASE doc_id % 4 WHEN 0 THEN (doc_id % 10 - 1)::VARCHAR WHEN 1 THEN 'iv' WHEN 2 THEN NULL ELSE '' END AS page, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS page_index FROM documents) SELECT doc_id, coalesce(meta_source, source) AS source, CASE WHEN try_cast(page AS INTEGER) > 0 THEN page WHEN page IS NOT NULL AND trim(page) <> '' AND try_cast(page AS INTEGER) IS NULL THEN page ELSE (page_index + 1)::VARCHAR END AS page FROM r")
 def normalize_results(spark, sf_dir):
     i = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 2 == 0, F.col("source")).alias("meta_source"), "lang", F.when(i % 3 == 0, (i % 10).cast("string")).alias("page"), F.when(i % 3 == 1, (i % 7).cast("string")).alias("page_index"))
-    page = F.col("page").try_cast("int")
-    made = F.coalesce(F.when(page > 0, page), F.col("page_index").try_cast("int") + 1)
-    return rows.filter((i % 3 != 0) | (i % 10 > 0)).select("doc_id", F.coalesce("meta_source", "lang").alias("source"), made.alias("page"))
+    page = F.when(i % 4 == 0, (i % 10 - 1).cast("string")).when(i % 4 == 1, "iv").when(i % 4 == 3, "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 2 == 0, F.col("source")).alias("metadata_source"), F.col("lang").alias("source"), page.alias("page"), F.when(i % 3 != 0, i % 7).alias("page_index"))
+    return search.normalized(rows, ["metadata_source", "source"]).select("doc_id", "source", "page")
 
 
 @Q("SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 4 = 0 THEN 'n/a' ELSE value::VARCHAR END AS DOUBLE), 0) AS v FROM events")
@@ -392,11 +348,10 @@ def rank_map_merge(spark, sf_dir):
     return maps.select("user_id", F.explode("m").alias("event_type", "x")).groupBy("user_id", "event_type").agg(F.min("x.event_id").alias("best_rank"), F.round(F.max("x.value"), 6).alias("best_score"))
 
 
-@Q(rf"SELECT doc_id, '1. ' || left(text, 500) AS excerpt FROM documents")
+@Q("WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, md5(array_to_string(list_transform(t[1:3], lambda x, i: i || '. ' || left(x, 500)), chr(10) || chr(10))) AS excerpt_md5 FROM c")
 def extractive_excerpt(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("chunks"))
-    numbered = F.transform(F.slice("chunks", 1, 3), lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), F.left(c, F.lit(500))))
-    return rows.select("doc_id", F.array_join(numbered, "\n\n").alias("excerpt"))
+    rows = table(spark, sf_dir, "conversations").filter("turn >= 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    return rows.select("conv_id", F.md5(citations.excerpt(F.transform("m", lambda x: x["text"]))).alias("excerpt_md5"))
 
 
 @Q()
@@ -412,24 +367,58 @@ def stable_file_state(spark, sf_dir):
     return E.stable(rows, "user_id", "at", ["event_type"])
 
 
-def _streamed(spark, sf_dir, make, name, mode="complete"):
-    """The rows of a query on events as a stream that takes what is there and ends."""
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith("events.parquet") else f"{sf_dir}/events.parque[t]")
-    view = f"{name}_{abs(hash(sf_dir)) % 10**8}"
-    writer = make(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(view).outputMode(mode)
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{view}-{uuid.uuid4().hex}")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(view)
+def _stream(spark, sf_dir):
+    """The events as a stream that takes what is there."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@Q("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@Q("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM events GROUP BY event_type")
 def event_metrics_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "event_metrics")
+    root = _folder(spark, "event-metrics")
+    store = files.Generations(spark, f"{root}/table")
+    E.write_progress(E.metrics(_stream(spark, sf_dir), "event_type", "value"), store, f"{root}/checkpoint").awaitTermination()
+    return store.read().withColumn("largest", F.round("largest", 6))
+
+
+@Q("SELECT event_id, event_type, round(value, 6) AS value FROM events")
+def event_trace_stream(spark, sf_dir):
+    root = _folder(spark, "event-trace")
+    E.write_trace(_stream(spark, sf_dir), f"{root}/lines", f"{root}/checkpoint").awaitTermination()
+    rows = spark.read.schema("event_id long, event_type string, value double").json(f"{root}/lines")
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @Q("SELECT user_id, previous, event_type, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events) WHERE previous <> event_type GROUP BY ALL")
 def state_change_stream(spark, sf_dir):
-    rows = _streamed(spark, sf_dir, lambda s: E.state_changes_stream(s, "user_id", "ts", "event_type"), "state_change", "append")
-    return rows.groupBy("user_id", "previous", "event_type").agg(F.count("*").alias("n"))
+    root = _folder(spark, "state-changes")
+    changes = E.state_changes_stream(_stream(spark, sf_dir), "user_id", "ts", "event_type")
+    changes.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{root}/rows").groupBy("user_id", "previous", "event_type").agg(F.count("*").alias("n"))
+
+
+SWEPT = "e AS (SELECT item_id, k, CASE WHEN (item_id * k) % 7 = 0 THEN NULL ELSE k || ':' || left(text, 20 * k) END AS answer FROM benchmark, (SELECT unnest([1, 2, 5]) AS k))"
+
+
+@Q(f"WITH {SWEPT} SELECT 'experiment_00' || CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS experiment_id, count(*) AS questions, count(*) FILTER (answer IS NULL) AS failed, coalesce(sum(length(answer)), 0)::BIGINT AS chars FROM e GROUP BY k")
+def sweep_failures(spark, sf_dir):
+    """Every experiment asks all questions; those that fail are kept with their error, and a hook adds a column."""
+
+    def factory(setting):
+        k = setting["k"]
+
+        def answer(row):
+            if row["item_id"] * k % 7 == 0:
+                raise RuntimeError("no answer")
+            return f"{k}:{row['text'][: 20 * k]}"
+
+        return lambda questions: evaluation.answered(questions, answer)
+
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = evaluation.sweep(relations.grid(spark, {"k": [1, 2, 5]}), asked, factory, [lambda rows: rows.withColumn("chars", F.length("answer"))])
+    return rows.groupBy("experiment_id").agg(F.count("*").alias("questions"), F.count_if(F.col("error") == "RuntimeError: no answer").alias("failed"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harrier.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,13 +30,12 @@ class Registry:
         return add
 
     def both(self, name: str, sql: str, duck: str | None = None) -> None:
-        """A query that Spark and DuckDB read alike; ``duck`` where the dialects differ."""
+        """A query that Spark and DuckDB read alike; ``duck`` where the dialects differ. Tables stand after FROM or JOIN."""
+        used = {*re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)} & {*TABLES}
+        text = re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for t in TABLES:
-                if f" {t}" in sql or f"\n{t}" in sql:
-                    spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-            return spark.sql(sql)
+            return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
         run.__name__ = name
         self(duck or sql)(run)

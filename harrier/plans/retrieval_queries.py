@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
-from harrier.operators import context, evidence, fusion, lexical, vector
+from harrier.operators import citations as cite
+from harrier.operators import context, evidence, filters, fusion, lexical, relations, reports, retrieval, trace, vector
 from harrier.plans.registry import Registry
 from harrier.sources.files import Generations
 from harrier.sources.shared import shared_folder
@@ -51,6 +52,12 @@ near AS (SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id
 PAIRED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0)"
 
 
+FUSED = """
+listed AS (SELECT query_id, chunk, rank, 0 AS place, {wd} AS w FROM near WHERE rank <= 10 UNION ALL SELECT query_id, chunk, rank, 1, {wb} FROM bm25 WHERE rank <= 10),
+fused AS (SELECT query_id, chunk, round(sum(w / (60 + rank)), 9) AS s, min(place * 1000 + rank) AS seen, max(CASE WHEN place = 0 THEN rank END) AS dense_rank, max(CASE WHEN place = 1 THEN rank END) AS bm25_rank FROM listed GROUP BY query_id, chunk),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seen, chunk) AS rank FROM fused)"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -73,26 +80,42 @@ def dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return vector.search(points, asked, k)
 
 
+def retrievers(spark: SparkSession, sf_dir: str) -> dict[str, retrieval.Retriever]:
+    """The retrievers of the driver's tables: the vector of a question is that of the point of its id."""
+    points = table(spark, sf_dir, "embeddings")
+    vectors = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return {"dense": lambda _: vector.search(points, vectors), "bm25": retrieval.lexical_retriever(index(spark, sf_dir)), "paired": retrieval.dense_retriever(points, vectors)}
+
+
 def rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"dense": dense(spark, sf_dir), "bm25": lexical.search(index(spark, sf_dir), questions(spark, sf_dir, paired=True), 10)}
+    asked, known = questions(spark, sf_dir, paired=True), retrievers(spark, sf_dir)
+    return {name: known[name](asked) for name in ("dense", "bm25")}
+
+
+MODES = ("paired", "bm25", "hybrid")
+
+
+@Q(f"""WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')}
+SELECT 'paired' AS mode, query_id, chunk, rank::INTEGER AS rank FROM near WHERE rank <= 10 AND query_id IN (SELECT query_id FROM asked)
+UNION ALL SELECT 'bm25', query_id, chunk, rank::INTEGER FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, chunk, rank::INTEGER FROM top WHERE rank <= 10""")
+def retrieval_modes(spark, sf_dir):
+    asked, known = questions(spark, sf_dir, paired=True), retrievers(spark, sf_dir)
+    return relations.stacked([retrieval.retrieve(asked, mode, known).select("mode", "query_id", "chunk", "rank") for mode in MODES])
 
 
 def six(column: str) -> F.Column:
-    return F.round(column, 6).alias(column)
+    """To six places, by a product that both engines round alike."""
+    return (F.round(F.col(column) * 1e6) / 1e6).alias(column)
 
 
-FUSED = """
-listed AS (SELECT query_id, chunk, rank, 0 AS place, {wd} AS w FROM near WHERE rank <= 10 UNION ALL SELECT query_id, chunk, rank, 1, {wb} FROM bm25 WHERE rank <= 10),
-fused AS (SELECT query_id, chunk, round(sum(w / (60 + rank)), 9) AS s, min(place * 1000 + rank) AS seen, max(CASE WHEN place = 0 THEN rank END) AS dense_rank, max(CASE WHEN place = 1 THEN rank END) AS bm25_rank FROM listed GROUP BY query_id, chunk),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seen, chunk) AS rank FROM fused)"""
 
 
-@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='1.0::DOUBLE', wb='1.0::DOUBLE')} SELECT query_id, chunk, round(s * 1e6::DOUBLE) / 1e6::DOUBLE AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
 def hybrid_topk(spark, sf_dir):
     return fusion.fuse(rankings(spark, sf_dir)).select("query_id", "chunk", six("rrf_score"), "rank")
 
 
-@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='0.7::DOUBLE', wb='1.3::DOUBLE')} SELECT query_id, chunk, round(s, 6) AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
+@Q(f"WITH {PAIRED}, {bm25()}, {DENSE}, {FUSED.format(wd='0.7::DOUBLE', wb='1.3::DOUBLE')} SELECT query_id, chunk, round(s * 1e6::DOUBLE) / 1e6::DOUBLE AS rrf_score, rank::INTEGER AS rank FROM top WHERE rank <= 10")
 def rrf_weighted(spark, sf_dir):
     return fusion.fuse(rankings(spark, sf_dir), {"dense": 0.7, "bm25": 1.3}).select("query_id", "chunk", six("rrf_score"), "rank")
 
@@ -103,12 +126,12 @@ def rrf_provenance(spark, sf_dir):
     return found.select("query_id", "chunk", F.array_join("retrieval_sources", ",").alias("sources"), F.try_element_at("retrieval_ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("retrieval_ranks", F.lit("bm25")).alias("bm25_rank"))
 
 
-@Q(f"WITH {ASKED}, {bm25()} SELECT query_id, chunk, round(score, 6) AS score, rank::INTEGER AS rank FROM bm25 WHERE rank <= 10")
+@Q(f"WITH {ASKED}, {bm25()} SELECT query_id, chunk, round(score * 1e6::DOUBLE) / 1e6::DOUBLE AS score, rank::INTEGER AS rank FROM bm25 WHERE rank <= 10")
 def bm25_topk_batch(spark, sf_dir):
     return lexical.search(index(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "chunk", six("score"), "rank")
 
 
-@Q(f"WITH {ASKED}, {bm25('(SELECT * FROM post WHERE chunk IN (SELECT doc_id FROM labels WHERE quality = 1))')} SELECT query_id, chunk, round(score, 6) AS score, rank::INTEGER AS rank FROM bm25 WHERE rank <= 10")
+@Q(f"WITH {ASKED}, {bm25('(SELECT * FROM post WHERE chunk IN (SELECT doc_id FROM labels WHERE quality = 1))')} SELECT query_id, chunk, round(score * 1e6::DOUBLE) / 1e6::DOUBLE AS score, rank::INTEGER AS rank FROM bm25 WHERE rank <= 10")
 def bm25_scoped(spark, sf_dir):
     allowed = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk"))
     return lexical.search(index(spark, sf_dir), questions(spark, sf_dir), allowed=allowed).select("query_id", "chunk", six("score"), "rank")
@@ -124,7 +147,7 @@ def bm25_overlap_fallback(spark, sf_dir):
 held AS (SELECT unnest(list_distinct(t)) AS term FROM tok),
 raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM held GROUP BY term),
 mean AS (SELECT avg(raw) AS mean FROM raw)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, mean""")
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * 1e6::DOUBLE) / 1e6::DOUBLE AS idf FROM raw, mean""")
 def term_stats(spark, sf_dir):
     return index(spark, sf_dir).terms.select("term", "df", six("idf"))
 
@@ -135,19 +158,18 @@ def doc_length_stats(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.min("n").alias("min_len"), F.max("n").alias("max_len"), F.round(F.avg("n"), 6).alias("avg_len"))
 
 
-@Q("SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), '|' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@Q("WITH r AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS b FROM documents), d AS (SELECT source, b, sha256(string_agg(doc_id || ':' || sha256(text), '|' ORDER BY doc_id)) AS h FROM r GROUP BY ALL) SELECT source, sha256(string_agg(h, '|' ORDER BY b)) AS fingerprint FROM d GROUP BY source")
 def corpus_fingerprint(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("r"))
-    listed = F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat_ws(":", r["doc_id"].cast("string"), r["h"]))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(listed, "|"), 256).alias("fingerprint"))
+    rows = documents(spark, sf_dir).select("source", "doc_id", F.sha2("text", 256).alias("digest"))
+    return reports.fingerprint(rows, "source", "doc_id", "digest", 20)
 
 
-@Q(f"WITH {DENSE} SELECT query_id, chunk, round(score, 6) AS score, rank::INTEGER AS rank FROM near WHERE rank <= 10")
+@Q(f"WITH {DENSE} SELECT query_id, chunk, round(score * 1e6::DOUBLE) / 1e6::DOUBLE AS score, rank::INTEGER AS rank FROM near WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("query_id", "chunk", six("score"), "rank")
 
 
-@Q(f"WITH {DENSE} SELECT query_id, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk)::INTEGER AS rank FROM dense WHERE label IN (1, 3) AND chunk % 2 = 0 QUALIFY rank <= 5")
+@Q(f"WITH {DENSE} SELECT query_id, chunk, round(score * 1e6::DOUBLE) / 1e6::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk)::INTEGER AS rank FROM dense WHERE label IN (1, 3) AND chunk % 2 = 0 QUALIFY rank <= 5")
 def dense_filtered(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings")
     asked = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -175,20 +197,20 @@ def query_variants(spark, sf_dir):
     return fusion.variants(asked, "query_id", "query", "Library")
 
 
-MULTI = f"asked AS (SELECT item_id * 10 AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id * 10 + 1, text[1:60] FROM benchmark)"
+MULTI = f"asked AS (SELECT item_id * 10 AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id * 10 + 1, 'Which records tell of ' || text FROM benchmark)"
 
 
 def multi_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of two variants of each question: query_id, technique, variant, chunk, score, rank."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("query")), F.struct(F.lit(1).alias("v"), F.substring("text", 1, 60).alias("query")))).alias("x")).select((F.col("item_id") * 10 + F.col("x.v")).alias("query_id"), "x.query")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("query")), F.struct(F.lit(1).alias("v"), F.concat(F.lit("Which records tell of "), "text").alias("query")))).alias("x")).select((F.col("item_id") * 10 + F.col("x.v")).alias("query_id"), "x.query")
     hits = lexical.search(index(spark, sf_dir), asked, 10)
-    return hits.select(F.floor(F.col("query_id") / 10).cast("long").alias("question"), (F.col("query_id") % 10).cast("int").alias("variant"), F.when(F.col("query_id") % 10 == 0, "original").otherwise("short").alias("technique"), "chunk", "score", "rank")
+    return hits.select(F.floor(F.col("query_id") / 10).cast("long").alias("question"), (F.col("query_id") % 10).cast("int").alias("variant"), F.when(F.col("query_id") % 10 == 0, "original").otherwise("longer").alias("technique"), "chunk", "score", "rank")
 
 
-HITS = f"{MULTI}, {bm25()}, hits AS (SELECT (query_id // 10)::BIGINT AS question, (query_id % 10)::INTEGER AS variant, CASE WHEN query_id % 10 = 0 THEN 'original' ELSE 'short' END AS technique, chunk, score, rank FROM bm25 WHERE rank <= 10)"
+HITS = f"{MULTI}, {bm25()}, hits AS (SELECT (query_id // 10)::BIGINT AS question, (query_id % 10)::INTEGER AS variant, CASE WHEN query_id % 10 = 0 THEN 'original' ELSE 'longer' END AS technique, chunk, score, rank FROM bm25 WHERE rank <= 10)"
 
 
-@Q(f"WITH {HITS} SELECT question, chunk, round(max(score), 6) AS score, string_agg(technique, ',' ORDER BY variant) AS techniques, min(variant * 100 + rank)::BIGINT AS pos FROM hits GROUP BY question, chunk")
+@Q(f"WITH {HITS} SELECT question, chunk, round(max(score) * 1e6::DOUBLE) / 1e6::DOUBLE AS score, string_agg(technique, ',' ORDER BY variant) AS techniques, min(variant * 100 + rank)::BIGINT AS pos FROM hits GROUP BY question, chunk")
 def multi_query_merge(spark, sf_dir):
     rows = multi_hits(spark, sf_dir).withColumn("pos", (F.col("variant") * 100 + F.col("rank")).cast("long")).withColumn("matched_queries", F.array("technique"))
     best = fusion.dedup_best(rows, ["chunk"], ["question"])
@@ -212,32 +234,31 @@ def retriever_overlap(spark, sf_dir):
 @Q(f"WITH {HITS} SELECT technique, count(*) AS occurrences, count(DISTINCT chunk) AS chunks, count(DISTINCT source) AS sources, round(avg(score), 6) AS mean_score FROM hits JOIN documents ON doc_id = chunk GROUP BY technique")
 def variant_contribution(spark, sf_dir):
     hits = multi_hits(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk"), "source"), "chunk")
-    return hits.groupBy("technique").agg(F.count("*").alias("occurrences"), F.count_distinct("chunk").alias("chunks"), F.count_distinct("source").alias("sources"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return reports.contribution(hits, "technique", "chunk", "source", "score")
 
 
 @Q(f"WITH {HITS}, m AS (SELECT 'single' AS mode, question, chunk, score FROM hits WHERE variant = 0 UNION ALL SELECT 'multi', question, chunk, score FROM hits) SELECT mode, count(*) AS row_count, count(DISTINCT chunk) AS chunks, round(avg(score), 4) AS mean_score, round(max(score), 4) AS max_score FROM m GROUP BY mode")
 def retrieval_comparison(spark, sf_dir):
     hits = multi_hits(spark, sf_dir)
-    both = hits.filter("variant = 0").withColumn("mode", F.lit("single")).unionByName(hits.withColumn("mode", F.lit("multi")))
-    return both.groupBy("mode").agg(F.count("*").alias("row_count"), F.count_distinct("chunk").alias("chunks"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.max("score"), 4).alias("max_score"))
+    return reports.comparison({"single": hits.filter("variant = 0"), "multi": hits}, "chunk", "score")
 
 
 @Q(f"WITH {HITS} SELECT chunk, count(*) AS n, round(max(score), 6) AS max_score, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM hits GROUP BY chunk HAVING count(*) > 1")
 def duplicate_chunks(spark, sf_dir):
-    hits = multi_hits(spark, sf_dir)
-    return hits.groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("max_score"), F.array_join(F.array_sort(F.collect_set("technique")), ",").alias("techniques")).filter("n > 1")
+    found = reports.repeated_chunks(multi_hits(spark, sf_dir), "chunk", "score", "technique")
+    return found.withColumn("techniques", F.array_join("techniques", ","))
 
 
 @Q(f"WITH {HITS} SELECT source, count(*) AS chunks, count(DISTINCT chunk) AS pages, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM hits JOIN documents ON doc_id = chunk GROUP BY source ORDER BY chunks DESC, max_score DESC, source LIMIT 10")
 def top_sources(spark, sf_dir):
     hits = multi_hits(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk"), "source"), "chunk")
-    return hits.groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("chunk").alias("pages"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("max_score")).orderBy(F.desc("chunks"), F.desc("max_score"), "source").limit(10)
+    return reports.top_sources(hits, "source", "chunk", "score")
 
 
-@Q(f"WITH {ASKED}, {bm25()} SELECT query_id, chunk, round(score, 6) AS score FROM bm25 WHERE rank <= 10 AND score < 60 ORDER BY score, query_id, chunk LIMIT 20")
+@Q(f"WITH {ASKED}, {bm25()} SELECT query_id, chunk, round(score * 1e6::DOUBLE) / 1e6::DOUBLE AS score FROM bm25 WHERE rank <= 10 AND score < 60 ORDER BY score, query_id, chunk LIMIT 20")
 def low_score_chunks(spark, sf_dir):
-    hits = lexical.search(index(spark, sf_dir), questions(spark, sf_dir)).filter("score < 60")
-    return hits.orderBy("score", "query_id", "chunk").limit(20).select("query_id", "chunk", six("score"))
+    hits = lexical.search(index(spark, sf_dir), questions(spark, sf_dir))
+    return filters.low_scores(hits, "score", 60, 20, ["query_id", "chunk"]).select("query_id", "chunk", six("score"))
 
 
 @Q("""WITH s AS (SELECT conv_id, turn, (length(text) % 10)::DOUBLE AS score FROM conversations WHERE length(text) > 800),
@@ -250,11 +271,11 @@ def neighbor_expand(spark, sf_dir):
     return context.expand_neighbors(seeds, turns, [], "conv_id", "turn")
 
 
-@Q("""WITH t AS (SELECT conv_id, turn, role = 'system' AS odd, turn - lag(turn) OVER w AS gap, lag(role = 'system') OVER w AS was FROM conversations WHERE length(text) > 250 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@Q("""WITH t AS (SELECT conv_id, turn, role = 'system' AS odd, turn - lag(turn) OVER w AS gap, lag(role = 'system') OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 g AS (SELECT *, sum(CASE WHEN gap = 1 AND odd = was THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS group_no FROM t)
 SELECT conv_id, group_no::BIGINT AS group_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS members FROM g GROUP BY conv_id, group_no""")
 def overlap_merge_groups(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("length(text) > 250").withColumn("odd", F.col("role") == "system")
+    turns = table(spark, sf_dir, "conversations").withColumn("odd", F.col("role") == "system")
     grouped = context.contiguous_groups(turns, ["conv_id"], "turn", ["odd"])
     return grouped.groupBy("conv_id", "group_no").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("members"))
 
@@ -311,7 +332,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 POOL = f"{ASKED}, {bm25()}, pool AS (SELECT query_id, chunk, rank, (chunk * 37 + query_id * 11) % 97 / 97.0::DOUBLE - 0.2::DOUBLE AS rs FROM bm25 WHERE rank <= 30), re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS rerank_rank FROM pool)"
 
 
-@Q(f"WITH {POOL} SELECT query_id, chunk, round(rs, 6) AS reranker_score, rerank_rank::INTEGER AS rerank_rank FROM re WHERE rerank_rank <= 10")
+@Q(f"WITH {POOL} SELECT query_id, chunk, round(rs * 1e6::DOUBLE) / 1e6::DOUBLE AS reranker_score, rerank_rank::INTEGER AS rerank_rank FROM re WHERE rerank_rank <= 10")
 def rerank_order(spark, sf_dir):
     return pool(spark, sf_dir).filter("rerank_rank <= 10").select("query_id", "chunk", six("reranker_score"), "rerank_rank")
 
@@ -399,31 +420,27 @@ def final_status(spark, sf_dir):
 
 @Q(f"WITH {POOL} SELECT query_id, rerank_rank::INTEGER AS citation_rank, source || ' | chunk ' || chunk AS citation FROM re JOIN documents ON doc_id = chunk WHERE rerank_rank <= 3")
 def citations(spark, sf_dir):
-    rows = pool(spark, sf_dir).filter("rerank_rank <= 3")
-    return rows.select("query_id", F.col("rerank_rank").alias("citation_rank"), F.concat_ws(" | ", "source", F.concat(F.lit("chunk "), F.col("chunk").cast("string"))).alias("citation"))
+    return cite.citations(pool(spark, sf_dir), "query_id", "rerank_rank", [F.col("source"), F.concat(F.lit("chunk "), F.col("chunk").cast("string"))], 3)
 
 
-@Q(r"""WITH a AS (SELECT doc_id, text[1:30] || ' [' || (doc_id % 9) || '] and [2] see [' || (doc_id % 4) || '].' || chr(10) || 'References: [1], [2]' AS t FROM documents)
+@Q(r"""WITH a AS (SELECT doc_id, text || ' [' || (doc_id % 9) || '] and [2] see [' || (doc_id % 4) || '].' || chr(10) || 'References: [1], [2]' AS t FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '\[(\d+)\]', 1), lambda x: x::INTEGER))), ',') AS cited, regexp_replace(regexp_replace(t, '(?im)^\s*references?\s*:\s*(?:\[\d+\][,\s]*)+\s*$', '', 'g'), '\[([03-9])\]', '', 'g') AS kept FROM a""")
 def reference_markers(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 30), F.lit(" ["), (F.col("doc_id") % 9).cast("string"), F.lit("] and [2] see ["), (F.col("doc_id") % 4).cast("string"), F.lit("].\nReferences: [1], [2]"))
+    t = F.concat("text", F.lit(" ["), (F.col("doc_id") % 9).cast("string"), F.lit("] and [2] see ["), (F.col("doc_id") % 4).cast("string"), F.lit("].\nReferences: [1], [2]"))
     rows = documents(spark, sf_dir).select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.array_join(F.array_sort(F.array_distinct(X.markers(F.col("t")))).cast("array<string>"), ",").alias("cited"), X.keep_markers(X.drop_reference_lines(F.col("t")), F.array(F.lit(1), F.lit(2))).alias("kept"))
 
 
 @Q(f"WITH {POOL}, s AS (SELECT '1_retrieved' AS stage, chunk FROM pool UNION ALL SELECT '2_reranked', chunk FROM re WHERE rerank_rank <= 10 UNION ALL SELECT '3_selected', chunk FROM re WHERE rerank_rank <= 8 AND rs >= 0.35) SELECT stage, count(*) AS chunks, sum(greatest(1, ceil(length(text) / 4.0)))::BIGINT AS tokens FROM s JOIN documents ON doc_id = chunk GROUP BY stage")
 def stage_funnel(spark, sf_dir):
-    rows = pool(spark, sf_dir).withColumn("tokens", X.token_estimate(F.col("text")))
-    kept = F.array_compact(F.array(F.lit("1_retrieved"), F.when(F.col("rerank_rank") <= 10, "2_reranked"), F.when((F.col("rerank_rank") <= 8) & (F.col("reranker_score") >= 0.35), "3_selected")))
-    return rows.select(F.explode(kept).alias("stage"), "tokens").groupBy("stage").agg(F.count("*").alias("chunks"), F.sum("tokens").cast("long").alias("tokens"))
+    rank, good = F.col("rerank_rank"), F.col("reranker_score") >= 0.35
+    return reports.funnel(pool(spark, sf_dir), {"1_retrieved": F.lit(True), "2_reranked": rank <= 10, "3_selected": (rank <= 8) & good}, X.token_estimate(F.col("text")))
 
 
 @Q(f"""WITH {QUALITY}, c AS (SELECT query_id, count(*) AS n, avg(rs) AS av, count(DISTINCT source) AS src FROM q GROUP BY query_id),
 m AS (SELECT *, (query_id * 13 % 100)::DOUBLE AS red, (query_id % 5)::DOUBLE AS gen, (query_id % 3)::DOUBLE AS rer, (query_id % 2)::DOUBLE AS ret FROM c)
 SELECT query_id, unnest(list_filter([CASE WHEN red > 90 THEN 'excessive_token_reduction' ELSE 'token_reduction' END, CASE WHEN av < 0.35 THEN 'evidence_strength' END, CASE WHEN gen > greatest(0.001, ret + rer) THEN 'generation_latency' END, CASE WHEN src <= 1 THEN 'source_diversity' END, CASE WHEN rer > greatest(0.001, ret) THEN 'reranker_latency' END], lambda x: x IS NOT NULL)) AS signal FROM m""")
 def diagnostics(spark, sf_dir):
-    from harrier.operators import trace
-
     c = judged(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("selected"), F.avg("score").alias("average_score"), F.count_distinct("source").alias("sources"))
     i = F.col("query_id")
     m = c.select("query_id", "selected", "average_score", "sources", (i * 13 % 100).cast("double").alias("reduction"), (i % 5).cast("double").alias("generation"), (i % 3).cast("double").alias("reranking"), (i % 2).cast("double").alias("retrieval"), F.col("selected").alias("candidates"), F.lit(0).alias("selected_tokens"), F.lit("").alias("status"), F.lit(0).alias("redundant"))
@@ -437,11 +454,32 @@ def chunk_documents(spark, sf_dir):
 
 @Q()
 def chunk_stats(spark, sf_dir):
-    from harrier.operators import trace
-
     return trace.chunk_stats(context.chunk_documents(documents(spark, sf_dir), "doc_id", "text", "source"), "chunk_char_count", "source")
 
 
 @Q()
 def context_fit_tokens(spark, sf_dir):
     return context.fit_tokens(documents(spark, sf_dir), "lang", "doc_id", "text").select("lang", "reference_id", "tokens", "truncated")
+
+
+DIAGNOSED = "m AS (SELECT doc_id AS query_id, (doc_id * 7 % 120)::DOUBLE AS utilization, doc_id % 3 AS only_bm25, doc_id % 2 AS bm25, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 10 / 10.0::DOUBLE END AS ratio, (doc_id % 5)::DOUBLE AS gen, (doc_id % 4)::DOUBLE AS ret, doc_id % 4 AS sources, doc_id % 6 AS final FROM documents)"
+
+
+@Q(f"WITH {DIAGNOSED}, s AS (SELECT unnest(['token_budget:' || CASE WHEN utilization > 95 THEN 'tight' ELSE 'fine' END, 'bm25_value:' || CASE WHEN only_bm25 > 0 THEN 'unique' WHEN bm25 > 0 THEN 'agreed' ELSE 'none' END, 'retriever_agreement:' || CASE WHEN coalesce(ratio, 1) < 0.25 THEN 'low' ELSE 'fine' END, 'latency:' || CASE WHEN gen > greatest(0.001, 2 * ret) THEN 'generation' ELSE 'fine' END, 'source_diversity:' || CASE WHEN sources <= 1 AND final > 0 THEN 'concentrated' ELSE 'fine' END]) AS signal FROM m) SELECT signal, count(*) AS n FROM s GROUP BY signal")
+def retrieval_signals(spark, sf_dir):
+    i = F.col("doc_id")
+    m = documents(spark, sf_dir).select((i * 7 % 120).cast("double").alias("utilization"), (i % 3).alias("final_only_bm25"), (i % 2).alias("final_bm25"), F.when(i % 11 != 0, (i % 10) / 10.0).alias("overlap_ratio"), (i % 5).cast("double").alias("generation"), (i % 4).cast("double").alias("retrieval"), (i % 4).alias("sources"), (i % 6).alias("final"))
+    signals = m.select(F.explode(trace.retrieval_diagnostics()).alias("s"))
+    return signals.groupBy(F.concat_ws(":", "s.signal", "s.state").alias("signal")).agg(F.count("*").alias("n"))
+
+
+@Q("""WITH c AS (SELECT conv_id, turn, text, 'conversation ' || conv_id AS source FROM conversations),
+s AS (SELECT conv_id % 7 AS query_id, source, turn, (length(text) % 10)::DOUBLE AS score FROM c WHERE length(text) % 3 = 0),
+e AS (SELECT query_id, source, turn + o AS turn, score FROM s, (VALUES (-1), (0), (1)) v(o)),
+x AS (SELECT e.query_id, e.source, e.turn, max(score) AS score FROM e SEMI JOIN c ON c.source = e.source AND c.turn = e.turn GROUP BY ALL)
+SELECT query_id, count(*) AS expanded, count(DISTINCT source) AS sources, max(score) AS best FROM x GROUP BY query_id""")
+def context_stages(spark, sf_dir):
+    corpus = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("source"), F.col("turn").alias("chunk_index"), "text")
+    hits = corpus.filter("length(text) % 3 = 0").select((F.col("conv_id") % 7).alias("query_id"), "source", "chunk_index", (F.length("text") % 10).cast("double").alias("score"))
+    stages = context.build_context(hits, corpus.drop("conv_id"))
+    return stages["expanded"].groupBy("query_id").agg(F.count("*").alias("expanded"), F.count_distinct("source").alias("sources"), F.max("score").alias("best"))

@@ -22,51 +22,15 @@ Q.both("filtered_revenue", "SELECT round(sum(l_extendedprice * l_discount), 2) A
 Q.both("inner_join", "SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > o_totalprice / 100 GROUP BY o_orderpriority")
 Q.both("semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 Q.both("anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-Q.both("tag_counts", "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY n_name")
 Q.both("full_outer", "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS rich_customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 3000 GROUP BY s_nationkey) a FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY c_nationkey) b ON a.k = b.k")
 Q.both("cross_grid", "SELECT r_name, n_name, r_regionkey = n_regionkey AS home FROM region CROSS JOIN nation")
 Q.both("theta", "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
-Q.both("many_to_many", "SELECT p_brand, count(DISTINCT s_nationkey) AS nations FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_brand")
 Q.both("grouping_sets", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::TINYINT AS g, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 Q.both("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 Q.both("rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
-Q.both("intersect_keys", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
-Q.both("except_keys", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
-Q.both("union_all", "SELECT 'customer' AS kind, c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT 'supplier', s_name, s_acctbal FROM supplier WHERE s_acctbal > 9000")
 Q.both("top_k_per_group", "SELECT l_suppkey, l_orderkey, l_extendedprice, n FROM (SELECT l_suppkey, l_orderkey, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS INT) AS n FROM lineitem) t WHERE n <= 3")
 Q.both("running_total", "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
-Q.both("next_version", "SELECT c_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-Q.both("storage_used", "SELECT source, coalesce(sum(CASE WHEN doc_id % 5 <> 0 THEN n_chars END), 0) AS used, coalesce(sum(CASE WHEN doc_id % 5 <> 0 THEN n_chars END), 0) > 100000 AS over_quota FROM documents GROUP BY source", "SELECT source, coalesce(sum(CASE WHEN doc_id % 5 <> 0 THEN n_chars END), 0)::BIGINT AS used, coalesce(sum(CASE WHEN doc_id % 5 <> 0 THEN n_chars END), 0) > 100000 AS over_quota FROM documents GROUP BY source")
-Q.both("keep_last_10", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) t WHERE n <= 10")
-Q.both("keyset_page", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' OR (o_orderdate = TIMESTAMP '1997-01-01 00:00:00' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21")
-Q.both("offset_page", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")
-Q.both("name_sort", "SELECT p_partkey, lower(p_name) AS name FROM part ORDER BY lower(p_name), p_partkey LIMIT 50")
-Q.both("nulls_last", "SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events) t ORDER BY v DESC NULLS LAST, event_id LIMIT 150")
-Q.both("live_rows", "SELECT o_orderkey FROM orders WHERE (o_orderkey % 7 <> 0 OR o_orderstatus IS NULL) AND (nullif(o_orderstatus, 'P') IS NULL OR o_orderstatus <> 'F')")
-Q.both("unexpired_grants", "SELECT o_custkey, count(*) AS grants FROM orders WHERE CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END IS NULL OR o_orderdate > TIMESTAMP '1996-06-01 00:00:00' GROUP BY o_custkey")
-Q.both("pareto", """
-SELECT s_suppkey FROM supplier a WHERE NOT EXISTS (
-  SELECT 1 FROM supplier b WHERE b.s_acctbal >= a.s_acctbal AND b.s_nationkey <= a.s_nationkey AND length(b.s_name) <= length(a.s_name)
-    AND (b.s_acctbal > a.s_acctbal OR b.s_nationkey < a.s_nationkey OR length(b.s_name) < length(a.s_name)))""")
-Q.both("pairwise_delta", "SELECT a.o_custkey AS custkey, a.o_orderkey AS lo, b.o_orderkey AS hi, round(b.o_totalprice - a.o_totalprice, 4) AS delta FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey")
-Q.both("wide_pivot", "SELECT * FROM (SELECT c_nationkey, c_mktsegment, c_acctbal FROM customer) PIVOT (round(sum(c_acctbal), 2) FOR c_mktsegment IN ('AUTOMOBILE' AS automobile, 'BUILDING' AS building, 'MACHINERY' AS machinery))", "SELECT c_nationkey, round(sum(c_acctbal) FILTER (c_mktsegment = 'AUTOMOBILE'), 2) AS automobile, round(sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 2) AS building, round(sum(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 2) AS machinery FROM customer GROUP BY c_nationkey")
-Q.both("min_max_score", "SELECT s_suppkey, CASE WHEN max(s_acctbal) OVER () = min(s_acctbal) OVER () THEN 1.0D ELSE round(1.0D - (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) END AS score FROM supplier", "SELECT s_suppkey, round(1.0::DOUBLE - (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS score FROM supplier")
-Q.both("max_score", "SELECT p_partkey, round(p_retailprice / max(p_retailprice) OVER (), 6) AS score FROM part")
-Q.both("overall_rank", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY round(s_acctbal, 0) DESC, s_nationkey, s_suppkey) AS INT) AS place FROM supplier")
-Q.both("hydrate_metadata", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0")
-Q.both("parent_links", "SELECT n.n_name AS child, r.r_name AS parent FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name <> 'ASIA'")
-Q.both("gap_audit", """
-SELECT l_orderkey, dup, array_join(array_sort(array_except(sequence(lo, hi), nums)), ',') AS missing
-FROM (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) - count(DISTINCT l_linenumber) AS dup, collect_set(l_linenumber) AS nums FROM lineitem GROUP BY l_orderkey) t""", """
-SELECT l_orderkey, dup, coalesce((SELECT string_agg(g, ',' ORDER BY g) FROM range(lo, hi + 1) r(g) WHERE NOT list_contains(nums, g)), '') AS missing
-FROM (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) - count(DISTINCT l_linenumber) AS dup, list(DISTINCT l_linenumber) AS nums FROM lineitem GROUP BY l_orderkey) t""")
-Q.both("turn_order", "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END) AS INT) AS seq FROM conversations")
 Q.both("conversation_text", "SELECT conv_id, md5(array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> concat(x.role, ': ', x.text)), '\\n')) AS h FROM conversations GROUP BY conv_id", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
-Q.both("param_grid", """
-SELECT concat('experiment_', lpad(CAST(row_number() OVER (ORDER BY k, w, s) AS STRING), 3, '0')) AS experiment_id, k, w, s
-FROM (SELECT explode(array(5, 10, 20)) AS k) CROSS JOIN (SELECT explode(array(0, 1)) AS w) CROSS JOIN (SELECT explode(array('dense', 'hybrid')) AS s)""", "SELECT 'experiment_' || lpad((row_number() OVER (ORDER BY k, w, s))::VARCHAR, 3, '0') AS experiment_id, k, w, s FROM (SELECT unnest([5, 10, 20]) AS k), (SELECT unnest([0, 1]) AS w), (SELECT unnest(['dense', 'hybrid']) AS s)")
-Q.both("config_fingerprint", "SELECT c_custkey, left(sha2(concat('{\"nation\":', c_nationkey, ',\"segment\":\"', c_mktsegment, '\"}'), 256), 12) AS fingerprint FROM customer", "SELECT c_custkey, left(sha256('{\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}'), 12) AS fingerprint FROM customer")
-Q.both("active_job_dedup", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY CASE WHEN user_id % 2 = 0 THEN concat('v', user_id) ELSE concat('h', user_id, event_type) END ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view')) t WHERE n = 1")
 
 
 @Q("SELECT p AS action, list_aggregate(CASE p WHEN 'view' THEN ['view', 'comment', 'edit', 'manage'] WHEN 'comment' THEN ['comment', 'edit', 'manage'] WHEN 'edit' THEN ['edit', 'manage'] WHEN 'manage' THEN ['manage'] WHEN 'delete' THEN ['delete', 'manage'] ELSE ['view'] END, 'string_agg', ',') AS allowed_by FROM (SELECT unnest(['view', 'comment', 'edit', 'manage', 'delete', 'other']) AS p)")
@@ -135,14 +99,6 @@ def visible_ancestors(spark, sf_dir):
     return hierarchy.closure(seeds, _tree(spark, sf_dir), down=False)
 
 
-@Q("SELECT order_id, label FROM (SELECT o_orderkey AS order_id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 THEN 1 ELSE 0 END AS label FROM orders)")
-def first_source_flags(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (F.row_number().over(w) == 1).cast("int").alias("label"))
-
-
 WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 

@@ -85,3 +85,23 @@ def stable(samples: DataFrame, key: str, ts: str, same: list[str]) -> DataFrame:
 def publish(stream: DataFrame, generations, checkpoint: str):  # noqa: ANN001, ANN201
     """Each micro-batch becomes a generation: written first, then pointed to."""
     return stream.writeStream.foreachBatch(lambda rows, _: generations.publish(rows) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def metrics(events: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, total, largest of what an event bus has seen so far; on a stream, in update or complete mode."""
+    return events.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.max(value).alias("largest"))
+
+
+def trace_lines(events: DataFrame) -> DataFrame:
+    """Each event as one line of JSON, without null fields."""
+    return events.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_trace(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+    """Appends every event of a stream to a folder of JSON lines, exactly once."""
+    return trace_lines(stream).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_progress(stream: DataFrame, generations, checkpoint: str):  # noqa: ANN001, ANN201
+    """Keeps the last complete state of a stream's groups as a generation: readers see one state or the next."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: generations.publish(rows) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

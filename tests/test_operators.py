@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
-from harrier.operators import access, context, evaluation, evidence, fusion, hierarchy, ingest, lexical, search, summaries, trace, vector
+from harrier.operators import access, context, evaluation, evidence, filters, fusion, hierarchy, ingest, lexical, ranking, relations, retrieval, search, summaries, trace, vector
 from harrier.plans.config import DEFAULTS
+from harrier.sources import files
 
 
 def rows(df, *cols):
@@ -218,8 +219,9 @@ def test_summaries_shrink(spark):
 
 
 def test_nearest_rank(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(1, 7)], "x double")
-    assert df.agg(trace.nearest_rank("x", 0.5)).first()[0] == 3.0  # index 2.5 rounds to 2
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 7)] + [("b", 4.0), ("b", 4.0), ("b", None), ("c", None)], "g string, x double")
+    got = {r.g: (r.p50, r.p95) for r in ranking.nearest_ranks(df, "g", "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"a": (3.0, 6.0), "b": (4.0, 4.0)}  # index 2.5 rounds to 2
 
 
 def test_search_page(spark):
@@ -237,3 +239,94 @@ def test_trace_and_stats(spark):
 
 def test_defaults():
     assert (DEFAULTS.chunk_size, DEFAULTS.rrf_k, DEFAULTS.max_selected) == (700, 60, 8)
+
+
+def test_places_and_sums_over_ranges(spark):
+    df = spark.createDataFrame([(i, i % 3, i * 7 % 50) for i in range(200)], "i int, g int, v int").repartition(5)
+    got = ranking.numbered(df, [F.desc("v"), "i"], "place").orderBy("place").collect()
+    assert [r.place for r in got] == [*range(1, 201)] and [(-r.v, r.i) for r in got] == sorted((-r.v, r.i) for r in got)
+    sums = {r.i: r.s for r in ranking.running(df, ["g"], ["i"], {"s": F.col("v")}).collect()}
+    assert sums == {i: sum(j * 7 % 50 for j in range(i % 3, i + 1, 3)) for i in range(200)}
+    turns = ranking.round_robin(df, "g", "i").orderBy("place").limit(4).collect()
+    assert [r.i for r in turns] == [0, 1, 2, 3]
+    scaled = {r.i: r.x for r in ranking.min_max(df, "v", "x").collect()}
+    assert min(scaled.values()) == 0 and max(scaled.values()) == 1
+    assert ranking.max_scaled(df.limit(0), "v", "x").count() == 0
+
+
+def test_retrieval_modes(spark):
+    asked = spark.createDataFrame([(1, "red fox"), (2, "none")], "query_id int, query string")
+    docs = spark.createDataFrame([(10, "a red fox"), (11, "red red"), (12, "blue")], "chunk int, text string")
+    points = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [0.0, 0.0]), (13, None)], "vec_id int, embedding array<double>")
+    vectors = spark.createDataFrame([(1, [0.0, 2.0])], "query_id int, query_vector array<double>")
+    known = {"dense": retrieval.dense_retriever(points, vectors), "bm25": retrieval.lexical_retriever(lexical.build_index(docs, "chunk", "text")), "fixed": lambda q: q.select("query_id", F.lit(7).alias("chunk"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))}
+    got = {mode: rows(retrieval.retrieve(asked, mode, known).orderBy("query_id", "rank"), "query_id", "chunk") for mode in ("dense", "bm25", "hybrid", "fixed")}
+    assert got["dense"] == [(1, 11), (1, 10)] and got["fixed"] == [(1, 7), (2, 7)]
+    assert {c for _, c in got["hybrid"]} == {10, 11} and {q for q, _ in got["bm25"]} == {1}
+    assert retrieval.retrieve(asked, "hybrid", {"bm25": known["bm25"]}).count() == len(got["bm25"])
+    with pytest.raises(ValueError):
+        retrieval.retrieve(asked, "other", known)
+    variants = fusion.variants(asked, "query_id", "query", "Library", rewriting=True)
+    tagged = retrieval.retrieve_variants(variants, "bm25", known)
+    best = fusion.dedup_best(tagged, ["chunk"], ["query_id"])
+    assert {r.chunk for r in best.filter("query_id = 1").collect()} == {10, 11}
+
+
+def test_published_index_is_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three"), (3, None)], "id int, text string")
+    store = files.Generations(spark, f"file://{tmp_path}/index")
+    made = lexical.publish(store, docs, "id", "text")
+    fresh = lexical.build_index(docs, "id", "text")
+    assert sorted(rows(made.terms, "term", "df", "idf")) == sorted(rows(fresh.terms, "term", "df", "idf")) and rows(made.corpus, "n", "avgdl") == [(3, 4 / 3)]
+    asked = spark.createDataFrame([(1, "two")], "query_id int, query string")
+    assert rows(lexical.search(lexical.opened(store), asked), "chunk", "score") == rows(lexical.search(fresh, asked), "chunk", "score")
+    with pytest.raises(ValueError):
+        lexical.opened(files.Generations(spark, f"file://{tmp_path}/nothing"))
+
+
+def test_context_pipeline_switches(spark):
+    corpus = spark.createDataFrame([("s", i, f"word{i} word{i + 1}") for i in range(6)], "source string, chunk_index int, text string")
+    hits = spark.createDataFrame([(1, "s", 2, 0.9), (1, "s", 2, 0.5), (1, "s", 5, 0.1)], "query_id int, source string, chunk_index int, score double")
+    full = context.build_context(hits, corpus)
+    assert full["deduplicated"].count() == 2 and full["expanded"].count() == 5
+    assert [r.label for r in full["merged"].collect()] == ["1 .. 5"]
+    plain = context.build_context(hits, corpus, context.ContextPlan(expand=False, merge=False, compress=False))
+    assert rows(plain["compressed"].orderBy("reference_id"), "reference_id", "text", "truncated") == [(1, "word2 word3", False), (2, "word5 word6", False)]
+
+
+def test_sweep_keeps_failures(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "q int, text string")
+
+    def factory(setting):
+        def answer(row):
+            if row["q"] == 2 and setting["k"] == 1:
+                raise KeyError("gone")
+            return row["text"] * setting["k"]
+
+        return lambda questions: evaluation.answered(questions, answer)
+
+    got = evaluation.sweep(relations.grid(spark, {"k": [1, 3]}), asked, factory, [lambda r: r.withColumn("n", F.length("answer"))])
+    assert sorted((r.experiment_id, r.q, r.answer, r.error, r.n) for r in got.collect()) == [("experiment_001", 1, "a", None, 1), ("experiment_001", 2, None, "KeyError: 'gone'", None), ("experiment_002", 1, "aaa", None, 3), ("experiment_002", 2, "bbb", None, 3)]
+
+
+def test_filters_and_relations(spark):
+    df = spark.createDataFrame([(1, "\\a\\b\\"), (2, "a/bc"), (3, "a/b/c")], "i int, p string")
+    assert sorted(r.i for r in df.filter(filters.in_folders(F.col("p"), ["a/b/"])).collect()) == [1, 3]
+    assert df.filter(filters.in_folders(F.col("p"), [])).count() == 0
+    assert filters.scoped(df, None, "i").count() == 3 and filters.scoped(df, df.limit(0), "i").count() == 0
+    page = filters.keyset_page(df.withColumn("u", F.lit(1)), "u", "i", 1, (1, 3))
+    assert [r.i for r in page.collect()] == [2, 1]
+    with pytest.raises(ValueError):
+        relations.one_root_each([df, df], "i")
+    assert relations.one_root_each([df], "i").count() == 3
+    rows_ = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 0.5, 2.0), (4, 2.0, 5.0), (5, None, 0.0)], "i int, gain double, cost double").repartition(3)
+    assert sorted(r.i for r in relations.pareto(rows_, ["gain"], ["cost"]).collect()) == [1, 2, 4]
+
+
+def test_payload_and_anchor(spark):
+    versions = spark.createDataFrame([("v1", None, "personal", "u", None, "o"), ("v2", "r", "enterprise", None, "d", "o"), ("v3", None, "enterprise", None, None, "o")], "document_version_id string, repository_id string, storage_scope string, owner_user_id string, department_id string, organization_id string")
+    chunks = spark.createDataFrame([(v, i) for v in ("v1", "v2", "v3") for i in range(2)], "document_version_id string, chunk_index int")
+    got = {(r.chunk_id, r.repository_id) for r in ingest.payload(chunks, versions).collect()}
+    assert ("v1:0", "personal:u") in got and ("v2:1", "r") in got and ("v3:0", "organization:o") in got
+    one = spark.createDataFrame([(None, 3, 4, "c"), (None, None, None, "c")], "s string, l int, p int, c string")
+    assert [r.a for r in one.select(ingest.anchor(F.col("s"), F.col("l"), F.col("p"), F.col("c")).alias("a")).collect()] == ["slide:3", "chunk:c"]
