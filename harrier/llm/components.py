@@ -28,12 +28,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round is a few joins and aggregations whose rows are at most the edges; two numbers reach the driver, to
     see whether a round changed anything. An empty table of edges has no components.
     """
+    def state(frame: DataFrame) -> tuple:
+        return tuple(frame.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+
     now = written(edges.select("u", "v").filter("v < u").distinct(), "edges")
-    before = None
+    before = state(now)
     for _ in range(rounds):
+        if not before[0]:
+            return now
         now = written(_small(_large(now)), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        after = state(now)
+        if after == before:
             return now
-        before = state
+        before = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm import textops as T
-from harrier.llm.store import col, fresh, written
+from harrier.llm.store import col, fresh, map_rows, written
 
 N = 10
 #: Test windows of a part: about 120 bytes each, so 60 MB.
@@ -245,4 +245,4 @@ def clean_documents(docs: DataFrame, tests: DataFrame, remove: str = "documents"
                 new = pa.array([None if x else t.decode() for x, t in zip(nulls, texts, strict=True)], pa.string())
                 yield own.set_column(at, own.schema.field(at), new.cast(own.schema.field(at).type))
 
-    return rows.mapInArrow(clean, docs.schema)
+    return map_rows(rows, clean, width)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from harrier.sources.shared import shared_folder, written
 
-__all__ = ["col", "fresh", "hot_join", "long_ids", "new_folder", "partitions", "salted", "shared_folder", "written"]
+__all__ = ["col", "fresh", "hot_join", "long_ids", "map_rows", "new_folder", "partitions", "salted", "shared_folder", "written"]
 
 
 #: Most keys of a join that are dealt over several groups, and the fewest rows of such a group.
@@ -41,6 +41,13 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_rows(rows: DataFrame, run, width: int | None = None) -> DataFrame:
+    """mapInArrow that keeps the first columns of rows under their names, whatever characters these hold."""
+    fields = rows.schema.fields[:width]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(run, schema).toDF(*[f.name for f in fields])
+
+
 def long_ids(frame: DataFrame, id_col: str) -> Column:
     """The ids as whole numbers; ids of another type raise one clear error before anything runs."""
     kind = frame.schema[id_col].dataType
