@@ -16,14 +16,9 @@ FLOOR, MOST, PER_PATH = 100, 250, 12
 PASSAGE_TOKENS = 8
 
 
-def normal_path(path: Column) -> Column:
-    """Slashes for backslashes, none at the ends."""
-    return F.btrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))
-
-
 def in_folders(path: Column, folders: Sequence[str]) -> Column:
     """The path is one of the folders or lies below one; no folders leave nothing."""
-    own = normal_path(path)
+    own = X.normal_path(path)
     tests = [(own == f) | own.startswith(f + "/") for f in (x.replace("\\", "/").strip("/") for x in folders)]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrier.sources.shared import written
+
 
 def closure(seeds: DataFrame, edges: DataFrame, down: bool = True, depth: int = 64) -> DataFrame:
     """Column id: the seeds and all below them (or above). edges: id, parent. Stops when a level adds nothing."""
     step = edges.select(F.col("parent").alias("at"), F.col("id").alias("next")) if down else edges.select(F.col("id").alias("at"), F.col("parent").alias("next"))
-    found = front = seeds.select("id").filter("id is not null").distinct()
+    found = front = written(seeds.select("id").filter("id is not null").distinct(), "front")
     for _ in range(depth):
         front = front.join(step, front["id"] == step["at"]).select(F.col("next").alias("id")).filter("id is not null").distinct().join(found, "id", "left_anti")
+        front = written(front, "front")  # each level is computed once
         if front.isEmpty():
             return found
         found = found.unionByName(front)

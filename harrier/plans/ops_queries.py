@@ -24,7 +24,7 @@ LADDER = """CASE WHEN t = q THEN 100 WHEN contains(t, q) AND starts_with(t, q) T
 KINDS = f"""k AS (
   SELECT 'part' AS kind, p_partkey AS id, p_name AS title, p_type AS body, NULL::TIMESTAMP AS updated FROM part
   UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, NULL FROM customer
-  UNION ALL SELECT 'document', doc_id, text[1:40], text, NULL FROM documents),
+  UNION ALL SELECT 'document', doc_id, split_part(text, chr(10), 1), text, NULL FROM documents),
 n AS (SELECT kind, id, title, {NORM.format('title')} AS t, {NORM.format("coalesce(body, '')")} AS b, 'the on' AS q FROM k),
 hits AS (SELECT kind, id, title, {LADDER} AS score FROM n WHERE {LADDER} > 0)"""
 
@@ -35,7 +35,7 @@ def _kinds(spark, sf_dir):
     return [
         part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), none),
         customer.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("body"), none),
-        document.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"), none),
+        document.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"), none),
     ]
 
 
@@ -232,7 +232,7 @@ def link_fragment(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.citation_link(url, F.col("page_id") % 9).alias("link"))
 
 
-@Q()
+@Q("WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || doc_id)) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h")
 def uuid5_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.uuid5(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("point_id"))
 

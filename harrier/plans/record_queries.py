@@ -64,7 +64,7 @@ def unexpired_grants(spark, sf_dir):
 @Q("WITH p AS (SELECT doc_id, trim(replace(chr(92) || source || chr(92) || lang || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '/x' END, chr(92), '/'), '/') AS path FROM documents) SELECT doc_id, path FROM p WHERE path = 'src1/en' OR starts_with(path, 'src1/en/') OR path = 'src2' OR starts_with(path, 'src2/')")
 def scope_prefix(spark, sf_dir):
     raw = F.concat(F.lit("\\"), "source", F.lit("\\"), "lang", F.when(F.col("doc_id") % 2 == 0, "/").otherwise("/x"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", filters.normal_path(raw).alias("path"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.normal_path(raw).alias("path"))
     return rows.filter(filters.in_folders(F.col("path"), ["src1\\en", "src2/"]))
 
 

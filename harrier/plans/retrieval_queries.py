@@ -457,7 +457,9 @@ def chunk_stats(spark, sf_dir):
     return trace.chunk_stats(context.chunk_documents(documents(spark, sf_dir), "doc_id", "text", "source"), "chunk_char_count", "source")
 
 
-@Q()
+@Q(r"""WITH t AS (SELECT lang, doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents),
+p AS (SELECT lang, doc_id, n, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM t)
+SELECT lang, r::INTEGER AS reference_id, least(n, 4096 - before)::INTEGER AS tokens, n > 4096 - before AS truncated FROM p WHERE before < 4096""")
 def context_fit_tokens(spark, sf_dir):
     return context.fit_tokens(documents(spark, sf_dir), "lang", "doc_id", "text").select("lang", "reference_id", "tokens", "truncated")
 
