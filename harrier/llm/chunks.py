@@ -53,6 +53,7 @@ def unzipped(body: bytes, size: int) -> bytes:
 
 def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    pa.default_memory_pool().release_unused()  # what the group before left in the worker's pool
     return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 

@@ -46,7 +46,7 @@ LENGTH = 50
 GRAM = 20
 SHARD_BYTES = 1 << 19
 #: Bytes of text for each group of excerpts; and different excerpts of one anchor in a group.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 HOT = 20_000
 RESULT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("sha", pa.string()), ("kept", pa.binary())])
 RESULT_SQL = "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<long>, sha string, kept binary"
@@ -212,7 +212,7 @@ def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.T
         settle()
     back = np.empty(len(bodies), np.int64)
     back[order] = np.arange(len(bodies))
-    out, cut = [], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tolist()
+    out, hot, cut = [], [], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tolist()
     for row, i, j, at in zip(rows, cut[:-1], cut[1:], places, strict=True):
         mine, own = back[of_[i:j]], id_[i:j]
         sizes = size[of_[i:j]]
@@ -225,9 +225,11 @@ def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.T
             open_ = np.flatnonzero(~bits)
             here = _spread(begins, sizes)[open_]
             w1, w2 = (T.span_hash(T.prefix(data, k), here, here + length, k).view(np.int64) for k in (0, 1))
-            who, where = np.repeat(own, sizes)[open_], _spread(at, sizes)[open_]
-            out += [(row["chunk"], None, None, None, None, *x) for x in zip(w1.tolist(), w2.tolist(), who.tolist(), where.tolist(), strict=True)]
-    return C.table(out, BITS)
+            hot.append(pa.table({"chunk": np.full(len(here), row["chunk"]), "w1": w1, "w2": w2, "id": np.repeat(own, sizes)[open_], "at": _spread(at, sizes)[open_]}))
+    made = pa.concat_tables([C.table(out, BITS), *hot], promote_options="default")
+    del rows, bodies, out, hot, least
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 def _result(block: T.Block, i: int, gone: np.ndarray, with_text: bool) -> tuple:
