@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import decontaminate, lines, mixing, quality, secrets, simhash, substrings, tokens, warc, word_windows
+from harrier.llm import decontaminate, filter_audit, html_content, lines, mixing, quality, secrets, simhash, substrings, tokens, vector_codes, warc, word_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_warc, op6_secret_scan, op7_suffix_array_dedup, op8_mixing, op9_decontamination, op10_simhash)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_warc, op6_secret_scan, op7_suffix_array_dedup, op8_mixing, op9_decontamination, op10_simhash, op11_vector_codes, op12_filter_audit, op13_html_extraction)}
 #: DuckDB's trim takes a set of characters; translate lower-cases A-Z alone.
 _LINES = """
 WITH line AS (
@@ -118,4 +130,70 @@ taken AS (SELECT doc_id, sum(size) AS taken FROM queue WHERE spent <= (SELECT su
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM upto LEFT JOIN taken USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_substring_dedup": _WINDOWS, "op5_warc": _ARCHIVE, "op8_mixing": _MIX}
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """One common table for each round. Whole numbers stand in doubles, where they are exact."""
+    steps = []
+    for k in range(rounds + 1):
+        near = f"""n{k} AS MATERIALIZED (
+  SELECT row, part, unnest(v) AS x, generate_subscripts(v, 1) AS d, entry, away FROM (
+    SELECT p.row, p.part, any_value(p.v) AS v, arg_min(b.entry, list_inner_product(b.v, b.v) - 2 * list_inner_product(b.v, p.v) + b.entry / 1024) AS entry,
+      min(list_inner_product(b.v, b.v) - 2 * list_inner_product(b.v, p.v) + list_inner_product(p.v, p.v)) AS away
+    FROM piece p JOIN b{k} b USING (part) GROUP BY p.row, p.part))"""
+        move = f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY d) AS v FROM (SELECT part, entry, d, floor(sum(x) / count(*)) AS m FROM n{k} GROUP BY part, entry, d) GROUP BY part, entry) m USING (part, entry))"""
+        steps += [near] if k == rounds else [near, move]
+    joined = ",\n".join(steps)
+    return f"""
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, q) - 1 AS row, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+piece AS MATERIALIZED (SELECT row, part, q[part * len(q) // {parts} + 1:(part + 1) * len(q) // {parts}] AS v FROM vec, range({parts}) r(part)),
+b0 AS MATERIALIZED (SELECT part, row AS entry, v FROM piece WHERE row < {entries}),
+{joined},
+coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(away)::BIGINT AS error
+  FROM (SELECT DISTINCT row, part, entry, away FROM n{rounds}) GROUP BY row),
+book AS (
+  SELECT sha256(string_agg(c, ',' ORDER BY part, entry)) AS s
+  FROM (SELECT part, entry, array_to_string(list_transform(v, lambda x: x::BIGINT), ',') AS c FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256
+FROM vec JOIN coded USING (row), book
+"""
+
+
+#: Every document walks through every order by itself: it goes where it first fails.
+_AUDIT = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+mark AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flag AS MATERIALIZED (
+  SELECT doc.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc.doc_id > min(doc.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM doc LEFT JOIN mark USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+perm AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone AS MATERIALIZED (
+  SELECT part, filter_order, fails, good, toxic, list_min(list_transform(string_split(fails, ''), lambda f: CASE WHEN f = '' THEN 6 ELSE position(f IN filter_order) END)) AS place
+  FROM flag, perm),
+step AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f FROM perm, range(1, 6) s(step)),
+one AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (WHERE place > step) AS kept, count(*) FILTER (WHERE place = step) AS removed,
+    count(*) FILTER (WHERE place < step AND contains(fails, f)) AS redundant, count(*) FILTER (WHERE fails = f) AS unique_fails,
+    count(*) FILTER (WHERE place = step AND good = 1) AS good_lost, count(*) FILTER (WHERE place = step AND toxic = 1) AS toxic_lost
+  FROM gone JOIN step USING (filter_order) GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, f AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM one
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _LINES, "op2_substring_dedup": _WINDOWS, "op5_warc": _ARCHIVE, "op8_mixing": _MIX, "op11_vector_codes": _codes(), "op12_filter_audit": _AUDIT}
