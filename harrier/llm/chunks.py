@@ -9,8 +9,9 @@ a bit a key and are asked by no other name than chunk and bucket.
 
 ``shared`` tells which keys two documents hold. It may err on the side of yes (keys are compared by 32 bits and their
 bucket), since its answers only spare work. ``earlier`` tells which keys a document of smaller id holds, and decides:
-keys are compared by 80 bits, so two of n different keys meet by chance with probability below n * n / 2 ** 81, that
-is 1e-5 for all windows of 30 GB of text together.
+keys are compared by 80 bits of two independent hashes (of words: polynomials modulo 2 ** 61 - 1 at bases drawn once,
+under which no unlike words are bound to agree), so two of n different keys meet by chance with probability of about
+n * n / 2 ** 81, that is 1e-5 for all windows of 30 GB of text together.
 
 Ids are whole numbers; null ids count as the largest. Documents of equal id count as one.
 """

@@ -94,7 +94,7 @@ def block_hits(block: T.Block, tests: TestSet) -> tuple[T.Words, np.ndarray, lis
     """Words of a block, which of them are hit, and the items found in each text."""
     data = T.LOWER[block.data]
     found = T.words(T.Block(data, block.bounds, 0), T.NOT_ALNUM)
-    hashes = T.span_hash(T.prefix(data), found.starts, found.ends)
+    hashes = T.span_hash(T.sums(data), found.starts, found.ends)
     texts = found.texts()
     hit, items = np.zeros(len(found), bool), [set() for _ in range(len(block))]
     for size, keys in tests.keys.items():

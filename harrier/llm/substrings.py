@@ -67,7 +67,7 @@ class Excerpts:
         for part in T.parts(chunk.block):
             sums, at = T.prefix(part.data), chunk.block.bounds[part.first]
             own = anchored(sums, part.bounds, length, gram)
-            hashes.append(T.span_hash(sums, own.start, own.end + length - 1))
+            hashes.append(T.span_hash(T.sums(part.data), own.start, own.end + length - 1))
             found.append((own.start + at, own.end + at, own.text + part.first, own.key))
         none = np.zeros(0, np.int64)
         start, end, text = (np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
@@ -224,7 +224,7 @@ def merge_shards(table: pa.Table, length: int, limit: int = SHARD_BYTES) -> pa.T
             begins = np.cumsum(sizes + length - 1) - (sizes + length - 1)
             open_ = np.flatnonzero(~bits)
             here = _spread(begins, sizes)[open_]
-            w1, w2 = (T.span_hash(T.prefix(data, k), here, here + length, k).view(np.int64) for k in (0, 1))
+            w1, w2 = (T.span_hash(T.sums(data, k), here, here + length, k).view(np.int64) for k in (0, 1))
             hot.append(pa.table({"chunk": np.full(len(here), row["chunk"]), "w1": w1, "w2": w2, "id": np.repeat(own, sizes)[open_], "at": _spread(at, sizes)[open_]}))
     made = pa.concat_tables([C.table(out, BITS), *hot], promote_options="default")
     del rows, bodies, out, hot, least

@@ -24,20 +24,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _random = np.random.default_rng(20240229)
-_BYTE = [_random.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-_BASE = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 3)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
+_BYTE = _random.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+#: Of the hashes that tell strings apart: polynomials modulo this prime, at bases drawn from all numbers below it.
+PRIME = np.uint64(2**61 - 1)
+_PRIME_BASE = [int(x) for x in _random.integers(2**32, 2**61 - 2, 2, np.uint64)]
+#: Bytes whose sums stay within 64 bits.
+LONG = 1 << 23
+_powers: dict[bool, np.ndarray] = {}
+_prime_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers modulo 2**64 of an odd base or of its inverse."""
-    known = _powers.get((which, inverse))
+    known = _powers.get(inverse)
     if known is None or len(known) < n:
-        base = _BASE[which] if not inverse else pow(_BASE[which], -1, 2**64)
+        base = _BASE if not inverse else pow(_BASE, -1, 2**64)
         steps = np.full(max(n, 1 << 16), np.uint64(base))
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        _powers[which, inverse] = known if n <= 1 << 23 else _powers.get((which, inverse), known[: 1 << 16])
+        _powers[inverse] = known if n <= 1 << 23 else _powers.get(inverse, known[: 1 << 16])
     return known[:n]
 
 
@@ -137,40 +143,104 @@ def words(block: Block, separators: np.ndarray = SPACE) -> Words:
     return Words(starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, block.bounds))
 
 
-def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running sums that give the hash of any byte range through ``span_hash``."""
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Running sums that give the hash of ranges of one size through ``gram_hashes``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[which][data] * powers(len(data), which), out=out[1:])
+    np.cumsum(_BYTE[data] * powers(len(data)), out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of byte ranges: equal for equal bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    out = (sums[ends] - sums[starts]) * powers(len(sums), which, inverse=True)[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ranges of ``size`` bytes, in order of their starts: equal for equal bytes, good to choose by.
 
-def gram_hashes(sums: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """span_hash of all ranges of ``size`` bytes, in order of their starts."""
+    A polynomial modulo 2 ** 64: some unlike ranges of a thousand bytes have equal ones, whatever its base. What must
+    tell ranges apart takes ``span_hash``.
+    """
     n = max(0, len(sums) - size)
-    out = (sums[size:] - sums[:n]) * powers(len(sums), which, inverse=True)[:n]
+    out = (sums[size:] - sums[:n]) * powers(len(sums), inverse=True)[:n]
     out += np.uint64(size * 0x9FB21C651E98DF25 & 2**64 - 1)
     return mix(out)
 
 
-def word_hashes(block: Block, found: Words, which: int = 0) -> np.ndarray:
-    return span_hash(prefix(block.data, which), found.starts, found.ends, which)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2 ** 64."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
-def window_hashes(hashes: np.ndarray, n: int, factor: int = 0xA0761D6478BD642F) -> np.ndarray:
-    """The hash of hashes[k:k + n] for every k with so many after it."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for j in range(n):
-        out *= np.uint64(factor)
-        out += hashes[j : j + len(out)]
-    return mix(out)
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it: by halves of 31 bits, as 2 ** 61 counts as 1."""
+    low, half = np.uint64(2**31 - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64(2**30 - 1)) << half) + a0 * b0)
+
+
+def prime_powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers modulo PRIME of a base or of its inverse."""
+    known = _prime_powers.get((which, inverse))
+    if known is None or len(known) < n:
+        base = _PRIME_BASE[which] if not inverse else pow(_PRIME_BASE[which], -1, int(PRIME))
+        known = np.ones(1, np.uint64) if known is None else known
+        while len(known) < max(n, 1 << 16):
+            known = np.concatenate([known, product(known, np.uint64(pow(base, len(known), int(PRIME))))])
+        if n <= 1 << 23:
+            _prime_powers[which, inverse] = known
+    return known[:n]
+
+
+def sums(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial modulo PRIME over bytes, in two halves, that give the hash of any range."""
+    power, value = prime_powers(len(data), which), data.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value * (power & np.uint64(2**32 - 1)), out=out[0][1:])
+    np.cumsum(value * (power >> np.uint64(32)), out=out[1][1:])
+    return out
+
+
+def span_hash(held: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of byte ranges, given the sums: equal for equal bytes.
+
+    Two unlike ranges of n bytes have equal ones for n of the 2 ** 61 bases at most. Two values of ``which`` are
+    independent.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(max(1, -(-int((ends - starts).max()) // LONG))):  # differences of longer ranges would pass 64 bits
+        a = np.minimum(starts + k * LONG, ends)
+        z = np.minimum(a + LONG, ends)
+        low, high = held[0][z] - held[0][a], reduced(held[1][z] - held[1][a])
+        high = ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + (high >> np.uint64(29))
+        out = reduced(out + reduced(reduced(low) + high))
+    out = product(out, prime_powers(len(held[0]), which, inverse=True)[starts])
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def word_hashes(block: Block, found: Words, which: int = 0) -> np.ndarray:
+    return span_hash(sums(block.data, which), found.starts, found.ends, which)
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of hashes[k:k + n] for every k with so many after it: halves are mixed before they are joined."""
+    out, size, at, rest = None, 1, 0, n
+    part = hashes
+    while rest:
+        if rest & 1:
+            end = len(hashes) - n + 1
+            own = part[at : at + max(0, end)]
+            out = own if out is None else joined(out, own)
+            at += size
+        rest >>= 1
+        if rest:
+            part = joined(part[:-size], part[size:]) if len(part) > size else part[:0]
+            size *= 2
+    return out if n else np.zeros(0, np.uint64)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two hashes, in order."""
+    return mix(a * np.uint64(0xA0761D6478BD642F) + mix(b ^ np.uint64(0x9E3779B97F4A7C15)))
 
 
 def window_fits(bounds: np.ndarray, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ replays those before it from their answers, which are bits; so nothing but chunk
 
 Removed is each word covered by a window whose word sequence also starts in a document of smaller id; windows are
 judged on the input. Windows are compared by 80 bits of their hashes at the level that decides (see chunks for the
-chance of an error), words by 64 bits.
+chance of an error).
 
 Edge cases: a null, empty or blank text has no words and an empty result; texts of fewer words than a window lose
 nothing; documents of equal id never remove words of each other; null ids count as the largest; ids must be whole
@@ -50,17 +50,12 @@ class Windows:
     def __init__(self, chunk: C.Chunk, length: int):
         self.chunk, self.length = chunk, length
         self.found = T.words(chunk.block)
-        self.sums: list[np.ndarray] = []
-        for which in (0, 1):
-            hashes = T.word_hashes(chunk.block, self.found, which)
-            sums = np.zeros(len(hashes) + 1, np.uint64)
-            np.cumsum(hashes * T.powers(len(hashes), which), out=sums[1:])
-            self.sums.append(sums)
+        self.words = [T.word_hashes(chunk.block, self.found, which) for which in (0, 1)]
         self.alive = T.window_fits(self.found.bounds, length)
         self.owner = self.found.texts()
 
     def hashes(self, at: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-        return T.span_hash(self.sums[which], at, at + size, which)
+        return T.window_hashes(self.words[which], size)[at]
 
     def level(self, size: int) -> tuple[np.ndarray, C.Distinct]:
         """Starts of the runs of so many words within candidates, and their distinct keys."""

@@ -434,4 +434,64 @@ def test_words_of_blocks():
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and ORACLES.keys() <= QUERIES.keys()
+    assert numbers == list(range(1, 14)) and ORACLES.keys() <= QUERIES.keys()
+
+
+def thue_morse(n, a, b):
+    """2 ** n letters and their complement: a polynomial modulo 2 ** 64 has the same value for both at every odd base."""
+    return "".join(a if k.bit_count() % 2 == 0 else b for k in range(2**n)), "".join(b if k.bit_count() % 2 == 0 else a for k in range(2**n))
+
+
+def test_strings_that_sums_modulo_powers_of_two_confuse(spark):
+    x, y = thue_morse(11, "a", "b")
+    lead = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{lead} {x}"), (2, f"{lead} {y}"), (3, f"{lead} {x}"), (4, f"{x}\n{y}\n{x}"), (5, f"{y} c d e f {x} c d e f")]
+    docs = frame(spark, rows)
+    assert result(word_windows.remove_repeated(docs), "n_words", "n_removed", "kept_sha256") == brute.op2(rows)
+    assert result(substrings.remove_repeated(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op7(rows)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert result(quality.judge(docs, labels), *quality.BASE) == {d: brute.op3_base(t) for d, t in rows}
+    words = [f"{a} " * 20 for a in thue_morse(1, "u", "v")]  # whole windows in that order of words
+    long = [(1, " ".join(thue_morse(11, "u", "v")[0])), (2, " ".join(thue_morse(11, "u", "v")[1])), (3, words[0])]
+    assert result(word_windows.remove_repeated(frame(spark, long), length=2_048), "n_words", "n_removed", "kept_sha256") == brute.op2(long, 2_048)
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 13, 50])
+def test_window_and_span_hashes(size):
+    rng = np.random.default_rng(size)
+    keys = rng.integers(0, 3, 400).astype(np.uint64)
+    seen = {}
+    for k, h in enumerate(T.window_hashes(keys, size).tolist()):
+        assert seen.setdefault(h, tuple(keys[k : k + size])) == tuple(keys[k : k + size])
+    assert len(seen) == len({tuple(keys[k : k + size]) for k in range(len(keys) - size + 1)}) and len(T.window_hashes(keys[: size - 1], size)) == 0
+    a, b = (rng.integers(0, 2**61 - 1, 500, np.uint64) for _ in range(2))
+    assert T.product(a, b).tolist() == [int(x) * int(y) % (2**61 - 1) for x, y in zip(a, b, strict=True)]
+    data = rng.integers(0, 2, 3_000).astype(np.uint8)
+    at = np.arange(len(data) - size)
+    told = {}
+    for h, k in zip(T.span_hash(T.sums(data), at, at + size).tolist(), at.tolist(), strict=True):
+        assert told.setdefault(h, data[k : k + size].tobytes()) == data[k : k + size].tobytes()
+    assert len(told) == len({data[k : k + size].tobytes() for k in at.tolist()})
+
+
+def test_long_spans_are_hashed_in_pieces(monkeypatch):
+    data = np.random.default_rng(4).integers(0, 256, 10_000).astype(np.uint8)
+    starts, ends = np.array([0, 10, 500]), np.array([9_000, 10_000, 501])
+    whole = T.span_hash(T.sums(data), starts, ends)
+    monkeypatch.setattr(T, "LONG", 700)
+    assert (T.span_hash(T.sums(data), starts, ends) == whole).all()
+    assert T.span_hash(T.sums(data[10:]), np.array([0]), np.array([9_990]))[0] == whole[1]
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    rng = random.Random(6)
+    token = lambda: "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(30))
+    many = " ".join(f"token={token()}" if i % 3 else token() for i in range(100_000))
+    rows = [(1, many), (2, "password: short api_key = 'abcdefgh1'"), (3, None)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    found = secrets.scan(docs)
+    base = F.filter("findings", lambda m: m["kind"] < 3)
+    got = {r.doc_id: r for r in found.select("doc_id", F.sha2(secrets.spans(base), 256).alias("sha"), F.size(base).alias("n"), F.size("findings").alias("all")).collect()}
+    for d, t in rows:
+        assert got[d].sha == brute.op6_base(t)[3] and got[d].n == sum(brute.op6_base(t)[:3])
+    assert got[1].n > 60_000 and got[1]["all"] > 99_000
