@@ -1,7 +1,17 @@
-"""BM25 over postings tables: one set of queries against a corpus at once.
+"""BM25 over postings in blocks: one set of queries against a corpus at once.
 
-The index is three tables: postings (term, chunk, tf, dl), terms (term, df, idf) and a corpus row (n, avgdl,
-mean_idf). Restricting a search to some chunks never changes these statistics.
+Chunks are dealt to ranges by hash. A block holds the postings of one term in one range, and the largest tf and least
+length in it, which bound what a posting of it can score. All postings of a chunk lie in one range, so a range is scored
+by itself, exactly, as a product of two small matrices, and only the best of each query leave it.
+
+A search for the best k takes two passes. The first scores the k ranges of the highest bounds of each query; its k-th
+score is a threshold. The second scores the ranges whose bound can still reach the threshold, and leaves the others
+unread. A corpus of few chunks is scored at once.
+
+An index is a list of segments. Each has blocks, counts of terms (negative for what it takes away from older ones), a row
+of each chunk with its terms, and the chunks of older segments that it replaces. Counts are added up at reading, so an
+update costs with what it changes; ``compact`` makes one segment of all, without tokenizing. Restricting a search to some
+chunks never changes the statistics.
 """
 
 from __future__ import annotations
@@ -9,7 +19,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,58 +31,295 @@ from pyspark.sql import functions as F
 from harrier.functions import text as X
 from harrier.plans.config import DEFAULTS
 from harrier.sources.files import Generations
+from harrier.sources.shared import written
+
+#: Chunks of a range, blocks of a term that may stay together, and queries that are scored at once.
+RANGE, DEAL, BATCH = 256, 1_024, 512
+#: A corpus of no more chunks is scored without a first pass.
+WHOLE = 20_000
+#: Rows and bytes of terms of a set of queries that may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 8_000_000
+PARTS = ("blocks", "counts", "chunks", "gone")
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, chunk, tf, dl
-    terms: DataFrame  # term, df, idf
-    corpus: DataFrame  # n, avgdl
+    blocks: DataFrame  # range, term, n, max_tf, min_dl, held: array of (chunk, tf, dl)
+    counts: DataFrame  # term, df, blocks: one row or several for a term, to be added up
+    corpus: DataFrame  # n, avgdl, mean_raw
+    gone: DataFrame | None = None  # range, chunk: postings that count no more
+    floor: float = DEFAULTS.idf_floor
 
+    @property
+    def terms(self) -> DataFrame:
+        """term, df, idf, blocks."""
+        return _weighed(_added(self.counts), self.corpus, self.floor)
 
-def postings(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens) -> DataFrame:
-    tokenized = chunks.select(F.col(id_col).alias("chunk"), tokenizer(F.col(text_col)).alias("t"))
-    counts = tokenized.select("chunk", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk", "dl").agg(F.count("*").alias("tf"))
-    return counts.select("term", "chunk", "tf", "dl")
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk, tf, dl."""
+        rows = self.blocks.select("range", "term", F.inline("held"))
+        rows = rows if self.gone is None else rows.join(self.gone, ["range", "chunk"], "left_anti")
+        return rows.select("term", "chunk", "tf", "dl")
 
 
-def statistics(held: DataFrame, chunks: DataFrame, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
-    """The index of these postings of these chunks. Chunks without tokens count in n and avgdl with length 0."""
-    total = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
-    corpus = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("all") / F.nullif("n", F.lit(0))).alias("avgdl"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus.select("n")), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(held, terms, corpus)
+def _added(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("blocks").alias("blocks")).filter("df > 0")
 
 
-def build_index(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
-    """An index that is computed when it is searched; ``publish`` keeps one."""
-    return statistics(postings(chunks, id_col, text_col, tokenizer), chunks, floor)
+def _raw(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def publish(store: Generations, chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor) -> LexicalIndex:
-    """Tokenizes the chunks once and keeps the index as a new generation; searches then read postings and terms alone.
+def _weighed(terms: DataFrame, corpus: DataFrame, floor: float) -> DataFrame:
+    both = terms.join(F.broadcast(corpus), how="cross").withColumn("raw", _raw(F.col("n"), F.col("df")))
+    return both.select("term", "df", F.when(F.col("raw") < 0, floor * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"), "blocks")
 
-    Postings are ranges of terms, so a search for few terms skips most row groups.
-    """
-    name = f"gen-{uuid.uuid4().hex}"
-    made = postings(chunks, id_col, text_col, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "chunk")
-    made.write.parquet(f"{store.root}/{name}/postings")
-    index = statistics(store.read(name, "postings"), chunks, floor)
-    index.terms.write.parquet(f"{store.root}/{name}/terms")
-    index.corpus.write.parquet(f"{store.root}/{name}/corpus")
+
+def tokenized(chunks: DataFrame, id_col: str, text_col: str, ranges: int, first: int = 0, tokenizer: Callable[[Column], Column] = X.tokens) -> DataFrame:
+    """range, chunk, t (its tokens) of chunks, dealt to so many ranges from ``first`` on."""
+    rows = chunks.select(F.col(id_col).alias("chunk"), tokenizer(F.col(text_col)).alias("t"))
+    return rows.withColumn("range", F.pmod(F.xxhash64("chunk"), F.lit(max(1, ranges))) + first)
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """range, chunk, t -> blocks. Texts are shuffled once, by range; all counting is done there."""
+    single = rows.repartition("range").select("range", "chunk", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    return _grouped(single.groupBy("range", "term", "chunk", "dl").agg(F.count("*").alias("tf")))
+
+
+def _grouped(postings: DataFrame) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct("chunk", "tf", "dl")))
+    return postings.groupBy("range", "term").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("held"))
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"))
+
+
+def _corpus(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """n, avgdl and mean_raw from counts of terms and rows of (n, tokens)."""
+    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
+    mean = _added(counts).join(F.broadcast(total.select("n")), how="cross").agg(F.avg(_raw(F.col("n"), F.col("df"))).alias("mean_raw"))
+    return total.join(F.broadcast(mean), how="cross")
+
+
+def build_index(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor, size: int = RANGE) -> LexicalIndex:
+    """An index that is computed when it is searched; ``publish`` keeps one. Chunks without tokens have length 0."""
+    rows = tokenized(chunks, id_col, text_col, -(-chunks.count() // size), tokenizer=tokenizer)
+    blocks = blocked(rows)
+    counts = _counts(blocks)
+    return LexicalIndex(blocks, counts, _corpus(counts, rows.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("tokens"))), None, floor)
+
+
+def _segment(store: Generations, number: int, rows: DataFrame | None, gone: DataFrame | None, minus: DataFrame | None, totals: DataFrame | None) -> str:
+    """Writes what a segment holds: rows (range, chunk, t) new chunks; gone what it replaces, minus its counts of terms."""
+    name, spark = f"seg-{uuid.uuid4().hex}", store.spark
+    at = f"{store.root}/{name}"
+    if rows is not None:
+        rows.select("range", "chunk", F.size("t").cast("long").alias("dl"), F.array_distinct("t").alias("terms")).write.parquet(f"{at}/chunks")
+        blocked(rows).repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{at}/blocks")
+        counts = _counts(spark.read.parquet(f"{at}/blocks"))
+        own = spark.read.parquet(f"{at}/chunks").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+        counts, totals = (counts, own) if minus is None else (counts.unionByName(minus), own.unionByName(totals))
+        _added_signed(counts).write.parquet(f"{at}/counts")
+    else:
+        _added_signed(minus).write.parquet(f"{at}/counts")
+    if gone is not None:
+        gone.write.parquet(f"{at}/gone")
+    totals.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).withColumn("number", F.lit(number)).write.parquet(f"{at}/totals")
+    return name
+
+
+def _added_signed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("blocks").alias("blocks")).filter("df <> 0 or blocks <> 0")
+
+
+def _point(store: Generations, segments: list[tuple[str, bool, bool]], floor: float) -> LexicalIndex:
+    """A generation over these segments: name, whether it has chunks, whether it has replaced ones."""
+    name, spark = f"gen-{uuid.uuid4().hex}", store.spark
+    counts = reduce(DataFrame.unionByName, [spark.read.parquet(f"{store.root}/{s}/counts") for s, _, _ in segments])
+    totals = reduce(DataFrame.unionByName, [spark.read.parquet(f"{store.root}/{s}/totals") for s, _, _ in segments])
+    _corpus(counts, totals).withColumn("floor", F.lit(floor)).write.parquet(f"{store.root}/{name}/corpus")
+    listed = [(i, *s) for i, s in enumerate(segments)]
+    spark.createDataFrame(listed, "place int, segment string, chunks boolean, gone boolean").coalesce(1).write.parquet(f"{store.root}/{name}/segments")
     store.point(name)
     return opened(store, name)
 
 
+def _segments(store: Generations, generation: str) -> list[tuple[str, bool, bool]]:
+    return [(r.segment, r.chunks, r.gone) for r in store.read(generation, "segments").orderBy("place").collect()]
+
+
+def publish(store: Generations, chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, floor: float = DEFAULTS.idf_floor, size: int = RANGE) -> LexicalIndex:
+    """Tokenizes the chunks once and keeps the index as a new generation of one segment.
+
+    Blocks are ranges of terms, a common term in several files, so a search for few terms skips most row groups.
+    """
+    rows = written(tokenized(chunks, id_col, text_col, -(-chunks.count() // size), tokenizer=tokenizer), "tokens")
+    return _point(store, [(_segment(store, 0, rows, None, None, None), True, False)], floor)
+
+
 def opened(store: Generations, generation: str | None = None) -> LexicalIndex:
     """The index in use, or an older generation of it."""
     name = generation or store.current()
     if name is None:
         raise ValueError("no index has been published here")
-    return LexicalIndex(*(store.read(name, part) for part in ("postings", "terms", "corpus")))
+    segments, read = _segments(store, name), store.spark.read.parquet
+    corpus = store.read(name, "corpus")
+    gone = [read(f"{store.root}/{s}/gone") for s, _, has in segments if has]
+    return LexicalIndex(
+        reduce(DataFrame.unionByName, [read(f"{store.root}/{s}/blocks") for s, has, _ in segments if has]),
+        reduce(DataFrame.unionByName, [read(f"{store.root}/{s}/counts") for s, _, _ in segments]),
+        corpus.select("n", "avgdl", "mean_raw"),
+        reduce(DataFrame.unionByName, gone) if gone else None,
+        corpus.select("floor").first()[0],
+    )
+
+
+def update(store: Generations, added: DataFrame | None, removed: DataFrame | None, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = X.tokens, size: int = RANGE) -> LexicalIndex:
+    """A new generation in which the chunks of ``added`` stand in place of those of equal id, and ``removed`` (id_col) is gone.
+
+    Only the new chunks are tokenized; of the replaced ones the kept lists of terms are read and their counts taken
+    away. Removed ids that the index does not hold change nothing.
+    """
+    name = store.current()
+    if name is None:
+        raise ValueError("no index has been published here")
+    segments, read = _segments(store, name), store.spark.read.parquet
+    ids = [x.select(F.col(id_col).alias("chunk")) for x in (added, removed) if x is not None]
+    if not ids:
+        return opened(store, name)
+    held = [read(f"{store.root}/{s}/chunks") for s, has, _ in segments if has]
+    buried = [read(f"{store.root}/{s}/gone") for s, _, has in segments if has]
+    live = reduce(DataFrame.unionByName, held)
+    live = live if not buried else live.join(reduce(DataFrame.unionByName, buried), ["range", "chunk"], "left_anti")
+    old = written(live.join(reduce(DataFrame.unionByName, ids).distinct(), "chunk", "left_semi"), "replaced")
+    minus = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"), F.lit(0).cast("long").alias("blocks"))
+    totals = old.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("tokens"))
+    rows = None
+    if added is not None:
+        first = (live_end(held) // (1 << 20) + 1) << 20  # ranges of a segment are its own
+        rows = written(tokenized(added, id_col, text_col, -(-added.count() // size), first, tokenizer), "tokens")
+    made = _segment(store, len(segments), rows, old.select("range", "chunk"), minus, totals)
+    return _point(store, [*segments, (made, rows is not None, True)], store.read(name, "corpus").select("floor").first()[0])
+
+
+def live_end(held: list[DataFrame]) -> int:
+    return max(h.agg(F.max("range")).first()[0] or 0 for h in held)
+
+
+def compact(store: Generations) -> LexicalIndex:
+    """A new generation of one segment, made of the postings that count, without tokenizing."""
+    name = store.current()
+    index, segments, read = opened(store, name), _segments(store, name), store.spark.read.parquet
+    made = f"seg-{uuid.uuid4().hex}"
+    at = f"{store.root}/{made}"
+    held = reduce(DataFrame.unionByName, [read(f"{store.root}/{s}/chunks") for s, has, _ in segments if has])
+    held = held if index.gone is None else held.join(index.gone, ["range", "chunk"], "left_anti")
+    n = held.count()
+    place = F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-n // RANGE))))
+    held.withColumn("range", place).write.parquet(f"{at}/chunks")
+    blocks = _grouped(index.postings.withColumn("range", place))
+    blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{at}/blocks")
+    _counts(read(f"{at}/blocks")).write.parquet(f"{at}/counts")
+    read(f"{at}/chunks").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).withColumn("number", F.lit(0)).write.parquet(f"{at}/totals")
+    return _point(store, [(made, True, False)], index.floor)
+
+
+def _saturated(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+@dataclass
+class _Search:
+    """A set of queries over an index: wanted terms with weights, and the bound of each query in each range."""
+
+    index: LexicalIndex
+    wanted: DataFrame  # query_id, batch, distinct_terms, term, weight
+    reach: DataFrame  # query_id, batch, range, bound
+    avgdl: float
+    chunks: int
+    k1: float
+    b: float
+
+    @classmethod
+    def of(cls, index: LexicalIndex, asked: DataFrame, k1: float, b: float) -> _Search:
+        """asked: query_id, t (tokens)."""
+        batches = max(1, -(-asked.count() // BATCH))
+        wanted = asked.select("query_id", F.size(F.array_distinct("t")).alias("distinct_terms"), F.explode("t").alias("term")).groupBy("query_id", "distinct_terms", "term").agg(F.count("*").alias("times"))
+        wanted = wanted.join(index.terms, "term").select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("batch"), "distinct_terms", "term", (F.col("times") * F.col("idf")).alias("weight"), "blocks")
+        wanted = written(wanted, "wanted")
+        corpus = index.corpus.first()
+        avgdl = corpus.avgdl or 1.0
+        bounds = index.blocks.select("range", "term", "max_tf", "min_dl")
+        reach = cls._met(index, bounds, wanted).groupBy("query_id", "batch", "range").agg(F.sum(F.greatest("weight", F.lit(0.0)) * _saturated(F.col("max_tf"), F.col("min_dl"), F.lit(avgdl), k1, b)).alias("bound"))
+        return cls(index, wanted, written(reach, "reach"), avgdl, corpus.n, k1, b)
+
+    @staticmethod
+    def _met(index: LexicalIndex, bounds: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Blocks and who wants them: by a broadcast if that is small, else terms of very many blocks dealt over groups."""
+        rows, size, most = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)), F.max("blocks")).first()
+        if rows <= SMALL_ROWS and size <= SMALL_BYTES:
+            return bounds.join(F.broadcast(wanted), "term")
+        if most <= DEAL:
+            return bounds.join(wanted, "term")
+        total = index.counts.agg(F.sum("blocks")).first()[0]
+        limit = max(DEAL, total // 10_000)  # so at most 10,000 terms are dealt
+        groups = F.ceil(F.col("blocks") / limit).cast("int")
+        hot = wanted.filter(F.col("blocks") > limit).select("term", groups.alias("groups")).distinct()
+        dealt = bounds.join(F.broadcast(hot), "term", "left").withColumn("deal", F.pmod("range", F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+        return dealt.join(wanted.withColumn("deal", F.explode(F.sequence(F.lit(0), groups - 1))), ["term", "deal"])
+
+    def blocks_of(self, pairs: DataFrame) -> DataFrame:
+        """range, batch, term and its block, and asked: the queries that read it there, with their weights."""
+        need = pairs.select("query_id", "range").join(self.wanted, "query_id")
+        asked = need.groupBy("range", "batch", "term").agg(F.collect_list(F.struct("query_id", "weight", "distinct_terms")).alias("asked"))
+        return asked.join(self.index.blocks, ["range", "term"])
+
+    def scored(self, pairs: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """query_id, chunk, raw (rounded), overlap of all chunks of the ranges (query_id, range) that hold a term."""
+        rows = self.blocks_of(pairs).select("range", "batch", "asked", "held")
+        gone = self.index.gone
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        query, chunk = kinds["asked"].elementType["query_id"].dataType.simpleString(), kinds["held"].elementType["chunk"].dataType.simpleString()
+        avgdl, k1, b = self.avgdl, self.k1, self.b
+
+        def score(table: pa.Table) -> pa.Table:
+            asked, held = table["asked"].combine_chunks(), table["held"].combine_chunks()
+            a, h = asked.flatten(), held.flatten()
+            term_a, term_h = np.repeat(np.arange(len(table)), pc.list_value_length(asked)), np.repeat(np.arange(len(table)), pc.list_value_length(held))
+            q, c = pc.dictionary_encode(a.field("query_id")), pc.dictionary_encode(h.field("chunk"))
+            tf, dl = h.field("tf").to_numpy().astype(float), h.field("dl").to_numpy().astype(float)
+            weights, parts = np.zeros((len(q.dictionary), len(table))), np.zeros((len(table), len(c.dictionary)))
+            weights[q.indices.to_numpy(), term_a] = a.field("weight").to_numpy()
+            parts[term_h, c.indices.to_numpy()] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            raw = np.round(weights @ parts, 9)
+            wants, has = np.zeros(weights.shape), (parts > 0).astype(float)
+            wants[q.indices.to_numpy(), term_a] = 1.0
+            terms = np.zeros(len(q.dictionary))
+            terms[q.indices.to_numpy()] = a.field("distinct_terms").to_numpy()
+            which, at = np.nonzero(raw)
+            overlap = (wants @ has)[which, at] / terms[which]
+            return pa.table({"query_id": q.dictionary.take(pa.array(which)), "chunk": c.dictionary.take(pa.array(at)), "range": pa.array(np.full(len(which), table["range"][0].as_py() if len(table) else 0, np.int64)), "raw": pa.array(raw[which, at]), "overlap": pa.array(overlap)})
+
+        found = rows.groupBy("range", "batch").applyInArrow(score, f"query_id {query}, chunk {chunk}, range long, raw double, overlap double")
+        if gone is not None:
+            found = found.join(gone, ["range", "chunk"], "left_anti")
+        if allowed is not None:
+            found = found.join(allowed.select("chunk").distinct(), "chunk", "left_semi")
+        return found.select("query_id", "chunk", F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("overlap") * DEFAULTS.overlap_scale).alias("score"))
+
+    def passing(self, k: int | None, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, range: where a chunk may still be among the best k. A bound below the threshold leaves no doubt."""
+        if k is None or self.chunks <= WHOLE:
+            return self.reach
+        first = top_k(self.reach, ["query_id"], [F.col("bound").desc(), F.col("range")], k).drop("rank")
+        best = top_k(self.scored(first, allowed), ["query_id"], [F.col("score").desc(), F.col("chunk")], k)
+        least = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        # scores that stand in for sums below 0 are no larger than the scale, and no bound tells of them
+        can = F.col("least").isNull() | (F.col("least") <= DEFAULTS.overlap_scale) | (F.col("bound") >= F.col("least") - 1e-6)
+        return self.reach.join(least, "query_id", "left").filter(can).select("query_id", "range")
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int | None = DEFAULTS.bm25_depth, query_id: str = "query_id", query_text: str = "query", tokenizer: Callable[[Column], Column] = X.tokens, allowed: DataFrame | None = None, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
@@ -80,14 +331,16 @@ def search(index: LexicalIndex, queries: DataFrame, k: int | None = DEFAULTS.bm2
     if k is not None and k <= 0:
         raise ValueError("k must be positive")
     asked = queries.select(F.col(query_id).alias("query_id"), tokenizer(F.col(query_text)).alias("t"))
-    wanted = asked.select("query_id", F.size(F.array_distinct("t")).alias("distinct_terms"), F.explode("t").alias("term")).groupBy("query_id", "distinct_terms", "term").agg(F.count("*").alias("times"))
-    postings = index.postings if allowed is None else index.postings.join(allowed.select("chunk").distinct(), "chunk", "left_semi")
-    weighted = wanted.join(index.terms.select("term", "idf"), "term")
-    hits = postings.join(weighted, "term").join(F.broadcast(index.corpus), how="cross")
-    part = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk").agg(F.round(F.sum(part), 9).alias("raw"), (F.count("*") / F.first("distinct_terms")).alias("overlap"))
-    scored = scored.filter("raw <> 0").select("query_id", "chunk", F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("overlap") * DEFAULTS.overlap_scale).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("chunk")], k)
+    found = _Search.of(index, asked, k1, b)
+    return top_k(found.scored(found.passing(k, allowed), allowed), ["query_id"], [F.col("score").desc(), F.col("chunk")], k)
+
+
+def postings_read(index: LexicalIndex, queries: DataFrame, k: int | None = DEFAULTS.bm25_depth, query_id: str = "query_id", query_text: str = "query", tokenizer: Callable[[Column], Column] = X.tokens, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
+    """query_id, postings of its terms, and how many of them the second pass of a search reads."""
+    found = _Search.of(index, queries.select(F.col(query_id).alias("query_id"), tokenizer(F.col(query_text)).alias("t")), k1, b)
+    held = found.wanted.join(index.blocks.select("range", "term", "n"), "term")
+    read = found.passing(k).withColumn("read", F.lit(1))
+    return held.join(read, ["query_id", "range"], "left").groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("read") == 1, F.col("n")).otherwise(0)).alias("read"))
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
