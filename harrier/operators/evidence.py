@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,7 +54,7 @@ class Selection:
 
 
 #: What a fold over the pool of a query knows: the rows chosen so far, in order, and their tokens.
-CHOSEN = "struct<rows:array<struct<rank:int,chunk:{chunk},source:{source},words:array<string>,why:string>>,tokens:bigint>"
+CHOSEN = "struct<rows:array<struct<rank:int,source:{source},why:string>>,tokens:bigint>"
 
 
 class _Fold:
@@ -63,10 +67,7 @@ class _Fold:
 
     def known(self) -> Column:
         """The same chunk, or a chosen one of nearly the same words, is chosen already."""
-        same = F.exists(self.state["rows"], lambda c: c["chunk"].eqNullSafe(self.row["chunk"]))
-        if self.how.redundancy is None:
-            return same
-        return same | F.exists(self.state["rows"], lambda c: X.jaccard(c["words"], self.row["words"]) >= self.how.redundancy)
+        return F.arrays_overlap(F.transform(self.state["rows"], lambda c: c["rank"]), self.row["like"])
 
     def crowded(self) -> Column:
         return F.size(F.filter(self.state["rows"], lambda c: c["source"].eqNullSafe(self.row["source"]))) >= self.how.per_source
@@ -89,10 +90,39 @@ class _Fold:
         return self.room & ~self.enough() & free & fits & (~self.known() & ~self.crowded() if strict else F.lit(True))
 
     def with_row(self, why: str) -> Column:
-        row = F.struct(self.row["rank"].alias("rank"), self.row["chunk"].alias("chunk"), self.row["source"].alias("source"), self.row["words"].alias("words"), F.lit(why).alias("why"))
+        row = F.struct(self.row["rank"].alias("rank"), self.row["source"].alias("source"), F.lit(why).alias("why"))
         return F.struct(F.array_append(self.state["rows"], row).alias("rows"), (self.state["tokens"] + self.row["tokens"]).alias("tokens"))
 
 
+def alike(pools: DataFrame, least: float | None) -> DataFrame:
+    """pools (query_id, pool: array of rank, chunk, words, ...) with, for each row of a pool, the ranks of those it repeats.
+
+    These are rows of the same chunk, and those whose words have a Jaccard similarity of ``least`` or more; one product
+    of a pool's rows and words tells it for all pairs of the pool, which is bounded.
+    """
+    schema = pools.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for i in range(batch.num_rows):
+                rows = batch.column(1)[i].values
+                chunks, ranks = rows.field("chunk").to_pylist(), rows.field("rank").to_numpy()
+                same = np.array([[a == b for b in chunks] for a in chunks], bool).reshape(len(rows), len(rows))
+                if least is not None:
+                    words = rows.field("words")
+                    coded = pc.dictionary_encode(words.flatten())
+                    has = np.zeros((len(rows), len(coded.dictionary)), np.float32)
+                    has[np.repeat(np.arange(len(rows)), pc.list_value_length(words)), coded.indices.to_numpy()] = 1
+                    both, size = has @ has.T, has.sum(1)
+                    either = size[:, None] + size[None, :] - both
+                    same |= np.where(either > 0, both.astype(float) / np.maximum(either, 1).astype(float), 1.0) >= least
+                told.append([ranks[row].tolist() for row in same])
+            yield batch.append_column("like", pa.array(told, pa.list_(pa.list_(pa.int32()))))
+
+    return pools.mapInArrow(run, f"{schema}, like array<array<int>>")
+
+
 def select_evidence(candidates: DataFrame, how: Selection = Selection()) -> DataFrame:
     """candidates (query_id, chunk, text, source, reranker_score, rerank_rank) -> a decision for each row.
 
@@ -103,7 +133,8 @@ def select_evidence(candidates: DataFrame, how: Selection = Selection()) -> Data
     tokens = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.NON_SPACE), F.lit(0)))
     score = F.coalesce(F.nanvl(F.col("reranker_score").cast("double"), F.lit(0.0)), F.lit(0.0))
     row = F.struct(F.col("rerank_rank").cast("int").alias("rank"), "chunk", "source", score.alias("score"), tokens.alias("tokens"), X.word_set(F.col("text")).alias("words"))
-    pools = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("pool"))
+    pools = alike(candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("pool")), how.redundancy)
+    pools = pools.withColumn("pool", F.transform("pool", lambda r, i: F.struct(r["rank"].alias("rank"), r["chunk"].alias("chunk"), r["source"].alias("source"), r["score"].alias("score"), r["tokens"].alias("tokens"), F.col("like")[i].alias("like"))))
     usable = F.filter("pool", lambda r: r["tokens"] > 0)
     floor = F.least(F.lit(how.min_selected), F.size("usable"), F.lit(how.max_selected))
     if how.fallback:
