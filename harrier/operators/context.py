@@ -104,33 +104,85 @@ def fit_tokens(rows: DataFrame, by: str, order: str, text: str, limit: int = DEF
     return kept.select(F.col(by).cast(kinds[by]).alias(by), F.col("reference_id").cast("int").alias("reference_id"), body.alias(text), F.least("tokens", "__room").cast("int").alias("tokens"), over.alias("truncated"))
 
 
-def pack(rows: DataFrame, by: list[str], order: list[str], size: str, limit: int) -> DataFrame:
-    """by, order, size, bin: in order, a new bin starts where the next size would pass the limit.
+#: Rows of a group that one task packs.
+PACKED = 65_536
 
-    Where a bin starts depends on all bins before it, so a group is one pass over its rows in order; they stream
-    through the task, which holds one batch and a sum. Groups are packed beside each other.
+
+def _upto(placed: DataFrame, by: list[str], value: Column, probe: Column, name: str) -> DataFrame:
+    """by, __place and, for each row, how many rows of its group have a value of at most its probe.
+
+    Values and probes are sorted together, and the values counted along that order.
+    """
+    values = placed.select(*by, F.lit(-1).cast("long").alias("__place"), value.alias("__v"), F.col("__place").alias("__tie"))
+    probes = placed.select(*by, "__place", probe.alias("__v"), F.col("__place").alias("__tie"))
+    both = values.unionByName(probes).withColumn("__asks", (F.col("__place") >= 0).cast("int"))
+    counted = running(both, by, ["__v", "__asks", "__tie"], {name: (1 - F.col("__asks")).cast("long")})
+    return counted.filter("__asks = 1").select(*by, "__place", name)
+
+
+def pack(rows: DataFrame, by: list[str], order: list[str], size: str, limit: int, count: int | None = None, ts: str | None = None, wait: int | None = None, block: int = PACKED) -> DataFrame:
+    """by, order, size, bin: in order, a new bin starts where the next row would pass a limit.
+
+    The sizes of a bin sum to ``limit`` at most, unless a single row is larger; it has at most ``count`` rows; and where
+    ``ts`` and ``wait`` (seconds) are given, which needs an order by ts, it is closed so long after its first row. Null
+    sizes count as 0, and sizes must not be negative.
+
+    Where a bin that starts at a row ends is told for every row by prefix sums; which rows do start one follows from
+    these pointers. Blocks of rows follow them within a task. Between the blocks of a group the pointers out of a block
+    are doubled, so a group of any size takes as many rounds as its number of blocks has digits.
     """
-    keyed = rows.select(*by, *order, F.col(size).cast("long").alias(size))
-    schema = T.StructType([*keyed.schema.fields, T.StructField("bin", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, used, bin_ = None, 0, 0
-        for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
-            bins = []
-            for name, n in zip(names, batch.column(len(by) + len(order)).to_pylist(), strict=True):
-                n = n or 0
-                if name != group:
-                    group, used, bin_ = name, n, 0
-                elif used > 0 and used + n > limit:
-                    used, bin_ = n, bin_ + 1
-                else:
-                    used += n
-                bins.append(bin_)
-            yield batch.append_column("bin", pa.array(bins, pa.int32()))
-
-    dealt = keyed.repartition(*[F.col(c) for c in by]) if by else keyed.coalesce(1)
-    return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    by_ = [f"__by{i}" for i in range(len(by))] or ["__all"]
+    keys = [F.coalesce(F.to_json(F.struct(F.col(c).alias("k"))), F.lit("")).alias(n) for c, n in zip(by, by_, strict=True)] if by else [F.lit("").alias("__all")]
+    keyed = rows.select(*by, *order, F.col(size).cast("long").alias(size), *[F.col(ts).cast("timestamp").alias("__ts") for _ in [0] if ts is not None], *keys)
+    keyed = written(keyed.withColumn("__n", F.coalesce(F.col(size), F.lit(0))).withColumn("__tie", F.monotonically_increasing_id()), "pack")
+    placed = written(running(keyed, by_, [*order, "__tie"], {"__place": F.lit(1).cast("long"), "__sum": F.col("__n")}), "pack-placed")
+    before = F.col("__sum") - F.col("__n")
+    slim = placed.select(*by_, "__place", "__sum", "__n", *(["__ts"] if ts is not None else []))
+    found = slim.select(*by_, "__place").join(_upto(slim, by_, F.col("__sum"), before + limit, "__fit"), [*by_, "__place"]).join(_upto(slim, by_, F.col("__sum"), before, "__empty"), [*by_, "__place"])
+    next_ = F.greatest("__fit", F.col("__empty") + 1) + 1
+    if count is not None:
+        next_ = F.least(next_, F.col("__place") + count)
+    if ts is not None and wait is not None:
+        found = found.join(_upto(slim, by_, F.unix_micros("__ts"), F.unix_micros("__ts") + wait * 1_000_000, "__soon"), [*by_, "__place"])
+        next_ = F.least(next_, F.col("__soon") + 1)
+    pointers = written(found.select(*by_, "__place", next_.alias("__next")).withColumn("__block", F.floor((F.col("__place") - 1) / block)), "pack-pointers")
+
+    def out_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The first place beyond the block that the pointers lead to from each row."""
+        pdf = pdf.sort_values("__place")
+        first, next_ = int(pdf["__place"].iloc[0]), pdf["__next"].to_numpy().copy()
+        for i in range(len(next_) - 1, -1, -1):
+            if next_[i] - first < len(next_):
+                next_[i] = next_[next_[i] - first]
+        return pdf.assign(__next=next_)
+
+    kinds = pointers.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    starts = pointers.filter("__place = 1").select(*by_, "__place")
+    blocks = (pointers.agg(F.max("__block")).first()[0] or 0) + 1
+    if blocks > 1:
+        jumps = written(pointers.groupBy(*by_, "__block").applyInPandas(out_of, kinds).select(*by_, "__place", "__next"), "pack-jumps")
+        for _ in range(int(blocks - 1).bit_length()):
+            starts = written(starts.unionByName(starts.join(jumps, [*by_, "__place"]).select(*by_, F.col("__next").alias("__place"))).distinct(), "pack-starts")
+            far = jumps.select(*by_, F.col("__place").alias("__next"), F.col("__next").alias("__far"))
+            jumps = written(jumps.join(far, [*by_, "__next"]).select(*by_, "__place", F.col("__far").alias("__next")), "pack-jumps")
+    entries = starts.select(*by_, F.col("__place").alias("__entry"), F.floor((F.col("__place") - 1) / block).alias("__block")).groupBy(*by_, "__block").agg(F.min("__entry").alias("__entry"))
+
+    def marked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Bins within the block: 0 for rows of a bin that starts before it."""
+        pdf = pdf.sort_values("__place")
+        first, next_, entry = int(pdf["__place"].iloc[0]), pdf["__next"].to_numpy(), pdf["__entry"].iloc[0]
+        start = pd.Series(0, index=pdf.index)
+        at = None if pd.isna(entry) else int(entry) - first
+        while at is not None and at < len(next_):
+            start.iloc[at] = 1
+            at = int(next_[at]) - first
+        return pdf.assign(__bin=start.cumsum().astype("int64"))
+
+    local = written(pointers.join(entries, [*by_, "__block"], "left").groupBy(*by_, "__block").applyInPandas(marked, f"{kinds}, __entry bigint, __bin bigint"), "pack-bins")
+    made = local.groupBy(*by_, "__block").agg(F.max("__bin").alias("__made"))  # a row for each block
+    ahead = F.coalesce(F.sum("__made").over(W.partitionBy(*by_).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = local.join(made.select(*by_, "__block", ahead.alias("__ahead")), [*by_, "__block"]).select(*by_, "__place", (F.col("__bin") + F.col("__ahead") - 1).cast("int").alias("bin"))
+    return placed.join(bins, [*by_, "__place"]).select(*by, *order, size, "bin")
 
 
 @dataclass(frozen=True)
