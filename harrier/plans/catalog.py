@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from harrier.plans import ops_queries, record_queries, retrieval_queries, star_queries
+from harrier.plans import mechanism_queries, ops_queries, record_queries, retrieval_queries, star_queries
 from harrier.plans.registry import Query
 
-PARTS = (retrieval_queries.Q, star_queries.Q, ops_queries.Q, record_queries.Q)
+PARTS = (retrieval_queries.Q, star_queries.Q, ops_queries.Q, record_queries.Q, mechanism_queries.Q)
 
 
 def queries() -> dict[str, Query]:

@@ -144,9 +144,10 @@ def bm25_overlap_fallback(spark, sf_dir):
 
 
 @Q(rf"""WITH tok AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
-held AS (SELECT unnest(list_distinct(t)) AS term FROM tok),
-raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM held GROUP BY term),
-mean AS (SELECT avg(raw) AS mean FROM raw)
+held AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term),
+n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM held, n),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
 SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * 1e6::DOUBLE) / 1e6::DOUBLE AS idf FROM raw, mean""")
 def term_stats(spark, sf_dir):
     return index(spark, sf_dir).terms.select("term", "df", six("idf"))

@@ -97,11 +97,15 @@ def trace_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_trace(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+def named(writer, name: str | None):  # noqa: ANN001, ANN201
+    return writer if name is None else writer.queryName(name)
+
+
+def write_trace(stream: DataFrame, path: str, checkpoint: str, name: str | None = None):  # noqa: ANN201
     """Appends every event of a stream to a folder of JSON lines, exactly once."""
-    return trace_lines(stream).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return named(trace_lines(stream).writeStream, name).format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_progress(stream: DataFrame, generations, checkpoint: str):  # noqa: ANN001, ANN201
+def write_progress(stream: DataFrame, generations, checkpoint: str, name: str | None = None):  # noqa: ANN001, ANN201
     """Keeps the last complete state of a stream's groups as a generation: readers see one state or the next."""
-    return stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: generations.publish(rows) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return named(stream.writeStream, name).outputMode("complete").foreachBatch(lambda rows, _: generations.publish(rows) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
