@@ -29,8 +29,8 @@ _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 #: Of the hashes that tell strings apart: polynomials modulo this prime, at bases drawn from all numbers below it.
 PRIME = np.uint64(2**61 - 1)
 _PRIME_BASE = [int(x) for x in _random.integers(2**32, 2**61 - 2, 2, np.uint64)]
-#: Bytes whose sums stay within 64 bits.
-LONG = 1 << 23
+#: Bytes of a range that are hashed at once, so that sums stay within 62 bits.
+LONG = 1 << 20
 _powers: dict[bool, np.ndarray] = {}
 _prime_powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -165,11 +165,11 @@ def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
 def reduced(x: np.ndarray) -> np.ndarray:
     """x modulo PRIME, for x below 2 ** 64."""
     x = (x & PRIME) + (x >> np.uint64(61))
-    return np.where(x >= PRIME, x - PRIME, x)
+    return np.minimum(x, x - PRIME)  # below PRIME the difference wraps around
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo PRIME, for numbers below it: by halves of 31 bits, as 2 ** 61 counts as 1."""
+    """a * b modulo PRIME, for a below 2 ** 62 and b below PRIME: by halves of 31 bits, as 2 ** 61 counts as 1."""
     low, half = np.uint64(2**31 - 1), np.uint64(31)
     a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
     middle = a1 * b0 + a0 * b1
@@ -206,19 +206,24 @@ def span_hash(held: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(max(1, -(-int((ends - starts).max()) // LONG))):  # differences of longer ranges would pass 64 bits
-        a = np.minimum(starts + k * LONG, ends)
-        z = np.minimum(a + LONG, ends)
-        low, high = held[0][z] - held[0][a], reduced(held[1][z] - held[1][a])
-        high = ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + (high >> np.uint64(29))
-        out = reduced(out + reduced(reduced(low) + high))
+    pieces, out = -(-int((ends - starts).max()) // LONG), None
+    for k in range(max(1, pieces)):
+        a = np.minimum(starts + k * LONG, ends) if pieces > 1 else starts
+        z = np.minimum(a + LONG, ends) if pieces > 1 else ends
+        low, high = held[0][z] - held[0][a], held[1][z] - held[1][a]  # of LONG bytes: below 2 ** 60 and 2 ** 57
+        own = low + ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + (high >> np.uint64(29))
+        out = own if out is None else reduced(out) + reduced(own)
     out = product(out, prime_powers(len(held[0]), which, inverse=True)[starts])
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def word_hashes(block: Block, found: Words, which: int = 0) -> np.ndarray:
-    return span_hash(sums(block.data, which), found.starts, found.ends, which)
+    """span_hash of words, some texts at a time: so sums stay small."""
+    out = np.empty(len(found), np.uint64)
+    for part in parts(block):
+        a, z, at = found.bounds[part.first], found.bounds[part.first + len(part)], block.bounds[part.first]
+        out[a:z] = span_hash(sums(part.data, which), found.starts[a:z] - at, found.ends[a:z] - at, which)
+    return out
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
