@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,40 @@ def rerank(candidates: DataFrame, scorer: Column, by: str = "query_id", rank: st
     return candidates.withColumn("reranker_score", scorer).withColumn("rerank_rank", F.row_number().over(w)).withColumn("rank_shift", F.col(rank) - F.col("rerank_rank"))
 
 
+#: Models that this process has loaded, by the name of their loading.
+_LOADED: dict[str, Callable] = {}
+
+
+def rerank_by_model(candidates: DataFrame, load: Callable[[], Callable[[list[str], list[str]], Sequence[float]]], query: str = "query", text: str = "text", by: str = "query_id", rank: str = "rank", batch: int = 64) -> DataFrame:
+    """``rerank`` by a model of (queries, texts), which ``load`` gives.
+
+    A worker loads the model once and keeps it for all tasks it gets of this call; pairs are scored in batches of at
+    most ``batch``. Null queries and texts are empty ones. A model that gives another number of scores, or fails, fails
+    the job; a score that is no number counts as none.
+    """
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from harrier.operators.evidence import _LOADED as held  # the worker's own, not a copy sent along
+
+        model = held.get(name)
+        if model is None:
+            held.clear()  # a model of an earlier call gives way
+            model = held[name] = load()
+        for queries, texts in parts:
+            q, t, out = queries.fillna("").tolist(), texts.fillna("").tolist(), []
+            for k in range(0, len(q), batch):
+                scores = list(model(q[k : k + batch], t[k : k + batch]))
+                if len(scores) != len(q[k : k + batch]):
+                    raise ValueError("the model gave another number of scores")
+                out += [None if s is None or s != s else float(s) for s in scores]
+            yield pd.Series(out, dtype="float64")
+
+    scored = candidates.withColumn("__score", score(F.col(query).cast("string"), F.col(text).cast("string")))
+    return rerank(scored, F.nanvl("__score", F.lit(None).cast("double")), by, rank).drop("__score")
+
+
 def passthrough(rrf: Column, score: Column) -> Column:
     return F.coalesce(rrf, score)
 

@@ -84,6 +84,16 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], v
     return joined.select(*rows.columns, *[(F.col(f"__here_{n}") + F.col(f"__ahead_{n}")).alias(n) for n in values])
 
 
+def running_max(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """rows with the largest value of their group up to each, nulls left out, as ``running`` does it with sums."""
+    dealt = written(rows.withColumn("__value", value).repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "running")
+    ahead = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a group
+    held = dealt.groupBy(*by, "__range").agg(F.max("__value").alias("__most")).select(*by, "__range", F.max("__most").over(ahead).alias("__ahead"))
+    within = W.partitionBy(*by, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = dealt.withColumn("__here", F.max("__value").over(within)).join(held, [*by, "__range"])
+    return joined.select(*rows.columns, F.greatest("__here", "__ahead").alias(name))
+
+
 def nearest_ranks(rows: DataFrame, by: str, value: str, shares: Mapping[str, float]) -> DataFrame:
     """by and, for each share, the value at index round((n - 1) * share), half to even, of the group's sorted values.
 

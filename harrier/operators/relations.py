@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import json
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrier.operators.ranking import running_max
+from harrier.sources.shared import written
+
 #: Fixed value: the order of roles within a turn.
 ROLES = ("system", "user", "assistant")
 
@@ -95,34 +99,73 @@ def pairs(rows: DataFrame, by: Sequence[str], key: str, value: str) -> DataFrame
     return a.join(b, list(by)).filter("lo < hi").select(*by, "lo", "hi", F.round(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
-def pareto(rows: DataFrame, most: Sequence[str], least: Sequence[str]) -> DataFrame:
+#: Different values of all criteria that one task may hold.
+FRONTIER = 50_000
+
+
+def _staircase(x: np.ndarray) -> np.ndarray:
+    """Which rows of three criteria (larger is better), sorted downwards by all of them, no other row beats.
+
+    Rows come by falling first criterion; the best of the others so far are a staircase: rising second, falling third.
+    """
+    ups: list[float] = []
+    tops: list[float] = []
+    keep = np.zeros(len(x), bool)
+    for k, (y, z) in enumerate(x[:, 1:].tolist()):
+        at = bisect.bisect_left(ups, y)
+        if at < len(ups) and tops[at] >= z:
+            continue
+        keep[k] = True
+        first = at
+        while first and tops[first - 1] <= z:
+            first -= 1
+        last = at + 1 if at < len(ups) and ups[at] == y else at
+        ups[first:last], tops[first:last] = [y], [z]
+    return keep
+
+
+def _unbeaten(rows: DataFrame) -> DataFrame:
+    """Rows (__a, __b, __c, all different) that no other row of their partition beats."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            own = pd.concat(held).sort_values(["__a", "__b", "__c"], ascending=False)
+            yield own[_staircase(own[["__a", "__b", "__c"]].to_numpy(float))]
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def pareto(rows: DataFrame, most: Sequence[str], least: Sequence[str], few: int = FRONTIER) -> DataFrame:
     """The rows that no other row beats: as good in all columns and better in one. Rows with nulls take no part.
 
-    Each task first drops what its own rows beat, which is nearly all; what is left of all tasks meets in one join.
+    For one to three columns of numbers. Values are compared once, however many rows have them. Each task drops what its
+    own rows beat, which is nearly all. What is left is dealt in ranges of a sort by all columns; ranges meet pairwise as
+    in a merge tree. All rows of the earlier side of a pair are as good in the first column, so a row of the later side
+    is beaten if the best third value among those of the earlier side that are as good in the second is as good as its
+    own: a running maximum along a sort. So no step costs more than a sort, also where no row is beaten at all.
     """
-    columns = [*most, *least]
-    whole = rows.dropna(subset=columns)
-
-    def frontier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf])
-            x = np.column_stack([*(held[c].to_numpy(float) for c in most), *(-held[c].to_numpy(float) for c in least)])
-            order = np.argsort(-x.sum(1), kind="stable")  # nothing is beaten by a row of a smaller sum
-            kept: list[int] = []
-            for i in order.tolist():
-                best = x[kept]
-                if not ((best >= x[i]).all(1) & (best > x[i]).any(1)).any():
-                    kept.append(i)
-            held = held.iloc[sorted(kept)]
-        if held is not None:
-            yield held
-
-    few = whole.mapInPandas(frontier, whole.schema)
-    other = few.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
-    fine = [F.col(f"__{c}") >= F.col(c) for c in most] + [F.col(f"__{c}") <= F.col(c) for c in least]
-    better = [F.col(f"__{c}") > F.col(c) for c in most] + [F.col(f"__{c}") < F.col(c) for c in least]
-    return few.join(other, reduce(lambda a, b: a & b, fine) & reduce(lambda a, b: a | b, better), "left_anti")
+    if not 1 <= len(most) + len(least) <= 3:
+        raise ValueError("a frontier takes one to three columns")
+    whole = rows.dropna(subset=[*most, *least])
+    scores = [F.col(c).cast("double") for c in most] + [-F.col(c).cast("double") for c in least]
+    scores = [*scores, *[F.lit(0.0)] * (3 - len(scores))]
+    named = {n: c + 0.0 for n, c in zip(("__a", "__b", "__c"), scores, strict=True)}  # 0.0 and -0.0 are one value
+    left = written(_unbeaten(whole.select(*[c.alias(n) for n, c in named.items()]).distinct()), "frontier")
+    if left.count() <= few:
+        left = _unbeaten(left.coalesce(1))
+    else:
+        order = [F.col(c).desc() for c in named]
+        dealt = left.repartitionByRange(*order).withColumn("__r", F.spark_partition_id())
+        parts, size = (dealt.agg(F.max("__r")).first()[0] or 0) + 1, 1
+        left = written(_unbeaten(dealt), "frontier")
+        while size < parts:
+            later = F.pmod(F.floor(F.col("__r") / size), F.lit(2)).cast("int")
+            paired = left.withColumn("__pair", F.floor(F.col("__r") / (2 * size))).withColumn("__later", later)
+            seen = running_max(paired, ["__pair"], [F.col("__b").desc(), "__later", F.col("__c").desc(), F.col("__a").desc()], F.when(F.col("__later") == 0, F.col("__c")), "__best")
+            beaten = (F.col("__later") == 1) & F.coalesce(F.col("__best") >= F.col("__c"), F.lit(False))
+            left, size = written(seen.filter(~beaten).select(*left.columns), "frontier"), 2 * size
+    return whole.withColumns(named).join(left.select(*named), list(named), "left_semi").select(*rows.columns)
 
 
 def parent_links(rows: DataFrame, parents: DataFrame, key: str, their_key: str, name: str) -> DataFrame:
