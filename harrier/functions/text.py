@@ -228,3 +228,49 @@ def citation_link(url: Column, page: Column) -> Column:
     """PDF links only, with the page as fragment."""
     is_pdf = F.lower(F.regexp_replace(url, r"[?#].*$", "")).endswith(".pdf")
     return F.when(is_pdf, F.concat(F.regexp_replace(url, "#.*$", ""), F.when(page.isNotNull(), F.concat(F.lit("#page="), page.cast("string"))).otherwise("")))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """To so many places, by a product: engines that share the rounding of whole numbers agree on it."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
+def matched_terms(terms: Column, text: Column) -> Column:
+    """The terms (lower-cased) that are tokens of the text, sorted, each once."""
+    return F.array_sort(F.array_intersect(tokens(text), terms))
+
+
+def ordered_union(*lists: Column) -> Column:
+    """Values of all lists, each once, in the order in which they are first met; null lists have none."""
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*lists))))
+
+
+def markdown_blocks(text: Column, title: Column) -> Column:
+    """Blocks between blank lines as (block, section, text): section is the first line without heading marks, cut to 160
+    characters, or the title where that leaves nothing."""
+    white = " \t\r\n\x0b\x0c"
+    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda b: F.btrim(b, F.lit(white))), lambda b: b != "")
+    section = lambda b: F.left(F.regexp_replace(F.btrim(F.get(F.split(b, r"\r?\n"), F.lit(0)), F.lit(white)), r"^#{1,6}\s+", ""), F.lit(160))
+    return F.transform(blocks, lambda b, i: F.struct(i.alias("block"), F.coalesce(F.nullif(section(b), F.lit("")), title).alias("section"), b.alias("text")))
+
+
+def json_scalar(text: Column, path: str, kind: str = "string") -> Column:
+    """The value at a path of a JSON text, null if there is none, it is no value of this kind, or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)
+
+
+#: What may stand before and after a JSON object in an answer.
+JSON_BEFORE = ("", "json:", "here is the json:", "here is the object:", "here is the requested json:", "here is the requested object:")
+JSON_AFTER = ("", "end of json.", "end of object.", "end of response.")
+
+
+def embedded_json(answer: Column) -> Column:
+    """The JSON object of an answer, as it stands there, or null: fences and known phrases may surround it, nothing else.
+
+    The object runs from the first brace to the last one; a text that is no object is null.
+    """
+    value = F.regexp_replace(F.btrim(F.regexp_replace(answer, "^\\ufeff+", ""), F.lit(" \t\r\n")), r"(?i)^```[ \t]*(?:json)?[ \t]*\r?\n", "")
+    found = F.regexp_extract(value, r"(?s)^([^{]*)(\{.*\})(.*)$", 2)
+    before, after = (F.lower(F.btrim(F.regexp_replace(F.regexp_extract(value, r"(?s)^([^{]*)(\{.*\})(.*)$", g), "```", ""), F.lit(" \t\r\n"))) for g in (1, 3))
+    fine = before.isin(*JSON_BEFORE) & after.isin(*JSON_AFTER) & (found != "") & F.try_parse_json(found).isNotNull()
+    return F.when(fine, found)

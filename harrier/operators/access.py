@@ -45,3 +45,12 @@ def visible(rows: DataFrame, key: str, base: Column, scopes: list[Column], allow
     flagged = rows.filter(base).join(allowed.select(F.col(key).alias("__k"), F.lit(True).alias("__acl")).distinct(), F.col(key) == F.col("__k"), "left")
     out = flagged.filter(F.coalesce(mine, F.lit(False)) | F.coalesce("__acl", F.lit(False))).drop("__k", "__acl")
     return out if paths is None else out.join(paths.select(path).distinct(), path, "left_semi").select(*rows.columns)
+
+
+def allowed_by(action: Column) -> Column:
+    """``implied_by`` of each row's action."""
+    low, out = F.lower(F.trim(action)), None
+    for name in ("delete", *ORDER):
+        case = F.array(*[F.lit(p) for p in implied_by(name)])
+        out = F.when(low == name, case) if out is None else out.when(low == name, case)
+    return out.otherwise(F.array(*[F.lit(p) for p in implied_by("")]))

@@ -101,6 +101,18 @@ def candidate_depth(paths: int | Column) -> Column:
     return F.least(F.lit(MOST), F.greatest(F.lit(FLOOR), PER_PATH * (F.lit(paths) if isinstance(paths, int) else paths)))
 
 
+#: Words of a query that ask for recent records, and for records of a type, with their chips.
+RECENT = ("recent", "recently", "latest")
+TYPES = (("documents", "Documents"), ("passages", "Passages"), ("notes", "Notes"), ("conversations", "Conversations"), ("summaries", "Summaries"))
+
+
 def chips(query: Column) -> Column:
-    """How a query was read: its tokens, numbers apart, as (kind, value) in order and without repeats."""
-    return F.array_distinct(F.transform(X.tokens(query), lambda t: F.struct(F.when(t.rlike(r"^\d+$"), "number").otherwise("term").alias("kind"), t.alias("value"))))
+    """How a query was read: a chip for recency, which may be part of a word, and one for each type it names."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    recent = reduce(lambda a, b: a | b, [low.contains(w) for w in RECENT])
+    return F.array_compact(F.array(F.when(recent, "Recently updated"), *[F.when(low.rlike(rf"\b{word}\b"), label) for word, label in TYPES]))
+
+
+def interpretation(chips: Column) -> Column:
+    """applied, and an explanation that lists the chips, or null."""
+    return F.struct((F.size(chips) > 0).alias("applied"), F.when(F.size(chips) > 0, F.concat(F.lit("Interpreted as "), F.array_join(chips, ", "), F.lit("."))).alias("explanation"))

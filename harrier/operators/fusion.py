@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Sequence, Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -69,3 +69,12 @@ def overlap(left: DataFrame, right: DataFrame, by: str = "query_id", key: str =
     flags = left.select(by, key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(by, key, F.lit(0).alias("l"), F.lit(1).alias("r")))
     each = flags.groupBy(by, key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return each.groupBy(by).agg(F.sum(F.expr("l * (1 - r)")).alias("left_only"), F.sum(F.expr("r * (1 - l)")).alias("right_only"), F.sum(F.expr("l * r")).alias("both"), F.count("*").alias("union_count"), F.round(F.sum(F.expr("l * r")) / F.count("*"), 6).alias("overlap_ratio"))
+
+
+def merged_maps(rows: DataFrame, by: Sequence[str], ranks: str, scores: str) -> DataFrame:
+    """by, and two maps: the least rank and the largest score of each retriever over the maps of a group's rows."""
+    single = rows.select(*by, F.explode_outer(F.map_keys(F.map_concat(F.transform_values(ranks, lambda _, v: v.cast("double")), F.map_filter(F.transform_values(scores, lambda _, v: v.cast("double")), lambda k, _: ~F.map_contains_key(ranks, k))))).alias("retriever"), ranks, scores)
+    single = single.select(*by, "retriever", F.try_element_at(ranks, "retriever").alias("rank"), F.try_element_at(scores, "retriever").alias("score"))
+    best = single.groupBy(*by, "retriever").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    entry = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("retriever").isNotNull() & F.col(value).isNotNull(), F.struct("retriever", value)))))
+    return best.groupBy(*by).agg(entry("rank").alias(ranks), entry("score").alias(scores))

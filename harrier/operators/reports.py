@@ -201,3 +201,34 @@ def fingerprint(rows: DataFrame, by: str, key: str, digest: str, block: int = 10
     listed = lambda order, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r["v"]), "|"), 256)
     blocks = placed.groupBy(by, F.floor((F.col("place") - 1) / block).alias("block")).agg(listed(F.col("place").alias("o"), line.alias("v")).alias("digest"))
     return blocks.groupBy(by).agg(listed(F.col("block").alias("o"), F.col("digest").alias("v")).alias("fingerprint"))
+
+
+def run_metrics(rows: DataFrame, by: Sequence[str], means: Sequence[str], sums: Sequence[str], counts: dict[str, Column]) -> DataFrame:
+    """by, rows, mean_ of each column (nulls left out), the sums, and how many rows each condition holds for."""
+    return rows.groupBy(*by).agg(F.count("*").alias("row_count"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in means], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()])
+
+
+def report_series(chunks: DataFrame, tokens: str = "tokens", source: str = "source", selected: str = "selected", final: str = "final", strength: str = "strength", reason: str = "discard_reason") -> DataFrame:
+    """series, label, value: what a run's charts show, from a row for each candidate of each question.
+
+    funnel (candidates, selected, final), tokens of the same, strengths and discard reasons, selection (selected and
+    discarded), and the unique sources of candidates and of the selected. One pass over the rows, then one row of it.
+    """
+    chosen, kept = F.coalesce(F.col(selected), F.lit(False)), F.coalesce(F.col(final), F.lit(False))
+    every = {
+        ("funnel", "candidates"): F.count("*"),
+        ("funnel", "selected"): F.count_if(chosen),
+        ("funnel", "final"): F.count_if(kept),
+        ("tokens", "candidates"): F.sum(tokens),
+        ("tokens", "selected"): F.sum(F.when(chosen, F.col(tokens))),
+        ("tokens", "final"): F.sum(F.when(kept, F.col(tokens))),
+        ("selection", "selected"): F.count_if(chosen),
+        ("selection", "discarded"): F.count_if(~chosen),
+        ("diversity", "candidates"): F.count_distinct(source),
+        ("diversity", "selected"): F.count_distinct(F.when(chosen, F.col(source))),
+        **{("strengths", s): F.count_if(chosen & (F.col(strength) == s)) for s in ("strong", "medium", "weak")},
+    }
+    row = chunks.agg(*[F.coalesce(c.cast("long"), F.lit(0)).alias(f"v{i}") for i, c in enumerate(every.values())])
+    cells = F.array(*[F.struct(F.lit(s).alias("series"), F.lit(label).alias("label"), F.col(f"v{i}").alias("value")) for i, (s, label) in enumerate(every)])
+    reasons = chunks.filter(~chosen).groupBy(F.coalesce(F.col(reason), F.lit("unspecified")).alias("label")).agg(F.count("*").alias("value"))
+    return row.select(F.inline(cells)).unionByName(reasons.select(F.lit("discard_reasons").alias("series"), "label", "value"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
-from harrier.operators import citations, evaluation, ingest, ranking, relations, reports, search
+from harrier.operators import citations, evaluation, filters, fusion, ingest, ranking, relations, reports, search
 from harrier.plans.registry import Registry
 from harrier.sources import files
 from harrier.sources.shared import shared_folder
@@ -194,7 +194,7 @@ def sliding(spark, sf_dir):
 
 @Q("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
 def props_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", X.json_scalar(F.col("props"), "$.k", "int").alias("k"))
 
 
 @Q("SELECT user_id, event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY ALL")
@@ -203,15 +203,19 @@ def metrics_map(spark, sf_dir):
     return reports.summed_maps(table(spark, sf_dir, "events"), "user_id", counters).withColumnRenamed("key", "event_type")
 
 
-@Q("SELECT event_type, round(avg(value), 6) AS mean, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) FILTER (value > 50) AS slow FROM events GROUP BY event_type")
+@Q("SELECT event_type, count(*) AS row_count, round(avg(value), 6) AS mean_value, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, count(*) FILTER (value > 50) AS slow, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY event_type")
 def run_metrics(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.count_if(F.col("value") > 50).alias("slow"))
+    rows = table(spark, sf_dir, "events").withColumn("k", X.json_scalar(F.col("props"), "$.k", "long"))
+    return reports.run_metrics(rows, ["event_type"], ["value"], ["k"], {"slow": F.col("value") > 50, "failed": F.col("event_type") == "error"})
 
 
-@Q(r"SELECT event_id, coalesce(try_cast(json_extract_string(regexp_extract('Answer: ```json ' || props || ' ```', '\{.*\}'), '$.k') AS INTEGER), -1) AS k FROM events")
+@Q("SELECT event_id, CASE WHEN event_id % 7 IN (4, 5) THEN -1 ELSE json_extract_string(props, '$.k')::INTEGER END AS k FROM events")
 def tolerant_json(spark, sf_dir):
-    wrapped = F.concat(F.lit("Answer: ```json "), "props", F.lit(" ```"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object(F.regexp_extract(wrapped, r"(\{.*\})", 1), "$.k").cast("int"), F.lit(-1)).alias("k"))
+    """Objects within fences and known phrases; other text around one, or a cut one, leaves none."""
+    p, i = F.col("props"), F.col("event_id") % 7
+    fenced = F.concat(F.lit("```json\n"), p, F.lit("\n```"))
+    wrapped = F.when(i == 0, p).when(i == 1, fenced).when(i == 2, F.concat(F.lit("Here is the JSON: "), p)).when(i == 3, F.concat(p, F.lit("\n End of response."))).when(i == 4, F.concat(F.lit("I think it is "), p)).when(i == 5, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(F.concat(F.lit("  ```\n"), p, F.lit("```")))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(X.json_scalar(X.embedded_json(wrapped), "$.k", "int"), F.lit(-1)).alias("k"))
 
 
 @Q()
@@ -237,38 +241,44 @@ def uuid5_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.uuid5(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-FILES = ["report.PDF", "a/b/notes.md", "scan.tiff", "~$draft.docx", ".hidden.txt", "archive.tar.gz", "main.py", "README", "odd.xyz", "empty.csv", "locked.json", "Dockerfile"]
+#: What stands before and after a document's number in the name of its file, what is done with it, and why it is left out.
+NAMED = (("report", ".PDF", "process", None), ("a/b/notes", ".md", "process", None), ("scan", ".tiff", "ocr_then_process", None), ("~$draft", ".docx", "process", "temporary_office_file"), (".hidden", ".txt", "process", "hidden_file"), ("archive", ".tar.gz", "skip_with_warning", "unsupported_format"), ("main", ".py", "skip_with_warning", "unsupported_format"), ("README", "", "reject", "unsupported_format"), ("odd", ".xyz", "reject", "unsupported_format"), ("empty", ".csv", "process", "empty_file"), ("locked", ".json", "process", "unreadable_file"), ("main", ".TSX", "skip_with_warning", "unsupported_format"))
 
 
-def _files(spark):
-    return ingest.with_format(spark.createDataFrame([(n, 0 if n == "empty.csv" else 10, n != "locked.json") for n in FILES], "name string, size int, readable boolean"), "name")
+def _files(spark, sf_dir):
+    """A file for each document, in a folder for each source."""
+    i = (F.col("doc_id") % len(NAMED)).cast("int")
+    part = lambda k: F.element_at(F.array(*[F.lit(n[k]) for n in NAMED]), i + 1)
+    name = F.concat(F.col("source"), F.lit("/"), part(0), F.col("doc_id"), part(1))
+    return ingest.with_format(table(spark, sf_dir, "documents").select(name.alias("name"), F.when(i == 9, 0).otherwise(F.col("n_chars")).alias("size"), (i != 10).alias("readable")), "name")
 
 
-NAMES = "(VALUES ('report.PDF', 'process', NULL), ('a/b/notes.md', 'process', NULL), ('scan.tiff', 'ocr_then_process', NULL), ('~$draft.docx', 'process', 'temporary_office_file'), ('.hidden.txt', 'process', 'hidden_file'), ('archive.tar.gz', 'skip_with_warning', 'unsupported_format'), ('main.py', 'skip_with_warning', 'unsupported_format'), ('README', 'reject', 'unsupported_format'), ('odd.xyz', 'reject', 'unsupported_format'), ('empty.csv', 'process', 'empty_file'), ('locked.json', 'process', 'unreadable_file'), ('Dockerfile', 'skip_with_warning', 'unsupported_format')) v(name, action, reason)"
+_ROWS = ", ".join("({}, '{}', '{}', '{}', {})".format(k, *n[:3], "NULL" if n[3] is None else f"'{n[3]}'") for k, n in enumerate(NAMED))
+NAMES = f"(SELECT source || '/' || a || doc_id || b AS name, action, CASE WHEN n_chars = 0 AND k NOT IN (3, 4) THEN 'empty_file' ELSE reason END AS reason FROM documents JOIN (VALUES {_ROWS}) v(k, a, b, action, reason) ON doc_id % {len(NAMED)} = k)"
 
 
 @Q(f"SELECT name, action FROM {NAMES}")
 def ingest_action(spark, sf_dir):
-    return _files(spark).select("name", ingest.action(F.col("support")).alias("action"))
+    return _files(spark, sf_dir).select("name", ingest.action(F.col("support")).alias("action"))
 
 
 @Q(f"SELECT name, reason FROM {NAMES}")
 def skip_reason(spark, sf_dir):
     act = ingest.action(F.col("support"))
-    return _files(spark).select("name", ingest.skip_reason(F.col("name"), F.col("size"), F.col("readable"), act).alias("reason"))
+    return _files(spark, sf_dir).select("name", ingest.skip_reason(F.col("name"), F.col("size"), F.col("readable"), act).alias("reason"))
 
 
 @Q(f"SELECT action, count(*) AS n, array_to_string(list_sort(list(name))[1:5], ',') AS samples FROM {NAMES} GROUP BY action")
 def format_readiness(spark, sf_dir):
-    rows = _files(spark).withColumn("action", ingest.action(F.col("support")))
+    rows = _files(spark, sf_dir).withColumn("action", ingest.action(F.col("support")))
     return ingest.readiness(rows, "action", "name").withColumn("samples", F.array_join("samples", ","))
 
 
-@Q(r"SELECT conv_id, turn, b.k::INTEGER AS block, md5(b.x) AS block_md5 FROM (SELECT conv_id, turn, string_split(regexp_replace('# Title ' || turn || chr(10) || chr(10) || text, '\n\s*\n', chr(1), 'g'), chr(1)) AS s FROM conversations) t, LATERAL (SELECT unnest(range(0, len(s))) AS k, unnest(s) AS x) b")
+@Q(r"SELECT conv_id, turn, b.k::INTEGER AS block, CASE WHEN b.k = 0 THEN 'Title ' || turn ELSE left(regexp_replace(trim(split_part(b.x, chr(10), 1), ' ' || chr(9) || chr(13)), '^#{1,6}\s+', ''), 160) END AS section, md5(b.x) AS block_md5 FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace('# Title ' || turn || chr(10) || chr(10) || text, '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM conversations) t, LATERAL (SELECT unnest(range(0, len(s))) AS k, unnest(s) AS x) b")
 def html_block_split(spark, sf_dir):
     text = F.concat(F.lit("# Title "), F.col("turn").cast("string"), F.lit("\n\n"), "text")
-    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, r"\n\s*\n")).alias("block", "x"))
-    return blocks.select("conv_id", "turn", "block", F.md5("x").alias("block_md5"))
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(X.markdown_blocks(text, F.lit("untitled"))))
+    return blocks.select("conv_id", "turn", "block", "section", F.md5("text").alias("block_md5"))
 
 
 @Q(r"SELECT conv_id, turn, trim(regexp_replace('Title bold ' || text || ' link', '\s+', ' ', 'g')) AS plain FROM conversations")
@@ -317,7 +327,7 @@ def scope_empty_vs_absent(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
 
     def scoped(name, paths):
-        rows = docs if paths is None else docs.join(spark.createDataFrame([(p,) for p in paths], "source string"), "source", "left_semi")
+        rows = filters.scoped(docs, None if paths is None else spark.createDataFrame([(p,) for p in paths], "source string"), "source")
         return rows.agg(F.lit(name).alias("scope"), F.count("*").alias("n"))
 
     return scoped("absent", None).union(scoped("empty", [])).union(scoped("some", ["src1"]))
@@ -332,20 +342,22 @@ def category_inference(spark, sf_dir):
 
 @Q(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_intersect({TOK.format('text')}, ['the', 'on', 'reat', 'hable']))), ',') AS terms FROM documents")
 def matched_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_intersect(X.tokens(F.col("text")), F.array(*[F.lit(t) for t in ("the", "on", "reat", "hable")]))), ",").alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.matched_terms(F.array(*[F.lit(t) for t in ("the", "on", "reat", "hable")]), F.col("text")), ",").alias("terms"))
 
 
 @Q("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def ordered_union(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return rows.select("conv_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("roles"))
+    first = F.slice("r", 1, 2)
+    return rows.select("conv_id", F.array_join(X.ordered_union(*[F.transform(part, lambda x: x["role"]) for part in (first, F.col("r"), F.lit(None).cast("array<struct<turn:bigint,role:string>>"))]), ",").alias("roles"))
 
 
 @Q("SELECT user_id, event_type, min(event_id) AS best_rank, round(max(value), 6) AS best_score FROM events GROUP BY ALL")
 def rank_map_merge(spark, sf_dir):
     """Maps of ranks and scores by retriever, merged: least rank, largest score."""
-    maps = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", F.struct("event_id", "value")).alias("m"))
-    return maps.select("user_id", F.explode("m").alias("event_type", "x")).groupBy("user_id", "event_type").agg(F.min("x.event_id").alias("best_rank"), F.round(F.max("x.value"), 6).alias("best_score"))
+    maps = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", "event_id").alias("ranks"), F.create_map("event_type", "value").alias("scores"))
+    merged = fusion.merged_maps(maps, ["user_id"], "ranks", "scores").select("user_id", F.explode("ranks").alias("event_type", "best_rank"), "scores")
+    return merged.select("user_id", "event_type", "best_rank", F.round(F.element_at("scores", F.col("event_type")), 6).alias("best_score"))
 
 
 @Q("WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, md5(array_to_string(list_transform(t[1:3], lambda x, i: i || '. ' || left(x, 500)), chr(10) || chr(10))) AS excerpt_md5 FROM c")

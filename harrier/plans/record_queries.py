@@ -147,11 +147,18 @@ def scoped_depth(spark, sf_dir):
     return each.unionByName(docs.agg(F.lit("all").alias("source"), filters.candidate_depth(F.count_distinct("source")).cast("long").alias("depth")))
 
 
-@Q(r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text || ' 42 ' || item_id), '[\p{L}\p{M}\p{N}_]+(?:[-''][\p{L}\p{M}\p{N}_]+)*')) AS t FROM benchmark)
-SELECT item_id, len(t)::INTEGER AS chips, len(list_filter(t, lambda x: regexp_full_match(x, '[0-9]+')))::INTEGER AS numbers FROM t""")
+_ASKED = ("show recent notes about ", "Latest summaries: ", "documents on ", "conversation, documents and passages of ", "")
+
+
+@Q("""WITH q AS (SELECT item_id, lower(['show recent notes about ', 'Latest summaries: ', 'documents on ', 'conversation, documents and passages of ', ''][item_id % 5 + 1] || text) AS q FROM benchmark),
+c AS (SELECT item_id, list_filter([CASE WHEN contains(q, 'recent') OR contains(q, 'latest') THEN 'Recently updated' END,
+  CASE WHEN regexp_matches(q, '\\bdocuments\\b') THEN 'Documents' END, CASE WHEN regexp_matches(q, '\\bpassages\\b') THEN 'Passages' END, CASE WHEN regexp_matches(q, '\\bnotes\\b') THEN 'Notes' END,
+  CASE WHEN regexp_matches(q, '\\bconversations\\b') THEN 'Conversations' END, CASE WHEN regexp_matches(q, '\\bsummaries\\b') THEN 'Summaries' END], lambda x: x IS NOT NULL) AS c FROM q)
+SELECT item_id, len(c) > 0 AS applied, CASE WHEN len(c) > 0 THEN 'Interpreted as ' || array_to_string(c, ', ') || '.' END AS explanation FROM c""")
 def query_chips(spark, sf_dir):
-    made = filters.chips(F.concat_ws(" ", "text", F.lit("42"), "item_id"))
-    return table(spark, sf_dir, "benchmark").select("item_id", made.alias("c")).select("item_id", F.size("c").alias("chips"), F.size(F.filter("c", lambda c: c["kind"] == "number")).alias("numbers"))
+    lead = F.element_at(F.array(*[F.lit(a) for a in _ASKED]), (F.col("item_id") % 5 + 1).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", filters.chips(F.concat(lead, "text")).alias("c"))
+    return asked.select("item_id", F.inline(F.array(filters.interpretation(F.col("c")))))
 
 
 ATTEMPTS = "attempts AS (SELECT event_id % 60 AS item_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') AND event_id % 4 = 0 THEN 'completed' ELSE 'error' END AS status FROM events WHERE event_id % 60 < 25)"
@@ -283,9 +290,11 @@ def pareto(spark, sf_dir):
     return relations.pareto(rows, ["o_totalprice"], ["o_custkey", "cost"]).select("o_orderkey")
 
 
-@Q("SELECT 'experiment_' || lpad((row_number() OVER (ORDER BY k, w, s))::VARCHAR, 3, '0') AS experiment_id, left(sha256('{\"k\":' || k || ',\"s\":\"' || s || '\",\"w\":' || w || '}'), 12) AS fingerprint, k, w, s FROM (SELECT unnest([5, 10, 20]) AS k), (SELECT unnest([0, 1]) AS w), (SELECT unnest(['dense', 'hybrid']) AS s)")
+@Q("SELECT 'experiment_' || lpad((row_number() OVER (ORDER BY k, w, s))::VARCHAR, 3, '0') AS experiment_id, left(sha256('{\"k\":' || k || ',\"s\":\"' || s || '\",\"w\":' || w || '}'), 12) AS fingerprint, k, w, s FROM (SELECT DISTINCT quality AS k FROM labels), (SELECT DISTINCT toxic AS w FROM labels), (SELECT DISTINCT lang AS s FROM documents)")
 def param_grid(spark, sf_dir):
-    return relations.grid(spark, {"k": [5, 10, 20], "w": [0, 1], "s": ["dense", "hybrid"]})
+    """A run for every quality, toxicity and language that the tables know, which are few."""
+    known = lambda name, column: sorted(r[0] for r in table(spark, sf_dir, name).select(column).distinct().collect())
+    return relations.grid(spark, {"k": known("labels", "quality"), "w": known("labels", "toxic"), "s": known("documents", "lang")})
 
 
 @Q("SELECT c_custkey, left(sha256('{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_nationkey\":' || c_nationkey || '}'), 12) AS fingerprint FROM customer")

@@ -33,9 +33,10 @@ Q.both("running_total", "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) O
 Q.both("conversation_text", "SELECT conv_id, md5(array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> concat(x.role, ': ', x.text)), '\\n')) AS h FROM conversations GROUP BY conv_id", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
 
 
-@Q("SELECT p AS action, list_aggregate(CASE p WHEN 'view' THEN ['view', 'comment', 'edit', 'manage'] WHEN 'comment' THEN ['comment', 'edit', 'manage'] WHEN 'edit' THEN ['edit', 'manage'] WHEN 'manage' THEN ['manage'] WHEN 'delete' THEN ['delete', 'manage'] ELSE ['view'] END, 'string_agg', ',') AS allowed_by FROM (SELECT unnest(['view', 'comment', 'edit', 'manage', 'delete', 'other']) AS p)")
+@Q("SELECT event_id, p AS action, list_aggregate(CASE p WHEN 'view' THEN ['view', 'comment', 'edit', 'manage'] WHEN 'comment' THEN ['comment', 'edit', 'manage'] WHEN 'edit' THEN ['edit', 'manage'] WHEN 'manage' THEN ['manage'] WHEN 'delete' THEN ['delete', 'manage'] ELSE ['view'] END, 'string_agg', ',') AS allowed_by FROM (SELECT event_id, ['view', 'comment', 'edit', 'manage', 'delete', 'other'][event_id % 6 + 1] AS p FROM events)")
 def permission_closure(spark, sf_dir):
-    return spark.createDataFrame([(a, ",".join(access.implied_by(a))) for a in (*access.ORDER, "delete", "other")], "action string, allowed_by string")
+    asked = F.element_at(F.array(*[F.lit(a) for a in (*access.ORDER, "delete", "other")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", asked.alias("action")).withColumn("allowed_by", F.array_join(access.allowed_by(F.col("action")), ","))
 
 
 #: A principal of nation 3 who is customer 7; grants come from line items, suppliers and nations.
