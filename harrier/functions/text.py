@@ -92,20 +92,29 @@ def initials(normal: Column) -> Column:
 
 
 def match_score(title: Column, body: Column, query: Column) -> Column:
-    """The ladder of title and body matches: 100, 94, 90, 87, 84, 74, 66 or 0. query is in search form."""
-    t, b = search_form(title), search_form(F.coalesce(body, F.lit("")))
+    """The ladder of title and body matches: 100, 94, 90, 87, 84, 74, 66 or 0. query is in search form.
+
+    Title and body are brought to search form once: as the one value of a list they have a name within the ladder, where
+    an expression that stands in many branches would be worked out in each.
+    """
     terms = F.filter(F.split(query, " "), lambda w: w != "")
     has_terms = F.size(terms) > 0
-    return (
-        F.when(t == query, 100)
-        .when(F.contains(t, query) & F.startswith(t, query), 94)
-        .when(F.contains(t, query), 90)
-        .when((F.length(query) >= 2) & F.startswith(initials(t), F.replace(query, F.lit(" "), F.lit(""))), 87)
-        .when(has_terms & F.forall(terms, lambda w: F.contains(t, w)), 84)
-        .when(F.contains(b, query), 74)
-        .when(has_terms & F.forall(terms, lambda w: F.contains(b, w)), 66)
-        .otherwise(0)
-    )
+
+    def ladder(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        return (
+            F.when(t == query, 100)
+            .when(F.contains(t, query) & F.startswith(t, query), 94)
+            .when(F.contains(t, query), 90)
+            .when((F.length(query) >= 2) & F.startswith(initials(t), F.replace(query, F.lit(" "), F.lit(""))), 87)
+            .when(has_terms & F.forall(terms, lambda w: F.contains(t, w)), 84)
+            .when(F.contains(b, query), 74)
+            .when(has_terms & F.forall(terms, lambda w: F.contains(b, w)), 66)
+            .otherwise(0)
+        )
+
+    both = F.array(F.struct(search_form(title).alias("t"), search_form(F.coalesce(body, F.lit(""))).alias("b")))
+    return F.get(F.transform(both, ladder), F.lit(0))
 
 
 def match_reason(score: Column) -> Column:

@@ -21,9 +21,12 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataF
 
 
 def round_robin(rows: DataFrame, group: str, order: str, name: str = "place") -> DataFrame:
-    """rows with their place when groups take turns: the first of each group, then the second of each, and so on."""
-    turn = F.row_number().over(W.partitionBy(group).orderBy(order))
-    return numbered(rows.withColumn("__turn", turn), ["__turn", group], name).drop("__turn")
+    """rows with their place when groups take turns: the first of each group, then the second of each, and so on.
+
+    ``order`` must tell the rows of a group apart. Turns come from ranges of a sort, so a group may hold most rows.
+    """
+    turns = running(rows, [group], [order], {"__turn": F.lit(1).cast("long")})
+    return numbered(turns, ["__turn", group], name).drop("__turn")
 
 
 def with_extremes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -56,8 +56,8 @@ def matrix(rows: DataFrame, by: Sequence[str], success: Column, means: Sequence[
 
 
 def wide(rows: DataFrame, key: str, cell: Column, cells: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """One row for each key with a column ``cell__value`` for each cell and value, the first that is there."""
-    made = [F.first(F.when(cell == c, column), ignorenulls=True).alias(f"{c}__{name}") for c in cells for name, column in values.items()]
+    """One row for each key with a column ``cell__value`` for each cell and value, the largest if a cell repeats."""
+    made = [F.max(F.when(cell == c, column)).alias(f"{c}__{name}") for c in cells for name, column in values.items()]
     return rows.groupBy(key).agg(*made)
 
 

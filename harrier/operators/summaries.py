@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.operators.context import pack
+from harrier.sources.shared import written
 
 
 def summarize(rows: DataFrame, by: str, order: str, size: str, limit: int, shrink: Callable[[Column], Column] = lambda total: F.ceil(total / 4).cast("long"), levels: int = 20) -> DataFrame:
@@ -21,7 +22,8 @@ def summarize(rows: DataFrame, by: str, order: str, size: str, limit: int, shrin
     for level in range(levels):
         packed = pack(now, [by], ["pos"], "size", limit)
         groups = packed.groupBy(by, F.col("bin").alias("group_index")).agg(F.count("*").alias("members"), F.sum("size").alias("total"))
-        done = groups.select(by, F.lit(level).alias("level"), "group_index", "members", shrink(F.col("total")).alias("size")).cache()
+        done = groups.select(by, F.lit(level).alias("level"), "group_index", "members", shrink(F.col("total")).alias("size"))
+        done = written(done, "summary-level")
         out = done if out is None else out.unionByName(done)
         most = done.groupBy(by).count().agg(F.max("count"), F.sum("count")).first()
         if most[0] is None or most[0] <= 1:

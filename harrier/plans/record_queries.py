@@ -134,9 +134,9 @@ def priority_order(spark, sf_dir):
     return filters.offset_page(waiting, ranking.queue_order("priority", "lease_expires", "created_at", "job_id"), 25).select("job_id")
 
 
-@Q("SELECT event_id, NULL::VARCHAR AS chunk_id, event_type AS stage, NULL::DOUBLE AS score, value::VARCHAR AS value FROM events WHERE event_id % 50 = 0")
+@Q("SELECT event_id, NULL::VARCHAR AS chunk_id, event_type AS stage, NULL::DOUBLE AS score, value::VARCHAR AS value FROM events")
 def trace_columns(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 50 = 0").withColumnRenamed("event_type", "stage")
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "stage")
     return filters.reindexed(rows, [("event_id", "long"), ("chunk_id", "string"), ("stage", "string"), ("score", "double"), ("value", "string")])
 
 
@@ -161,12 +161,12 @@ def query_chips(spark, sf_dir):
     return asked.select("item_id", F.inline(F.array(filters.interpretation(F.col("c")))))
 
 
-ATTEMPTS = "attempts AS (SELECT event_id % 60 AS item_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') AND event_id % 4 = 0 THEN 'completed' ELSE 'error' END AS status FROM events WHERE event_id % 60 < 25)"
+ATTEMPTS = "attempts AS (SELECT event_id % 30 * 2 AS item_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') AND event_id % 4 = 0 THEN 'completed' ELSE 'error' END AS status FROM events)"
 
 
 def _attempts(spark, sf_dir):
     done = F.col("event_type").isin("click", "purchase") & (F.col("event_id") % 4 == 0)
-    return table(spark, sf_dir, "events").filter("event_id % 60 < 25").select((F.col("event_id") % 60).alias("item_id"), F.col("event_id").alias("seq"), F.when(done, "completed").otherwise("error").alias("status"))
+    return table(spark, sf_dir, "events").select((F.col("event_id") % 30 * 2).alias("item_id"), F.col("event_id").alias("seq"), F.when(done, "completed").otherwise("error").alias("status"))
 
 
 @Q(f"WITH {ATTEMPTS} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM attempts WHERE status = 'completed')")
@@ -323,16 +323,16 @@ def _nations(spark, sf_dir, where):
     return table(spark, sf_dir, "customer").filter(where).select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
 
 
-@Q("SELECT 'customer' AS kind, c_name AS name, c_acctbal AS bal, c_mktsegment AS segment FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'part', p_name, NULL, NULL FROM part WHERE p_size = 1")
+@Q("SELECT 'customer' AS kind, c_name AS name, c_acctbal AS bal, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', p_name, NULL, NULL FROM part")
 def union_all(spark, sf_dir):
     customer, supplier, part = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
-    return relations.stacked([customer.filter("c_acctbal > 9900").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment")), supplier.filter("s_acctbal > 9000").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), part.filter("p_size = 1").select(F.lit("part").alias("kind"), F.col("p_name").alias("name"))])
+    return relations.stacked([customer.select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment")), supplier.select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), part.select(F.lit("part").alias("kind"), F.col("p_name").alias("name"))])
 
 
-@Q("SELECT path, count(*) AS n FROM (SELECT source || '/' || doc_id % 50 AS path FROM documents WHERE doc_id < 60 UNION ALL SELECT source || '/' || doc_id FROM documents WHERE doc_id < 30) GROUP BY path HAVING count(*) > 1")
+@Q("SELECT path, count(*) AS n FROM (SELECT source || '/' || doc_id % 50 AS path FROM documents UNION ALL SELECT source || '/' || doc_id FROM documents) GROUP BY path HAVING count(*) > 1")
 def root_union_check(spark, sf_dir):
     docs, path = table(spark, sf_dir, "documents"), lambda c: F.concat_ws("/", "source", c.cast("string")).alias("path")
-    return relations.repeated_paths([docs.filter("doc_id < 60").select(path(F.col("doc_id") % 50)), docs.filter("doc_id < 30").select(path(F.col("doc_id")))], "path")
+    return relations.repeated_paths([docs.select(path(F.col("doc_id") % 50)), docs.select(path(F.col("doc_id")))], "path")
 
 
 @Q("WITH r AS (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE source END) AS a, lang AS b FROM documents) SELECT doc_id, coalesce(nullif(a, ''), nullif(b, ''), 'none') AS name FROM r")
@@ -531,9 +531,9 @@ def expired_leases(spark, sf_dir):
     return jobs.recovered(_jobs(spark, sf_dir), _now()).select("job_id", "next_state")
 
 
-@Q(f"WITH {JOBS} SELECT job_id, greatest(0, (floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(created_at)))::BIGINT) AS age, created_at + INTERVAL 60 SECOND AS lease FROM jobs WHERE job_id % 10 = 0")
+@Q(f"WITH {JOBS} SELECT job_id, greatest(0, (floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(created_at)))::BIGINT) AS age, created_at + INTERVAL 60 SECOND AS lease FROM jobs")
 def lease_ages(spark, sf_dir):
-    rows = _jobs(spark, sf_dir).filter("job_id % 10 = 0")
+    rows = _jobs(spark, sf_dir)
     return rows.select("job_id", jobs.age_seconds(F.col("created_at"), _now()).alias("age"), jobs.lease_until(F.col("created_at"), 60).alias("lease"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,8 +150,8 @@ class Generations:
     def history(self) -> DataFrame:
         try:
             return self.spark.read.schema("n long, generation string").parquet(f"{self.root}/pointer")
-        except Exception as e:  # no pointer yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # no pointer yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], "n long, generation string")
 
