@@ -31,6 +31,8 @@ PRIME = np.uint64(2**61 - 1)
 _PRIME_BASE = [int(x) for x in _random.integers(2**32, 2**61 - 2, 2, np.uint64)]
 #: Bytes of a range that are hashed at once, so that sums stay within 62 bits.
 LONG = 1 << 20
+#: Bytes and ranges that are worked on at once, so that what is set aside for them stays small.
+STEP = 1 << 17
 _powers: dict[bool, np.ndarray] = {}
 _prime_powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -191,10 +193,13 @@ def prime_powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
 
 def sums(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of a polynomial modulo PRIME over bytes, in two halves, that give the hash of any range."""
-    power, value = prime_powers(len(data), which), data.astype(np.uint64) + np.uint64(1)
-    out = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value * (power & np.uint64(2**32 - 1)), out=out[0][1:])
-    np.cumsum(value * (power >> np.uint64(32)), out=out[1][1:])
+    powers, out = prime_powers(len(data), which), (np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64))
+    for i in range(0, len(data), STEP):
+        power, value = powers[i : i + STEP], data[i : i + STEP].astype(np.uint64) + np.uint64(1)
+        for half, part in zip(out, (power & np.uint64(2**32 - 1), power >> np.uint64(32)), strict=True):
+            own = half[i + 1 : i + 1 + len(value)]
+            np.cumsum(value * part, out=own)
+            own += half[i]
     return out
 
 
@@ -206,6 +211,8 @@ def span_hash(held: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(starts) > STEP:
+        return np.concatenate([span_hash(held, starts[i : i + STEP], ends[i : i + STEP], which) for i in range(0, len(starts), STEP)])
     pieces, out = -(-int((ends - starts).max()) // LONG), None
     for k in range(max(1, pieces)):
         a = np.minimum(starts + k * LONG, ends) if pieces > 1 else starts
