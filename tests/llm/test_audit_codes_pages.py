@@ -235,6 +235,18 @@ def test_pages_of_hard_kinds(spark):
     assert html_content.extract(frame.limit(0)).collect() == []
 
 
+def test_teasers_and_wrapped_pages(spark):
+    teasers = "<section class=related><h2>More</h2><article><h1>Other</h1><p>teaser</article></section><aside><article><p>aside</article></aside>"
+    rows = [
+        (1, "http://t.a/", f"<form id=aspnetForm><article><h1>T</h1><p>one</article>{teasers}</form>"),
+        (2, "http://t.b/", f"<div class='with-sidebar'><main><h1>T</h1><p>two <nav>menu</nav></main>{teasers}</div>"),
+        (3, "http://t.c/", "<div class=header-image><h1>T</h1></div><div class=post-content><p>three three three three</div><div class=sidebar><p>side</div>"),
+        (4, "http://t.d/", "<article class='post has-comments-open'><header><h1>T</h1></header><p>four</article><div id=comments><article class=comment><p>mine</article></div>"),
+    ]
+    got = {r.page_id: r.text for r in html_content.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "T\none", 2: "T\ntwo", 3: "T\nthree three three three", 4: "T\nfour"}
+
+
 def test_host_of(spark):
     urls = ["http://User@A.b.C:8080/x", "https://a.b?c=http://d.e", "//a.b/c", None, "ftp://x#y"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(html_content.host_of(F.col("u"))).collect()
