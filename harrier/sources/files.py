@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import uuid
 from collections.abc import Mapping
@@ -25,7 +26,13 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (".git", "__p
     rows = files.withColumn("relative_path", relative)
     for name in ignore:
         rows = rows.filter(~F.concat(F.lit("/"), F.col("relative_path")).contains(f"/{name}/"))
-    return rows.select("path", "relative_path", F.regexp_extract("relative_path", r"([^/]*)$", 1).alias("file_name"), X.extension(F.col("relative_path")).alias("ext"), X.parent_path(F.col("relative_path")).alias("folder"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), "content")
+    return described(rows.select("path", "relative_path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), "content"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """rows with file_name, ext and folder, as their relative_path tells them."""
+    at = F.col("relative_path")
+    return rows.withColumns({"file_name": F.regexp_extract(at, r"([^/]*)$", 1), "ext": X.extension(at), "folder": X.parent_path(at)})
 
 
 def decoded(content: Column) -> Column:
@@ -69,11 +76,25 @@ def pretty_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def csv_text(text: Column) -> Column:
-    """Rows with trimmed cells joined by ' | '; quotes around cells are dropped, commas within them kept."""
-    cell = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    rows = F.filter(F.split(text, r"\r?\n"), lambda r: F.trim(r) != "")
-    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(F.split(r, cell), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))), " | ")), "\n")
+@F.pandas_udf(StringType())
+def csv_to_text(raw: pd.Series) -> pd.Series:
+    """Rows of trimmed cells joined by ' | ', blank rows kept; a text that is no CSV stays as it is.
+
+    A line break within quotes goes, and what stands around it is one cell.
+    """
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        table = []
+        try:
+            for cells in csv.reader(text.splitlines()):
+                table.append(" | ".join(cell.strip() for cell in cells))
+        except csv.Error:
+            return text
+        return "\n".join(table)
+
+    return raw.map(one)
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -86,7 +107,7 @@ def documents(files: DataFrame) -> DataFrame:
     parts = [
         rows.filter(ext.isin("html", "htm")).withColumn("text", html_to_text("raw")).withColumn("loader", F.lit("html")),
         rows.filter(ext == "json").withColumn("text", pretty_json("raw")).withColumn("loader", F.lit("json")),
-        rows.filter(ext == "csv").withColumn("text", csv_text(F.col("raw"))).withColumn("loader", F.lit("csv")),
+        rows.filter(ext == "csv").withColumn("text", csv_to_text("raw")).withColumn("loader", F.lit("csv")),
         rows.filter(ext.isin("txt", "md", "markdown", "xml", "yaml", "yml")).withColumn("text", F.col("raw")).withColumn("loader", F.lit("text")),
     ]
     out = parts[0]
@@ -101,6 +122,60 @@ def questions_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("question")).filter("question <> ''")
 
 
+#: Words that tell what a question is about, first match first.
+ABOUT = {
+    "operational": ("procedure", "step", "responsib", "deadline", "must", "how"),
+    "comparative": ("compare", "difference", "versus", " vs "),
+    "temporal": ("when", "date", "frequency", "how often"),
+    "definition": ("what is", "define", "meaning"),
+}
+#: Lengths below and above which a question gets a warning.
+SHORT, LONG = 8, 1000
+_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+
+
+def question_category(question: Column) -> Column:
+    low, chosen = F.lower(question), F.lit("general")
+    for name in reversed(ABOUT):
+        found = F.lit(False)
+        for word in ABOUT[name]:
+            found = found | F.contains(low, F.lit(word))
+        chosen = F.when(found, name).otherwise(chosen)
+    return chosen
+
+
+def question_records(rows: DataFrame, by: list[str], text: str) -> DataFrame:
+    """by, index, prompt_id, line, question, category, normalized, warnings (array) of the questions in a text column,
+    one a line; blank lines and those that start with # are none. A null text has no question.
+
+    A row is one file: its questions are numbered within the row, so nothing is shuffled.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_replace(x, _ENDS, "").alias("question")))
+    asked = F.filter(lines, lambda x: (x["question"] != "") & ~F.startswith(x["question"], F.lit("#")))
+    each = rows.select(*by, F.posexplode(asked).alias("pos", "q")).select(*by, (F.col("pos") + 1).alias("index"), "q.line", "q.question")
+    q = F.col("question")
+    warnings = F.array_compact(F.array(F.when(F.length(q) < SHORT, "extremely short"), F.when(F.length(q) > LONG, "very long"), F.when(F.regexp_count(q, F.lit(r"(?:^|\s)\d+[.)]\s")) > 1, "may contain multiple numbered questions")))
+    normalized = F.regexp_replace(F.lower(q), r"(?U)[\s\x1C-\x1F]+", " ")
+    return each.select(*by, "index", F.format_string("Q%04d", "index").alias("prompt_id"), "line", "question", question_category(q).alias("category"), normalized.alias("normalized"), warnings.alias("warnings"))
+
+
+def question_stats(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, count, exact and normalized repeats beyond the first of each question, warnings."""
+    each = records.groupBy(*by, "normalized", "question").agg(F.count("*").alias("n"), F.sum(F.size("warnings")).alias("w"))
+    once = each.groupBy(*by, "normalized").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("w").alias("w"))
+    total = F.sum("n")
+    return once.groupBy(*by).agg(total.alias("count"), (total - F.sum("kinds")).alias("exact_duplicates"), (total - F.count("*")).alias("normalized_duplicates"), F.sum("w").alias("warnings"))
+
+
+def question_source(spark: SparkSession, path: str) -> DataFrame:
+    """question_records of the .txt files at a path, by their relative_path."""
+    if not path.lower().endswith(".txt"):
+        raise ValueError("questions are read from plain .txt files")
+    rows = spark.read.format("binaryFile").load(path)
+    return question_records(rows.select(F.col("path").alias("file"), decoded(F.col("content")).alias("text")), ["file"], "text")
+
+
 def benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
     """question_id, question, answer, expected (array), category, difficulty, should_answer, metadata (other columns)."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

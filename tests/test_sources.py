@@ -12,7 +12,7 @@ from harrier.streaming import events
 
 
 def test_scan_and_read(spark, tmp_path):
-    made = {"a/b/x.txt": "\ufeffhello ".encode(), "a/y.html": b"<p>one  two</p><script>var t=1;</script>", "z.json": b'{"b": [1]}', "t.csv": b'a, "b, c" ,d\n\n1,2,3\n', "latin.md": "caf\xe9".encode("latin-1"), "blank.txt": b"  ", ".git/config": b"no", "pic.png": b"x"}
+    made = {"a/b/x.txt": "\ufeffhello ".encode(), "a/y.html": b"<p>one  two</p><script>var t=1;</script>", "z.json": b'{"b": [1]}', "t.csv": b'a,"b, c" ,d\n\n1,"2\n""2"" ",3\n', "latin.md": "caf\xe9".encode("latin-1"), "blank.txt": b"  ", ".git/config": b"no", "pic.png": b"x"}
     for name, data in made.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
@@ -22,7 +22,7 @@ def test_scan_and_read(spark, tmp_path):
         "a/b/x.txt": ("text", "a", "b", "hello"),
         "a/y.html": ("html", "a", None, "one two\nvar t=1;"),
         "z.json": ("json", None, None, '{\n  "b": [\n    1\n  ]\n}'),
-        "t.csv": ("csv", None, None, "a | b, c | d\n1 | 2 | 3"),
+        "t.csv": ("csv", None, None, "a | b, c | d\n\n1 | 2\"2\" | 3"),
         "latin.md": ("text", None, None, "café"),
     }
     known = found.select("path", "size", "mtime_us", F.lit("old").alias("hash"))
@@ -39,6 +39,23 @@ def test_questions_and_benchmark(spark, tmp_path):
     assert got[1].expected == [] and got[1].should_answer
 
 
+def test_csv_cells(spark):
+    rows = {"quoted": 'a,"b\r\nc",d', "blank": "a\n\nb", "inner": 'x "y, z" w', "open": 'a,"b\nc', "empty": "", "long": "x" * 140_000 + ",  y", "null": None}
+    got = dict(spark.createDataFrame(list(rows.items()), "k string, t string").select("k", files.csv_to_text("t")).collect())
+    assert got == {"quoted": "a | bc | d", "blank": "a\n\nb", "inner": 'x "y | z" w', "open": "a | bc", "empty": "", "long": rows["long"], "null": None}
+
+
+def test_question_source(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("\ufeff# heading\n\n What is  a lease? \nwhat is a lease?\nshort\nHow often, and when?\n1. one thing 2) another thing\nWhat is  a lease?\n" + "y" * 1001)
+    got = files.question_source(spark, f"file://{tmp_path}/q.txt")
+    rows = got.orderBy("index").collect()
+    assert [(r.prompt_id, r.line, r.category) for r in rows] == [("Q0001", 3, "definition"), ("Q0002", 4, "definition"), ("Q0003", 5, "general"), ("Q0004", 6, "operational"), ("Q0005", 7, "general"), ("Q0006", 8, "definition"), ("Q0007", 9, "general")]
+    assert [r.warnings for r in rows] == [[], [], ["extremely short"], [], ["may contain multiple numbered questions"], [], ["very long"]]
+    assert tuple(files.question_stats(got, ["file"]).drop("file").first()) == (7, 1, 2, 3)
+    none = spark.createDataFrame([(1, None), (2, "")], "k int, t string")
+    assert files.question_records(none, ["k"], "t").count() == 0
+
+
 def test_csv_sink_guards_cells(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", [1, 2])], "a string, b array<int>")
     files.write_csv(df, f"file://{tmp_path}/out")
