@@ -434,3 +434,61 @@ def sweep_failures(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
     rows = evaluation.sweep(relations.grid(spark, {"k": [1, 2, 5]}), asked, factory, [lambda rows: rows.withColumn("chars", F.length("answer"))])
     return rows.groupBy("experiment_id").agg(F.count("*").alias("questions"), F.count_if(F.col("error") == "RuntimeError: no answer").alias("failed"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+
+
+def _loaded(spark, sf_dir):
+    """A file for each document, in a folder of its source and language: plain text with a byte order mark, CSV, JSON, Markdown in Latin-1 where that holds it, HTML."""
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("txt", "csv", "json", "md", "html")]), (i % 5).cast("int") + 1)
+    held = {
+        "txt": F.encode(F.concat(F.lit("﻿"), text), "UTF-8"),
+        "csv": F.encode(F.concat(F.lit("id, text\n\n"), i, F.lit(',"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"\n')), "UTF-8"),
+        "json": F.encode(F.to_json(F.struct("doc_id", text.alias("text"))), "UTF-8"),
+        "md": F.when(F.regexp_like(text, F.lit("^[\\x00-\\x7F]*$")), F.encode(F.concat(text, F.lit("é")), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")),
+        "html": F.encode(F.concat(F.lit("<p>Document "), i, F.lit("</p><div> of  "), F.coalesce("source", F.lit("none")), F.lit("</div>")), "UTF-8"),
+    }
+    content = F.lit(None).cast("binary")
+    for name, made in held.items():
+        content = F.when(kind == name, made).otherwise(content)
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), i, F.lit("."), kind)
+    return files.documents(files.described(table(spark, sf_dir, "documents").select(path.alias("relative_path"), content.alias("content"))))
+
+
+@Q(r"""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, coalesce(text, '') AS t FROM documents),
+c AS (SELECT *, regexp_replace(t, '[\r\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', '', 'g') AS joined FROM d),
+m AS (SELECT doc_id, s, l, ['txt', 'csv', 'json', 'md', 'html'][doc_id % 5 + 1] AS ext, CASE doc_id % 5 WHEN 0 THEN t
+  WHEN 1 THEN CASE WHEN length(joined) > 131072 THEN 'id, text' || chr(10) || chr(10) || doc_id || ',"' || replace(t, '"', '""') || '"' ELSE 'id | text' || chr(10) || chr(10) || doc_id || ' | ' || trim(joined, ' ' || chr(9)) END
+  WHEN 2 THEN '{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "text": ' || to_json(t)::VARCHAR || chr(10) || '}'
+  WHEN 3 THEN CASE WHEN regexp_full_match(t, '[\x00-\x7f]*', 's') THEN t || 'é' ELSE t END
+  ELSE 'Document ' || doc_id || chr(10) || 'of ' || s END AS x FROM c)
+SELECT s || '/' || l || '/' || doc_id || '.' || ext AS relative_path, CASE WHEN ext IN ('txt', 'md') THEN 'text' ELSE ext END AS loader, s AS category, l AS collection, md5(trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5
+FROM m WHERE trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def load_documents(spark, sf_dir):
+    """Files of five formats as documents, with the category and collection that their folders name."""
+    return _loaded(spark, sf_dir).select("relative_path", "loader", "category", "collection", F.md5("text").alias("text_md5"))
+
+
+#: Lines of documents as questions; every ninth document is numbered, so that some lines hold two numbers.
+ASKED_LINES = r"""lines AS (SELECT doc_id, source, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, source, regexp_split_to_array(CASE doc_id % 9 WHEN 0 THEN '1. what is 2) ' || coalesce(text, '') WHEN 1 THEN '# ' || coalesce(text, '') ELSE coalesce(text, '') END, '\r\n|[\n\r]') AS l FROM documents)),
+q AS (SELECT doc_id, source, line, regexp_replace(x, '^\s+|\s+$', '', 'g') AS question FROM lines),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n, lower(question) AS low, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS normalized,
+  concat_ws(', ', CASE WHEN length(question) < 8 THEN 'extremely short' END, CASE WHEN length(question) > 1000 THEN 'very long' END, CASE WHEN len(regexp_extract_all(question, '(?:^|\s)\d+[.)]\s')) > 1 THEN 'may contain multiple numbered questions' END) AS warnings
+  FROM q WHERE question <> '' AND question NOT LIKE '#%')"""
+
+
+def _asked(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("1. what is 2) "), text)).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("# "), text)).otherwise(text)
+    return files.question_records(table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text")), ["doc_id", "source"], "text")
+
+
+@Q(rf"""WITH {ASKED_LINES} SELECT doc_id, printf('Q%04d', n) AS prompt_id, line::INTEGER AS line, CASE WHEN regexp_matches(low, 'procedure|step|responsib|deadline|must|how') THEN 'operational' WHEN regexp_matches(low, 'compare|difference|versus| vs ') THEN 'comparative'
+  WHEN regexp_matches(low, 'when|date|frequency') THEN 'temporal' WHEN regexp_matches(low, 'what is|define|meaning') THEN 'definition' ELSE 'general' END AS category, md5(normalized) AS normalized_md5, warnings FROM r""")
+def question_records(spark, sf_dir):
+    """The questions of every document, one a line: numbers, categories and warnings."""
+    return _asked(spark, sf_dir).select("doc_id", "prompt_id", "line", "category", F.md5("normalized").alias("normalized_md5"), F.array_join("warnings", ", ").alias("warnings"))
+
+
+@Q(rf"WITH {ASKED_LINES} SELECT source, count(*) AS count, count(*) - count(DISTINCT question) AS exact_duplicates, count(*) - count(DISTINCT normalized) AS normalized_duplicates, sum(CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ', ')) END)::BIGINT AS warnings FROM r GROUP BY source")
+def question_stats(spark, sf_dir):
+    return files.question_stats(_asked(spark, sf_dir), ["source"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import pytest
@@ -237,6 +238,64 @@ def test_trace_and_stats(spark):
     assert tuple(trace.chunk_stats(empty, "n", "s").first()) == (0, 0, 0, 0.0, 0)
 
 
+def test_whole_trace(spark):
+    asked = spark.createDataFrame([(1, "first"), (2, "nothing")], "query_id int, query string")
+    hit = "query_id int, source string, page string, chunk string, score double, rank int"
+    dense = spark.createDataFrame([(1, "s", "1", "a", 0.9, 1), (1, "s", "2", "b", 0.8, 2)], hit)
+    words = spark.createDataFrame([(1, "s", "2", "b", 5.0, 1), (1, "t", None, "c", 4.0, 2), (1, "t", None, "c", 3.0, 3)], hit)
+    final = spark.createDataFrame([(1, "s", "2", "b", "x" * 40, ["bm25"], False), (1, "t", "", "c", "y" * 1200, ["dense", "bm25"], True)], "query_id int, source string, page string, chunk string, text string, retrieval_sources array<string>, truncated boolean")
+    stages = {"retrieved": words, "deduplicated": words.limit(2), "expanded": words.withColumn("is_neighbor", F.col("rank") > 1), "compressed": final, "merged": words}
+    lost = spark.createDataFrame([(1, "b", True, 1, "evidence", None), (1, "c", False, 2, None, "redundancy"), (1, "a", False, 3, None, "redundancy")], "query_id int, chunk string, selected boolean, rerank_rank int, selection_reason string, discard_reason string")
+    times = spark.createDataFrame([(1, 0.5, 0.25, 3.0)], "query_id int, retrieval double, context double, generation double")
+    got = trace.whole_trace(asked, {"dense": dense, "bm25": words}, stages, lost, times, budget=320)
+    one, none = got.orderBy("query_id").collect()
+    assert tuple(one.overlap) == (1, 1, 1, 3, 0.333333) and tuple(one.deduplication) == (3, 2, 1) and tuple(one.neighbor_expansion) == (2, 2, 3)
+    assert one.funnel.counts["combined"] == 5 and one.funnel.counts["fused"] == 0 and one.funnel.tokens["compressed"] == 310
+    assert tuple(one.token_usage) == (320, 310, 10, 2, 1, 96.88) and one.evidence.reasons == {"redundancy": 2} and tuple(one.latency) == (0.5, 0.25, 3.0, 3.75)
+    assert (one.source_diversity.sources, one.source_diversity.pages) == (2, 1) and len(one.records["compressed"][1].preview) == 500
+    assert {s.signal: s.state for s in one.signals} == {"token_budget": "tight", "bm25_value": "unique", "retriever_agreement": "fine", "latency": "generation", "source_diversity": "fine"}
+    assert none.overlap.overlap_ratio is None and none.records["dense"] == [] and none.token_usage.used == 0 and none.evidence.reasons == {}
+    back = trace.trace_json(got).select(F.from_json("trace", got.schema).alias("t")).select("t.*")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, got.collect()))
+    bare = trace.whole_trace(asked, {"bm25": words}, {}).filter("query_id = 1").first()
+    assert tuple(bare.overlap)[:4] == (0, 2, 0, 2) and bare.records["selected"] == []
+    with pytest.raises(ValueError):
+        trace.whole_trace(asked, {"other": words}, {})
+
+
+def test_branches_that_pass_their_limits(spark):
+    asked = spark.createDataFrame([(1, "x")], "query_id long, query string")
+    fixed = lambda chunk: lambda q: q.select("query_id", F.lit(chunk).cast("long").alias("chunk"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    @F.udf("long")
+    def slowly(x):
+        time.sleep(20)
+        return x
+
+    def late(q):
+        return fixed(2)(q).withColumn("chunk", slowly("chunk"))
+
+    def told(q):
+        raise TimeoutError
+
+    def broken(q):
+        raise KeyError("broken")
+
+    def slow_fusion(found, weights, limit):
+        return fusion.fuse(found, weights, limit=limit).withColumn("chunk", slowly("chunk"))
+
+    get = lambda known, limits, **more: rows(retrieval.retrieve_surviving(asked, known, limits, **more).orderBy("rank"), "chunk", "degraded")
+    begun = time.monotonic()
+    assert get({"dense": fixed(1), "bm25": late}, {"bm25": 3.0}) == [(1, ["bm25"])]
+    assert get({"dense": told, "bm25": fixed(2)}, {}) == [(2, ["dense"])]
+    assert get({"dense": fixed(1), "bm25": fixed(2)}, {"fusion": 3.0}, fuse=slow_fusion) == [(1, ["fusion"])]
+    assert get({"dense": fixed(1), "bm25": fixed(2)}, {"dense": 60.0}) == [(1, []), (2, [])]
+    assert get({"dense": told}, {}) == []
+    assert time.monotonic() - begun < 20
+    with pytest.raises(KeyError):
+        get({"dense": fixed(1), "bm25": broken}, {})
+
+
 def test_defaults():
     assert (DEFAULTS.chunk_size, DEFAULTS.rrf_k, DEFAULTS.max_selected) == (700, 60, 8)
 
