@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from harrier.functions import text as X
 from harrier.operators.lexical import top_k
 from harrier.plans.config import DEFAULTS
+from harrier.sources.shared import plain_unions
 
 
 def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None = None, k: int = DEFAULTS.rrf_k, limit: int | None = DEFAULTS.fused_depth) -> DataFrame:
@@ -23,6 +24,7 @@ def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None
     for place, (name, ranking) in enumerate(rankings.items()):
         parts.append(ranking.select("query_id", "chunk", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"), F.lit(name).alias("retriever"), F.lit(place).alias("place"), F.lit(float(weights.get(name, 1.0))).alias("weight")))
     every = parts[0]
+    plain_unions(every.sparkSession)
     for part in parts[1:]:
         every = every.unionByName(part)
     once = every.groupBy("query_id", "chunk", "place", "retriever", "weight").agg(F.min(F.struct("rank", "score")).alias("best"))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harrier.operators.ranking import running_max
-from harrier.sources.shared import written
+from harrier.sources.shared import plain_unions, written
 
 #: Fixed value: the order of roles within a turn.
 ROLES = ("system", "user", "assistant")
@@ -197,6 +197,7 @@ def hydrated(rows: DataFrame, documents: DataFrame, versions: DataFrame, path: s
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
     """Rows of unlike kinds as one table; columns that a kind lacks are null."""
+    plain_unions(frames[0].sparkSession)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

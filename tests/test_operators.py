@@ -389,3 +389,12 @@ def test_payload_and_anchor(spark):
     assert ("v1:0", "personal:u") in got and ("v2:1", "r") in got and ("v3:0", "organization:o") in got
     one = spark.createDataFrame([(None, 3, 4, "c"), (None, None, None, "c")], "s string, l int, p int, c string")
     assert [r.a for r in one.select(ingest.anchor(F.col("s"), F.col("l"), F.col("p"), F.col("c")).alias("a")).collect()] == ["slide:3", "chunk:c"]
+
+
+def test_fusion_within_other_unions(spark):
+    """Rankings that are cut by windows of their own, fused, and then met again with their fusion."""
+    listed = lambda s: lexical.top_k(spark.range(4000).select((F.col("id") % 40).alias("query_id"), (F.col("id") * 7 + s * 100_000).alias("chunk"), (F.col("id") % 97).cast("double").alias("score")).repartition(5), ["query_id"], [F.desc("score"), F.col("chunk")], 10)
+    found = {"dense": listed(0), "bm25": listed(1)}
+    fused = fusion.fuse(found)
+    every = relations.stacked([fused.select("query_id", "chunk", F.lit("fused").alias("part")), *[r.select("query_id", "chunk", F.lit(n).alias("part")) for n, r in found.items()]])
+    assert {tuple(r) for r in every.groupBy("query_id").agg(F.count_if(F.col("part") == "fused").alias("f"), F.count("*").alias("n")).select("f", "n").collect()} == {(10, 30)}
