@@ -40,6 +40,27 @@ def test_forest_on_labelled_rows_it_has_not_seen(spark):
     assert share[0] >= 0.95 and share[1] <= 0.01
 
 
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    rng = random.Random(3)
+    clean = [" ".join(rng.choice(["tree", "House", "walks!", "blue", "of", "river"]) for _ in range(rng.randint(12, 20))) for _ in range(9000)]
+    bad = [" ".join(rng.choice(["tree#", "House", "walks!!", "w$", "of"]) for _ in range(rng.randint(12, 20))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(clean + bad)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i in range(9300)], "doc_id long, quality int")
+    known = quality.facts(docs, "doc_id", "text").orderBy("id").filter("not failed").collect()
+    x, good = np.array([r.x for r in known]), np.array([r.id < 9000 for r in known])
+    assert good.sum() > 8192
+    forest, want = quality.fit(quality.facts(docs, "doc_id", "text"), labels), quality.grow(x[good], np.ptp(x, axis=0))
+    assert forest.usual == quality.usual_path(int(good.sum()))
+    assert all((a == b).all() for a, b in ((forest.feature, want.feature), (forest.value, want.value), (forest.length, want.length)))
+    scores = want.scores(x)
+    kinds = sorted(set(scores), reverse=True)
+    gains = [(scores[~good] >= s).sum() / (~good).sum() - quality.CLEAN_PRICE * (scores[good] >= s).sum() / good.sum() for s in kinds]
+    best = max(range(len(kinds)), key=lambda k: (gains[k], kinds[k]))
+    assert gains[best] > 0 and forest.threshold == (kinds[best] + kinds[best + 1]) / 2
+    kept = {r.doc_id for r in quality.judge(docs, labels).filter("kept").collect()}
+    assert kept == {r.id for r, s in zip(known, scores, strict=True) if s <= forest.threshold}
+
+
 def test_owned_spans_by_brute_force(spark):
     rng = random.Random(9)
     token = lambda: "".join(rng.choice("abcXYZ019_") for _ in range(rng.randint(24, 30))) + "a1"
