@@ -270,6 +270,39 @@ def largest(a, b):
     return 1 + best
 
 
+def plain_matching(x, y):
+    """Pairs of two long lists of leaves by the whole table of best sums."""
+    best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            w = dom.alike(a, b)
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w if w else 0.0)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+@pytest.mark.parametrize("n", [5, 499, 501, 560])
+def test_long_lists_of_kids_are_matched_as_short_ones(n):
+    many = [["div", "card", [["p", "", []]]] for _ in range(n)]
+    first, last = ["body", "", [["section", "promo", []], *many]], ["body", "", [*many, ["section", "promo", []]]]
+    assert dom.match(first, last) == [(i + 1, i) for i in range(n)]
+    assert len(dom.merge(first, last)[2]) == n + 2
+    assert -1 not in dom.places(last, ["body", "", many])
+    rng = random.Random(n)
+    x, y = ([[rng.choice(["div", "nav"]), rng.choice(["a", "a b", "a b c", "d"]), []] for _ in range(n)] for _ in range(2))
+    assert dom.match(["body", "", x], ["body", "", y]) == plain_matching(x, y)
+    y[: n // 2] = x[: n // 2]
+    assert dom.match(["body", "", x], ["body", "", y]) == plain_matching(x, y)
+
+
 def test_tree_matching_and_merging():
     rng = random.Random(1)
     size = lambda t: 1 + sum(map(size, t[2]))
