@@ -34,13 +34,13 @@ def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None
     return ranked.select("query_id", "chunk", "rrf_score", "rank", F.transform("by", lambda x: x["retriever"]).alias("retrieval_sources"), F.map_from_entries(F.transform("by", lambda x: F.struct(x["retriever"], x["rank"]))).alias("retrieval_ranks"), F.map_from_entries(F.transform("by", lambda x: F.struct(x["retriever"], x["score"]))).alias("retrieval_scores"))
 
 
-def variants(queries: DataFrame, query_id: str, query_text: str, domain: str, most: int = DEFAULTS.max_variants, rewriting: bool = True, expansion: bool = True, reformulation: bool = True, extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def variants(queries: DataFrame, query_id: str, query_text: str, domain: str, most: int = DEFAULTS.max_variants, rewriting: bool = True, expansion: bool = True, reformulation: bool = True, extra: Mapping[str, Callable[[Column], Column]] | None = None, expand: Callable[[Column], Column] = X.expand) -> DataFrame:
     """query_id, variant_order, technique, query: the original and its transformations, without repeats but for case."""
     steps: dict[str, Column] = {"original": X.clean(F.col(query_text))}
     if rewriting:
         steps["rewritten"] = X.rewrite(F.col(query_text))
     if expansion:
-        steps["keyword_expansion"] = X.expand(F.col(query_text))
+        steps["keyword_expansion"] = expand(F.col(query_text))
     if reformulation:
         steps["domain_reformulation"] = X.reframe(F.col(query_text), domain)
     steps |= {name: make(F.col(query_text)) for name, make in (extra or {}).items()}

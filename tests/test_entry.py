@@ -54,3 +54,13 @@ def test_entry_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 140 and out[1] == "False"
+
+
+def test_variants_of_texts_that_hold_glossary_terms(spark, tmp_path):
+    """Related terms come from the question's own words, also where the text it quotes holds a term or a related one."""
+    texts = ["ciónqueue del", "the hoppe PPE and Hazard", "runway", "plain", "  "]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    got, want = entry.queries()["query_variants"](spark, str(tmp_path)), con.sql(entry.oracle_sql()["query_variants"])
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns)
