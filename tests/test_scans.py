@@ -30,7 +30,7 @@ def test_few_rows_are_broadcast(spark):
     assert told(few(spark.range(3))) and not told(few(spark.range(3), 2))
 
 
-@pytest.mark.parametrize("name, rows", [("confidence_class", 40), ("rank_shift", 1_200), ("report_series", 17), ("evidence_quality", 40)])
+@pytest.mark.parametrize("name, rows", [("confidence_class", 40), ("rank_shift", 1_200), ("report_series", 17), ("evidence_quality", 40), ("retrieval_comparison", 2)])
 def test_hits_meet_documents_where_these_lie(spark, own, name, rows):
     """No index of postings is written, and no join sorts or shuffles the documents."""
     folder = shared_folder(spark).removeprefix("file://")
